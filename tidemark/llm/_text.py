@@ -84,12 +84,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the texts and their n + 1 offsets; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     n = len(texts)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64, count=texts.offset + n + 1)[texts.offset :]
+    off = np.frombuffer(offsets, dtype=kind, count=texts.offset + n + 1)[texts.offset :].astype(np.int64)
     bytes_ = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return bytes_[off[0] : off[-1]], off - off[0]
 
