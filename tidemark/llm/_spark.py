@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: dict[str, str] = {}
 
 
@@ -65,10 +66,16 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the scratch folder and read it again."""
+    """Cut the lineage: write df as Parquet in the scratch folder and read it again. Shuffle files that
+    only this write needed go as soon as it is done."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 

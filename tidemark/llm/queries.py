@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op3_byte_bpe
 from tidemark.llm.decontaminate import op8_decontamination
+from tidemark.llm.near_dedup import op4_near_dedup
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_near_dedup": op4_near_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
 }
