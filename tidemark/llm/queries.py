@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.byte_bpe import op3_byte_bpe
 from tidemark.llm.decontaminate import op8_decontamination
 from tidemark.llm.near_dedup import op4_near_dedup
+from tidemark.llm.repeats import op10_repeats
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.warc import op7_warc
 
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {}
