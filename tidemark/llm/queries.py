@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op3_byte_bpe
 from tidemark.llm.decontaminate import op8_decontamination
+from tidemark.llm.licenses import OP2_SQL, op2_licenses
 from tidemark.llm.near_dedup import op4_near_dedup
+from tidemark.llm.quality import OP6_SQL, op6_quality
 from tidemark.llm.repeats import op10_repeats
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_licenses": op2_licenses,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op10_repeats": op10_repeats,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL}
