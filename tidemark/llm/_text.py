@@ -166,3 +166,25 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+class Members:
+    """Which of some hashes are in a set: a bitmap rules most out, binary search decides."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.map = np.zeros(1 << self.BITS, dtype=bool)
+        self.map[self._low(self.keys)] = True
+
+    def _low(self, x: np.ndarray) -> np.ndarray:
+        return (x & _U((1 << self.BITS) - 1)).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in x of members, and their indexes in keys."""
+        at = np.flatnonzero(self.map[self._low(x)])
+        k = np.searchsorted(self.keys, x[at])
+        k[k == len(self.keys)] = 0
+        ok = self.keys[k] == x[at] if len(self.keys) else np.zeros(len(at), bool)
+        return at[ok], k[ok]

@@ -26,27 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._spark import prepare, written
-from tidemark.llm._text import ALNUM, pieces, windows, words
+from tidemark.llm._text import ALNUM, Members, pieces, windows, words
 
 SHINGLE = 3
-_BITS = 20
-
-
-class Members:
-    """Which of some hashes are in a set: a bitmap rules most out, binary search decides."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.map = np.zeros(1 << _BITS, dtype=bool)
-        self.map[(self.keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in x of members, and their indexes in keys."""
-        at = np.flatnonzero(self.map[(x & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-        k = np.searchsorted(self.keys, x[at])
-        k[k == len(self.keys)] = 0
-        ok = self.keys[k] == x[at] if len(self.keys) else np.zeros(len(at), bool)
-        return at[ok], k[ok]
 
 
 class Windows:

@@ -8,7 +8,9 @@ from tidemark.llm.licenses import OP2_SQL, op2_licenses
 from tidemark.llm.near_dedup import op4_near_dedup
 from tidemark.llm.quality import OP6_SQL, op6_quality
 from tidemark.llm.repeats import op10_repeats
+from tidemark.llm.secrets import op5_secrets
 from tidemark.llm.token_counts import op1_token_counts
+from tidemark.llm.toxicity import op9_toxicity
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL}
