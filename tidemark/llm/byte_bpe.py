@@ -58,11 +58,12 @@ def encode_text(enc, text: str) -> np.ndarray:
     return got[0] if len(got) == 1 else np.concatenate(got) if got else np.zeros(0, np.uint32)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = True) -> DataFrame:
-    """One row per document: the key, n_tokens, ids_le (the ids as little-endian unsigned 32-bit
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """One row per document: the key (or the given columns), n_tokens, ids_le (the ids as little-endian unsigned 32-bit
     integers), and with `decoded` the bytes that decoding these ids gives back."""
     prepare(docs.sparkSession)
-    fields = [docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType())]
+    columns = columns or [key]
+    fields = [*(docs.schema[c] for c in columns), T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType())]
     schema = T.StructType(fields + [T.StructField("decoded", T.BinaryType())] * decoded)
 
     def run(batches):
@@ -70,12 +71,12 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for batch in batches:
             for part in pieces(batch, text, 2 << 20):
                 ids = [encode_text(enc, t or "") for t in part.column(text).to_pylist()]
-                columns = [part.column(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+                out = [*(part.column(c) for c in columns), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
                 if decoded:
-                    columns.append(pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    out.append(pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids_le") -> DataFrame:

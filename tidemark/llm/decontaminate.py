@@ -79,20 +79,22 @@ def _frequencies(docs: DataFrame, text: str, sets: dict[int, np.ndarray]) -> dic
     return out
 
 
-def _matches(docs: DataFrame, key: str, text: str, ids: list[str | None], win: Windows, freq: dict[int, dict[int, int]], size: int) -> DataFrame:
+def _matches(docs: DataFrame, key: str, text: str, ids: list[str | None], win: Windows, freq: dict[int, dict[int, int]], size: int, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    columns = columns or [key]
     rare = np.full(win.shingles.shape, np.iinfo(np.int64).max)
     for q, known in freq.items():
         rows = win.q == q
         rare[rows] = np.vectorize(lambda h, known=known: known.get(int(h), 0), otypes=[np.int64])(win.shingles[rows]) if rows.any() else rare[rows]
     place = np.argmin(np.where(win.inside, rare, np.iinfo(np.int64).max), axis=1)
-    prefix = win.shingles[np.arange(len(place)), place]
+    first_shingle = win.shingles[np.arange(len(place)), place]
     tables = {}
     for q in np.unique(win.q).tolist():
         rows = np.flatnonzero(win.q == q)
-        rows = rows[np.argsort(prefix[rows], kind="stable")]
-        keys, first = np.unique(prefix[rows], return_index=True)
+        rows = rows[np.argsort(first_shingle[rows], kind="stable")]
+        keys, first = np.unique(first_shingle[rows], return_index=True)
         tables[q] = (keys, np.append(first, len(rows)), rows)
-    schema = T.StructType([docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_hit", T.LongType())])
+    made = {"n_words": T.LongType(), "hit_ranges": T.ArrayType(T.ArrayType(T.LongType())), "items": T.ArrayType(T.StringType()), "n_hit": T.LongType()}
+    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(prefix + n, t) for n, t in made.items())])
     length, win_words, item = win.length, win.words, win.item
 
     def run(batches):
@@ -131,13 +133,13 @@ def _matches(docs: DataFrame, key: str, text: str, ids: list[str | None], win: W
                     edge = np.flatnonzero(h[1:] != h[:-1]).reshape(-1, 2)
                     ranges[d] = edge.tolist()
                 items = [sorted({x for x in found if x is not None}) for found in items]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(w.counts), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(n_hit)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(w.counts), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(n_hit)], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: key, n_words, n_hit (words inside an occurrence of a window), hit_ranges
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """One row per document: key (or the given columns), and with the prefix: n_words, n_hit (words inside an occurrence of a window), hit_ranges
     ([first, end) word places), items (ids of the items with occurring windows, sorted as strings)."""
     spark = prepare(docs.sparkSession)
     bench = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t"))
@@ -155,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             found[-1] = written(_matches(keyed, "_row", text, found[-1][1], win, freq, size).where(F.col("n_hit") > 0), "hits")
     if blocks == 1:
         win, ids, freq = found[0]
-        return _matches(docs, key, text, ids, win, freq, size)
+        return _matches(docs, key, text, ids, win, freq, size, columns, prefix)
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
@@ -166,10 +168,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     merged = merged.withColumn("hit_ranges", F.aggregate("r", F.expr("cast(array() as array<array<bigint>>)"), step)).drop("r")
     merged = merged.withColumn("n_hit", F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0]))
     empty = Windows([], size)
-    base = _matches(docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("x")).alias("_row"), text), "_row", text, [], empty, {}, size).select("_row", "n_words")
-    joined = base.join(merged, "_row", "left")
-    none = "cast(array() as {})"
-    return joined.select(F.col("_row.k").alias(key), "n_words", F.coalesce("hit_ranges", F.expr(none.format("array<array<bigint>>"))).alias("hit_ranges"), F.coalesce("items", F.expr(none.format("array<string>"))).alias("items"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"))
+    columns = columns or [key]
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("x"))
+    base = _matches(docs.withColumn("_row", row), "_row", text, [], empty, {}, size, ["_row", *columns], "_own_").select("_row", *columns, "_own_n_words")
+    merged = merged.select(F.col("_row").alias("_hit_row"), *(F.col(c).alias("_hit_" + c) for c in ("hit_ranges", "items", "n_hit")))
+    joined = base.join(merged, F.col("_row").eqNullSafe(F.col("_hit_row")), "left")
+    none = lambda c, kind: F.coalesce("_hit_" + c, F.expr(f"cast({kind})")).alias(prefix + c)
+    return joined.select(*columns, F.col("_own_n_words").alias(prefix + "n_words"), none("hit_ranges", "array() as array<array<bigint>>"), none("items", "array() as array<string>"), none("n_hit", "0 as bigint"))
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

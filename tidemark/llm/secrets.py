@@ -46,7 +46,11 @@ _RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
 _LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("40351$7@", "aoesista")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_NEXT = {(a, b): way for row in _ROWS for i in range(len(row) - 1) for a, b, way in ((row[i], row[i + 1], (row, 1)), (row[i + 1], row[i], (row, -1)))}
+_NEXT: dict[tuple[str, str], frozenset] = {}
+for _row in _ROWS:
+    for _a, _b in zip(_row, _row[1:], strict=False):
+        _NEXT[_a, _b] = _NEXT.get((_a, _b), frozenset()) | {(_row, 1)}
+        _NEXT[_b, _a] = _NEXT.get((_b, _a), frozenset()) | {(_row, -1)}
 _DATE = re.compile(r"(19|20)\d\d([-/.]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])([-/.]?)(0[1-9]|1[0-2])\6(19|20)\d\d|(19|20)\d\d", re.ASCII)
 _DATES = {4: math.log10(200), 6: math.log10(366 * 100)}
 #: Guesses to choose where a segment ends and of which sort the next is.
@@ -70,7 +74,7 @@ def guess_cost(value: str) -> float:
         m = _DATE.match(value, i) if low[i].isdigit() else None
         if m:
             dates.setdefault(m.end(), []).append(i)
-    way = None
+    ways: frozenset = frozenset()
     for i in range(1, n + 1):
         c = value[i - 1]
         cost = best[i - 1] + _alphabet(c) + (_SEGMENT if i == 1 else 0)
@@ -90,10 +94,11 @@ def guess_cost(value: str) -> float:
             run = i - 1
         now = _NEXT.get((low[i - 2], low[i - 1])) if i > 1 else None
         if now is None:
-            walk, way = i - 1, None
+            walk, ways = i - 1, frozenset()
         else:
-            if now != way:
-                walk, way = i - 2, now
+            if not ways & now:
+                walk, ways = i - 2, now
+            ways &= now
             if i - walk >= 3:
                 cost = min(cost, best[walk] + _SEGMENT + math.log10(94) + math.log10(i - walk))
         best[i] = cost
@@ -140,10 +145,11 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret value in the text replaced by the mark, and n_secrets."""
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: str = "n_secrets") -> DataFrame:
+    """docs with every secret value in the text replaced by the mark, and the number of spans in a column `count`."""
     prepare(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_secrets", T.LongType())])
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
 
     def clean(t: str | None) -> tuple[str | None, int]:
         found = scan(t) if t else []
@@ -158,7 +164,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         for batch in batches:
             for part in pieces(batch, text):
                 done = [clean(t) for t in part.column(text).to_pylist()]
-                columns = [pa.array([t for t, _ in done], pa.string()) if n == text else part.column(n) for n in docs.columns]
+                columns = [pa.array([t for t, _ in done], pa.string()) if n == text else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -223,11 +223,13 @@ def _document_frequencies(docs: DataFrame, text: str, keep: Members) -> tuple[in
     return n, out
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, score, evidence (the nearest examples: id, label, similarity)."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """One row per document: key (or the given columns), score, evidence (the nearest examples: id,
+    label, similarity); the names of the latter two get the prefix."""
+    columns = columns or [key]
     prepare(docs.sparkSession)
     evidence = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
-    schema = T.StructType([docs.schema[key], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "evidence", evidence)])
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
@@ -246,9 +248,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                         sims, places = index.nearest(at, model.vector(at, c[lo:hi]))
                         scores[d[lo]] = index.calibrated(index.vote(sims, places))
                         shown[d[lo]] = [{"id": int(index.keys[p]), "label": int(index.labels[p]), "similarity": float(s)} for s, p in zip(sims[:SHOWN], places[:SHOWN], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(scores), pa.array(shown, kind)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(scores), pa.array(shown, kind)], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):
