@@ -10,12 +10,14 @@ Jaccard similarity, and their number is as concentrated as for independent sampl
 
 Bands of R coordinates become bucket keys. With 48 bands of 6, a pair of similarity 0.8 shares no bucket
 with a probability of 5e-7. Buckets can be huge (a passage or template that millions of texts share),
-so pairs within them are not enumerated. Every bucket checks its members against one of them (a star,
-linear in the bucket), exactly, on full sets; verified links give components; members of a bucket that are
-in one component need no further comparison, as they could add nothing to it. Buckets that still hold
-several components get another star around another member, until what remains is small or a star finds
-nothing new; then all pairs of members of different components, which have not been compared, are.
-So no pair that shares a bucket and could join two components stays unverified, whatever its bucket's size.
+so pairs within them are not enumerated. Every bucket checks its members against its smallest one (a
+star, linear in the bucket), exactly, on full sets; verified links give components, and members of a
+bucket that are in one component need no further comparison, as it could add nothing. What remains are
+members of different components in one bucket. They are compared exactly and completely, but in blocks of
+bounded size instead of pairs of rows: the members of a bucket's largest component against the others,
+and the others among each other, each pair of blocks by one product of incidence matrices, which
+returns one link at most for two components. So no pair that shares a bucket and could join two
+components stays unverified, whatever its bucket's size.
 
 Nulls: a null text has an empty set; an empty set has no links. A row with a null key has no links, a
 null component, and is kept. Rows that share a key are one vertex; repeated rows get one result each.
@@ -130,6 +132,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return held.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Linked members of different components, one pair for two components."""
+    n = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # columns for those that two members have
+    kept = times[place] > 1
+    owner, column = owner[kept], shared[place[kept]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
+        lo, hi = np.searchsorted(column, [low, low + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[lo:hi], column[lo:hi] - low] = 1
+        both += m @ m.T
+    ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comps[:, None] < comps[None, :])
+    a, b = np.nonzero(ok)
+    if not len(a):
+        return [], []
+    _, first = np.unique(np.stack([comps[a], comps[b]]), axis=1, return_index=True)
+    return ids[a[first]].tolist(), ids[b[first]].tolist()
+
+
+#: Members and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 256, 100_000
+
+
+def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that are in different components."""
+    named = members.join(labels.select(F.col("vertex").alias("class"), "component"), "class", "left")
+    named = named.select("key", "class", "n", F.coalesce("component", "class").alias("comp"))
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    top = per.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = named.join(top, "key")
+    parts = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+    whole = parts(F.col("all_c"), F.col("all_s")) <= 1
+    major = F.col("comp") == F.col("top.comp")
+    turns = F.when(major, parts(F.col("top.c"), F.col("top.s"))).otherwise(parts(F.col("all_c") - F.col("top.c"), F.col("all_s") - F.col("top.s")))
+    side = F.when(whole, 0).when(major, 1).otherwise(2)
+    block = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64("class"), F.greatest(turns, F.lit(1))))
+    open_ = open_.select("key", "class", "comp", side.alias("side"), block.cast("long").alias("block"))
+    held = open_.join(texts.select(F.col("id").alias("class"), "text"), "class")
+    blocks = held.groupBy("key", "side", "block").agg(F.collect_list(F.struct("class", "comp", "text")).alias("items"))
+    blocks = written(blocks, "blocks")
+    a = blocks.where("side > 0")
+    b = blocks.where("side = 2").select("key", F.col("block").alias("other"), F.col("items").alias("more"))
+    crossed = a.join(b, "key").where("side = 1 or block <= other").select("items", F.when((F.col("side") == 1) | (F.col("block") != F.col("other")), F.col("more")).alias("more"))
+    todo = blocks.where("side = 0").select("items", F.lit(None).cast(blocks.schema["items"].dataType).alias("more")).unionByName(crossed)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                both = [x for x in (batch.column(k).slice(i, 1) for k in ("items", "more")) if not x.null_count]
+                rows = pa.concat_arrays([x.flatten() for x in both])
+                ids, comps, found = rows.flatten()
+                sets = [s for t in _slices(found) for s in shingle_sets(words(t, NOT_SPACE, lower=True), size)]
+                x, y = _links(ids.to_numpy(), comps.to_numpy(), sets, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return todo.mapInArrow(run, "a long, b long")
+
+
+def _slices(texts: pa.Array):
+    for part in pieces(pa.RecordBatch.from_arrays([texts], names=["t"]), "t"):
+        yield part.column("t")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, class_id (smallest key with an equal set), component_id
     (smallest key that links reach), kept (the key is its component's)."""
@@ -144,51 +215,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id")
     texts = written(texts, "texts")
     close = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-
-    links, tested, labels = None, None, None
-    total = members.count()
-    turn, found_more = 0, True
-    while total:
-        named = members.withColumn("comp", F.col("class"))
-        if labels is not None:
-            known = labels.select(F.col("vertex").alias("class"), "component")
-            named = members.join(known, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-            open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            named = written(named.join(open_, "key"), "open")
-            per = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-            left = per.agg(F.sum("pairs")).first()[0]
-            if not left:
-                break
-        last = labels is not None and (left <= 2 * total or not found_more)
-        if last:
-            other = named.select("key", F.col("class").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-            pairs = named.join(other, "key").where((F.col("class") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & close(F.col("n"), F.col("m")))
-            pairs = pairs.select(F.col("class").alias("a"), "b")
-        else:
-            order = F.struct(F.xxhash64("class", F.lit(turn)).alias("h") if turn else F.col("class").alias("h"), "class", "n", "comp")
-            centre = named.groupBy("key").agg(F.min(order).alias("c"))
-            pairs = named.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & close(F.col("n"), F.col("c.n"))).select(F.col("c.class").alias("a"), F.col("class").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(_verified(pairs, texts, size, percent), "links")
-        found_more = not new.isEmpty()
-        if found_more:
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        elif labels is None:
-            labels = spark.createDataFrame([], "vertex long, component long")
-        if last:
-            break
-        turn += 1
+    centre = members.groupBy("key").agg(F.min(F.struct("class", "n")).alias("c"))
+    pairs = members.join(centre, "key").where((F.col("class") != F.col("c.class")) & close(F.col("n"), F.col("c.n")))
+    pairs = written(pairs.select(F.col("c.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    links = written(_verified(pairs, texts, size, percent), "links")
+    labels = components(links)
+    more = written(_between(members, labels, texts, size, percent), "links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     by_class = classes.select("digest", "class")
-    if labels is not None:
-        by_class = by_class.join(labels.withColumnRenamed("vertex", "class"), "class", "left")
-    else:
-        by_class = by_class.withColumn("component", F.lit(None).cast("long"))
+    by_class = by_class.join(labels.withColumnRenamed("vertex", "class"), "class", "left")
     found = rows.select("id", "n", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
