@@ -68,10 +68,11 @@ def spread(df: DataFrame, frame: list[str], value: str) -> DataFrame:
 
 def circular_neighbour_cv(df: DataFrame, frame: list[str], x: str, y: str, entity: str) -> DataFrame:
     """Deviation over mean of the distances between neighbours in order of angle around the origin, the
-    last one's neighbour being the first; null under three entities."""
+    last one's neighbour being the first; null under three entities. Angles count to 1e-12, so that
+    entities in one direction tie (the smaller entity first) whatever the platform's arctangent."""
     w = Window.partitionBy(*frame).orderBy("_angle", entity)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = df.withColumn("_angle", F.atan2(y, x))
+    d = df.withColumn("_angle", F.round(F.atan2(y, x), 12))
     d = d.withColumn("_nx", F.coalesce(F.lead(x).over(w), F.first(x).over(whole))).withColumn("_ny", F.coalesce(F.lead(y).over(w), F.first(y).over(whole)))
     d = d.withColumn("_d", F.hypot(F.col("_nx") - F.col(x), F.col("_ny") - F.col(y)))
     return d.groupBy(*frame).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.stddev_pop("_d") / F.nullif(F.avg("_d"), F.lit(0.0))).alias("cv"))

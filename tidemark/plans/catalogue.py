@@ -29,11 +29,17 @@ eps AS (SELECT unit, episode, min(t) AS t0, max(t) AS t1, count(*) AS n_rows FRO
 p AS (SELECT unit, event_id, t AS at FROM ev WHERE kind = 'purchase')"""
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, **digits: int):
+    """Register a query and its SQL. Sums of doubles depend on their order: columns named with a number of
+    digits are rounded on both sides."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        def rounded(spark, sf_dir):
+            return f(spark, sf_dir).withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+        QUERIES[f.__name__] = rounded if digits else f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'round({c}, {n}) AS {c}' for c, n in digits.items())}) FROM ({sql})" if digits else sql
         return f
 
     return add
@@ -118,7 +124,7 @@ def nearest_event(spark, sf_dir):
 
 @query(f"""WITH {EV}, f AS (SELECT *, min(t) OVER (PARTITION BY unit ORDER BY t RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW) AS t0 FROM ev)
 SELECT event_id, (SELECT count(*) FROM ev p WHERE p.unit = f.unit AND p.kind = 'purchase' AND p.t > f.t0 AND p.t <= f.t) AS n,
-(SELECT count(*) FROM ev p WHERE p.unit = f.unit AND p.kind = 'purchase' AND p.t > f.t0 AND p.t <= f.t) / (greatest(t - t0, 1) / {HOUR}.0) AS per_hour FROM f""")
+(SELECT count(*) FROM ev p WHERE p.unit = f.unit AND p.kind = 'purchase' AND p.t > f.t0 AND p.t <= f.t) / (greatest(t - t0, 1) / {HOUR}.0) AS per_hour FROM f""", per_hour=9)
 def range_count_rate(spark, sf_dir):
     ev = observations(spark, sf_dir)
     w = windows.trailing(U, 2 * DAY)
@@ -131,7 +137,7 @@ def range_count_rate(spark, sf_dir):
 @query(f"""WITH {EV}, a AS (SELECT unit, t FROM ev WHERE kind = 'purchase'), b AS (SELECT unit, t FROM ev WHERE kind = 'signup'),
 d AS (SELECT b.unit, b.t, min(abs(a.t - b.t)) AS shift FROM b LEFT JOIN a ON a.unit = b.unit GROUP BY b.unit, b.t),
 ga AS (SELECT unit, count(*) AS n FROM a GROUP BY unit), gb AS (SELECT unit, count(*) AS n, median(shift) AS m, quantile_cont(shift, 0.9) AS q, avg(CAST(coalesce(shift <= {DAY}, false) AS INT)) AS f FROM d GROUP BY unit)
-SELECT coalesce(ga.unit, gb.unit) AS unit, coalesce(ga.n, 0) AS n_own, coalesce(gb.n, 0) AS n_given, m AS median_shift, q AS p90_shift, f AS matched FROM ga FULL JOIN gb ON ga.unit = gb.unit""")
+SELECT coalesce(ga.unit, gb.unit) AS unit, coalesce(ga.n, 0) AS n_own, coalesce(gb.n, 0) AS n_given, m AS median_shift, q AS p90_shift, f AS matched FROM ga FULL JOIN gb ON ga.unit = gb.unit""", p90_shift=2)
 def source_compare(spark, sf_dir):
     ev = observations(spark, sf_dir)
     return events.compare_sources(of_kind(ev, "purchase"), of_kind(ev, "signup"), U, DAY)
@@ -157,14 +163,14 @@ def one_to_one_join(spark, sf_dir):
 # trailing windows
 
 
-@query(f"""WITH {EV} SELECT event_id, round(avg(score) OVER w, 6) AS mean, round(var_pop(score) OVER w, 4) AS var FROM ev WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""")
+@query(f"""WITH {EV} SELECT event_id, CAST(sum(CAST(round(score * 100) AS BIGINT)) OVER w AS BIGINT) AS sum_cents, count(*) OVER w AS n, round(sqrt(var_pop(score) OVER w), 6) AS deviation FROM ev WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""")
 def trailing_mean_var(spark, sf_dir):
     w = windows.trailing(U, DAY)
-    return observations(spark, sf_dir).select("event_id", F.round(F.avg("score").over(w), 6).alias("mean"), F.round(F.var_pop("score").over(w), 4).alias("var"))
+    return observations(spark, sf_dir).select("event_id", F.sum(F.round(F.col("score") * 100).cast("long")).over(w).alias("sum_cents"), F.count("*").over(w).alias("n"), F.round(F.sqrt(F.var_pop("score").over(w)), 6).alias("deviation"))
 
 
 @query(f"""WITH {EV} SELECT event_id, avg(CAST(kind = 'error' AS INT)) OVER w AS frac, ln((sum(CAST(kind = 'error' AS INT)) OVER w + 1) / (sum(CAST(kind <> 'error' AS INT)) OVER w + 1)) AS log_odds
-FROM ev WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW)""")
+FROM ev WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW)""", log_odds=9)
 def trailing_frac_logodds(spark, sf_dir):
     w = windows.trailing(U, 2 * DAY)
     hit = F.col("kind") == "error"
@@ -178,14 +184,14 @@ def trailing_endpoint_diff(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, n AS (SELECT *, CASE WHEN k % 7 <> 0 THEN k END AS k7 FROM ev)
-SELECT event_id, avg(CASE WHEN k7 IS NOT NULL THEN score END) OVER w AS mean_score, avg(CAST(k7 AS DOUBLE)) OVER w AS mean_k FROM n WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""")
+SELECT event_id, avg(CASE WHEN k7 IS NOT NULL THEN score END) OVER w AS mean_score, avg(CAST(k7 AS DOUBLE)) OVER w AS mean_k FROM n WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""", mean_score=9, mean_k=9)
 def trailing_joint_means(spark, sf_dir):
     ev = observations(spark, sf_dir).withColumn("k7", F.when(F.col("k") % 7 != 0, F.col("k").cast("double")))
     a, b = windows.joint_means("score", "k7", windows.trailing(U, DAY))
     return ev.select("event_id", a.alias("mean_score"), b.alias("mean_k"))
 
 
-@query(f"WITH {EV} SELECT event_id, avg(score) OVER (PARTITION BY unit ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rolling FROM ev")
+@query(f"WITH {EV} SELECT event_id, avg(score) OVER (PARTITION BY unit ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rolling FROM ev", rolling=9)
 def rolling_rows(spark, sf_dir):
     return observations(spark, sf_dir).select("event_id", F.avg("score").over(windows.ordered(U).rowsBetween(-4, 0)).alias("rolling"))
 
@@ -286,13 +292,13 @@ def empty_episodes(spark, sf_dir):
 @query(f"""WITH {WARNED}, d AS (SELECT unit, count(*) AS n_rows, avg(CAST(armed AS INT)) AS duty FROM c GROUP BY unit),
 x AS (SELECT unit, count(*) AS n_events, avg(CAST(warned AS INT)) AS warned, median(lead) AS m, quantile_cont(lead, 0.1) AS lo, quantile_cont(lead, 0.9) AS hi FROM w GROUP BY unit)
 SELECT d.unit, d.n_rows, duty, coalesce(n_events, 0) AS n_events, x.warned, m AS lead_median, lo AS lead_p10, hi AS lead_p90,
-coalesce((SELECT count(*) FROM eps WHERE eps.unit = d.unit), 0) AS n_episodes, coalesce((SELECT count(*) FROM none WHERE none.unit = d.unit), 0) AS n_empty FROM d LEFT JOIN x ON x.unit = d.unit""")
+coalesce((SELECT count(*) FROM eps WHERE eps.unit = d.unit), 0) AS n_episodes, coalesce((SELECT count(*) FROM none WHERE none.unit = d.unit), 0) AS n_empty FROM d LEFT JOIN x ON x.unit = d.unit""", lead_p10=2, lead_p90=2)
 def alarm_metrics(spark, sf_dir):
     a, p = alarmed(spark, sf_dir)
     return alarms.alarm_metrics(a, p, DAY, U, "event_id")
 
 
-@query(f"WITH {EV}, u AS (SELECT DISTINCT unit FROM ev) SELECT u.unit, quantile_cont(e.score, 0.95) AS threshold FROM u JOIN ev e ON e.unit <> u.unit GROUP BY u.unit")
+@query(f"WITH {EV}, u AS (SELECT DISTINCT unit FROM ev) SELECT u.unit, quantile_cont(e.score, 0.95) AS threshold FROM u JOIN ev e ON e.unit <> u.unit GROUP BY u.unit", threshold=6)
 def loo_threshold(spark, sf_dir):
     return alarms.leave_one_out_quantile(observations(spark, sf_dir), "unit", "score", 0.95)
 
@@ -316,13 +322,13 @@ m AS (SELECT {by}, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(tp) AS BIGINT) AS
 ap AS (SELECT {by}, n_rows, n_positive, n_positive / n_rows AS base_rate, CASE WHEN n_positive > 0 AND n_positive < n_rows THEN s / n_positive END AS ap FROM m)"""
 
 
-@query(f"WITH {NEXT}, v AS (SELECT * FROM lab WHERE valid), {AP.format(by='unit', src='v')} SELECT unit, n_rows, n_positive, base_rate, ap, ap / base_rate AS ratio FROM ap")
+@query(f"WITH {NEXT}, v AS (SELECT * FROM lab WHERE valid), {AP.format(by='unit', src='v')} SELECT unit, n_rows, n_positive, base_rate, ap, ap / base_rate AS ratio FROM ap", ap=9, ratio=9)
 def average_precision(spark, sf_dir):
     return metrics.average_precision(labelled(spark, sf_dir).where("valid"), U)
 
 
 @query(f"""WITH {NEXT}, s AS (SELECT unit % 16 AS grp, y, avg(score) OVER (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS score, valid FROM lab),
-v AS (SELECT grp, y, round(score, 6) AS score FROM s WHERE valid), {AP.format(by='grp', src='v')} SELECT grp, n_rows, n_positive, base_rate, ap, ap / base_rate AS ratio FROM ap""")
+v AS (SELECT grp, y, round(score, 6) AS score FROM s WHERE valid), {AP.format(by='grp', src='v')} SELECT grp, n_rows, n_positive, base_rate, ap, ap / base_rate AS ratio FROM ap""", ap=9, ratio=9)
 def forecast_quality(spark, sf_dir):
     """Flagship: labels, a trailing mean as the score, and its ranking quality per group of units."""
     d = labelled(spark, sf_dir)
@@ -332,12 +338,12 @@ def forecast_quality(spark, sf_dir):
 
 @query(f"""WITH {NEXT}, v AS (SELECT * FROM lab WHERE valid), r AS (SELECT unit, y, rank() OVER (PARTITION BY unit ORDER BY score) + (count(*) OVER (PARTITION BY unit, score) - 1) / 2 AS rk FROM v),
 g AS (SELECT unit, sum(y) AS p, count(*) AS n, sum(rk * y) AS s FROM r GROUP BY unit)
-SELECT unit, CASE WHEN p > 0 AND p < n THEN (s - p * (p + 1) / 2) / (p * (n - p)) END AS auc FROM g""")
+SELECT unit, CASE WHEN p > 0 AND p < n THEN (s - p * (p + 1) / 2) / (p * (n - p)) END AS auc FROM g""", auc=9)
 def roc_auc(spark, sf_dir):
     return metrics.roc_auc(labelled(spark, sf_dir).where("valid"), U)
 
 
-@query(f"WITH {NEXT} SELECT kind, avg((least(score / 200, 1) - y) ** 2) AS brier FROM lab WHERE valid GROUP BY kind")
+@query(f"WITH {NEXT} SELECT kind, avg((least(score / 200, 1) - y) ** 2) AS brier FROM lab WHERE valid GROUP BY kind", brier=9)
 def brier(spark, sf_dir):
     d = labelled(spark, sf_dir).where("valid").withColumn("prob", F.least(F.col("score") / 200, F.lit(1.0)))
     return metrics.brier(d, ["kind"])
@@ -345,7 +351,7 @@ def brier(spark, sf_dir):
 
 @query(f"""WITH {NEXT}, v AS (SELECT kind, y, score AS p FROM lab WHERE valid), q AS (SELECT kind, list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM v GROUP BY kind),
 b AS (SELECT v.kind, y, p, greatest(1, len(list_filter(edges, lambda e: e < p))) AS bin FROM v JOIN q ON q.kind = v.kind)
-SELECT kind, CAST(bin AS INT) AS bin, count(*) AS n_rows, avg(p) AS mean_p, avg(y) AS mean_y FROM b GROUP BY kind, bin""")
+SELECT kind, CAST(bin AS INT) AS bin, count(*) AS n_rows, avg(p) AS mean_p, avg(y) AS mean_y FROM b GROUP BY kind, bin""", mean_p=9)
 def reliability_bins(spark, sf_dir):
     d = labelled(spark, sf_dir).where("valid")
     return metrics.reliability_bins(d, ["kind"], 10, "y", "score")
@@ -361,13 +367,13 @@ def pr_roc_curve(spark, sf_dir):
 
 
 @query(f"""WITH {NEXT}, v AS (SELECT * FROM lab WHERE valid), {CURVE}, f AS (SELECT kind, threshold, p, CASE WHEN tps > 0 THEN 2 * (tps / cn) * (tps / p) / (tps / cn + tps / p) ELSE 0 END AS f1 FROM r),
-b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY f1 DESC, threshold) AS rn FROM f) SELECT kind, CASE WHEN p > 0 THEN threshold ELSE 0.5 END AS threshold, CASE WHEN p > 0 THEN f1 END AS f1 FROM b WHERE rn = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY f1 DESC, threshold) AS rn FROM f) SELECT kind, CASE WHEN p > 0 THEN threshold ELSE 0.5 END AS threshold, CASE WHEN p > 0 THEN f1 END AS f1 FROM b WHERE rn = 1""", f1=9)
 def f1_threshold(spark, sf_dir):
     return metrics.f1_threshold(labelled(spark, sf_dir).where("valid"), ["kind"])
 
 
 @query(f"""WITH {NEXT}, c AS (SELECT kind, count(*) FILTER (score >= 60 AND y = 1) AS tp, count(*) FILTER (score >= 60 AND y = 0) AS fp, count(*) FILTER (score < 60 AND y = 1) AS fn, count(*) FILTER (score < 60 AND y = 0) AS tn FROM lab WHERE valid GROUP BY kind)
-SELECT *, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy, (tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0) AS mcc, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c""")
+SELECT *, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy, (tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0) AS mcc, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c""", mcc=9)
 def confusion_metrics(spark, sf_dir):
     return metrics.confusion(labelled(spark, sf_dir).where("valid").withColumn("verdict", F.col("score") >= 60), ["kind"])
 
@@ -386,7 +392,7 @@ BOOT = "w AS (SELECT unit, b AS boot, (unit * 7 + b * 13) % 3 AS w FROM (SELECT
 @query(f"""WITH {NEXT}, {BOOT}, c AS (SELECT w.boot, l.score, sum(l.y * w.w) AS tp, sum(w.w) AS n FROM lab l JOIN w ON w.unit = l.unit WHERE l.valid AND w.w > 0 GROUP BY w.boot, l.score),
 r AS (SELECT *, sum(tp) OVER x AS ct, sum(n) OVER x AS cn FROM c WINDOW x AS (PARTITION BY boot ORDER BY score DESC)),
 m AS (SELECT boot, sum(tp) AS p, sum(n) AS n, sum(tp * (ct / cn)) AS s FROM r GROUP BY boot)
-SELECT boot, CAST(n AS BIGINT) AS n_rows, CASE WHEN p > 0 AND p < n THEN s / p END AS ap FROM m""")
+SELECT boot, CAST(n AS BIGINT) AS n_rows, CASE WHEN p > 0 AND p < n THEN s / p END AS ap FROM m""", ap=9)
 def bootstrap_ap(spark, sf_dir):
     d = labelled(spark, sf_dir).where("valid")
     units = d.select("unit").distinct()
@@ -484,7 +490,7 @@ def _grid():
 @query(f"""WITH {GRID_SQL}, p AS (SELECT l_orderkey, l_linenumber, greatest(least(l_quantity / 4, 10), 0) AS h, greatest(least(l_discount * 120, 10), 0) / 2 AS r FROM lineitem),
 c AS (SELECT *, least(floor(h), 9) AS i, least(floor(r), 4) AS j FROM p)
 SELECT l_orderkey, l_linenumber, a.e * (1 - (c.h - i)) * (1 - (c.r - j)) + b.e * (c.h - i) * (1 - (c.r - j)) + d.e * (1 - (c.h - i)) * (c.r - j) + f.e * (c.h - i) * (c.r - j) AS energy FROM c
-JOIN grid a ON a.h = i AND a.r = 2 * j JOIN grid b ON b.h = i + 1 AND b.r = 2 * j JOIN grid d ON d.h = i AND d.r = 2 * j + 2 JOIN grid f ON f.h = i + 1 AND f.r = 2 * j + 2""")
+JOIN grid a ON a.h = i AND a.r = 2 * j JOIN grid b ON b.h = i + 1 AND b.r = 2 * j JOIN grid d ON d.h = i AND d.r = 2 * j + 2 JOIN grid f ON f.h = i + 1 AND f.r = 2 * j + 2""", energy=9)
 def bilinear_lookup(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     return t.select("l_orderkey", "l_linenumber", lookup.bilinear(F.col("l_quantity") / 4, F.col("l_discount") * 120, _grid()).alias("energy"))
@@ -509,7 +515,7 @@ def argmin_entity(spark, sf_dir):
     return features.innermost(observations(spark, sf_dir), U, "event_id", "score", 50.0)
 
 
-@query(f"""WITH {EV}, s(site, z) AS (VALUES (0, 10.0), (1, 40.0), (2, 70.0)) SELECT unit, site, sum(exp(-((score - z) ** 2) / 200)) AS occupancy FROM ev, s GROUP BY unit, site""")
+@query(f"""WITH {EV}, s(site, z) AS (VALUES (0, 10.0), (1, 40.0), (2, 70.0)) SELECT unit, site, sum(exp(-((score - z) ** 2) / 200)) AS occupancy FROM ev, s GROUP BY unit, site""", occupancy=9)
 def soft_occupancy(spark, sf_dir):
     sites = spark.createDataFrame([(0, 10.0), (1, 40.0), (2, 70.0)], "site int, z double")
     return features.soft_occupancy(observations(spark, sf_dir), sites, U, "score", 10.0)
@@ -521,7 +527,7 @@ def adjacent_sites(spark, sf_dir):
     return features.adjacent_pairs(soft_occupancy(spark, sf_dir), U)
 
 
-@query(f"""WITH {EV} SELECT a.event_id, sum(exp(-((a.score - b.score) ** 2) / 8) * b.k) / sum(exp(-((a.score - b.score) ** 2) / 8)) AS smoothed FROM ev a JOIN ev b ON a.unit = b.unit AND abs(a.score - b.score) <= 12 GROUP BY a.event_id""")
+@query(f"""WITH {EV} SELECT a.event_id, sum(exp(-((a.score - b.score) ** 2) / 8) * b.k) / sum(exp(-((a.score - b.score) ** 2) / 8)) AS smoothed FROM ev a JOIN ev b ON a.unit = b.unit AND abs(a.score - b.score) <= 12 GROUP BY a.event_id""", smoothed=6)
 def kernel_smooth(spark, sf_dir):
     return features.kernel_smooth(observations(spark, sf_dir).select("unit", "event_id", "score", "k"), U, "score", "k", 2.0).select("event_id", "smoothed")
 
@@ -531,9 +537,9 @@ def max_gap_with_ends(spark, sf_dir):
     return features.max_gap(observations(spark, sf_dir), U, "score", 0.0, 300.0)
 
 
-@query(f"""WITH {EV}, a AS (SELECT unit, event_id, score AS x, CAST(k AS DOUBLE) - 50 AS y, atan2(CAST(k AS DOUBLE) - 50, score) AS ang FROM ev),
+@query(f"""WITH {EV}, a AS (SELECT unit, event_id, score AS x, CAST(k AS DOUBLE) - 50 AS y, round(atan2(CAST(k AS DOUBLE) - 50, score), 12) AS ang FROM ev),
 n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM a WINDOW w AS (PARTITION BY unit ORDER BY ang, event_id)),
-d AS (SELECT unit, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS d FROM n) SELECT unit, count(*) AS n, CASE WHEN count(*) >= 3 THEN stddev_pop(d) / nullif(avg(d), 0) END AS cv FROM d GROUP BY unit""")
+d AS (SELECT unit, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS d FROM n) SELECT unit, count(*) AS n, CASE WHEN count(*) >= 3 THEN stddev_pop(d) / nullif(avg(d), 0) END AS cv FROM d GROUP BY unit""", cv=9)
 def circular_neighbour_cv(spark, sf_dir):
     d = observations(spark, sf_dir).select("unit", "event_id", F.col("score").alias("x"), (F.col("k").cast("double") - 50).alias("y"))
     return features.circular_neighbour_cv(d, U, "x", "y", "event_id")
@@ -542,7 +548,7 @@ def circular_neighbour_cv(spark, sf_dir):
 @query(f"""WITH {EV}, s AS (SELECT unit, t AS z, score AS r FROM ev WHERE kind = 'view'), p AS (SELECT unit, event_id, t AS q FROM ev WHERE kind = 'error'),
 b AS (SELECT p.event_id, p.q, arg_max(lo.r, lo.z) AS r0, max(lo.z) AS z0 FROM p LEFT JOIN s lo ON lo.unit = p.unit AND lo.z <= p.q GROUP BY p.event_id, p.q),
 c AS (SELECT p.event_id, arg_min(hi.r, hi.z) AS r1, min(hi.z) AS z1 FROM p LEFT JOIN s hi ON hi.unit = p.unit AND hi.z >= p.q GROUP BY p.event_id)
-SELECT b.event_id, r0 + coalesce((q - z0) / nullif(z1 - z0, 0), 0) * (r1 - r0) AS r_at FROM b JOIN c ON c.event_id = b.event_id""")
+SELECT b.event_id, r0 + coalesce((q - z0) / nullif(z1 - z0, 0), 0) * (r1 - r0) AS r_at FROM b JOIN c ON c.event_id = b.event_id""", r_at=6)
 def lerp_at(spark, sf_dir):
     ev = observations(spark, sf_dir)
     s = ev.where("kind = 'view'").select("unit", F.col("t").cast("double").alias("z"), F.col("score").alias("r"))
@@ -550,13 +556,13 @@ def lerp_at(spark, sf_dir):
     return features.interpolate_at(s, p, U).select("event_id", "r_at")
 
 
-@query(f"WITH {EV} SELECT event_id, (score - 50) - 100 * CASE WHEN abs((score - 50) / 100 - trunc((score - 50) / 100)) = 0.5 THEN 2 * round((score - 50) / 200) ELSE round((score - 50) / 100) END AS d FROM ev")
+@query(f"WITH {EV} SELECT event_id, (score - 50) - 100 * CASE WHEN abs((score - 50) / 100 - trunc((score - 50) / 100)) = 0.5 THEN 2 * round((score - 50) / 200) ELSE round((score - 50) / 100) END AS d FROM ev", d=9)
 def minimum_image_distance(spark, sf_dir):
     return observations(spark, sf_dir).select("event_id", minimum_image(F.col("score") - 50, F.lit(100.0)).alias("d"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS x, CAST(embedding[2] AS DOUBLE) * 4 AS y, CAST(embedding[3] AS DOUBLE) * 4 AS z, label FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, a.label, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.2""")
+SELECT a.vec_id AS a, b.vec_id AS b, a.label, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.2""", distance=9)
 def embedding_pairs_within(spark, sf_dir):
     e = F.col("embedding")
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[(e[i].cast("double") * 4).alias(c) for i, c in enumerate("xyz")])
@@ -575,7 +581,7 @@ def impute_indicators(spark, sf_dir):
     return models.MissingEncoder(["a", "b"]).fit(t).transform(t)
 
 
-@query(f"""WITH {EV}, m AS (SELECT kind, CAST(unit % 3 AS INT) AS arm, unit % 5 AS f, avg(score) AS s FROM ev GROUP BY ALL) SELECT kind, f, max(s) FILTER (arm = 0) AS arm_0, max(s) FILTER (arm = 1) AS arm_1, max(s) FILTER (arm = 2) AS arm_2 FROM m GROUP BY kind, f""")
+@query(f"""WITH {EV}, m AS (SELECT kind, CAST(unit % 3 AS INT) AS arm, unit % 5 AS f, avg(score) AS s FROM ev GROUP BY ALL) SELECT kind, f, max(s) FILTER (arm = 0) AS arm_0, max(s) FILTER (arm = 1) AS arm_1, max(s) FILTER (arm = 2) AS arm_2 FROM m GROUP BY kind, f""", arm_0=9, arm_1=9, arm_2=9)
 def oof_pivot(spark, sf_dir):
     d = observations(spark, sf_dir).withColumns({"arm": (F.col("unit") % 3).cast("int"), "f": F.col("unit") % 5})
     return d.groupBy("kind", "f").pivot("arm", [0, 1, 2]).agg(F.avg("score")).withColumnsRenamed({"0": "arm_0", "1": "arm_1", "2": "arm_2"})
@@ -599,7 +605,7 @@ def point_query(spark, sf_dir):
     return explain.point_query(ev, r, U).select("unit", "event_id", F.col("offset").alias("off"))
 
 
-@query(f"""WITH {EV} SELECT unit, median(score) AS median, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3, max(score) AS top, count(*) FILTER (score >= 60) AS n_ready, avg(CAST(score >= 60 AS INT)) AS ready_frac FROM ev GROUP BY unit""")
+@query(f"""WITH {EV} SELECT unit, median(score) AS median, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3, max(score) AS top, count(*) FILTER (score >= 60) AS n_ready, avg(CAST(score >= 60 AS INT)) AS ready_frac FROM ev GROUP BY unit""", q1=6, q3=6, median=6)
 def stretch_summary(spark, sf_dir):
     return explain.stretch_summary(observations(spark, sf_dir), U, "score", F.lit(60.0))
 
