@@ -50,6 +50,10 @@ def assign(tree: Node, bins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _edges_below(edges: list[float], value):
+    return F.size(F.filter(F.from_json(F.lit(str(edges)), "array<double>"), lambda x: x <= value)) if edges else F.lit(0)
+
+
 class BoostedTrees:
     def __init__(self, columns: list[str], rounds: int = 100, depth: int = 3, rate: float = 0.05, penalty: float = 1.0, least_hessian: float = 1.0, bins: int = 32, patience: int | None = None, monotone: dict[str, int] | None = None):
         self.columns, self.rounds, self.depth, self.rate = columns, rounds, depth, rate
@@ -64,8 +68,8 @@ class BoostedTrees:
         """Number of edges at or below each value; -1 for missing."""
         each = []
         for c, e in zip(self.columns, self.edges, strict=True):
-            at = F.size(F.filter(F.from_json(F.lit(str(e)), "array<double>"), lambda x, c=c: x <= F.col(c))) if e else F.lit(0)
-            each.append(F.when(F.col(c).isNull(), -1).otherwise(at).cast("int"))
+            value = F.col(c)
+            each.append(F.when(value.isNull(), -1).otherwise(_edges_below(e, value)).cast("int"))
         return F.array(*each)
 
     def fit(self, df: DataFrame, y: str = "y", watch: DataFrame | None = None) -> BoostedTrees:

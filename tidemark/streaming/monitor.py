@@ -1,8 +1,9 @@
 """The alarm as a stream: a trailing mean and a hysteresis latch per unit, which only look back.
 
 An addition of this library; in batch the same is `windows.trailing` and `windows.latch`. Rows of a unit
-must come in the order of time within the watermark's delay; state per unit is the values inside the
-window and one flag, and is dropped after a time without rows.
+must come in the order of time; state per unit is the values inside the window and one flag. With
+`idle_ms` it is dropped after so long without rows; such a query keeps triggering to look for idle units,
+so it never ends on its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ STATE = "times array<bigint>, scores array<double>, armed boolean"
 OUT = "unit bigint, t bigint, mean double, armed boolean"
 
 
-def monitor(rows: DataFrame, window: int, on: float, off: float, idle_ms: int = 86_400_000) -> DataFrame:
+def monitor(rows: DataFrame, window: int, on: float, off: float, idle_ms: int | None = None) -> DataFrame:
     """rows (unit bigint, t bigint, score double) with the mean of the scores in [t - window, t] and whether the
     alarm is on. A null mean keeps the alarm's state."""
 
@@ -42,10 +43,11 @@ def monitor(rows: DataFrame, window: int, on: float, off: float, idle_ms: int =
                 armed = True if mean >= on else False if mean < off else armed
             out.append((key[0], t, mean, armed))
         state.update((times, scores, armed))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["unit", "t", "mean", "armed"])
 
-    return rows.groupBy("unit").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("unit").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(rows: DataFrame, ts: str, delay: str, length: str, by: list[str]) -> DataFrame:
