@@ -266,3 +266,32 @@ def test_features(spark):
     assert (flip.a, flip.b) == (-1.0, 2.0)
     s = features.constriction(spark.createDataFrame([("f", 0.0, None), ("f", 1.0, 3.0), ("f", 2.0, 2.0), ("f", 3.0, 2.0)], "frame string, z double, r double"), ["frame"]).first()
     assert (s.r_constriction, s.z_constriction, s.n_search) == (2.0, 2.0, 3)
+
+
+def test_frame_chemistry(spark):
+    from tidemark.operators import tables
+
+    res = spark.createDataFrame([("f", "A", 1.0), ("f", "B", 2.0), ("f", "X", 2.0), ("f", "A", 9.0)], "frame string, resname string, z double")
+    scale = spark.createDataFrame([("A", 1.0), ("B", 3.0)], "resname string, h double")
+    r = features.lining(res, scale, ["frame"], 0.0, 5.0).first()
+    assert (r.lining_mean, r.lining_n) == (2.0, 2)
+    s = spark.createDataFrame([("f", float(z), 2.0) for z in range(4)], "frame string, z double, r double")
+    d = features.column_density(s, spark.createDataFrame([("f", 8)], "frame string, n int"), ["frame"]).first().density
+    assert abs(d - 8 / (4 * 3.141592653589793 * 4)) < 1e-12
+    water = [("f", 1, "O", 0.0, 0.0, 0.0), ("f", 1, "H", 1.0, 0.0, 1.0), ("f", 1, "H", -1.0, 0.0, 1.0)]
+    schema = "frame string, resid int, element string, x double, y double, z double"
+    assert features.pair_solvent(spark.createDataFrame(water, schema), ["frame"]).first().cosine == 1.0
+    with pytest.raises(Exception, match="two H"):
+        features.pair_solvent(spark.createDataFrame(water[:2], schema), ["frame"]).collect()
+    two = spark.createDataFrame([("f", 1, 1.0), ("f", 1, 2.0), ("f", 2, 9.0), ("f", 2, 10.0)], "frame string, g int, z double")
+    got = features.image_aligned(two, ["frame"], "g", ["z"], {"z": F.lit(10.0)}).where("g = 2").orderBy("z").collect()
+    assert [x.z for x in got] == [-1.0, 0.0]
+    m = features.mouth_counts(spark.createDataFrame([("f", 11.0), ("f", -12.0), ("f", 0.0)], "frame string, z double"), ["frame"], "z", -10.0, 10.0, 5.0, F.lit(1)).first()
+    assert (m.n_upper, m.n_lower, m.n_entry) == (1, 1, 1)
+    t = spark.createDataFrame([("s", "c1"), ("s", "c2"), ("w", "c9")], "system string, condition string")
+    p = spark.createDataFrame([("s", "c1"), ("w", "*")], "system string, condition string")
+    assert {(x.system, x.condition) for x in tables.in_pool(t, p).collect()} == {("s", "c1"), ("w", "c9")}
+    with pytest.raises(Exception, match="no d for"):
+        tables.lookup_all(t, spark.createDataFrame([("s", 1)], "system string, d int"), ["system"], "d").collect()
+    a = spark.createDataFrame([([1.0, None, 2.0],), ([1.0, 2.0, float("nan")],)], "v array<double>")
+    assert tables.complete_arrays(a, "v") == ([0], 2)

@@ -109,3 +109,66 @@ def kernel_smooth(df: DataFrame, frame: list[str], x: str, value: str, sigma: fl
 def sign_flip(df: DataFrame, direction: Column, columns: list[str]) -> DataFrame:
     """Negate the columns where the direction is negative."""
     return df.withColumns({c: F.when(direction < 0, -F.col(c)).otherwise(F.col(c)) for c in columns})
+
+
+def lining(residues: DataFrame, scale: DataFrame, frame: list[str], low: float, high: float, z: str = "z") -> DataFrame:
+    """Mean scale value and number of the residues in [low, high] that the scale knows. The scale is one row
+    per residue name; names it does not have are dropped."""
+    s = scale.select("resname", F.col(scale.columns[1]).alias("_v"))
+    d = residues.where(F.col(z).between(low, high)).join(s, "resname")
+    return d.groupBy(*frame).agg(F.avg("_v").alias("lining_mean"), F.count("*").alias("lining_n"))
+
+
+def column_density(slices: DataFrame, counts: DataFrame, frame: list[str], z: str = "z", r: str = "r", n: str = "n") -> DataFrame:
+    """Entities per volume of the measured slices, each a disk as thick as the median spacing of the frame."""
+    w = Window.partitionBy(*frame).orderBy(z)
+    d = slices.withColumn("_dz", F.col(z) - F.lag(z).over(w))
+    v = d.groupBy(*frame).agg(F.median("_dz").alias("_dz"), F.sum(F.pi() * F.pow(F.col(r), 2)).alias("_a"))
+    return counts.join(v, frame, "left").withColumn("density", F.col(n) / F.nullif(F.col("_a") * F.col("_dz"), F.lit(0.0))).drop("_a", "_dz")
+
+
+def desolvation(df: DataFrame, frame: list[str], near: Column, bulk: Column, chosen: Column) -> DataFrame:
+    """1 - neighbours of the chosen entity / median neighbours of the frame's entities in bulk."""
+    g = df.groupBy(*frame).agg(F.max(F.when(chosen, near)).alias("_c"), F.median(F.when(bulk, near)).alias("_b"))
+    return g.select(*frame, (1 - F.col("_c") / F.nullif(F.col("_b"), F.lit(0.0))).alias("desolvation"))
+
+
+def axial_asymmetry(df: DataFrame, frame: list[str], charge: str, z: str, centre: Column | float) -> DataFrame:
+    """Charge above the centre less charge below it."""
+    return df.groupBy(*frame).agg(F.sum(F.col(charge) * F.signum(F.col(z) - centre)).alias("asymmetry"))
+
+
+def mouth_counts(df: DataFrame, frame: list[str], z: str, low: float, high: float, depth: float, direction: Column | None = None) -> DataFrame:
+    """Entities up to `depth` beyond either end; the entry side follows the direction, and counts 0 without one."""
+    up, down = F.col(z).between(high, high + depth), F.col(z).between(low - depth, low)
+    way = direction if direction is not None else F.lit(None).cast("int")
+    d = df.withColumn("_w", way)
+    entry = F.when(F.col("_w") > 0, down).when(F.col("_w") < 0, up).otherwise(F.lit(False))
+    return d.groupBy(*frame).agg(F.count_if(up).alias("n_upper"), F.count_if(down).alias("n_lower"), F.count_if(entry).alias("n_entry"))
+
+
+def centres(df: DataFrame, frame: list[str], by: list[str], columns: list[str]) -> DataFrame:
+    """Unweighted centre of each residue or fragment."""
+    return df.groupBy(*frame, *by).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def image_aligned(df: DataFrame, frame: list[str], fragment: str, columns: list[str], box: dict[str, Column]) -> DataFrame:
+    """Fragments moved by whole box lengths next to the frame's first fragment, each as one piece."""
+    c = df.groupBy(*frame, fragment).agg(*[F.avg(x).alias(f"_c_{x}") for x in columns])
+    first = Window.partitionBy(*frame).orderBy(fragment).rowsBetween(Window.unboundedPreceding, 0)
+    for x in columns:
+        c = c.withColumn(f"_d_{x}", F.col(f"_c_{x}") - F.first(f"_c_{x}").over(first))
+    d = df.join(c.select(*frame, fragment, *[f"_d_{x}" for x in columns]), [*frame, fragment])
+    moved = {x: F.col(x) - F.when(box[x] > 0, box[x] * F.rint(F.col(f"_d_{x}") / box[x])).otherwise(0.0) for x in columns}
+    return d.withColumns(moved).drop(*[f"_d_{x}" for x in columns])
+
+
+def pair_solvent(atoms: DataFrame, frame: list[str]) -> DataFrame:
+    """Direction cosines of solvent molecules (resid, element, z, x, y): one oxygen and two hydrogens each,
+    anything else is refused."""
+    o, h = F.col("element") == "O", F.col("element") == "H"
+    g = atoms.groupBy(*frame, "resid").agg(F.count_if(o).alias("_o"), F.count_if(h).alias("_h"), *[F.avg(F.when(o, F.col(c))).alias(f"o{c}") for c in "xyz"], *[F.avg(F.when(h, F.col(c))).alias(f"h{c}") for c in "xyz"])
+    d = [F.col(f"h{c}") - F.col(f"o{c}") for c in "xyz"]
+    length = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
+    broken = F.raise_error(F.concat(F.lit("not one O and two H in residue "), F.col("resid").cast("string"))).cast("double")
+    return g.select(*frame, "resid", *[F.col(f"o{c}").alias(c) for c in "xyz"], F.when((F.col("_o") == 1) & (F.col("_h") == 2), d[2] / F.nullif(length, F.lit(0.0))).otherwise(broken).alias("cosine"))

@@ -99,3 +99,25 @@ def resolve_ladder(atoms: DataFrame, by_pair: DataFrame, by_name: DataFrame, by_
     rung = F.when(F.col("_1").isNotNull(), 1).when(F.col("_2").isNotNull(), 2).when(F.col("_3").isNotNull(), 3)
     broken = F.raise_error(F.concat(F.lit("no radius for "), F.coalesce("resname", F.lit("?")), F.lit(" "), F.coalesce("name", F.lit("?")))).cast("double")
     return a.withColumns({"rung": rung, "radius": F.coalesce("_1", "_2", "_3", broken)}).drop("_1", "_2", "_3")
+
+
+def lookup_all(df: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with a configured value for its key; a key without one is refused."""
+    t = table.select(*keys, F.col(value).alias("_v"))
+    broken = F.raise_error(F.concat(F.lit(f"no {value} for "), F.to_json(F.struct(*keys)))).cast(table.schema[value].dataType)
+    return df.join(t, keys, "left").withColumn(value, F.coalesce("_v", broken)).drop("_v")
+
+
+def in_pool(df: DataFrame, pool_: DataFrame, system: str = "system", condition: str = "condition") -> DataFrame:
+    """Rows whose (system, condition) is listed, or whose system is listed with '*'."""
+    p = pool_.groupBy(system).agg(F.collect_set(condition).alias("_c"))
+    return df.join(p, system).where(F.array_contains("_c", "*") | F.array_contains("_c", F.col(condition))).drop("_c")
+
+
+def complete_arrays(df: DataFrame, array: str) -> tuple[list[int], int]:
+    """Places of an array column that are known and finite in every row, and how many are not."""
+    e = df.select(F.posexplode_outer(array).alias("i", "v")).groupBy("i").agg(F.count("*").alias("n"), F.count(F.when(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")) & (F.abs("v") < float("inf")), 1)).alias("ok"))
+    total = df.count()
+    rows = [r for r in e.collect() if r.i is not None]
+    good = sorted(r.i for r in rows if r.ok == total)
+    return good, len(rows) - len(good)

@@ -632,3 +632,112 @@ def group_report(spark, sf_dir):
 def first_per_key(spark, sf_dir):
     w = Window.partitionBy("unit", "kind").orderBy("t", "event_id")
     return observations(spark, sf_dir).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("unit", "kind", "event_id")
+
+
+# further reports
+
+
+@query(f"""WITH {NEXT}, s AS (SELECT unit, t AS t_entry, (SELECT min(p.t) FROM ev p WHERE p.unit = s.unit AND p.kind = 'purchase' AND p.t > s.t) AS t_exit FROM ev s WHERE kind = 'signup'),
+v AS (SELECT l.y, l.score, EXISTS (SELECT 1 FROM s WHERE s.unit = l.unit AND s.t_entry <= l.t AND l.t <= s.t_exit) AS state FROM lab l WHERE l.valid), {AP.format(by='state', src='v')} SELECT state, n_rows, n_positive, base_rate, ap, ap / base_rate AS ratio FROM ap""", ap=9, ratio=9)
+def ap_by_state(spark, sf_dir):
+    d = labelled(spark, sf_dir).where("valid")
+    state = in_interval(spark, sf_dir).select("event_id", F.col("in_interval").alias("state"))
+    return metrics.average_precision(d.join(state, "event_id"), ["state"])
+
+
+@query(f"WITH {NEXT}, v AS (SELECT * FROM lab WHERE valid), {AP.format(by='unit', src='v')} SELECT count(*) AS n_units, count(ap) AS n_defined, median(ap / base_rate) AS median_ratio FROM ap", median_ratio=9)
+def unit_ap_median(spark, sf_dir):
+    per = metrics.average_precision(labelled(spark, sf_dir).where("valid"), U)
+    return per.agg(F.count("*").alias("n_units"), F.count("ap").alias("n_defined"), F.median("ratio").alias("median_ratio"))
+
+
+@query(f"""WITH {EV}, c AS (SELECT event_id, score - 50 AS a, k - 50.0 AS b, score * 0.1 - 4 AS d FROM ev), x AS (SELECT event_id, unnest(['one', 'two', 'three']) AS axis, unnest([a, b, d]) AS value, abs(a) + abs(b) + abs(d) AS w FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY -abs(value), axis) - 1 AS rank FROM x) SELECT event_id, CAST(rank AS INT) AS rank, axis, value, abs(value) / nullif(w, 0) AS share FROM r WHERE rank < 2""", share=9)
+def top_axes(spark, sf_dir):
+    c = observations(spark, sf_dir).select("event_id", (F.col("score") - 50).alias("a"), (F.col("k") - 50.0).alias("b"), (F.col("score") * 0.1 - 4).alias("d"))
+    return explain.top_axes(c, {"one": ["a"], "two": ["b"], "three": ["d"]}, 2, ["event_id"])
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS x, CAST(embedding[2] AS DOUBLE) * 4 AS y, label FROM embeddings)
+SELECT a.label, a.vec_id, count(b.vec_id) AS n_near FROM v a LEFT JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1 GROUP BY a.label, a.vec_id""")
+def coordination_counts(spark, sf_dir):
+    e = F.col("embedding")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[(e[i].cast("double") * 4).alias(c) for i, c in enumerate("xy")])
+    return spatial.coordination(v, v, ["label"], ["x", "y"], 0.1, "vec_id")
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS x, CAST(embedding[2] AS DOUBLE) * 4 AS y, label, vec_id % 3 AS kind, CAST(vec_id % 5 AS DOUBLE) - 2 AS q FROM embeddings)
+SELECT a.label, a.vec_id, b.kind, sum(b.q / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-6)) AS potential FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1 GROUP BY a.label, a.vec_id, b.kind""", potential=6)
+def potential_by_kind(spark, sf_dir):
+    e = F.col("embedding")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[(e[i].cast("double") * 4).alias(c) for i, c in enumerate("xy")], (F.col("vec_id") % 3).alias("kind"), ((F.col("vec_id") % 5).cast("double") - 2).alias("q"))
+    return spatial.charge_over_distance(v, v, ["label"], ["x", "y"], 0.1, "vec_id", "q", "kind")
+
+
+@query(f"""WITH {LADDER}, o AS (SELECT unit, t_entry AS at FROM found WHERE entrance_observed)
+SELECT event_id, CAST(EXISTS (SELECT 1 FROM o WHERE o.unit = e.unit AND o.at > e.t AND o.at <= e.t + {DAY}) AS INT) AS y FROM ev e""")
+def label_entry_anchor(spark, sf_dir):
+    found = events.ladder_events(ladder(spark, sf_dir), U, wrap="wrap").where("entrance_observed")
+    return labels.forward_labels(observations(spark, sf_dir), found.select("unit", F.col("t_entry").alias("at")), [DAY], U).select("event_id", "y")
+
+
+@query(f"""WITH {NEXT}, f AS (SELECT kind, y, CAST(score >= 40 AS DOUBLE) AS f FROM lab WHERE valid), r AS (SELECT kind, avg(f) FILTER (y = 1) AS a, avg(f) FILTER (y = 0) AS b, avg(f) AS c FROM f GROUP BY kind)
+SELECT kind, a AS rate_positive, b AS rate_negative, c AS rate, (b / nullif(1 - b, 0)) / nullif(a / nullif(1 - a, 0), 0) AS odds_ratio, c > 0.95 AS near_universal FROM r""", odds_ratio=9)
+def axis_specificity(spark, sf_dir):
+    d = labelled(spark, sf_dir).where("valid").withColumn("fired", F.col("score") >= 40)
+    return explain.axis_specificity(d, "fired", "y", ["kind"])
+
+
+@query(f"""WITH {EV} SELECT 'a' AS "column", 'one' AS block, avg(abs(score - 50)) AS importance FROM ev UNION ALL SELECT 'b', 'two', avg(abs(k - 50.0)) FROM ev""", importance=6)
+def global_importance(spark, sf_dir):
+    c = observations(spark, sf_dir).select((F.col("score") - 50).alias("a"), (F.col("k") - 50.0).alias("b"))
+    return explain.global_importance(c, ["a", "b"], {"a": "one", "b": "two"})
+
+
+@query(f"""WITH {EV}, s AS (SELECT unit, score AS z, CASE WHEN k >= 20 THEN CAST(k + 0.5 AS DOUBLE) END AS r FROM ev), m AS (SELECT unit, min(r) AS r0, count(r) AS n, avg(CAST(r IS NOT NULL AS INT)) AS f FROM s GROUP BY unit)
+SELECT m.unit, r0 AS r_constriction, (SELECT min(z) FROM s WHERE s.unit = m.unit AND s.r = m.r0) AS z_constriction, n AS n_search, f AS search_frac FROM m""")
+def constriction(spark, sf_dir):
+    s = observations(spark, sf_dir).select("unit", F.col("score").alias("z"), F.when(F.col("k") >= 20, F.col("k") + 0.5).alias("r"))
+    return features.constriction(s, U)
+
+
+# models: no SQL; tests hold them against independent computations
+
+
+@query()
+def ridge_scores(spark, sf_dir):
+    """Probability of quality from length and source, calibrated on its own pooled scores."""
+    from tidemark.operators import models
+
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    d = d.select("doc_id", F.col("quality").alias("y"), F.log1p("n_chars").alias("length"), *[(F.col("lang") == x).cast("double").alias(x) for x in ("en", "fr")])
+    d = models.Standardiser(["length", "en", "fr"]).fit(d).transform(d)
+    m = models.RidgeLogistic(["length", "en", "fr"]).fit(d)
+    return m.contributions(m.predict(d)).select("doc_id", "y", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def least_squares_scores(spark, sf_dir):
+    from tidemark.operators import models
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
+    return models.PartialLeastSquares(3).fit(e).predict(e).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def boosted_scores(spark, sf_dir):
+    from tidemark.operators.boosting import BoostedTrees
+
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("tax"))
+    m = BoostedTrees(["l_quantity", "tax"], rounds=3, depth=2, rate=0.3).fit(t)
+    return m.predict(t).select("l_orderkey", "l_linenumber", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def superposed_points(spark, sf_dir):
+    """The first twelve numbers of each vector as four points, turned onto those of the smallest vec_id."""
+    from tidemark.operators import kernels
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("xyz"))
+    first = e.agg(F.min_by("xyz", "vec_id")).first()[0]
+    return kernels.superpose(e, first, ["vec_id"]) if first else e
