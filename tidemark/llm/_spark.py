@@ -11,12 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it was not shipped with --py-files."""
+    """Let Python workers import this package when it was not shipped with --py-files, and keep the Arrow
+    batches that they get small where the session leaves their size at Spark's default."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:

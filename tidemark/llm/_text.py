@@ -158,7 +158,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text at a time; a longer text comes alone."""
     _, off = raw(batch.column(column))
     at, n = 0, batch.num_rows
