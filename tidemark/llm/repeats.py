@@ -175,7 +175,9 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column("id").take(rows), part.column("h").take(rows), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["symbol", "id", "h", "at", "n"])
 
     found = written(keyed.where("id is not null").mapInArrow(parse, "symbol long, id long, h int, at int, n int"), "symbols")
-    shared = found.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol")
+    # Written, so that both sides of the join come straight from their exchanges and Spark can split a
+    # symbol that very many texts share.
+    shared = written(found.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "shared")
     groups = found.join(shared, "symbol").groupBy("id", "h").agg(F.collect_set(F.struct("symbol", "at", "n")).alias("groups"))
     groups = written(groups, "groups")
 
@@ -205,7 +207,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     place = F.struct("id", "at")
     kinds = written(seen.groupBy("kind").agg(F.min(place).alias("first"), F.first("symbol").alias("symbol")), "firsts")
     later = seen.select("kind", "id", "h", "at", "n").join(kinds.select("kind", "first"), "kind").where(place > F.col("first")).select("id", "h", "at", "n")
-    several = kinds.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol")
+    several = written(kinds.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "several")
     heads = kinds.join(several, "symbol").select("kind", "first")
     heads = seen.select("kind", "id", "h", "at", "windows").join(heads, "kind").where(place == F.col("first"))
     heads = heads.select("id", "h", "at", F.posexplode("windows").alias("more", "window")).select("window", "id", "h", (F.col("at") + F.col("more")).alias("at"))
