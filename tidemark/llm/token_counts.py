@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import exists, folder, prepare
+from tidemark.llm._spark import exists, folder, prepare, written
 from tidemark.llm._text import pieces
 from tidemark.llm.byte_bpe import encode_text, encoding, safe_pieces
 
@@ -98,7 +98,9 @@ def count_tokens(docs: DataFrame, cache: str, path: str, ranks: str | None = Non
 
     counted = misses.mapInArrow(run, "content binary, n_tokens long")
     counted.select(F.lit(tokenizer).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    counts = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join's sides come straight from their exchanges and Spark can split the rows of a
+    # text that very many documents hold.
+    counts = written(stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.drop("_text").join(counts, "content", "left").select(key, "n_bytes", "content", "n_tokens")
 
 
