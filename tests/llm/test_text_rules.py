@@ -87,6 +87,28 @@ def test_redaction(spark):
     assert got[4].text == "pwd: [SECRET]" and got[9].text is None and got[5].text == SECRETS[5]
 
 
+WHOLE = {
+    "password=Xk29vLq8#pT$7zz!Qw end": "password=[SECRET] end",
+    'password="Xk29vLq8, pT;7<zz" x': 'password="[SECRET]" x',
+    "password=Xk29vLq8,pT7zz;host=foo": "password=[SECRET];host=foo",
+    "password=aaaaaaaa#1 x": "password=[SECRET] x",
+    "clientSecret: q!8Zx#Lm2@Vr9": "clientSecret: [SECRET]",
+    "DBPASSWORD: p#x9!Lq2$Zv7": "DBPASSWORD: [SECRET]",
+    "mypwd=Xk9$vQ2!mZ": "mypwd=[SECRET]",
+    "pwd: qzxkvjwpthmr": "pwd: [SECRET]",
+    "secret: token: Xk9$vQ2!mZ": "secret: token: [SECRET]",
+    "pwd=x!" + "0a" * 20 + "#q": "pwd=[SECRET]",
+}
+
+
+def test_values_are_redacted_in_full(spark):
+    df = spark.createDataFrame(enumerate(WHOLE), "doc_id long, text string")
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == list(WHOLE.values())
+    assert not any(secrets.scan(t) for t in WHOLE.values())
+    spans = secrets.scan("password=Xk29vLq8#pT$7zz!Qw")
+    assert [(s, k, e, v) for s, k, e, v, _ in spans] == [(0, 0, 17, 9), (9, 3, 27, 9)] and spans[1][4] > secrets.LEAST
+
+
 @pytest.fixture(scope="module")
 def toxic_table(spark):
     rng = random.Random(3)

@@ -1,11 +1,12 @@
 """Operator 5: secret scans by patterns and by the guess cost of credential values.
 
 Three kinds of spans come from patterns: assignments of long values to credential names, access key
-ids, and long hexadecimal runs. The method adds a fourth: any value in a credential context (more names
-than the pattern knows, any characters) is cut into words, dates, repeats, keyboard walks and
-brute-force spans so that the number of guesses is least, by dynamic programming over the value's
-characters; a value that takes 10 ** `LEAST` guesses or more, mixes kinds of characters, and touches no
-span from a pattern is a span of kind `guess`.
+ids, and long hexadecimal runs. The method adds a fourth: every value in a credential context (more names
+than the pattern knows, also glued to a prefix, any characters; in quotes up to the closing quote) is
+cut as a whole into words, dates, repeats, keyboard walks and brute-force spans so that the number of
+guesses is least, by dynamic programming over the value's characters; a value that takes 10 ** `LEAST`
+guesses or more is a span of kind `guess`, unless spans from patterns cover all of it. Redaction takes
+the union of the spans, and the whole of any value that a pattern's span touches.
 
 Places count code points, ends are exclusive. The whole of every text is scanned, row by row, without a
 shuffle. A null or empty text has no spans; repeated rows are scanned each; null keys pass through; an
@@ -29,7 +30,13 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run's first match takes all of it
-CONTEXT = re.compile(r"""(?<![a-z])(password|passwd|passphrase|passcode|pass|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth|bearer)["']?[ \t]*[:=][ \t]*["'`]?([^\s"'`,;<>]{6,})""", re.ASCII | re.IGNORECASE)
+#: Quoted values end at the same quote of the line; others at a blank, a closing quote, a tag, or a comma or semicolon before a blank or the next name.
+CONTEXT = re.compile(
+    r"""(?:password|passwd|passphrase|passcode|pass|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth|bearer)["']?[ \t]*[:=][ \t]*"""
+    r"""(?:"((?:\\.|[^"\\\r\n])*)"|'((?:\\.|[^'\\\r\n])*)'|`([^`\r\n]*)`|["'`]?((?:[^\s"'`,;<]|[,;](?=[^\s"'`,;])(?![\w.-]{1,64}["']?[ \t]*[:=])|["'`](?=\w)|<(?!/?[a-z!][^<>\r\n]{0,200}>))+))""",
+    re.ASCII | re.IGNORECASE,
+)
+SHORTEST = 6
 #: What a text needs for ASSIGN or CONTEXT to match at all.
 _NAMES = ("pass", "pwd", "secret", "token", "apikey", "api_key", "accesskey", "access_key", "privatekey", "private_key", "credential", "auth", "bearer")
 
@@ -40,7 +47,35 @@ WORDS = (
     "password 123456 qwerty letmein admin welcome login abc123 monkey dragon master hello freedom whatever trustno1 iloveyou sunshine princess "
     "football baseball shadow superman michael jordan secret test guest root user default changeme example sample dummy null none true false "
     "token key value your here insert enter placeholder string public private access server database mysql postgres oracle redis docker "
-    "summer winter spring autumn monday friday january december love money blue green black white red house dog cat name john anna"
+    "summer winter spring autumn monday friday january december love money blue green black white red house dog cat name john anna "
+    "the and that have for not with you this but his from they say her she will one all would there their what out about who get which when make can like "
+    "time just him know take people into year good some could them see other than then now look only come its over think also back after use two how our "
+    "work first well way even new want because any these give day most are was were been has had did does done made went gone said got being having doing "
+    "every everything everyone everybody everywhere something someone somebody somewhere anything anyone anybody anywhere nothing nobody nowhere thing things "
+    "man men woman women child children world life hand part place case week company system program question government number night point home water room "
+    "mother father sister brother family friend friends baby girl boy lady king queen prince story fact month lot right study book eye job word business "
+    "issue side kind head service area thank thanks please sorry great little big small large long short high low old young early late different important "
+    "able best better bad sure free full special easy clear recent certain open close closed real left strong possible whole true general simple common "
+    "between under again against through before during without within along around among behind below above across never always often sometimes usually "
+    "maybe perhaps quite rather really almost already still while until since though although however therefore should must might shall may need try "
+    "ask seem feel leave call keep let begin help show hear play run move live believe hold bring happen write provide sit stand lose pay meet include "
+    "continue set learn change lead understand watch follow stop create speak read allow add spend grow walk win offer remember consider appear buy wait "
+    "serve die send expect build stay fall cut reach kill remain suggest raise pass sell require report decide pull return explain hope develop carry "
+    "break receive agree support hit produce eat cover catch draw choose cause required optional missing unknown hidden removed redacted masked forgotten "
+    "expired invalid valid string number value values field option options setting settings config configuration default environment variable "
+    "account accounts email mail phone address street city country state school university student teacher doctor office market price cost power "
+    "computer internet network website online mobile windows linux apple google amazon microsoft facebook twitter github download upload update version "
+    "file files folder data code test testing debug release production development local remote client host port service session cookie browser "
+    "music movie game games player team ball sport soccer baseball hockey tennis golf fish bird horse tiger lion bear wolf eagle snake flower garden tree "
+    "mountain river ocean beach island forest sun moon star stars sky rain snow wind fire earth light dark heart soul angel devil heaven hell magic "
+    "silver gold golden diamond orange yellow purple pink brown gray grey chocolate coffee cookie banana cherry pepper butter cheese sugar honey candy "
+    "morning evening afternoon tonight today tomorrow yesterday tuesday wednesday thursday saturday sunday february march april june july august september "
+    "october november one two three four five six seven eight nine ten hundred thousand million first second third last next "
+    "james robert david william richard joseph thomas charles daniel matthew anthony mark steven andrew paul george peter mary patricia jennifer linda "
+    "elizabeth barbara susan jessica sarah karen nancy lisa maria alex chris martin victor simon oliver jack harry emma laura alice "
+    "character characters letter letters length minimum maximum strength policy reset forgot remember recovery login logout signin signup sign register "
+    "registration confirm confirmation verify verification authentication authorization authorized permission permissions request response error message "
+    "information document documents example examples section chapter page table list line text title description reason result answer problem"
 ).split()
 _RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
 _LONGEST = max(map(len, _RANK))
@@ -67,6 +102,7 @@ def guess_cost(value: str) -> float:
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
+    forms = ((low, 0.0),) if plain == low else ((low, 0.0), (plain, 0.5))
     best = [0.0] + [math.inf] * n
     run = walk = 0
     dates: dict[int, list[int]] = {}
@@ -80,7 +116,7 @@ def guess_cost(value: str) -> float:
         cost = best[i - 1] + _alphabet(c) + (_SEGMENT if i == 1 else 0)
         for length in range(3, min(_LONGEST, i) + 1):
             j = i - length
-            for form, extra in ((low, 0.0), (plain, 0.5)):
+            for form, extra in forms:
                 rank = _RANK.get(form[j:i])
                 if rank is not None:
                     case = 0.0 if value[j:i] in (low[j:i], value[j:i].upper()) else 0.3 if value[j + 1 : i] == low[j + 1 : i] else math.log10(2) * length
@@ -105,13 +141,19 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def _mixed(value: str) -> bool:
-    kinds = [any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value.strip(".-_:/"))]
-    return sum(kinds) >= 2 and not (kinds[0] and kinds[1] and sum(kinds) == 2 and value[1:] == value[1:].lower())
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or meet become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
-def scan(text: str) -> list[tuple[int, int, int, int, float | None]]:
-    """Spans (start, kind by its place in KINDS, end, where the value starts, log10 guesses) in order."""
+def _found(text: str) -> tuple[list[tuple[int, int, int, int, float | None]], list[tuple[int, int]]]:
+    """The spans of scan(), and what redaction takes out."""
     out: list[tuple[int, int, int, int, float | None]] = []
     low = text.lower()
     named = any(x in low for x in _NAMES)
@@ -120,13 +162,28 @@ def scan(text: str) -> list[tuple[int, int, int, int, float | None]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end(), m.start(), None) for m in HEX.finditer(text)]
+    gone = _union([(v, e) for _, _, e, v, _ in out])
     if named:
-        base = sorted((s, e) for s, _, e, _, _ in out)
-        for m in CONTEXT.finditer(text):
-            a, b = m.start(2), m.end(2)
-            if _mixed(m[2]) and not any(s < b and a < e for s, e in base) and (cost := guess_cost(m[2])) >= LEAST:
+        base, at, more, m = gone, 0, [], CONTEXT.search(text)
+        while m:
+            a, b = m.span(m.lastindex)
+            while at < len(base) and base[at][1] <= a:
+                at += 1
+            touched = at < len(base) and base[at][0] < b
+            covered = touched and base[at][0] <= a and b <= base[at][1]
+            cost = guess_cost(text[a:b]) if b - a >= SHORTEST and not covered else 0.0
+            if cost >= LEAST:
                 out.append((a, 3, b, a, cost))
-    return sorted(out, key=lambda x: x[:3])
+            if touched or cost >= LEAST:
+                more.append((a, b))
+            m = CONTEXT.search(text, b if touched or cost >= LEAST else a)  # a weak value may hold the next name
+        gone = _union(base + more)
+    return sorted(out, key=lambda x: x[:3]), gone
+
+
+def scan(text: str) -> list[tuple[int, int, int, int, float | None]]:
+    """Spans (start, kind by its place in KINDS, end, where the value starts, log10 guesses) in order."""
+    return _found(text)[0]
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,12 +209,11 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: s
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
 
     def clean(t: str | None) -> tuple[str | None, int]:
-        found = scan(t) if t else []
+        found, gone = _found(t) if t else ([], [])
         out, at = [], 0
-        for a, b in sorted((v, e) for _, _, e, v, _ in found):
-            if b > at:
-                out += [t[at : max(a, at)], mark] if a >= at else []
-                at = b
+        for a, b in gone:
+            out += [t[at:a], mark]
+            at = b
         return ("".join([*out, t[at:]]) if found else t), len(found)
 
     def run(batches):
