@@ -72,6 +72,25 @@ def test_decontamination_equals_brute_force(spark, blocks):
         assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), r.sha, r.n_hit > 0) for r in rows} == decontaminate(docs, items)
 
 
+def test_blocks_with_one_id_over_several_texts(spark):
+    """One id, and a null id, whose texts fall into different blocks: every block's hit words count."""
+    texts = [" ".join(f"{n}{k}" for k in range(12)) for n in ("a", "b", "c", "d", "e", "f")]
+    items = [(7, t) for t in texts] + [(None, t.replace("1", "x")) for t in texts] + [(8, texts[0]), (8, texts[3] + " more")]
+    docs = [(i, f" pad{i} ".join(texts[: i + 1])) for i in range(6)] + [(10 + i, " - ".join(t.replace("1", "x") for t in texts[i:])) for i in range(6)]
+    docs += [(20, " ".join(t + " " + t.replace("1", "x") for t in texts)), (21, texts[1] + " " + texts[1]), (22, "none")]
+    d = spark.createDataFrame(docs + docs[:3], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminate(docs, items)
+    got = {}
+    for blocks in (1 << 20, 250, 60):
+        rows = op8.contamination(d, b, size=10, block_bytes=blocks).collect()
+        assert len(rows) == len(docs) + 3
+        assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in rows} == {i: w[:3] for i, w in want.items()}
+        assert all(r.n_hit == sum(y - x for x, y in r.hit_ranges) for r in rows)
+        got[blocks] = sorted((r.doc_id, [tuple(x) for x in r.hit_ranges], list(r["items"])) for r in rows)
+    assert got[1 << 20] == got[250] == got[60]
+
+
 def test_decontamination_of_and_by_nothing(spark):
     d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a")], "item_id long, text string")

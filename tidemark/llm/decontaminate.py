@@ -161,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    merged = hits.dropDuplicates(["_row", "items"]).groupBy("_row").agg(
+    merged = hits.dropDuplicates(["_row", "items", "hit_ranges"]).groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hit_ranges"))).alias("r")
     )
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) >= x[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x)))
