@@ -157,6 +157,40 @@ def test_nearest_equals_brute_force(toxic_table):
         assert places.tolist() == best.tolist() and np.allclose(sims, s[best])
 
 
+def test_similarities_are_cosines_of_full_vectors(spark):
+    """Against brute force over all terms of all documents; a copy of an example has similarity 1 to it."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randrange(3, 30)))) for i in range(60)]
+    docs += [(100, "onlyhere thrice thrice"), (101, "onlyhere thrice thrice"), (102, docs[0][1] + " unseen unseen words"), (102, docs[0][1] + " unseen unseen words"), (103, "nothing shared")]
+    labels = [(i, int(i % 3 == 0)) for i in range(40)] + [(100, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5)
+    parts, term, c = toxicity.terms(pa.array([t for _, t in docs]))
+    every, col = np.unique(term, return_inverse=True)
+    tf = np.zeros((len(docs), len(every)))
+    tf[parts, col] = 1 + np.log(c)
+    weight = (np.log((1 + len(docs)) / (1 + (tf > 0).sum(axis=0))) + 1e-6) * toxicity.FLOOR
+    known = np.isin(every, model.vocabulary)
+    weight[known] = model.weight
+    held = np.zeros(len(every), bool)
+    held[col[np.isin(parts, [j for j, (i, _) in enumerate(docs) if i < 40 or i == 100])]] = True
+    assert (known == held).all() and (weight > 0).all()
+    v = tf * weight
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    examples = [j for j, (i, _) in enumerate(docs) if i < 40 or i == 100]
+    rows = toxicity.score(d, model).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        j = next(j for j, (i, _) in enumerate(docs) if i == r.doc_id)
+        sims = sorted((-float(v[e] @ v[j]), docs[e][0]) for e in examples if v[e] @ v[j] > 0)[: toxicity.SHOWN]
+        assert np.allclose([e.similarity for e in r.evidence], [-s for s, _ in sims], atol=1e-6)
+    copy = next(r for r in rows if r.doc_id == 101).evidence[0]
+    assert copy.id == 100 and abs(copy.similarity - 1) < 1e-9
+
+
 def test_toxicity_without_both_labels(toxic_table):
     docs, labels = toxic_table
     for some, want in ((labels.where("toxic = 0"), 0.0), (labels.limit(0), 0.0)):

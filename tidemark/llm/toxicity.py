@@ -2,14 +2,15 @@
 
 Terms are the lower-cased words of a text and the first 4, 5 and 6 characters (bytes) of longer words, so
 that inflected and compound forms meet. A bounded sample of labelled rows (`per_class` of each label, the
-first by a hash of the key) serves as examples; the vocabulary is the terms that depend on the label
-(chi-square above `chi_limit`, in `least_df` examples or more; the best `most_terms`). Everything
-counted about the corpus, the terms' document frequencies, covers all documents.
-
-Examples stand in an inverted index cut into blocks, with the greatest weight of each term in each
-block. For a text the blocks' upper bounds are summed, blocks are visited from the greatest bound on,
-and the visit ends when a bound falls below the k-th best similarity: the k nearest by TF-IDF cosine are
-exact. They vote with their squared similarity, labels weighted back to their share among all labelled
+first by a hash of the key) serves as examples, with all their terms. Document frequencies cover all
+documents and all terms, and vectors are full: a text's terms that no example holds count in its norm. A
+term's TF-IDF weight is multiplied by `FLOOR` + x / (x + `chi_limit`), x being the chi-square of term and
+label among the examples, shrunk where less than a few (`least_df`) hold the term; no term is left out.
+
+Examples stand in an inverted index of sparse postings. For a text the products of all its terms' postings
+are summed, so the k nearest by cosine are exact. Their order does not depend on the text's norm; the part
+of the norm that comes from terms of no example is summed by a join of those terms with their
+frequencies, by a hash of the text. They vote with their squared similarity, labels weighted back to their share among all labelled
 rows, with a little weight on that share; the logit of the vote is calibrated by two parameters fitted
 on the examples' own leave-one-out votes. The nearest examples are returned as evidence.
 
@@ -34,7 +35,8 @@ from tidemark.llm._text import ALNUM, LOWER, Members, mix, pieces, words
 
 _P = np.uint64(0x100000001B3)
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+#: Factor of a term that says nothing about the label.
+FLOOR = 0.05
 SHOWN = 3
 
 
@@ -72,42 +74,37 @@ def terms(texts: pa.Array, keep: Members | None = None) -> tuple[np.ndarray, np.
 
 
 class Index:
-    """Examples by term, in blocks: weights (block, term, example), and the greatest of each term and block."""
-
-    def __init__(self, keys: np.ndarray, labels: np.ndarray, vectors: np.ndarray, share: float, k: int):
-        lead = np.where(vectors.any(axis=1), vectors.argmax(axis=1), vectors.shape[1])
-        order = np.lexsort((keys, lead))  # examples of a kind share blocks, so that bounds are tight
-        order = order[lead[order] < vectors.shape[1]]  # the rest is similar to nothing
-        pad = -len(order) % BLOCK
-        v = np.concatenate([vectors[order], np.zeros((pad, vectors.shape[1]), np.float64)])
-        self.weights = np.ascontiguousarray(v.reshape(-1, BLOCK, vectors.shape[1]).transpose(0, 2, 1))
-        self.bounds = self.weights.max(axis=2)
-        self.keys = np.concatenate([keys[order], np.full(pad, np.iinfo(np.int64).max)])
-        self.labels = np.concatenate([labels[order], np.zeros(pad, labels.dtype)])
+    """Examples by term, as postings: those of term t are ptr[t]:ptr[t + 1], each an example's place and its weight."""
+
+    def __init__(self, keys: np.ndarray, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, share: float, k: int):
+        order = np.lexsort((doc, term))
+        self.doc, self.posted = doc[order].astype(np.int32), weight[order]
+        self.ptr = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.keys, self.labels = keys, labels
         n1 = labels.mean()
         self.weight = (1 - share) / (1 - n1), share / n1
         self.share, self.k, self.a, self.b = share, k, 1.0, 0.0
 
+    @property
+    def weights(self) -> np.ndarray:
+        """The whole matrix (1, term, example), to look at small indexes."""
+        out = np.zeros((1, len(self.ptr) - 1, len(self.keys)))
+        out[0, np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr)), self.doc] = self.posted
+        return out
+
     def nearest(self, at: np.ndarray, q: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and places of the k nearest examples; those that share no term are none."""
-        bound = self.bounds[:, at] @ q
-        order = np.argsort(-bound, kind="stable")
-        sims, places, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for block in order.tolist():
-            if bound[block] <= 0 or bound[block] < floor - 1e-9:
-                break
-            s = q @ self.weights[block, at]
-            some = np.flatnonzero(s > 0)
-            p = block * BLOCK + some
-            if but is not None:
-                some, p = some[self.keys[p] != but], p[self.keys[p] != but]
-            sims, places = np.concatenate([sims, s[some]]), np.concatenate([places, p])
-            if len(sims) > self.k:
-                best = np.lexsort((self.keys[places], -sims))[: self.k]
-                sims, places = sims[best], places[best]
-                floor = sims[-1]
-        best = np.lexsort((self.keys[places], -sims))[: self.k]
-        return sims[best], places[best]
+        n = self.ptr[at + 1] - self.ptr[at]
+        which = np.repeat(self.ptr[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        s = np.bincount(self.doc[which], weights=np.repeat(q, n) * self.posted[which], minlength=len(self.keys))
+        if but is not None:
+            s[self.keys == but] = 0
+        if len(s) > self.k:
+            places = np.flatnonzero((s >= np.partition(s, -self.k)[-self.k]) & (s > 0))
+        else:
+            places = np.flatnonzero(s > 0)
+        places = places[np.lexsort((self.keys[places], -s[places]))[: self.k]]
+        return s[places], places
 
     def vote(self, sims: np.ndarray, places: np.ndarray) -> float:
         y = self.labels[places]
@@ -131,18 +128,14 @@ class Index:
 
 
 class Model:
-    """What scoring needs: the vocabulary with its weights, and the index; of bounded size."""
+    """What scoring needs: the examples' terms with their weights and the index, of bounded size; and as a
+    table the document frequencies of all other terms, with the number of documents."""
 
-    def __init__(self, share: float, vocabulary=None, idf=None, index=None):
-        self.share, self.vocabulary, self.idf, self.index = share, vocabulary, idf, index
+    def __init__(self, share: float, vocabulary=None, weight=None, index=None, rest: DataFrame | None = None, n: int = 0):
+        self.share, self.vocabulary, self.weight, self.index, self.rest, self.n = share, vocabulary, weight, index, rest, n
 
-    def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(counts)) * self.idf[at]
-        norm = math.sqrt(float(v @ v))
-        return v / norm if norm else v
 
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, k: int = 25, chi_limit: float = 20.0, least_df: int = 3, most_terms: int = 1024) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, k: int = 25, chi_limit: float = 20.0, least_df: int = 3) -> Model:
     spark = prepare(docs.sparkSession)
     labelled = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
     labelled = written(labelled, "labels")
@@ -161,66 +154,80 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("_id").take(rows), part.column("y").take(rows), pa.array(t.view(np.int64)), pa.array(c)], names=["id", "y", "term", "c"])
 
     found = sample.select(F.col("_id").cast("long").alias("_id"), "y", "text").mapInArrow(split, "id long, y int, term long, c long")
-    found = written(found.groupBy("id", "term").agg(F.max("y").alias("y"), F.max("c").alias("c")), "sample-terms")
-    sizes = {r.y: r.n for r in found.select("id", "y").distinct().groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    found = written(found.groupBy("id", "term").agg(F.max("y").alias("y"), F.max("c").alias("c")), "sample-terms").toArrow()  # what the examples hold
+    ids, first, doc = np.unique(found["id"].to_numpy(), return_index=True, return_inverse=True)
+    y = found["y"].to_numpy()[first]
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     if not n0 or not n1:
         return Model(share)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * float(n0) * float(n1))
-    best = found.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where((a + b >= least_df) & (a + b < n0 + n1))
-    best = best.withColumn("chi", chi).where(F.col("chi") > chi_limit).orderBy(F.desc("chi"), "term").limit(most_terms).select("term")
-    vocabulary = np.array([r.term for r in best.collect()], np.int64).view(np.uint64)
-    if not len(vocabulary):
-        return Model(share)
-    keep = Members(vocabulary)
-    n, df = _document_frequencies(docs, text, keep)
-    model = Model(share, keep.keys, np.log((1.0 + n) / (1.0 + df)) + 1e-6)
-    at = {t: i for i, t in enumerate(keep.keys.view(np.int64).tolist())}
-    rows = found.join(F.broadcast(best), "term").orderBy("id", "term").collect()  # examples times terms at most
-    y = {r.id: r.y for r in chosen.collect()}
-    known = {r.id for r in found.select("id").distinct().collect()}
-    ids = np.array(sorted(known), np.int64)
-    place = {i: j for j, i in enumerate(ids.tolist())}
-    counts = np.zeros((len(ids), len(keep.keys)))
-    for r in rows:
-        counts[place[r.id], at[r.term]] = r.c
-    vectors = np.zeros_like(counts)
-    for j in range(len(ids)):
-        some = np.flatnonzero(counts[j])
-        vectors[j, some] = model.vector(some, counts[j, some])
-    labels_ = np.array([y[i] for i in ids.tolist()])
-    index = Index(ids, labels_, vectors, share, k)
-    votes = []
-    for j in range(len(ids)):
-        some = np.flatnonzero(vectors[j])
-        votes.append(index.vote(*index.nearest(some, vectors[j, some], but=int(ids[j]))))
-    index.calibrate(np.array(votes), labels_)
-    model.index = index
-    return model
-
-
-def _document_frequencies(docs: DataFrame, text: str, keep: Members) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each term."""
+    keep = Members(found["term"].to_numpy().view(np.uint64))
+    term = np.searchsorted(keep.keys, found["term"].to_numpy().view(np.uint64))
+    c = found["c"].to_numpy()
+    n, df, rest = _document_frequencies(docs, text, keep)
+    a, held = np.bincount(term, weights=y[doc]), np.bincount(term)
+    b = held - a
+    chi = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, held * (n0 + n1 - held) * float(n0) * float(n1))
+    chi *= held / (held + least_df)
+    weight = (np.log((1.0 + n) / (1.0 + df)) + 1e-6) * (FLOOR + chi / (chi + chi_limit))
+    order = np.lexsort((term, doc))
+    doc, term, c = doc[order], term[order], c[order]
+    v = (1 + np.log(c)) * weight[term]
+    v /= np.sqrt(np.bincount(doc, weights=v * v))[doc]
+    index = Index(ids, y, doc, term, v, len(keep.keys), share, k)
+    cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
+    votes = [index.vote(*index.nearest(term[lo:hi], v[lo:hi], but=int(i))) for i, lo, hi in zip(ids, cuts[:-1], cuts[1:], strict=True)]
+    index.calibrate(np.array(votes), y)
+    return Model(share, keep.keys, weight, index, rest, n)
+
+
+def _document_frequencies(docs: DataFrame, text: str, keep: Members) -> tuple[int, np.ndarray, DataFrame]:
+    """Number of documents, of those with each kept term, and a table of the other terms' numbers."""
 
     def run(batches):
         n, df = 0, np.zeros(len(keep.keys), np.int64)
         for batch in batches:
             n += batch.num_rows
             for part in pieces(batch, text):
-                _, t, _ = terms(part.column(text), keep)
-                df += np.bincount(t.astype(np.int64), minlength=len(df))
+                _, t, _ = terms(part.column(text))
+                at, k = keep.find(t)
+                df += np.bincount(k, minlength=len(df))
+                other, times = np.unique(np.delete(t, at), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(other), np.int32)), pa.array(other.view(np.int64)), pa.array(times)], names=["kind", "term", "n"])
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["term", "n"])
+        kind = np.append(np.full(len(some), 1), 2).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(some, 0)), pa.array(np.append(df[some], n))], names=["kind", "term", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select(text).mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    counted = written(counted, "document-frequencies")
     out, n = np.zeros(len(keep.keys)), 0
-    for r in rows:
-        if r.term < 0:
-            n = r.n
+    rows = counted.where("kind > 0").toArrow()  # at most one row for each term of the examples
+    for kind, term, number in zip(*(rows[c].to_pylist() for c in ("kind", "term", "n")), strict=True):
+        if kind == 2:
+            n = number
         else:
-            out[r.term] = r.n
-    return n, out
+            out[term] = number
+    return n, out, counted.where("kind = 0").select("term", "n")
+
+
+def _other_norms(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """By hash of a text (x), the squared weights of its terms that no example holds, summed (other)."""
+    vocabulary = model.vocabulary
+
+    def run(batches):
+        keep = Members(vocabulary)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                d, t, c = terms(part.column("text"))
+                other = np.delete(np.arange(len(t)), keep.find(t)[0])
+                d, t, c = d[other], t[other], c[other]
+                many = np.bincount(d, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("x").take(pa.array(d)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(many[d].astype(np.int32))], names=["x", "term", "c", "many"])
+
+    pairs = docs.select(F.xxhash64(text).alias("x"), F.col(text).alias("text")).mapInArrow(run, "x long, term long, c int, many int")
+    df = F.coalesce("n", F.lit(0)).cast("double")
+    w = (1 + F.log(F.col("c").cast("double"))) * (F.log((1.0 + model.n) / (1 + df)) + 1e-6) * FLOOR
+    rows = F.round(F.sum(1 / F.col("many")))  # a repeated text comes as often as it has rows
+    return pairs.join(model.rest, "term", "left").groupBy("x").agg(F.round(F.sum(w * w) / rows, 9).alias("other"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -229,28 +236,45 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     columns = columns or [key]
     prepare(docs.sparkSession)
     evidence = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "evidence", evidence)])
+    own = [docs.schema[c] for c in columns]
+    if not model.index:
+        return docs.select(*columns, F.lit(float(model.share)).alias(prefix + "score"), F.array().cast(evidence).alias(prefix + "evidence"))
+    index, vocabulary, weight = model.index, model.vocabulary, model.weight
+    made = {"_near_x": T.LongType(), "_near_norm": T.DoubleType(), "_near_products": T.ArrayType(T.DoubleType()), "_near_places": T.ArrayType(T.IntegerType())}
+    near = T.StructType([*own, *(T.StructField(n, t) for n, t in made.items())])
+    schema = T.StructType([*own, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "evidence", evidence)])
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
-    def run(batches):
-        index = model.index
-        keep = Members(model.vocabulary) if index else None
-        nobody = index.calibrated(index.vote(np.zeros(0), np.zeros(0, np.int64))) if index else model.share
+    def find(batches):
+        keep = Members(vocabulary)
         for batch in batches:
             for part in pieces(batch, text):
-                scores = np.full(part.num_rows, nobody)
-                shown: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                if index:
-                    d, t, c = terms(part.column(text), keep)
-                    cuts = np.flatnonzero(np.diff(np.concatenate([[-1], d, [-1]])))
-                    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        at = t[lo:hi].astype(np.int64)
-                        sims, places = index.nearest(at, model.vector(at, c[lo:hi]))
-                        scores[d[lo]] = index.calibrated(index.vote(sims, places))
-                        shown[d[lo]] = [{"id": int(index.keys[p]), "label": int(index.labels[p]), "similarity": float(s)} for s, p in zip(sims[:SHOWN], places[:SHOWN], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(scores), pa.array(shown, kind)], names=schema.names)
-
-    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
+                norms = np.zeros(part.num_rows)
+                products: list = [[]] * part.num_rows
+                places: list = [[]] * part.num_rows
+                d, t, c = terms(part.column(text), keep)
+                cuts = np.flatnonzero(np.diff(np.concatenate([[-1], d, [-1]])))
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    at = t[lo:hi].astype(np.int64)
+                    q = (1 + np.log(c[lo:hi])) * weight[at]
+                    norms[d[lo]] = q @ q
+                    products[d[lo]], places[d[lo]] = index.nearest(at, q)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column("_near_x"), pa.array(norms), pa.array(products, pa.list_(pa.float64())), pa.array(places, pa.list_(pa.int32()))], names=near.names)
+
+    def judge(batches):
+        for batch in batches:
+            scores, shown = [], []
+            for norm, products, places in zip(*(batch.column(n).to_pylist() for n in ("_near_norm", "_near_products", "_near_places")), strict=True):
+                at = np.array(places, np.int64)
+                sims = np.array(products, np.float64) / math.sqrt(norm or 1.0)
+                scores.append(index.calibrated(index.vote(sims, at)))
+                shown.append([{"id": int(index.keys[p]), "label": int(index.labels[p]), "similarity": float(s)} for s, p in zip(sims[:SHOWN], at[:SHOWN], strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=schema.names)
+
+    others = written(_other_norms(docs, model, text), "other-norms").withColumnRenamed("x", "_near_x")
+    found = docs.withColumn("_near_x", F.xxhash64(text)).select(*dict.fromkeys([*columns, text, "_near_x"])).mapInArrow(find, near)
+    joined = found.join(others, "_near_x", "left").withColumn("_near_norm", F.col("_near_norm") + F.coalesce("other", F.lit(0.0)))
+    return joined.select(*columns, "_near_norm", "_near_products", "_near_places").mapInArrow(judge, schema)
 
 
 def held_out(key: str = "doc_id"):
