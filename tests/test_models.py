@@ -58,6 +58,11 @@ def test_ridge_logistic_equals_newton(planted):
     assert losses[1.0] < losses[1e-4]
 
 
+def test_grid_search_refuses_to_ignore_groups(spark):
+    with pytest.raises(ValueError, match="1000 groups"):
+        models.grid_search(spark.range(1001).withColumn("y", F.col("id") % 2), ["id"], "id", [])
+
+
 def test_calibration(planted):
     d = planted.withColumn("score", 1 / (1 + F.exp(-2 * F.coalesce("a", F.lit(0.0)))))
     c = models.Calibrator().fit(d)

@@ -89,8 +89,10 @@ class RidgeLogistic:
 
 
 def grid_search(df: DataFrame, columns: list[str], group: str, cs: list[float], y: str = "y") -> dict[float, float]:
-    """Mean log-loss of each C over leave-one-group-out folds; infinite where a fold cannot be fitted."""
-    groups = [r[0] for r in df.select(group).distinct().orderBy(group).limit(1000).collect()]
+    """Mean log-loss of each C over leave-one-group-out folds; infinite where a fold cannot be fitted. More than 1000 groups are an error."""
+    groups = [r[0] for r in df.select(group).distinct().orderBy(group).limit(1001).collect()]
+    if len(groups) > 1000:
+        raise ValueError("more than 1000 groups; assign them to fewer folds and give the folds as groups")
     out = {}
     for c in cs:
         losses = []
