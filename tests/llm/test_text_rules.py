@@ -139,22 +139,26 @@ def test_toxicity_finds_the_held_out(toxic_table):
     assert all(e.label == 1 for e in got[1002].evidence) and got[1002].evidence
 
 
-def test_nearest_equals_brute_force(toxic_table):
+def test_nearest_equals_brute_force(toxic_table, monkeypatch):
     import numpy as np
 
     docs, labels = toxic_table
-    index = toxicity.fit(docs, labels, k=7).index
-    w = index.weights.transpose(0, 2, 1).reshape(-1, index.weights.shape[1])
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        at = np.sort(rng.choice(w.shape[1], min(4, w.shape[1]), replace=False))
-        q = rng.random(len(at))
-        q /= np.linalg.norm(q)
-        sims, places = index.nearest(at, q)
-        s = w[:, at] @ q
-        best = np.lexsort((index.keys, -s))[:7]
-        best = best[s[best] > 0]
-        assert places.tolist() == best.tolist() and np.allclose(sims, s[best])
+    for block, first, dense in ((64, 2, 16), (8, 2, 3), (8, 1, 1000)):
+        monkeypatch.setattr(toxicity.Index, "BLOCK", block)
+        monkeypatch.setattr(toxicity.Index, "FIRST", first)
+        monkeypatch.setattr(toxicity.Index, "DENSE", dense)
+        index = toxicity.fit(docs, labels, k=7).index
+        w = index.weights.T
+        rng = np.random.default_rng(0)
+        at = np.stack([np.sort(rng.choice(w.shape[1], 4, replace=False)) for _ in range(50)])
+        q = rng.random(at.shape)
+        cuts, sims, places = index.nearest(np.repeat(np.arange(50), 4), at.ravel(), q.ravel(), 50)
+        for i in range(50):
+            s = w[:, at[i]] @ q[i]
+            best = np.lexsort((index.keys, -s))[:7]
+            best = best[s[best] > 0]
+            mine = slice(cuts[i], cuts[i + 1])
+            assert np.allclose(sims[mine], s[best]) and sorted(places[mine].tolist()) == sorted(best.tolist())
 
 
 def test_similarities_are_cosines_of_full_vectors(spark):

@@ -7,12 +7,13 @@ documents and all terms, and vectors are full: a text's terms that no example ho
 term's TF-IDF weight is multiplied by `FLOOR` + x / (x + `chi_limit`), x being the chi-square of term and
 label among the examples, shrunk where less than a few (`least_df`) hold the term; no term is left out.
 
-Examples stand in an inverted index of sparse postings. For a text the products of all its terms' postings
-are summed, so the k nearest by cosine are exact. Their order does not depend on the text's norm; the part
-of the norm that comes from terms of no example is summed by a join of those terms with their
-frequencies, by a hash of the text. They vote with their squared similarity, labels weighted back to their share among all labelled
-rows, with a little weight on that share; the logit of the vote is calibrated by two parameters fitted
-on the examples' own leave-one-out votes. The nearest examples are returned as evidence.
+Examples stand in an inverted index in blocks of similar ones, with the greatest weight of each block and
+term. A text's products are summed block by block where the bound of a block reaches the k-th product, so the
+k nearest by cosine are exact. Their order does not depend on the text's norm; the part of the norm that
+comes from terms of no example is summed by a join of those terms with their frequencies, by a hash of the
+text. They vote with their squared similarity, labels weighted back to their share among all labelled rows,
+with a little weight on that share; the logit of the vote is calibrated by two parameters fitted on the
+examples' own leave-one-out votes. The nearest examples are returned as evidence.
 
 A null or empty text has no terms and gets the vote of no neighbours. Labels that are null or of null
 keys are not used; of contradicting labels of one key the greater counts. Without examples of both
@@ -40,71 +41,81 @@ FLOOR = 0.05
 SHOWN = 3
 
 
-def terms(texts: pa.Array, keep: Members | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, term and count for the distinct terms of each text. With keep, only members count, as their indexes."""
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the distinct terms of each text, in order: the text, the term's place in a sorted table, its count;
+    and the table."""
     w = words(texts, ALNUM, lower=True)
-    owner = w.owner()
-    kinds = [(owner, w.hash)]
+    none = np.zeros(0, np.int64)
+    if not len(w.hash):
+        return none, none, none, np.zeros(0, np.uint64)
+    distinct, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
+    pair, n = np.unique(w.owner() * len(distinct) + word, return_counts=True)
+    owner, word = np.divmod(pair, len(distinct))
     data = LOWER[w.data]
-    length = w.end - w.start
-    h = np.full(len(w.start), 0xCBF29CE484222325, np.uint64)
+    start, length = w.start[first], (w.end - w.start)[first]
+    kinds, has = [distinct], [np.ones(len(distinct), bool)]
+    h = np.full(len(distinct), 0xCBF29CE484222325, np.uint64)
     for j in range(max(PREFIXES)):
-        if not len(data):
-            break
-        h = h * _P + data[np.minimum(w.start + j, len(data) - 1)].astype(np.uint64)
+        h = h * _P + data[np.minimum(start + j, len(data) - 1)].astype(np.uint64)
         if j + 1 in PREFIXES:
-            longer = np.flatnonzero(length > j + 1)
-            kinds.append((owner[longer], mix(h[longer] + np.uint64(j + 1))))
-    doc, term = [], []
-    for d, t in kinds:
-        if keep is None:
-            doc.append(d)
-            term.append(t)
-        else:
-            at, k = keep.find(t)
-            doc.append(d[at])
-            term.append(k.astype(np.uint64))
-    doc, term = np.concatenate(doc), np.concatenate(term)
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], term[at], np.diff(np.append(at, len(doc)))
+            kinds.append(mix(h + np.uint64(j + 1)))
+            has.append(length > j + 1)
+    table, place = np.unique(np.concatenate([k[ok] for k, ok in zip(kinds, has, strict=True)]), return_inverse=True)
+    doc, term, count, at = [], [], [], 0
+    for ok in has:
+        mine = np.full(len(distinct), -1)
+        mine[ok] = place[at : at + ok.sum()]
+        at += ok.sum()
+        t = mine[word]
+        some = t >= 0
+        doc.append(owner[some])
+        term.append(t[some])
+        count.append(n[some])
+    key = np.concatenate(doc) * len(table) + np.concatenate(term)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    doc, term = np.divmod(key[at], len(table))
+    return doc, term, np.add.reduceat(np.concatenate(count)[order], at), table
 
 
-class Index:
-    """Examples by term, as postings: those of term t are ptr[t]:ptr[t + 1], each an example's place and its weight."""
-
-    def __init__(self, keys: np.ndarray, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, share: float, k: int):
-        order = np.lexsort((doc, term))
-        self.doc, self.posted = doc[order].astype(np.int32), weight[order]
-        self.ptr = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.keys, self.labels = keys, labels
-        n1 = labels.mean()
-        self.weight = (1 - share) / (1 - n1), share / n1
-        self.share, self.k, self.a, self.b = share, k, 1.0, 0.0
-
-    @property
-    def weights(self) -> np.ndarray:
-        """The whole matrix (1, term, example), to look at small indexes."""
-        out = np.zeros((1, len(self.ptr) - 1, len(self.keys)))
-        out[0, np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr)), self.doc] = self.posted
-        return out
-
-    def nearest(self, at: np.ndarray, q: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and places of the k nearest examples; those that share no term are none."""
-        n = self.ptr[at + 1] - self.ptr[at]
-        which = np.repeat(self.ptr[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        s = np.bincount(self.doc[which], weights=np.repeat(q, n) * self.posted[which], minlength=len(self.keys))
-        if but is not None:
-            s[self.keys == but] = 0
-        if len(s) > self.k:
-            places = np.flatnonzero((s >= np.partition(s, -self.k)[-self.k]) & (s > 0))
-        else:
-            places = np.flatnonzero(s > 0)
-        places = places[np.lexsort((self.keys[places], -s[places]))[: self.k]]
-        return s[places], places
+def terms(texts: pa.Array, keep: Members | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, term and count for the distinct terms of each text. With keep, only members count, as their indexes."""
+    doc, term, count, table = _terms(texts)
+    if keep is None:
+        return doc, table[term], count
+    at, k = keep.find(table)
+    known = np.full(len(table), -1)
+    known[at] = k
+    term = known[term]
+    some = term >= 0
+    return doc[some], term[some].astype(np.uint64), count[some]
+
+
+def _alike(products: np.ndarray, which: np.ndarray, size: int) -> list[int]:
+    """An order of the vectors with these inner products in which similar ones are near: halves by the first
+    principal direction, again and again, down to blocks of `size`."""
+    if len(which) <= size:
+        return which.tolist()
+    s = products[np.ix_(which, which)]
+    mean = s.mean(axis=0)
+    s -= mean
+    s -= mean[:, None]
+    s += mean.mean()
+    v = np.cos(np.arange(len(which), dtype=np.float32) + 1)
+    for _ in range(30):
+        v = s @ v
+        v /= max(np.linalg.norm(v), 1e-300)
+    which = which[np.argsort(v, kind="stable")]
+    cut = size * max(1, -(-len(which) // size) // 2)
+    return _alike(products, which[:cut], size) + _alike(products, which[cut:], size)
+
+
+class Votes:
+    """How the nearest examples become a calibrated score: the examples' keys and labels, the labels' weights."""
+
+    def __init__(self, keys: np.ndarray, labels: np.ndarray, weight: tuple, share: float, a: float = 1.0, b: float = 0.0):
+        self.keys, self.labels, self.weight, self.share, self.a, self.b = keys, labels, weight, share, a, b
 
     def vote(self, sims: np.ndarray, places: np.ndarray) -> float:
         y = self.labels[places]
@@ -127,12 +138,143 @@ class Index:
             self.a, self.b = self.a - step[0], self.b - step[1]
 
 
+class Index(Votes):
+    """Examples by term, as postings in blocks of `BLOCK` similar examples, each block's greatest weight beside it.
+
+    The postings of term t are those of the entries ptr[t]:ptr[t + 1]; an entry e is one block of them, in block
+    block[e], with greatest weight top[e] and postings at[e]:at[e + 1], each an example's place and its weight.
+    The terms of which a `DENSE`-th of the examples have a posting (the `ROWS` most frequent at most) stand once
+    more as rows with a weight for each example, so that a batch of texts meets them in one matrix product.
+    """
+
+    BLOCK, DENSE, ROWS = 64, 16, 4096
+    #: Queries at a time.
+    BATCH = 64
+    #: Blocks, best bound first, that are looked at before the bounds of the others are held against the k-th best.
+    FIRST = 2
+
+    def __init__(self, keys: np.ndarray, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, share: float, k: int):
+        n1 = labels.mean()
+        super().__init__(keys, labels, ((1 - share) / (1 - n1), share / n1), share)
+        self.n_terms, self.k, self.blocks = n_terms, k, -(-len(keys) // self.BLOCK)
+        n = np.bincount(term.astype(np.int64), minlength=n_terms)
+        frequent = np.argsort(-n, kind="stable")[: self.ROWS]
+        self.dense = np.sort(frequent[n[frequent] * self.DENSE >= len(keys)])
+        self._post(keys, labels, doc, term, weight)
+        products = np.zeros((len(keys), len(keys)), np.float32)
+        order = np.argsort(doc, kind="stable")
+        for low in range(0, len(keys), self.BATCH):
+            some = order[slice(*np.searchsorted(doc[order], [low, low + self.BATCH]))]
+            products[low : low + self.BATCH] = self.products(doc[some] - low, term[some].astype(np.int64), weight[some], len(products[low : low + self.BATCH]))
+        order = np.array(_alike(products, np.arange(len(keys)), self.BLOCK))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self._post(keys[order], labels[order], place[doc], term, weight)
+
+    def _post(self, keys, labels, doc, term, weight) -> None:
+        self.keys, self.labels = keys, labels
+        order = np.lexsort((doc, term))
+        self.doc, self.posted = doc[order].astype(np.int32), weight[order]
+        entry = term[order].astype(np.int64) * self.blocks + self.doc // self.BLOCK
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        self.at = np.append(first, len(entry))
+        self.top = np.maximum.reduceat(self.posted, first)
+        self.block = (entry[first] % self.blocks).astype(np.int32)
+        self.ptr = np.searchsorted(entry[first] // self.blocks, np.arange(self.n_terms + 1))
+        self._prepare()
+
+    def _prepare(self) -> None:
+        self.rows = np.zeros((len(self.dense), self.blocks * self.BLOCK))
+        self.row = np.full(self.n_terms, -1, np.int32)
+        self.row[self.dense] = np.arange(len(self.dense))
+        for i, t in enumerate(self.dense.tolist()):
+            lo, hi = self.at[self.ptr[t]], self.at[self.ptr[t + 1]]
+            self.rows[i, self.doc[lo:hi]] = self.posted[lo:hi]
+
+    def votes(self) -> Votes:
+        return Votes(self.keys, self.labels, self.weight, self.share, self.a, self.b)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "row")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._prepare()
+
+    @property
+    def weights(self) -> np.ndarray:
+        """The whole matrix (term, example), to look at small indexes."""
+        out = np.zeros((self.n_terms, len(self.keys)))
+        out[np.repeat(np.arange(self.n_terms), np.diff(self.at[self.ptr])), self.doc] = self.posted
+        return out
+
+    def _start(self, owner: np.ndarray, at: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Products over the dense rows' terms (query, place), and the entries of the other terms with their query and
+        weight. Places beyond the examples have 0."""
+        row = self.row[at]
+        some = row >= 0
+        dense = np.zeros((n, len(self.dense)))
+        dense[owner[some], row[some]] = q[some]
+        owner, at, q = owner[~some], at[~some], q[~some]
+        m = self.ptr[at + 1] - self.ptr[at]
+        return dense @ self.rows, np.repeat(self.ptr[at] - np.cumsum(m) + m, m) + np.arange(m.sum()), np.repeat(owner, m), np.repeat(q, m)
+
+    def _add(self, sums: np.ndarray, entry: np.ndarray, owner: np.ndarray, q: np.ndarray) -> None:
+        m = self.at[entry + 1] - self.at[entry]
+        which = np.repeat(self.at[entry] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        cell = np.repeat(owner * sums.shape[1], m) + self.doc[which]
+        sums += np.bincount(cell, weights=np.repeat(q, m) * self.posted[which], minlength=sums.size).reshape(sums.shape)
+
+    def products(self, owner: np.ndarray, at: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """Products of n queries with all examples; query owner[i] has the weight q[i] for the term at[i]."""
+        sums, *rest = self._start(owner, at, q, n)
+        self._add(sums, *rest)
+        return sums[:, : len(self.keys)]
+
+    def nearest(self, owner: np.ndarray, at: np.ndarray, q: np.ndarray, n: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n queries (as in products) the k nearest examples, but for the one whose key is in `but`; those that share
+        no term are none. Returns cuts (those of query i are cuts[i]:cuts[i + 1]), products and places.
+
+        An example has at most its product over the dense rows and the sum of its block's greatest weights of
+        the other terms. Blocks whose bound is below the k-th product found are left out; what remains is summed
+        in full.
+        """
+        sums, entry, owner, q = self._start(owner, at, q, n)
+        cell = owner * self.blocks + self.block[entry]
+        bound = sums.reshape(n, self.blocks, self.BLOCK).max(axis=2)
+        bound = bound + np.bincount(cell, weights=q * self.top[entry], minlength=n * self.blocks).reshape(n, self.blocks)
+        open_ = np.ones(bound.shape, bool)
+        if self.blocks > self.FIRST and len(self.keys) > self.k:
+            look = np.zeros(bound.shape, bool)
+            np.put_along_axis(look, np.argpartition(bound, -self.FIRST, axis=1)[:, -self.FIRST :], True, axis=1)
+            now = look.ravel()[cell]
+            self._add(sums, entry[now], owner[now], q[now])
+            least = np.partition(sums, -self.k - 1, axis=1)[:, -self.k - 1]  # one more, as `but` may be among them
+            open_ = ~look & (bound * (1 + 1e-9) >= least[:, None])
+        now = open_.ravel()[cell]
+        self._add(sums, entry[now], owner[now], q[now])
+        sums = sums[:, : len(self.keys)]
+        if but is not None:
+            sums[self.keys[None, :] == but[:, None]] = 0
+        least = np.partition(sums, -self.k, axis=1)[:, -self.k] if len(self.keys) > self.k else np.zeros(n)
+        rows, places = np.nonzero((sums >= least[:, None]) & (sums > 0))
+        s = sums[rows, places]
+        order = np.lexsort((self.keys[places], -s, rows))
+        rows, places, s = rows[order], places[order], s[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        some = rank < self.k
+        return np.searchsorted(rows[some], np.arange(n + 1)), s[some], places[some]
+
+
 class Model:
-    """What scoring needs: the examples' terms with their weights and the index, of bounded size; and as a
-    table the document frequencies of all other terms, with the number of documents."""
+    """What scoring needs: the examples' terms with their weights and the index, of bounded size; as tables the
+    document frequencies of all other terms (rest), and the documents (docs) it was fitted on with the part of their
+    norms that comes from those terms (others)."""
 
     def __init__(self, share: float, vocabulary=None, weight=None, index=None, rest: DataFrame | None = None, n: int = 0):
         self.share, self.vocabulary, self.weight, self.index, self.rest, self.n = share, vocabulary, weight, index, rest, n
+        self.docs: DataFrame | None = None
+        self.others: DataFrame | None = None
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, k: int = 25, chi_limit: float = 20.0, least_df: int = 3) -> Model:
@@ -163,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     keep = Members(found["term"].to_numpy().view(np.uint64))
     term = np.searchsorted(keep.keys, found["term"].to_numpy().view(np.uint64))
     c = found["c"].to_numpy()
-    n, df, rest = _document_frequencies(docs, text, keep)
+    del found
+    n, df, split = _document_frequencies(docs, text, keep)
     a, held = np.bincount(term, weights=y[doc]), np.bincount(term)
     b = held - a
     chi = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1.0, held * (n0 + n1 - held) * float(n0) * float(n1))
@@ -174,60 +317,69 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     v = (1 + np.log(c)) * weight[term]
     v /= np.sqrt(np.bincount(doc, weights=v * v))[doc]
     index = Index(ids, y, doc, term, v, len(keep.keys), share, k)
-    cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
-    votes = [index.vote(*index.nearest(term[lo:hi], v[lo:hi], but=int(i))) for i, lo, hi in zip(ids, cuts[:-1], cuts[1:], strict=True)]
+    votes = []
+    for low in range(0, len(ids), Index.BATCH):
+        lo, hi = np.searchsorted(doc, [low, low + Index.BATCH])
+        mine = ids[low : low + Index.BATCH]
+        cuts, sims, places = index.nearest(doc[lo:hi] - low, term[lo:hi], v[lo:hi], len(mine), but=mine)
+        votes += [index.vote(sims[i:j], places[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     index.calibrate(np.array(votes), y)
-    return Model(share, keep.keys, weight, index, rest, n)
+    other = split.where("x is not null")
+    rest = written(other.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "document-frequencies")
+    model = Model(share, keep.keys, weight, index, rest, n)
+    model.docs, model.others = docs, _other_norms(other, model)
+    return model
 
 
-def _document_frequencies(docs: DataFrame, text: str, keep: Members) -> tuple[int, np.ndarray, DataFrame]:
-    """Number of documents, of those with each kept term, and a table of the other terms' numbers."""
+def _split_terms(docs: DataFrame, text: str, keep: Members) -> DataFrame:
+    """One row for each document that has terms outside `keep`: a hash of its text (x), these terms and their counts
+    (counts). And per task a row without x: the number of documents (n), the places of kept terms (terms) and in how
+    many documents they are (counts)."""
 
     def run(batches):
         n, df = 0, np.zeros(len(keep.keys), np.int64)
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+        names = ["x", "n", "terms", "counts"]
         for batch in batches:
             n += batch.num_rows
-            for part in pieces(batch, text):
-                _, t, _ = terms(part.column(text))
-                at, k = keep.find(t)
-                df += np.bincount(k, minlength=len(df))
-                other, times = np.unique(np.delete(t, at), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(other), np.int32)), pa.array(other.view(np.int64)), pa.array(times)], names=["kind", "term", "n"])
+            for part in pieces(batch, "text"):
+                d, t, c, table = _terms(part.column("text"))
+                at, k = keep.find(table)
+                df[k] += np.bincount(t, minlength=len(table))[at]
+                other = np.ones(len(table), bool)
+                other[at] = False
+                other = other[t]
+                d, t, c = d[other], table[t[other]], c[other]
+                ends = np.searchsorted(d, np.arange(part.num_rows + 1))
+                some = np.flatnonzero(np.diff(ends))
+                x = part.column("x").take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([x, pa.nulls(len(some), pa.int64()), lists(np.append(ends[some], len(d)), t.view(np.int64)), lists(np.append(ends[some], len(d)), c)], names=names)
         some = np.flatnonzero(df)
-        kind = np.append(np.full(len(some), 1), 2).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(some, 0)), pa.array(np.append(df[some], n))], names=["kind", "term", "n"])
-
-    counted = docs.select(text).mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
-    counted = written(counted, "document-frequencies")
-    out, n = np.zeros(len(keep.keys)), 0
-    rows = counted.where("kind > 0").toArrow()  # at most one row for each term of the examples
-    for kind, term, number in zip(*(rows[c].to_pylist() for c in ("kind", "term", "n")), strict=True):
-        if kind == 2:
-            n = number
-        else:
-            out[term] = number
-    return n, out, counted.where("kind = 0").select("term", "n")
-
-
-def _other_norms(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """By hash of a text (x), the squared weights of its terms that no example holds, summed (other)."""
-    vocabulary = model.vocabulary
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), lists([0, len(some)], some), lists([0, len(some)], df[some])], names=names)
+
+    return docs.select(F.xxhash64(text).alias("x"), F.col(text).alias("text")).mapInArrow(run, "x long, n long, terms array<long>, counts array<long>")
 
-    def run(batches):
-        keep = Members(vocabulary)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                d, t, c = terms(part.column("text"))
-                other = np.delete(np.arange(len(t)), keep.find(t)[0])
-                d, t, c = d[other], t[other], c[other]
-                many = np.bincount(d, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("x").take(pa.array(d)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(many[d].astype(np.int32))], names=["x", "term", "c", "many"])
 
-    pairs = docs.select(F.xxhash64(text).alias("x"), F.col(text).alias("text")).mapInArrow(run, "x long, term long, c int, many int")
+def _document_frequencies(docs: DataFrame, text: str, keep: Members) -> tuple[int, np.ndarray, DataFrame]:
+    """Number of documents, of those with each kept term, and the documents' other terms."""
+    split = written(_split_terms(docs, text, keep), "other-terms")
+    kept = split.where("x is null")
+    n = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    df = np.zeros(len(keep.keys))
+    rows = kept.select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n"))
+    rows = rows.toArrow()  # at most one row for each term of the examples
+    df[rows["terms"].to_numpy()] = rows["n"].to_numpy()
+    return n, df, split
+
+
+def _other_norms(other: DataFrame, model: Model) -> DataFrame:
+    """By hash of a text (x), the squared weights of its terms that no example holds, summed (other)."""
+    pairs = other.select("x", (F.lit(1.0) / F.size("terms")).alias("part"), F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+    pairs = pairs.select("x", "part", F.col("p.terms").alias("term"), F.col("p.counts").cast("int").alias("c"))
     df = F.coalesce("n", F.lit(0)).cast("double")
     w = (1 + F.log(F.col("c").cast("double"))) * (F.log((1.0 + model.n) / (1 + df)) + 1e-6) * FLOOR
-    rows = F.round(F.sum(1 / F.col("many")))  # a repeated text comes as often as it has rows
-    return pairs.join(model.rest, "term", "left").groupBy("x").agg(F.round(F.sum(w * w) / rows, 9).alias("other"))
+    rows = F.round(F.sum("part"))  # a repeated text comes as often as it has rows
+    return written(pairs.join(model.rest, "term", "left").groupBy("x").agg(F.round(F.sum(w * w) / rows, 9).alias("other")), "other-norms")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -239,7 +391,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     own = [docs.schema[c] for c in columns]
     if not model.index:
         return docs.select(*columns, F.lit(float(model.share)).alias(prefix + "score"), F.array().cast(evidence).alias(prefix + "evidence"))
-    index, vocabulary, weight = model.index, model.vocabulary, model.weight
+    index, votes, vocabulary, weight = model.index, model.index.votes(), model.vocabulary, model.weight
     made = {"_near_x": T.LongType(), "_near_norm": T.DoubleType(), "_near_products": T.ArrayType(T.DoubleType()), "_near_places": T.ArrayType(T.IntegerType())}
     near = T.StructType([*own, *(T.StructField(n, t) for n, t in made.items())])
     schema = T.StructType([*own, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "evidence", evidence)])
@@ -249,17 +401,21 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         keep = Members(vocabulary)
         for batch in batches:
             for part in pieces(batch, text):
-                norms = np.zeros(part.num_rows)
-                products: list = [[]] * part.num_rows
-                places: list = [[]] * part.num_rows
                 d, t, c = terms(part.column(text), keep)
-                cuts = np.flatnonzero(np.diff(np.concatenate([[-1], d, [-1]])))
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    at = t[lo:hi].astype(np.int64)
-                    q = (1 + np.log(c[lo:hi])) * weight[at]
-                    norms[d[lo]] = q @ q
-                    products[d[lo]], places[d[lo]] = index.nearest(at, q)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column("_near_x"), pa.array(norms), pa.array(products, pa.list_(pa.float64())), pa.array(places, pa.list_(pa.int32()))], names=near.names)
+                t = t.astype(np.int64)
+                q = (1 + np.log(c)) * weight[t]
+                norms = np.bincount(d, weights=q * q, minlength=part.num_rows)
+                ends, products, places = [np.zeros(1, np.int64)], [], []
+                for low in range(0, part.num_rows, index.BATCH):
+                    n = min(index.BATCH, part.num_rows - low)
+                    lo, hi = np.searchsorted(d, [low, low + n])
+                    cuts, s, at = index.nearest(d[lo:hi] - low, t[lo:hi], q[lo:hi], n)
+                    ends.append(ends[-1][-1] + cuts[1:])
+                    products.append(s)
+                    places.append(at.astype(np.int32))
+                ends = pa.array(np.concatenate(ends), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (products, places)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column("_near_x"), pa.array(norms), *lists], names=near.names)
 
     def judge(batches):
         for batch in batches:
@@ -267,11 +423,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for norm, products, places in zip(*(batch.column(n).to_pylist() for n in ("_near_norm", "_near_products", "_near_places")), strict=True):
                 at = np.array(places, np.int64)
                 sims = np.array(products, np.float64) / math.sqrt(norm or 1.0)
-                scores.append(index.calibrated(index.vote(sims, at)))
-                shown.append([{"id": int(index.keys[p]), "label": int(index.labels[p]), "similarity": float(s)} for s, p in zip(sims[:SHOWN], at[:SHOWN], strict=True)])
+                scores.append(votes.calibrated(votes.vote(sims, at)))
+                shown.append([{"id": int(votes.keys[p]), "label": int(votes.labels[p]), "similarity": float(s)} for s, p in zip(sims[:SHOWN], at[:SHOWN], strict=True)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=schema.names)
 
-    others = written(_other_norms(docs, model, text), "other-norms").withColumnRenamed("x", "_near_x")
+    others = model.others if docs is model.docs else _other_norms(_split_terms(docs, text, Members(vocabulary)).where("x is not null"), model)
+    others = others.withColumnRenamed("x", "_near_x")
     found = docs.withColumn("_near_x", F.xxhash64(text)).select(*dict.fromkeys([*columns, text, "_near_x"])).mapInArrow(find, near)
     joined = found.join(others, "_near_x", "left").withColumn("_near_norm", F.col("_near_norm") + F.coalesce("other", F.lit(0.0)))
     return joined.select(*columns, "_near_norm", "_near_products", "_near_places").mapInArrow(judge, schema)
