@@ -83,8 +83,50 @@ def test_empty_table(spark, docs, tmp_path):
     assert token_counts.count_tokens(none, str(tmp_path / "c"), JSON, RANKS).count() == 0
 
 
+def _as_library(text):
+    """Ids by the library, a long run of white space by itself: the library's own splitting fails at a million."""
+    enc = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    out, at, regex = [], 0, __import__("regex")
+    for m in regex.finditer(public_tokenizers.PATTERN, text):
+        assert m.start() == at
+        at = m.end()
+        out += enc._core_bpe.encode_single_piece(m[0].encode())
+    assert at == len(text)
+    return out
+
+
+BLANK = {"blanks": " ", "lines": "\n", "mixed": " \n\t\u3000 \r", "letters": "x", "cjk": "漢字語", "marks": "!?"}
+
+
+@pytest.mark.parametrize("kind", BLANK)
+def test_very_long_runs(kind):
+    enc = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    count = token_counts.counter(JSON, RANKS)
+    unit = BLANK[kind]
+    for n in (2_000_000, byte_bpe.LONG, byte_bpe.LONG - 1):
+        run = (unit * (n // len(unit) + 1))[:n]
+        for text in (run, "a" + run, run + "a", "a b" + run + " b" + run + "c d", run + "漢"):
+            ids = byte_bpe.encode_text(enc, text)
+            assert enc.decode_bytes(ids.tolist()) == text.encode()
+            if n < 100_000:
+                assert ids.tolist() == _as_library(text) == enc.encode_ordinary(text)
+                assert count(text) == library_count(text) == len(ids)
+            else:
+                assert ids.tolist() == _as_library(text)
+                assert count(text) == len(ids)
+
+
+def test_digest_covers_everything(tmp_path, monkeypatch):
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(open(RANKS, "rb").read() + b"\n")
+    digests = {token_counts.version(JSON), token_counts.version(JSON, RANKS), token_counts.version(JSON, str(other))}
+    monkeypatch.setattr(public_tokenizers, "PATTERN", ".")
+    digests.add(token_counts.version(JSON, RANKS))
+    assert len(digests) == 4
+
+
 def test_safe_pieces_join_back():
     text = "ab cd\n ef" * 30000
-    parts = list(byte_bpe.safe_pieces(text, 1000))
+    parts = [p for p, _ in byte_bpe.safe_pieces(text, 1000)]
     assert "".join(parts) == text and len(parts) > 100
     assert hashlib.sha256(repr([i for p in parts for i in reference_ids(p)]).encode()).digest() == hashlib.sha256(repr(reference_ids(text)).encode()).digest()

@@ -2,7 +2,9 @@
 
 Texts are encoded by the tiktoken library inside Arrow batches, without a shuffle. A long text is cut
 first at places where a match of the splitting pattern must end whatever follows - between a visible
-ASCII character and white space - so that pieces of bounded size give the ids of the whole text.
+ASCII character and white space - so that pieces of bounded size give the ids of the whole text. A long run
+of white space is one match of the pattern up to its last character (or all of it, at the end of a text) and is
+encoded as such, as the library's own splitting fails at a million blanks.
 Decoding looks the ids' bytes up and joins them as raw bytes; no assumption is made that a run of ids
 is valid UTF-8.
 
@@ -30,18 +32,30 @@ from tidemark.llm._text import pieces
 
 LONG = 1 << 16
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \t\n\r])")
+#: White space as the pattern's \s has it, in runs that are matches of their own.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
-def safe_pieces(text: str, size: int = LONG) -> Iterator[str]:
-    """Cut a text after at least `size` characters, where a match of the pattern must end."""
-    at = 0
-    while len(text) - at > size:
-        m = _SAFE.search(text, at + size)
+def _between(text: str, at: int, end: int, size: int) -> Iterator[str]:
+    """Cut text[at:end] after at least `size` characters, where a match of the pattern must end."""
+    while end - at > size:
+        m = _SAFE.search(text, at + size, end)
         if not m:
             break
         yield text[at : m.start()]
         at = m.start()
-    yield text[at:] if at else text
+    if at < end:
+        yield text[at:end]
+
+
+def safe_pieces(text: str, size: int = LONG) -> Iterator[tuple[str, bool]]:
+    """Pieces of the text that can be encoded by themselves, and whether one is a single match of the pattern."""
+    at = 0
+    for m in _RUN.finditer(text) if len(text) >= LONG else ():
+        yield from ((p, False) for p in _between(text, at, m.start(), size))
+        at = m.end() - (m.end() < len(text))
+        yield text[m.start() : at], True
+    yield from ((p, False) for p in _between(text, at, len(text), size))
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,8 +67,16 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def _undivided(enc):
+    """The same ranks with a pattern that takes a text as one match."""
+    import tiktoken
+
+    return tiktoken.Encoding("undivided", pat_str=r"[\s\S]+", mergeable_ranks=enc._mergeable_ranks, special_tokens={})
+
+
 def encode_text(enc, text: str) -> np.ndarray:
-    got = [enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in safe_pieces(text) if p]
+    got = [(_undivided(enc) if single else enc).encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p, single in safe_pieces(text)]
     return got[0] if len(got) == 1 else np.concatenate(got) if got else np.zeros(0, np.uint32)
 
 

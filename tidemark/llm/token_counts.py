@@ -1,8 +1,9 @@
 """Operator 1: token counts through a digest cache.
 
 The cache is a Parquet table of (tokenizer, content, n_tokens), where `tokenizer` is a digest of the
-tokenizer's file and options and `content` one of the normalised text - the text after whatever the
-tokenizer itself does first, so equal digests have equal counts. The table joins to the digests of
+tokenizer's files, options and libraries and `content` one of the normalised text. What normalisation a
+tokenizer does is its own (that of this query does none), so texts are only made whole for the digest: null
+becomes the empty text, and two texts share a digest when they are equal byte by byte. The table joins to the digests of
 all texts; only distinct contents that it lacks are encoded, and their counts are appended to it. What
 is joined and looked up is narrow; whole texts move once, for the misses, after copies within a
 task have been merged, so that a text which a third of all rows hold is moved once per task.
@@ -34,10 +35,16 @@ _RARE = re.compile("[^\\x00-ɏ]")
 
 
 def version(path: str, ranks: str | None = None) -> str:
-    """Digest of everything that a count depends on besides the text."""
-    h = hashlib.sha256(b"tokenizers; no added tokens; specials as in the file\0")
-    with open(path, "rb") as f:
-        h.update(f.read())
+    """Digest of everything that a count depends on besides the text: the tokenizer's file, the rank file, the
+    splitting pattern, the options, and the versions of the libraries that encode."""
+    from importlib.metadata import version as installed
+
+    h = hashlib.sha256(b"no added tokens; specials as in the file")
+    for part in (f"tokenizers {installed('tokenizers')}", f"tiktoken {installed('tiktoken')} {public_tokenizers.PATTERN}" if ranks else ""):
+        h.update(b"\0" + part.encode())
+    for p in filter(None, (path, ranks)):
+        with open(p, "rb") as f:
+            h.update(b"\0" + hashlib.sha256(f.read()).digest())
     return h.hexdigest()
 
 
@@ -66,7 +73,7 @@ def counter(path: str, ranks: str | None):
         if not text:
             return 0
         if fast is None or _RARE.search(text):
-            parts = safe_pieces(text) if cuttable else [text]
+            parts = [p for p, _ in safe_pieces(text)] if cuttable else [text]
             return sum(len(slow.encode(p, add_special_tokens=False)) for p in parts)
         parts = special.split(text) if special else [text]
         return len(parts) - 1 + sum(len(encode_text(fast, p)) for p in parts if p)
