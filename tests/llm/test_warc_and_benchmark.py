@@ -46,6 +46,23 @@ def test_damage_is_an_error():
         list(warc.read_archive(io.BytesIO(longer)))
 
 
+def test_archives_of_others():
+    """Records of other kinds, ids and spellings; no digest, no HTTP length, a folded line."""
+    body = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nhello"
+
+    def member(kind, more, content):
+        return warc.gzip_member(f"WARC/1.0\r\nwarc-type: {kind}\r\n{more}content-length:{len(content)}\r\n\r\n".encode() + content + b"\r\n\r\n")
+
+    data = member("warcinfo", "", b"software: x\r\n") + member("request", "", b"GET / HTTP/1.0\r\n\r\n")
+    data += member("response", "WARC-Record-ID: <urn:uuid:0a>\r\nWARC-Target-URI:\r\n http://a/\r\n", body) + member("metadata", "", b"") + member("revisit", "WARC-Payload-Digest: sha1:AB\r\n", b"")
+    rows = list(warc.read_archive(io.BytesIO(data), block=11, payloads=True))
+    assert [(r["record_type"], r["page_id"], r["digest_ok"], r["payload"]) for r in rows] == [("response", None, None, b"hello"), ("revisit", None, True, b"")]
+    assert rows[0]["url"] == "http://a/" and rows[0]["payload_digest"] == base64.b32encode(hashlib.sha1(b"hello").digest()).decode() and rows[1]["payload_digest"] == "AB"
+    with pytest.raises(ValueError):
+        warc._reached("viewfs://store/x")
+    assert warc._reached("s3a://b/x") == "s3://b/x" and warc._reached("file:/tmp/x") == "file:/tmp/x"
+
+
 def test_no_pages(spark, pages, tmp_path):
     to = (tmp_path / "w").as_uri()
     assert warc.read_archives(warc.write_archives(pages.limit(0), to), to).count() == 0

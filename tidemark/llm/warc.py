@@ -1,14 +1,18 @@
 """Operator 7: WARC archives, written with one gzip member per record and read back sequentially.
 
-Writing: pages join the largest page_id of their payload's digest (maximum pre-aggregated per task, so a
-payload that a third of all pages share is no hot group; the join may be split). That page's record is
-a response, the others are revisits that refer to it and keep only the HTTP header. Each task writes
-archives of about `archive_bytes` into a shared folder and returns their paths; archives of tasks that
-died are in no list and never read.
+Writing: the largest page_id of each payload digest is found first (maximum pre-aggregated per task, and
+written). That page's record is a response; pages meet it by digest and page_id together, so html is spread
+evenly. The others are revisits that refer to it and keep only the HTTP header; they are joined by digest
+without their html, and a payload that a third of all pages share can be split, as both sides of that join
+come straight from their exchanges. Each task writes archives of about `archive_bytes` into a shared folder
+and returns their paths; archives of tasks that died are in no list and never read. The folder is on a file
+system that pyarrow reaches (file, hdfs, s3 or s3a, gs, abfs); others are refused before any work.
 
 Reading: a task goes through one archive, decompressing block by block. A record is a gzip member: its
 header lines, Content-Length bytes, and an empty line; anything else is an error. The digest of each
-response's payload is computed from what was read and held against the header.
+response's payload is computed from what was read and held against the header. Archives of others are read
+too: records other than responses and revisits are passed over, ids that name no page read as null, names of
+header fields are taken in any case, and a response without a payload digest has a null digest_ok.
 
 A null html is an empty payload. A null page_id has no name in the record and reads back as null; such
 pages revisit the largest page_id of their payload, or are responses when there is none. Repeated rows
@@ -100,47 +104,92 @@ class _Member:
         return bytes(self.plain)
 
 
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a blank goes on with the one before."""
+    out, last = {}, None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:
+            out[last] = f"{out[last]} {line.decode('utf-8', 'replace').strip()}".strip()
+        elif b":" in line:
+            name, _, value = line.partition(b":")
+            last = name.decode("utf-8", "replace").strip().lower()
+            out[last] = value.decode("utf-8", "replace").strip()
+    return out
+
+
+def _page(name: str | None) -> int | None:
+    """The page's number in a record's id, null for ids of other kinds."""
+    number = (name or "").removeprefix(f"<{_NAME}").removesuffix(">")
+    return int(number) if (number.removeprefix("-")).isascii() and number.removeprefix("-").isdigit() else None
+
+
 def read_archive(stream, block: int = 1 << 16, payloads: bool = False) -> Iterator[dict]:
-    """The records of an archive in order."""
+    """The responses and revisits of an archive in order."""
     member = _Member(stream, block)
     while member.next():
-        first, *lines = member.until(b"\r\n\r\n").decode().split("\r\n")
-        if not first.startswith("WARC/"):
+        first, *lines = member.until(b"\r\n\r\n").split(b"\r\n")
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
-        head = dict(line.split(": ", 1) for line in lines)
-        content = int(head["Content-Length"])
-        http = _http(member, content)
+        head = _fields(lines)
+        if not head.get("content-length", "").isdigit():
+            raise ValueError("a record without a Content-Length")
+        content, kind = int(head["content-length"]), head.get("warc-type", "").lower()
+        if kind not in ("response", "revisit"):
+            for _ in member.take(content):
+                pass
+            if member.rest() != b"\r\n\r\n":
+                raise ValueError("a record is longer than its Content-Length")
+            continue
+        http, stated = _http(member, content)
         sha, body, n = hashlib.sha1(), [], 0
-        for part in member.take(content - http[0]):
+        for part in member.take(content - http):
             sha.update(part)
             n += len(part)
             if payloads:
                 body.append(part)
         if member.rest() != b"\r\n\r\n":
             raise ValueError("a record is longer than its Content-Length")
-        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        kind = head["WARC-Type"]
-        ok = kind == "revisit" or (n == http[1] and base64.b32encode(sha.digest()).decode() == digest)
-        name = lambda k: int(x) if (x := head.get(k, "<>")[1:-1].removeprefix(_NAME)) else None
-        yield {"page_id": name("WARC-Record-ID"), "url": head.get("WARC-Target-URI"), "record_type": kind, "refers_to": name("WARC-Refers-To"), "payload_digest": digest, "payload_bytes": http[1], "digest_ok": ok} | ({"payload": b"".join(body)} if payloads else {})
+        stored = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        made = base64.b32encode(sha.digest()).decode()
+        ok = True if kind == "revisit" else None if stored is None else (stated is None or n == stated) and made == stored
+        size = n if stated is None else stated
+        yield {"page_id": _page(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": kind, "refers_to": _page(head.get("warc-refers-to")), "payload_digest": stored if kind == "revisit" else stored or made, "payload_bytes": size, "digest_ok": ok} | ({"payload": b"".join(body)} if payloads else {})
 
 
-def _http(member: _Member, content: int) -> tuple[int, int]:
-    """Length of the HTTP header, and the Content-Length that it states."""
+def _http(member: _Member, content: int) -> tuple[int, int | None]:
+    """Length of the HTTP header, and the Content-Length that it states, if any."""
+    if not content:
+        return 0, None
     head = member.until(b"\r\n\r\n")
     if len(head) + 4 > content:
         raise ValueError("a record is shorter than its HTTP header")
-    stated = [x.split(b":", 1)[1] for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")]
-    return len(head) + 4, int(stated[0])
+    stated = _fields(head.split(b"\r\n")[1:]).get("content-length", "")
+    return len(head) + 4, int(stated) if stated.isdigit() else None
+
+
+def _reached(uri: str) -> str:
+    """The URI as pyarrow takes it."""
+    scheme, mark, rest = uri.partition("://")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) if mark else "file"
+    if scheme not in ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss") and not uri.startswith("file:"):
+        raise ValueError(f"archives cannot be kept on {scheme}://")
+    return f"{scheme}://{rest}" if mark else uri
 
 
 def write_archives(pages: DataFrame, to: str, archive_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) as archives below the folder `to`; returns path, records, bytes."""
     prepare(pages.sparkSession)
+    to = _reached(to)
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = keyed.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    latest = keyed.groupBy("sha1").agg(F.max("page_id").alias("latest"))
-    joined = keyed.join(latest, "sha1").withColumn("refers_to", F.when(~F.col("latest").eqNullSafe(F.col("page_id")), F.col("latest"))).drop("latest")
+    latest = written(keyed.groupBy("sha1").agg(F.max("page_id").alias("latest")), "latest")
+    own = latest.withColumnRenamed("sha1", "own_sha1")
+    responses = keyed.join(own, (F.col("sha1") == F.col("own_sha1")) & F.col("page_id").eqNullSafe(F.col("latest")))
+    responses = responses.select("page_id", "url", "html", F.octet_length("html").alias("size"), "sha1", F.lit(None).cast("long").alias("refers_to"))
+    narrow = keyed.select("page_id", "url", F.octet_length("html").alias("size"), "sha1")
+    revisits = narrow.join(latest, "sha1").where(F.col("latest").isNotNull() & ~F.col("latest").eqNullSafe(F.col("page_id")))
+    revisits = revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "sha1", F.col("latest").cast("long").alias("refers_to"))
+    joined = responses.unionByName(revisits)
 
     def run(batches):
         from pyarrow.fs import FileSystem
@@ -154,9 +203,7 @@ def write_archives(pages: DataFrame, to: str, archive_bytes: int = 64 << 20, dat
                         fs.create_dir(root, recursive=True)
                         path, n, size = f"{root}/pages-{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = fs.open_output_stream(path, compression=None)
-                    payload = r["html"].encode()
-                    body = payload if r["refers_to"] is None else b""
-                    data = gzip_member(record(r["page_id"], r["url"], body, len(payload), base64.b32encode(r["sha1"]).decode(), r["refers_to"], date))
+                    data = gzip_member(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["size"], base64.b32encode(r["sha1"]).decode(), r["refers_to"], date))
                     out.write(data)
                     n, size = n + 1, size + len(data)
                     if size >= archive_bytes:
@@ -172,7 +219,8 @@ def write_archives(pages: DataFrame, to: str, archive_bytes: int = 64 << 20, dat
 
 def read_archives(archives: DataFrame, root: str, payloads: bool = False) -> DataFrame:
     """The records of the archives listed in `path`; `root` is a URI on their file system."""
-    spark = prepare(archives.sparkSession)
+    prepare(archives.sparkSession)
+    root = _reached(root)
     schema = READ + ", payload binary" * payloads
     n = max(1, archives.count())
 
