@@ -23,9 +23,10 @@ def _near_docs(seed):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "block"), [(0, 256), (1, 7)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "few"), [(0, 256, 16), (1, 7, 2), (2, 7, 1000)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, block, few):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "FEW", few)
     docs = _near_docs(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, class_id string")
     rows = near_dedup.near_duplicates(df, size=4, percent=80).collect()

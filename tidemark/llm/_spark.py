@@ -80,9 +80,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    fs, p = _filesystem(spark, path)
-    fs.delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no plan will read again."""
+    for df in tables:
+        fs, p = _filesystem(df.sparkSession, df._scratch_path)
+        fs.delete(p, True)

@@ -13,11 +13,14 @@ with a probability of 5e-7. Buckets can be huge (a passage or template that mill
 so pairs within them are not enumerated. Every bucket checks its members against its smallest one (a
 star, linear in the bucket), exactly, on full sets; verified links give components, and members of a
 bucket that are in one component need no further comparison, as it could add nothing. What remains are
-members of different components in one bucket. They are compared exactly and completely, but in blocks of
-bounded size instead of pairs of rows: the members of a bucket's largest component against the others,
-and the others among each other, each pair of blocks by one product of incidence matrices, which
+members of different components in one bucket; of buckets with the same members one is enough. In buckets of
+up to `FEW` members they become pairs, each pair once for all its buckets, without those of sizes too
+different and those looked at before. In larger ones they are compared exactly and completely, but in
+blocks of bounded size instead of pairs of rows: the members of a bucket's largest component against the
+others, and the others among each other, each pair of blocks by one product of incidence matrices, which
 returns one link at most for two components. So no pair that shares a bucket and could join two
-components stays unverified, whatever its bucket's size.
+components stays unverified, whatever its bucket's size. Aggregates are written before they are joined, so
+that Spark can split a key that very many rows share.
 
 Nulls: a null text has an empty set; an empty set has no links. A row with a null key has no links, a
 null component, and is kept. Rows that share a key are one vertex; repeated rows get one result each.
@@ -157,17 +160,31 @@ def _links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent:
     return ids[a[first]].tolist(), ids[b[first]].tolist()
 
 
-#: Members and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 256, 100_000
+#: Members and shingles of a block; members of a bucket whose pairs are listed.
+BLOCK, BLOCK_SHINGLES, FEW = 256, 100_000, 16
 
 
-def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between members of one bucket that are in different components."""
+def _close(n, m, percent: int):
+    """Whether sets of these sizes can be similar enough at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that are in different components. `tried` are pairs (a, b), a < b, that
+    have been verified."""
     named = members.join(labels.select(F.col("vertex").alias("class"), "component"), "class", "left")
     named = named.select("key", "class", "n", F.coalesce("component", "class").alias("comp"))
-    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    top = per.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.count("*").alias("comps")).where("comps > 1")
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "class").cast("decimal(38,0)")).alias("y"))
+    top = per.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("comps")).where("comps > 1")
+    top = top.groupBy("all_c", "x", "y").agg(F.min(F.struct("key", "top", "all_s")).alias("one")).select("one.*", "all_c")  # x, y: who is in it
+    top = written(top, "open-buckets")
     open_ = named.join(top, "key")
+    few = open_.where(F.col("all_c") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class", "n", "comp"))).alias("m"))
+    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, FEW)).alias("b"))
+    few = few.where((F.col("a.comp") != F.col("b.comp")) & _close(F.col("a.n"), F.col("b.n"), percent)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    few = written(few.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = written(_verified(few, texts, size, percent), "links")
+    open_ = open_.where(F.col("all_c") > FEW)
     parts = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES))
     whole = parts(F.col("all_c"), F.col("all_s")) <= 1
     major = F.col("comp") == F.col("top.comp")
@@ -193,7 +210,7 @@ def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
                 x, y = _links(ids.to_numpy(), comps.to_numpy(), sets, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return todo.mapInArrow(run, "a long, b long")
+    return links.unionByName(todo.mapInArrow(run, "a long, b long"))
 
 
 def _slices(texts: pa.Array):
@@ -209,18 +226,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     keys = classes.select("class", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    members = written(keys.join(shared, "key"), "members")
+    centre = keys.groupBy("key").agg(F.min(F.struct("class", "n")).alias("c"), F.max("class").alias("hi")).where("c.class <> hi").select("key", "c")
+    centre = written(centre, "centres")
+    members = written(keys.join(centre, "key"), "members")
     involved = members.select(F.col("class").alias("id")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id")
     texts = written(texts, "texts")
-    close = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    centre = members.groupBy("key").agg(F.min(F.struct("class", "n")).alias("c"))
-    pairs = members.join(centre, "key").where((F.col("class") != F.col("c.class")) & close(F.col("n"), F.col("c.n")))
+    pairs = members.where((F.col("class") != F.col("c.class")) & _close(F.col("n"), F.col("c.n"), percent))
     pairs = written(pairs.select(F.col("c.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     links = written(_verified(pairs, texts, size, percent), "links")
     labels = components(links)
-    more = written(_between(members, labels, texts, size, percent), "links")
+    more = written(_between(members.drop("c"), labels, texts, pairs, size, percent), "links")
     if not more.isEmpty():
         labels = components(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
 
