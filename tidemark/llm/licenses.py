@@ -1,9 +1,13 @@
 """Operator 2: licence recognition by known sentences and ordered rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, everything but letters and digits as one
-space) and looked up among known licence sentences. The identifiers found, in order, form the text's
-sequence; a rule is a sequence of identifiers and matches where they stand in it side by side, whatever
-unknown sentences lie between. All of it happens within the row: no shuffle, and no table that grows.
+A text's lines lose blanks and comment marks at both ends, CRLF counts as LF, and the lines of a paragraph are
+joined, so that wrapped, indented and commented notices become whole sentences; a second reading takes each
+line by itself, for notices that stand on a line of their own amid others. Sentences are normalised (lower case,
+everything but letters and digits as one space, numbering before a sentence left out) and looked up by hash
+among known licence sentences. The identifiers found, in order, form the text's sequence. A rule is a
+sequence of identifiers and matches where they stand in it side by side, whatever unknown sentences lie between.
+Longer rules go first: a match inside the span of a longer one is none, so a licence that contains another
+is reported alone. All of it happens within the row: no shuffle, and no table that grows.
 
 A null or empty text has no sentences and no licence. Repeated rows are judged each; null keys pass
 through. An empty table gives an empty result.
@@ -11,77 +15,196 @@ through. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import zlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences in normal form, by identifier.
+# Sentences of published licences in normal form, by identifier.
 SENTENCES = {
     "all-rights": "all rights reserved",
     "apache-short": "licensed under the apache license version 2 0",
+    "apache-short-2": "released under the apache license version 2 0",
+    "apache-the": "licensed under the apache license version 2 0 the license",
     "apache-you-may": "you may not use this file except in compliance with the license",
     "apache-obtain": "you may obtain a copy of the license at",
     "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
-    "apache-the": "licensed under the apache license version 2 0 the license",
     "mit-short": "released under the mit license",
     "mit-short-2": "licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-0-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "x11-name": "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "hpnd-grant": "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
     "gpl3-short": "this work is licensed under the gnu general public license version 3",
-    "gpl-redistribute": "this program is free software",
-    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "cc-by-nc-4": "licensed under cc by nc 4 0",
-    "cc-by-4": "licensed under cc by 4 0",
-    "cc-by-sa-4": "licensed under cc by sa 4 0",
-    "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "gpl3-short-2": "licensed under the gnu general public license version 3",
+    "gpl2-short": "licensed under the gnu general public license version 2",
+    "gpl-free": "this program is free software",
+    "gpl-library-free": "this library is free software",
+    "gpl3-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3-only": "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-library-terms": "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation",
+    "agpl-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "v2-later": "either version 2 of the license or at your option any later version",
+    "v21-later": "either version 2 1 of the license or at your option any later version",
+    "v3-later": "either version 3 of the license or at your option any later version",
+    "v2-only": "version 2 of the license",
+    "lgpl21-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl2-later": "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl3-later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-short": "licensed under the gnu affero general public license version 3",
+    "lgpl3-short": "licensed under the gnu lesser general public license version 3",
     "mpl-terms": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-copy-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-incompatible": "this source code form is incompatible with secondary licenses as defined by the mozilla public license v 2 0",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl1-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "cddl-terms": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "bsl-short": "distributed under the boost software license version 1 0",
+    "artistic2-title": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "artistic2-terms": "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",
+    "ncsa-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "postgresql-grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "eupl-terms": "licensed under the eupl version 1 2",
+    "ofl-terms": "this font software is licensed under the sil open font license version 1 1",
+    "wtfpl-terms": "you just do what the fuck you want to",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by-4": "licensed under cc by 4 0",
+    "cc-by-sa-4": "licensed under cc by sa 4 0",
+    "cc-by-nc-4": "licensed under cc by nc 4 0",
+    "cc-by-nd-4": "licensed under cc by nd 4 0",
+    "cc-by-nc-sa-4": "licensed under cc by nc sa 4 0",
+    "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-long": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-long": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd-long": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
 }
 
-#: Licences by the sequences of sentences that state them.
+# Licences by the sequences of sentences that state them.
 RULES = {
-    "apache-2.0": [["apache-short"], ["apache-the", "apache-you-may"], ["apache-as-is", "apache-see"]],
-    "bsd-2-clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
-    "bsd-3-clause": [["bsd-source", "bsd-binary", "bsd-names"]],
+    "0bsd": [["0bsd-grant", "isc-as-is"]],
+    "agpl-3.0-or-later": [["gpl-free", "agpl3-later"], ["gpl-free", "agpl-terms", "v3-later"]],
+    "agpl-3.0": [["agpl3-short"]],
+    "apache-2.0": [["apache-short"], ["apache-short-2"], ["apache-the", "apache-you-may"], ["apache-the", "apache-you-may", "apache-obtain", "apache-as-is", "apache-see"], ["apache-as-is", "apache-see"]],
+    "artistic-2.0": [["artistic2-title", "artistic2-terms"]],
+    "bsd-2-clause": [["bsd-grant", "bsd-source", "bsd-binary"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]],
+    "bsd-3-clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]],
+    "bsd-4-clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names", "bsd-as-is"]],
+    "bsl-1.0": [["bsl-short"], ["bsl-grant"]],
     "cc-by-4.0": [["cc-by-4"], ["cc-by-long"]],
-    "cc-by-nc-4.0": [["cc-by-nc-4"]],
-    "cc-by-sa-4.0": [["cc-by-sa-4"]],
+    "cc-by-nc-4.0": [["cc-by-nc-4"], ["cc-by-nc-long"]],
+    "cc-by-nc-nd-4.0": [["cc-by-nc-nd-long"]],
+    "cc-by-nc-sa-4.0": [["cc-by-nc-sa-4"], ["cc-by-nc-sa-long"]],
+    "cc-by-nd-4.0": [["cc-by-nd-4"], ["cc-by-nd-long"]],
+    "cc-by-sa-4.0": [["cc-by-sa-4"], ["cc-by-sa-long"]],
     "cc0-1.0": [["cc0"]],
-    "gpl-2.0": [["gpl-redistribute", "gpl2-terms"]],
-    "gpl-3.0": [["gpl3-short"], ["gpl-redistribute", "gpl3-terms"]],
-    "mit": [["mit-short"], ["mit-short-2"], ["mit-grant", "mit-notice"], ["mit-as-is", "mit-liable"]],
-    "mpl-2.0": [["mpl-terms", "mpl-copy"]],
+    "cddl-1.0": [["cddl-terms"]],
+    "epl-1.0": [["epl1-terms"]],
+    "epl-2.0": [["epl2-terms"]],
+    "eupl-1.2": [["eupl-terms"]],
+    "gpl-2.0": [["gpl2-short"], ["gpl-free", "gpl2-only"], ["gpl-free", "gpl-terms", "v2-only"]],
+    "gpl-2.0-or-later": [["gpl-free", "gpl2-later"], ["gpl-free", "gpl-terms", "v2-later"]],
+    "gpl-3.0": [["gpl3-short"], ["gpl3-short-2"], ["gpl-free", "gpl3-only"]],
+    "gpl-3.0-or-later": [["gpl-free", "gpl3-later"], ["gpl-free", "gpl-terms", "v3-later"]],
+    "hpnd": [["hpnd-grant"]],
+    "isc": [["isc-grant"], ["isc-grant", "isc-as-is"]],
+    "lgpl-2.0-or-later": [["gpl-library-free", "lgpl2-later"], ["gpl-free", "lgpl2-later"], ["gpl-library-free", "lgpl-library-terms", "v2-later"]],
+    "lgpl-2.1-or-later": [["gpl-library-free", "lgpl21-later"], ["gpl-free", "lgpl21-later"], ["gpl-library-free", "lgpl-terms", "v21-later"], ["gpl-free", "lgpl-terms", "v21-later"]],
+    "lgpl-3.0": [["lgpl3-short"]],
+    "lgpl-3.0-or-later": [["gpl-library-free", "lgpl3-later"], ["gpl-free", "lgpl3-later"], ["gpl-library-free", "lgpl-terms", "v3-later"], ["gpl-free", "lgpl-terms", "v3-later"]],
+    "mit": [["mit-short"], ["mit-short-2"], ["mit-grant", "mit-notice"], ["mit-grant", "mit-notice", "mit-as-is", "mit-liable"], ["mit-as-is", "mit-liable"]],
+    "mit-0": [["mit-0-grant"], ["mit-0-grant", "mit-as-is", "mit-liable"]],
+    "mpl-2.0": [["mpl-terms"], ["mpl-terms", "mpl-copy"], ["mpl-terms", "mpl-copy-2"]],
+    "mpl-2.0-no-copyleft-exception": [["mpl-terms", "mpl-copy", "mpl-incompatible"], ["mpl-terms", "mpl-copy-2", "mpl-incompatible"]],
+    "ncsa": [["ncsa-grant"], ["ncsa-grant", "bsd-source", "bsd-binary"]],
+    "ofl-1.1": [["ofl-terms"]],
+    "postgresql": [["postgresql-grant"]],
     "proprietary": [["all-rights"]],
-    "unlicense": [["unlicense"]],
+    "unlicense": [["unlicense"], ["unlicense", "unlicense-anyone"]],
+    "wtfpl": [["wtfpl-terms"]],
+    "x11": [["mit-grant", "mit-notice", "mit-as-is", "x11-name"], ["mit-grant", "mit-notice", "mit-as-is", "mit-liable", "x11-name"]],
+    "zlib": [["zlib-as-is", "zlib-grant"], ["zlib-as-is", "zlib-grant", "zlib-origin"], ["zlib-as-is", "zlib-grant", "zlib-origin", "zlib-altered"]],
 }
 
-#: Lines broken inside a sentence, ends of sentences, and what normal forms leave out.
-WRAPPED, ENDS, OUT = r"([a-z,])\n([a-z(])", r"[.!?;:][ \t\r\n]+|\n+", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lines lose at their beginnings (blanks, comment marks, bullets, numbering), where paragraphs and sentences
+#: end, what normal forms leave out. The expressions mean the same in SQL, and none looks twice at a run of blanks.
+BEGINS = r"(^|\n)[ \t/*#;%!<>|-]*(?:(?:[0-9]{1,2}[.)]|\(?(?:[0-9]{1,2}|[a-h]|i{1,3}|iv)\))[ \t]+)?"
+PARAGRAPHS, ENDS, OUT = r"\n\n+", r"[.!?;:][ \t\n\x0B\x0C\x01]+", r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Places in the table of hashes.
+TABLE = 1024
+
+
+def _sentences(text: Column, joined: bool) -> Column:
+    """The normal forms of a text's sentences, in order."""
+    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    s = F.regexp_replace(F.regexp_replace(s, BEGINS, "$1"), PARAGRAPHS, "\x01")
+    s = F.translate(F.regexp_replace(s, ENDS, "\x01"), "\n", " " if joined else "\x01")
+    s = F.regexp_replace(s, OUT, " ")
+    return F.filter(F.transform(F.split(s, "\x01"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _lookup(sentences: dict[str, str]) -> Column:
+    """The known sentences as a literal array of `TABLE` lists, each sentence at the place of its checksum."""
+    rows: list[list] = [[] for _ in range(TABLE)]
+    for name, s in sentences.items():
+        rows[zlib.crc32(s.encode()) % TABLE].append({"s": s, "id": name})
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<struct<s:string,id:string>>>")
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
-    """One row per document: key, n_sentences, sentence_ids (those known, in order) and licenses (names
-    of the rules that match, sorted)."""
-    if len(sentences) > 10_000:
-        raise ValueError("sentences are looked up in a literal of the plan; split the table")
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), WRAPPED, "$1 $2")
-    plain = F.regexp_replace(F.regexp_replace(plain, ENDS, "\n"), OUT, " ")
-    known = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    df = docs.select(key, F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("_s"))
-    df = df.select(key, F.size("_s").cast("long").alias("n_sentences"), F.filter(F.transform("_s", lambda s: F.element_at(known, s)), lambda x: x.isNotNull()).alias("sentence_ids"))
-    joined = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    hit = lambda ways: F.expr("false") if not ways else F.contains(joined, F.lit(f",{','.join(ways[0])},")) | hit(ways[1:])
-    found = [F.when(hit(ways), F.lit(name)) for name, ways in sorted(rules.items())]
-    return df.withColumn("licenses", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    """One row per document: key, n_sentences, sentence_ids (those known, in order; of the reading with joined lines,
+    or line by line where that knows more) and licenses (names of the rules that match in either, sorted)."""
+    if len(sentences) > 10_000 or sum(map(len, rules.values())) > 10_000:
+        raise ValueError("sentences and rules are looked up in literals of the plan; split the tables")
+    table = _lookup(sentences)
+    known = lambda s: F.filter(F.transform(s, lambda x: F.get(F.filter(F.get(table, F.pmod(F.crc32(F.encode(x, "UTF-8")), F.lit(TABLE)).cast("int")), lambda e: e["s"] == x), 0)["id"]), lambda x: x.isNotNull())
+    flat = [{"name": name, "seq": ",".join(w) + ",", "n": len(w)} for name, ways in sorted(rules.items()) for w in ways]
+    ways = F.from_json(F.lit(json.dumps(flat)), "array<struct<name:string,seq:string,n:int>>")
+    longest = max((r["n"] for r in flat), default=1)
+
+    def matches(ids: Column) -> Column:
+        at = lambda i: F.concat(F.array_join(F.slice(ids, i + 1, longest), ","), F.lit(","))
+        found = lambda i: F.transform(F.filter(ways, lambda r: F.startswith(at(i), r["seq"])), lambda r: F.struct(r["name"].alias("name"), i.alias("a"), (i + r["n"]).alias("b")))
+        return F.when(F.size(ids) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ids) - 1), found))).otherwise(F.array().cast("array<struct<name:string,a:int,b:int>>"))
+
+    def outer(m: Column) -> Column:
+        inside = lambda x: F.exists(m, lambda o: (o["a"] <= x["a"]) & (o["b"] >= x["b"]) & (o["b"] - o["a"] > x["b"] - x["a"]))
+        return F.transform(F.filter(m, lambda x: ~inside(x)), lambda x: x["name"])
+
+    df = docs.select(key, _sentences(F.col(text), True).alias("_s"), _sentences(F.col(text), False).alias("_l"))
+    df = df.select(key, F.size("_s").cast("long").alias("n_sentences"), known(F.col("_s")).alias("_s"), known(F.col("_l")).alias("_l"))
+    ids = F.when(F.size("_l") > F.size("_s"), F.col("_l")).otherwise(F.col("_s"))
+    df = df.select(key, "n_sentences", ids.alias("sentence_ids"), matches(F.col("_s")).alias("_s"), matches(F.col("_l")).alias("_l"))
+    return df.select(key, "n_sentences", "sentence_ids", F.array_sort(F.array_distinct(F.concat(outer(F.col("_s")), outer(F.col("_l"))))).alias("licenses"))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
@@ -92,22 +215,31 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     names = ", ".join(f"('{s}', '{name}')" for name, s in SENTENCES.items())
-    rules = ", ".join(f"('{name}', ',{','.join(w)},')" for name, ways in RULES.items() for w in ways)
+    rules = ", ".join(f"('{name}', '{','.join(w)},', {len(w)})" for name, ways in RULES.items() for w in ways)
     return rf"""
-WITH known(s, id) AS (VALUES {names}), rules(name, seq) AS (VALUES {rules}), t AS (
-  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '([a-z,])\n([a-z(])', '\1 \2', 'g') AS a FROM documents
+WITH known(s, id) AS (VALUES {names}), rules(name, seq, n) AS (VALUES {rules}), t AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\r\n?', chr(10), 'g'),
+         '{BEGINS}', '\1', 'g'), '{PARAGRAPHS}', chr(1), 'g'), '{ENDS}', chr(1), 'g') AS a FROM documents
+), r AS (
+  SELECT doc_id, 1 AS way, replace(a, chr(10), ' ') AS a FROM t UNION ALL SELECT doc_id, 2, replace(a, chr(10), chr(1)) FROM t
 ), s AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(a, '[.!?;:][ \t\r\n]+|\n+', chr(10), 'g'),
-         '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS list FROM t
+  SELECT doc_id, way, list_filter(list_transform(string_split(regexp_replace(a, '{OUT}', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS list FROM r
 ), e AS (
-  SELECT doc_id, i, list[i] AS x FROM (SELECT doc_id, list, unnest(range(1, len(list) + 1)) AS i FROM s)
+  SELECT doc_id, way, i, list[i] AS x FROM (SELECT doc_id, way, list, unnest(range(1, len(list) + 1)) AS i FROM s)
 ), ids AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS seq FROM e JOIN known ON known.s = e.x GROUP BY doc_id
+  SELECT doc_id, way, list(id ORDER BY i) AS l FROM e JOIN known ON known.s = e.x GROUP BY doc_id, way
+), pos AS (
+  SELECT doc_id, way, l, unnest(range(1, len(l) + 1)) AS i FROM ids
+), m AS (
+  SELECT doc_id, way, name, i AS a, i + n AS b FROM pos JOIN rules ON starts_with(array_to_string(l[i : i + 20], ',') || ',', seq)
 ), found AS (
-  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM ids JOIN rules ON contains(',' || ids.seq || ',', rules.seq) GROUP BY doc_id
+  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM m
+  WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.way = m.way AND o.a <= m.a AND o.b >= m.b AND o.b - o.a > m.b - m.a) GROUP BY doc_id
+), best AS (
+  SELECT doc_id, arg_max(l, len(l) * 10 - way) AS l FROM ids GROUP BY doc_id
 )
-SELECT s.doc_id, CAST(len(list) AS BIGINT) AS n_sentences, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(seq, '') AS sentence_ids, coalesce(names, '') AS licenses
-FROM s LEFT JOIN ids ON ids.doc_id = s.doc_id LEFT JOIN found ON found.doc_id = s.doc_id
+SELECT s.doc_id, CAST(len(list) AS BIGINT) AS n_sentences, CAST(coalesce(len(l), 0) AS BIGINT) AS n_known, coalesce(array_to_string(l, ','), '') AS sentence_ids, coalesce(names, '') AS licenses
+FROM s LEFT JOIN best ON best.doc_id = s.doc_id LEFT JOIN found ON found.doc_id = s.doc_id WHERE s.way = 1
 """
 
 
