@@ -1,16 +1,16 @@
 """Operator 6: quality rules with verdicts on whole hosts, in DataFrame functions only.
 
 Base rules judge each text alone. The method then looks at hosts (here the documents' source): failures
-are summed by host, each host's failure rate is shrunk towards the corpus by a beta prior whose mean and
-strength are the moments of the hosts' rates, and a host whose shrunk rate exceeds `host_limit` is
-rejected with all its documents. A host with few documents is hardly judged by them alone.
+are summed by host, each host's failure rate is shrunk towards the corpus by an empirical beta prior, and a
+host is rejected with all its documents when its rate is surely above `factor` times the corpus's, or above
+`limit` (see `host_verdicts`). A host with few documents is hardly judged by them alone.
 
 Sums by host are pre-aggregated, and the join back can be split or broadcast by Spark as the size of the
 host table turns out, so a host with a third of all rows is no hot task.
 
 A null text has no words and fails. A null host is a host of its own. Repeated rows count each. An empty
-table gives an empty result. With one host, or hosts of equal rates, the prior has the strength of
-`strength` documents.
+table gives an empty result. With one host, or hosts that differ by no more than chance, the prior has the
+weight of `MOST` documents and no host is rejected unless the corpus as a whole is that bad.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
+#: Greatest weight of the prior, in documents, where hosts do not differ.
+MOST = 1e6
 
 
 def _let(value: Column, body) -> Column:
@@ -61,21 +63,32 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_words", "_lines", "_windows").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def host_verdicts(judged: DataFrame, host: str = "host", limit: float = 0.5, strength: float = 10.0) -> DataFrame:
-    """host, n, failed, rate (shrunk), rejected for each host of `judged` (host, base_failed)."""
-    hosts = judged.groupBy(host).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
-    raw = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.coalesce(F.avg(raw), F.lit(0.0)), F.coalesce(F.var_pop(raw), F.lit(0.0))).first()
-    total = max(1.0, m * (1 - m) / v - 1) if v > 0 else strength
-    rate = (F.col("failed") + m * total) / (F.col("n") + total)
-    return hosts.withColumn("rate", rate).withColumn("rejected", rate > limit)
-
-
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str = "host", factor: float = 3.0, limit: float = 0.5, sure: float = 2.0) -> DataFrame:
+    """host, n, failed, rate (posterior mean), low (`sure` posterior deviations below it), rejected for each host of
+    `judged` (host, base_failed).
+
+    The prior is a beta distribution with the corpus's failure rate m and the between-host share g of the variance,
+    from the moments of all hosts weighted by their documents, without what sampling within hosts adds. A host is
+    rejected when even `low` exceeds `factor` times the corpus's rate, or `limit` where that is less.
+    """
+    hosts = written(judged.groupBy(host).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed")), "hosts")
+    c = hosts.agg(F.count("*").alias("h"), F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("f2")).first()
+    m, strength = 0.0, MOST
+    if c.h:
+        m = c.f / c.n
+        spread, room = c.f2 - c.f * m - m * (1 - m) * (c.h - 1), m * (1 - m) * (c.n - c.n2 / c.n - (c.h - 1))
+        strength = min(MOST, max(1.0, room / spread - 1)) if spread > 0 and room > 0 else MOST
+    a, t = F.col("failed") + m * strength, F.col("n") + strength
+    rate = a / t
+    low = rate - sure * F.sqrt(rate * (1 - rate) / (t + 1))
+    return hosts.withColumn("rate", rate).withColumn("low", low).withColumn("rejected", F.col("low") > min(factor * m, limit))
+
+
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", factor: float = 3.0, limit: float = 0.5) -> DataFrame:
     """One row per document: the key, host, measures, base_failed, host_rejected and kept."""
     measured = text_measures(docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))).drop("text")
     measured = written(measured, "measures")
-    hosts = written(host_verdicts(measured, limit=limit), "hosts").select(F.col("host").alias("h"), "rejected")
+    hosts = written(host_verdicts(measured, factor=factor, limit=limit), "verdicts").select(F.col("host").alias("h"), "rejected")
     out = measured.join(hosts, measured["host"].eqNullSafe(hosts["h"]), "left").drop("h")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).withColumnsRenamed({"key": key, "rejected": "host_rejected"})
 
@@ -109,10 +122,13 @@ WITH w AS (
 ), h AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM j GROUP BY source
 ), p AS (
-  SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h
+  SELECT count(*) AS h, sum(n) AS n, sum(failed) AS f, sum(n * n) AS n2, sum(failed * failed / n) AS f2, sum(failed) / sum(n) AS m FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(failed AS DOUBLE) AS failed FROM h)
+), q AS (
+  SELECT m, f2 - f * m - m * (1 - m) * (h - 1) AS spread, m * (1 - m) * (n - n2 / n - (h - 1)) AS room FROM p
 ), v AS (
-  SELECT h.source, (failed + m * s) / (n + s) > 0.5 AS rejected
-  FROM h, (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 10.0 END AS s FROM p)
+  SELECT source, rate - 2.0 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(3.0 * m, 0.5) AS rejected
+  FROM (SELECT h.source, h.n, m, s, (failed + m * s) / (n + s) AS rate
+        FROM h, (SELECT m, CASE WHEN spread > 0 AND room > 0 THEN least(1e6, greatest(1.0, room / spread - 1)) ELSE 1e6 END AS s FROM q))
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM j JOIN v ON v.source IS NOT DISTINCT FROM j.source
