@@ -5,7 +5,8 @@ ids, and long hexadecimal runs. The method adds a fourth: every value in a crede
 than the pattern knows, also glued to a prefix, any characters; in quotes up to the closing quote) is
 cut as a whole into words, dates, repeats, keyboard walks and brute-force spans so that the number of
 guesses is least, by dynamic programming over the value's characters; a value that takes 10 ** `LEAST`
-guesses or more is a span of kind `guess`, unless spans from patterns cover all of it. Redaction takes
+guesses or more is a span of kind `guess`, unless spans from patterns cover all of it. How soon guesses try a
+word is its rank in the corpus (`word_ranks`, a bounded list counted over all documents), after a short fixed list. Redaction takes
 the union of the spans, and the whole of any value that a pattern's span touches.
 
 Places count code points, ends are exclusive. The whole of every text is scanned, row by row, without a
@@ -18,13 +19,18 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._spark import prepare
-from tidemark.llm._text import pieces
+from tidemark.llm._text import LOWER, pieces, words
+
+#: Bytes of words: lower-case letters and everything outside ASCII.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -42,7 +48,7 @@ _NAMES = ("pass", "pwd", "secret", "token", "apikey", "api_key", "accesskey", "a
 
 #: log10 of the guesses from which a value counts as a secret.
 LEAST = 8.0
-#: Words in the order in which guesses try them.
+# Words that guesses try first, in their order.
 WORDS = (
     "password 123456 qwerty letmein admin welcome login abc123 monkey dragon master hello freedom whatever trustno1 iloveyou sunshine princess "
     "football baseball shadow superman michael jordan secret test guest root user default changeme example sample dummy null none true false "
@@ -50,35 +56,18 @@ WORDS = (
     "summer winter spring autumn monday friday january december love money blue green black white red house dog cat name john anna "
     "the and that have for not with you this but his from they say her she will one all would there their what out about who get which when make can like "
     "time just him know take people into year good some could them see other than then now look only come its over think also back after use two how our "
-    "work first well way even new want because any these give day most are was were been has had did does done made went gone said got being having doing "
-    "every everything everyone everybody everywhere something someone somebody somewhere anything anyone anybody anywhere nothing nobody nowhere thing things "
-    "man men woman women child children world life hand part place case week company system program question government number night point home water room "
-    "mother father sister brother family friend friends baby girl boy lady king queen prince story fact month lot right study book eye job word business "
-    "issue side kind head service area thank thanks please sorry great little big small large long short high low old young early late different important "
-    "able best better bad sure free full special easy clear recent certain open close closed real left strong possible whole true general simple common "
-    "between under again against through before during without within along around among behind below above across never always often sometimes usually "
-    "maybe perhaps quite rather really almost already still while until since though although however therefore should must might shall may need try "
-    "ask seem feel leave call keep let begin help show hear play run move live believe hold bring happen write provide sit stand lose pay meet include "
-    "continue set learn change lead understand watch follow stop create speak read allow add spend grow walk win offer remember consider appear buy wait "
-    "serve die send expect build stay fall cut reach kill remain suggest raise pass sell require report decide pull return explain hope develop carry "
-    "break receive agree support hit produce eat cover catch draw choose cause required optional missing unknown hidden removed redacted masked forgotten "
-    "expired invalid valid string number value values field option options setting settings config configuration default environment variable "
-    "account accounts email mail phone address street city country state school university student teacher doctor office market price cost power "
-    "computer internet network website online mobile windows linux apple google amazon microsoft facebook twitter github download upload update version "
-    "file files folder data code test testing debug release production development local remote client host port service session cookie browser "
-    "music movie game games player team ball sport soccer baseball hockey tennis golf fish bird horse tiger lion bear wolf eagle snake flower garden tree "
-    "mountain river ocean beach island forest sun moon star stars sky rain snow wind fire earth light dark heart soul angel devil heaven hell magic "
-    "silver gold golden diamond orange yellow purple pink brown gray grey chocolate coffee cookie banana cherry pepper butter cheese sugar honey candy "
-    "morning evening afternoon tonight today tomorrow yesterday tuesday wednesday thursday saturday sunday february march april june july august september "
-    "october november one two three four five six seven eight nine ten hundred thousand million first second third last next "
-    "james robert david william richard joseph thomas charles daniel matthew anthony mark steven andrew paul george peter mary patricia jennifer linda "
-    "elizabeth barbara susan jessica sarah karen nancy lisa maria alex chris martin victor simon oliver jack harry emma laura alice "
-    "character characters letter letters length minimum maximum strength policy reset forgot remember recovery login logout signin signup sign register "
-    "registration confirm confirmation verify verification authentication authorization authorized permission permissions request response error message "
-    "information document documents example examples section chapter page table list line text title description reason result answer problem"
+    "everything something required optional missing unknown hidden removed redacted masked forgotten expired invalid number"
 ).split()
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
-_LONGEST = max(map(len, _RANK))
+#: Words that the corpus adds, and their greatest length.
+MOST, LONGEST = 20_000, 20
+
+
+def _ranks(words: list[str]) -> dict[str, float]:
+    """log10 of the guesses after which each of the words has been tried."""
+    return {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(words))}
+
+
+_RANK = _ranks(WORDS)
 _LEET = str.maketrans("40351$7@", "aoesista")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT: dict[tuple[str, str], frozenset] = {}
@@ -96,9 +85,10 @@ def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest cut of the value into segments. Repeats and walks are taken
-    from where they begin, so the work is linear in the length."""
+def guess_cost(value: str, ranks: dict[str, float] | None = None) -> float:
+    """log10 of the guesses for the cheapest cut of the value into segments. `ranks` are words with log10 of their
+    guesses. Repeats and walks are taken from where they begin, so the work is linear in the length."""
+    ranks = _RANK if ranks is None else ranks
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
@@ -114,10 +104,10 @@ def guess_cost(value: str) -> float:
     for i in range(1, n + 1):
         c = value[i - 1]
         cost = best[i - 1] + _alphabet(c) + (_SEGMENT if i == 1 else 0)
-        for length in range(3, min(_LONGEST, i) + 1):
+        for length in range(3, min(LONGEST, i) + 1):
             j = i - length
             for form, extra in forms:
-                rank = _RANK.get(form[j:i])
+                rank = ranks.get(form[j:i])
                 if rank is not None:
                     case = 0.0 if value[j:i] in (low[j:i], value[j:i].upper()) else 0.3 if value[j + 1 : i] == low[j + 1 : i] else math.log10(2) * length
                     cost = min(cost, best[j] + _SEGMENT + rank + case + extra)
@@ -152,13 +142,13 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _found(text: str) -> tuple[list[tuple[int, int, int, int, float | None]], list[tuple[int, int]]]:
+def _found(text: str, ranks: dict[str, float] | None = None) -> tuple[list[tuple[int, int, int, int, float | None]], list[tuple[int, int]]]:
     """The spans of scan(), and what redaction takes out."""
     out: list[tuple[int, int, int, int, float | None]] = []
     low = text.lower()
     named = any(x in low for x in _NAMES)
     if named:
-        out += [(m.start(), 0, m.end(), m.start(2), guess_cost(m[2])) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        out += [(m.start(), 0, m.end(), m.start(2), guess_cost(m[2], ranks)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end(), m.start(), None) for m in HEX.finditer(text)]
@@ -171,7 +161,7 @@ def _found(text: str) -> tuple[list[tuple[int, int, int, int, float | None]], li
                 at += 1
             touched = at < len(base) and base[at][0] < b
             covered = touched and base[at][0] <= a and b <= base[at][1]
-            cost = guess_cost(text[a:b]) if b - a >= SHORTEST and not covered else 0.0
+            cost = guess_cost(text[a:b], ranks) if b - a >= SHORTEST and not covered else 0.0
             if cost >= LEAST:
                 out.append((a, 3, b, a, cost))
             if touched or cost >= LEAST:
@@ -181,13 +171,43 @@ def _found(text: str) -> tuple[list[tuple[int, int, int, int, float | None]], li
     return sorted(out, key=lambda x: x[:3]), gone
 
 
-def scan(text: str) -> list[tuple[int, int, int, int, float | None]]:
+def word_ranks(docs: DataFrame, text: str = "text", most: int = MOST) -> dict[str, float]:
+    """WORDS and the corpus's `most` most frequent words of 3 to `LONGEST` bytes (letters alone; ties by the word), in the
+    order in which guesses try them. Values in credential contexts are not counted, so that a secret which
+    many documents repeat does not become a word."""
+    prepare(docs.sparkSession)
+    blank = lambda m: m[0][: m.start(m.lastindex) - m.start()] + " "
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, text):
+                texts = []
+                for t in part.column(text).to_pylist():
+                    low = (t or "").lower()
+                    if any(x in low for x in _NAMES):
+                        t = CONTEXT.sub(blank, ASSIGN.sub(" ", t))
+                    texts.append(t)
+                w = words(pa.array(texts, pa.string()), LETTERS, lower=True)
+                length = w.end - w.start
+                fits = np.flatnonzero((length >= 3) & (length <= LONGEST))
+                _, first, n = np.unique(w.hash[fits], return_index=True, return_counts=True)
+                first = fits[first]
+                data = LOWER[w.data].tobytes()
+                found = [data[a:b].decode() for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counted = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _ranks([*WORDS, *(r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())])
+
+
+def scan(text: str, ranks: dict[str, float] | None = None) -> list[tuple[int, int, int, int, float | None]]:
     """Spans (start, kind by its place in KINDS, end, where the value starts, log10 guesses) in order."""
-    return _found(text)[0]
+    return _found(text, ranks)[0]
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key and spans (kind, start, end, value_start, log10_guesses) by start, then kind."""
+def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: dict[str, float] | None = None) -> DataFrame:
+    """One row per document: key and spans (kind, start, end, value_start, log10_guesses) by start, then kind. `ranks`
+    are those of `word_ranks`, or of WORDS alone."""
     prepare(docs.sparkSession)
     fields = [("kind", T.StringType(), pa.string()), ("start", T.LongType(), pa.int64()), ("end", T.LongType(), pa.int64()), ("value_start", T.LongType(), pa.int64()), ("log10_guesses", T.DoubleType(), pa.float64())]
     schema = T.StructType([docs.schema[key], T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, t) for n, t, _ in fields])))])
@@ -196,20 +216,20 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def run(batches):
         for batch in batches:
             for part in pieces(batch, text):
-                rows = [[{"kind": KINDS[k], "start": s, "end": e, "value_start": v, "log10_guesses": c} for s, k, e, v, c in scan(t)] if t else [] for t in part.column(text).to_pylist()]
+                rows = [[{"kind": KINDS[k], "start": s, "end": e, "value_start": v, "log10_guesses": c} for s, k, e, v, c in scan(t, ranks)] if t else [] for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(rows, kind)], names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: str = "n_secrets") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: str = "n_secrets", ranks: dict[str, float] | None = None) -> DataFrame:
     """docs with every secret value in the text replaced by the mark, and the number of spans in a column `count`."""
     prepare(docs.sparkSession)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
 
     def clean(t: str | None) -> tuple[str | None, int]:
-        found, gone = _found(t) if t else ([], [])
+        found, gone = _found(t, ranks) if t else ([], [])
         out, at = [], 0
         for a, b in gone:
             out += [t[at:a], mark]
@@ -228,7 +248,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", count: s
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = find_secrets(docs)
+    out = find_secrets(docs, ranks=word_ranks(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = joined(F.filter("spans", lambda s: s["kind"] != "guess"))
