@@ -7,10 +7,12 @@ rarity in the corpus, is the one rarest shingle. The join takes document shingle
 keeps those that the bounds allow (the window would start and end inside the document), and then
 compares the words of the window one by one.
 
-Rarity is counted over all documents, for the benchmark's own shingles only. The benchmark's tables go
-to all tasks, and only up to `block_bytes` of benchmark text at a time: a larger benchmark is split by
-a hash of its ids into blocks of about that size, each block gets its own pass, and the passes' hits
-are united by document. Documents are never shuffled for one block; for more, only hits are.
+Rarity is counted over all documents, for the benchmark's own shingles only. A benchmark of up to
+`block_bytes` of text goes to all tasks with its tables (some thirty times as large), and documents are not
+shuffled. A larger one stays a table: a bitmap of its shingles of at most 16 MB goes to the tasks, which let
+through those shingles of documents that it may hold, with the words around them; they are counted, and
+joined to the prefixes by shingle; bounds and words are checked in the join's own row. Both ways give the
+same rows.
 
 Words are compared by 64-bit hashes, a window by all its hashes. Null and empty texts have no words.
 Items without words match nothing; equal items are all reported; items with a null id are left out of
@@ -138,38 +140,96 @@ def _matches(docs: DataFrame, key: str, text: str, ids: list[str | None], win: W
     return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+def _window_table(bench: DataFrame, size: int) -> DataFrame:
+    """The distinct windows of a benchmark (id, t): id, word hashes w, shingle length q, shingle hashes by place."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "t"):
+                win = Windows(part.column("t").to_pylist(), size)
+                lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(values[np.arange(size) < n[:, None]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(win.item)), pa.array(win.q.astype(np.int32)), lists(win.words, win.length), lists(win.shingles, win.length - win.q + 1)], names=["id", "q", "w", "shingles"])
+
+    return bench.mapInArrow(run, "id string, q int, w array<long>, shingles array<long>").dropDuplicates(["id", "w"])
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for each of 2 ** k values of the low bits of the hashes, about 16 times as many as there are, 16 MB at most."""
+    n = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    k = min(27, max(15, n.bit_length() + 4))
+    low = F.pmod(F.col("h"), F.lit(1 << k)) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(low).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits")).collect()  # 2 ** (k - 15) rows of 4 KB
+    out = np.zeros(1 << (k - 3), np.uint8)
+    for r in rows:
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _seen_shingles(docs: DataFrame, text: str, qs: list[int], bits: np.ndarray, size: int) -> DataFrame:
+    """Shingles of documents that the bitmap lets through: _row, q, shingle, place, the text's number of words n, and
+    the words (around) from place lo on in which a window with that shingle can lie."""
+    low = np.uint64(len(bits) * 8 - 1)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, text, 1 << 20):
+                w = words(part.column(text), ALNUM, lower=True)
+                left, owner = w.left(), w.owner()
+                for q in qs:
+                    h = windows(w.hash, q)
+                    at = (h & low).astype(np.int64)
+                    at = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (left >= q))
+                    lo = np.maximum(w.first[owner[at]], at - (size - q))
+                    n = np.minimum(w.first[owner[at] + 1], at + size) - lo
+                    ends = np.append(0, np.cumsum(n))
+                    around = w.hash[np.repeat(lo - ends[:-1], n) + np.arange(ends[-1])]
+                    first = w.first[owner[at]]
+                    longs = lambda x: pa.array(x, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("_row").take(pa.array(owner[at])), pa.array(np.full(len(at), q, np.int32)), longs(h[at].view(np.int64)), longs(at - first), longs(w.counts[owner[at]]), longs(lo - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(around.view(np.int64)))],
+                        names=["_row", "q", "shingle", "place", "n", "lo", "around"],
+                    )
+
+    kind = docs.schema["_row"].dataType.simpleString()
+    return docs.select("_row", text).mapInArrow(run, f"_row {kind}, q int, shingle long, place long, n long, lo long, around array<long>")
+
+
+def _joined_hits(docs: DataFrame, bench: DataFrame, text: str, size: int) -> DataFrame:
+    """Occurrences of windows in documents by joins: _row, id, start and length of each."""
+    win = written(_window_table(bench, size), "windows")
+    qs = [r.q for r in win.select("q").distinct().collect()]
+    each = win.select("id", "w", "q", F.posexplode("shingles").alias("p", "shingle"))
+    seen = written(_seen_shingles(docs, text, qs, _bitmap(each.select(F.col("shingle").alias("h"))), size), "shingles")
+    freq = written(seen.groupBy("q", "shingle").agg(F.count("*").alias("f")), "frequencies")
+    rare = each.join(freq, ["q", "shingle"], "left").groupBy("id", "w", "q").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "p", "shingle")).alias("r"))
+    # A window of which some shingle is in no document occurs nowhere.
+    rare = written(rare.where("r.f > 0").select("id", "w", "q", "r.p", "r.shingle"), "prefixes")
+    start = F.col("place") - F.col("p")
+    fits = (start >= 0) & (start + F.size("w") <= F.col("n"))
+    found = seen.join(rare, ["q", "shingle"]).where(fits)
+    found = found.where(F.slice("around", (start - F.col("lo") + 1).cast("int"), F.size("w")) == F.col("w"))
+    return found.select("_row", "id", start.alias("start"), F.size("w").cast("long").alias("length"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 4 << 20, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row per document: key (or the given columns), and with the prefix: n_words, n_hit (words inside an occurrence of a window), hit_ranges
     ([first, end) word places), items (ids of the items with occurring windows, sorted as strings)."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     bench = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    found = []
-    for b in range(blocks):
-        mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
-        rows = mine.collect()  # about block_bytes
+    if total <= block_bytes:
+        rows = bench.collect()  # block_bytes at most
         win = Windows([r.t for r in rows], size)
-        freq = _frequencies(docs, text, win.sets())
-        found.append((win, [r.id for r in rows], freq))
-        if blocks > 1:
-            keyed = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("x")).alias("_row"), text)
-            found[-1] = written(_matches(keyed, "_row", text, found[-1][1], win, freq, size).where(F.col("n_hit") > 0), "hits")
-    if blocks == 1:
-        win, ids, freq = found[0]
-        return _matches(docs, key, text, ids, win, freq, size, columns, prefix)
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    merged = hits.dropDuplicates(["_row", "items", "hit_ranges"]).groupBy("_row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hit_ranges"))).alias("r")
-    )
+        return _matches(docs, key, text, [r.id for r in rows], win, _frequencies(docs, text, win.sets()), size, columns, prefix)
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("x"))
+    hits = written(_joined_hits(docs.select(row.alias("_row"), text), bench, text, size), "hits")
+    span = F.array("start", F.col("start") + F.col("length"))
+    merged = hits.groupBy("_row").agg(F.array_sort(F.collect_set(span)).alias("r"), F.array_sort(F.collect_set("id")).alias("items"))  # a null id is in no list
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) >= x[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x)))
     merged = merged.withColumn("hit_ranges", F.aggregate("r", F.expr("cast(array() as array<array<bigint>>)"), step)).drop("r")
-    merged = merged.withColumn("n_hit", F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0]))
+    merged = written(merged.withColumn("n_hit", F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])), "merged-hits")
     empty = Windows([], size)
     columns = columns or [key]
-    row = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("x"))
     base = _matches(docs.withColumn("_row", row), "_row", text, [], empty, {}, size, ["_row", *columns], "_own_").select("_row", *columns, "_own_n_words")
     merged = merged.select(F.col("_row").alias("_hit_row"), *(F.col(c).alias("_hit_" + c) for c in ("hit_ranges", "items", "n_hit")))
     joined = base.join(merged, F.col("_row").eqNullSafe(F.col("_hit_row")), "left")
