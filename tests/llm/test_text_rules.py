@@ -30,6 +30,15 @@ def test_hosts_are_rejected_by_shrunk_rates(spark):
     assert quality.quality(df.limit(0)).count() == 0
 
 
+def test_a_worse_host_is_rejected_among_many(spark):
+    """Twenty hosts with a tenth of failures, one with a half; a small host that failed by chance stays."""
+    good = " ".join(f"w{i}" for i in range(20))
+    rows = [(h * 1000 + i, "bad" if i % 10 == 0 else good, f"h{h}") for h in range(20) for i in range(100)]
+    rows += [(90000 + i, "bad" if i % 2 else good, "worse") for i in range(100)] + [(95000 + i, "bad" if i == 0 else good, "small") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.source for r in quality.quality(df).where("host_rejected").withColumnRenamed("host", "source").select("source").distinct().collect()} == {"worse"}
+
+
 def test_licenses(spark):
     mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     texts = {0: None, 1: "", 2: "Some text.\nLicensed under the Apache License, Version 2.0.", 3: mit, 4: "All rights reserved. Unrelated sentence. Released under the MIT License", 5: "apache licensed version 2.0", 6: "x " * 200000 + ". All rights reserved."}
@@ -39,6 +48,85 @@ def test_licenses(spark):
     assert licenses.licenses(df.limit(0)).count() == 0
 
 
+BSD_HEAD = """Copyright (c) 2019, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL
+"""
+ZERO = ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")
+LGPL = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+ZLIB = """  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:
+
+  1. The origin of this software must not be misrepresented; you must not
+     claim that you wrote the original software.
+  2. Altered source versions must be plainly marked as such, and must not be
+     misrepresented as being the original software.
+"""
+
+
+def test_published_texts_have_one_license(spark):
+    comment = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    want = {
+        BSD_HEAD.replace("All rights reserved.\n", "") + BSD_TAIL: ["bsd-2-clause"],
+        BSD_HEAD.replace("All rights reserved.\n", "") + BSD_NAMES + BSD_TAIL: ["bsd-3-clause"],
+        BSD_HEAD.replace("All rights reserved.\n", "") + BSD_NAMES: ["bsd-3-clause"],
+        BSD_HEAD + BSD_NAMES: ["bsd-3-clause", "proprietary"],
+        ISC: ["isc"],
+        ZERO: ["0bsd"],
+        "/*\n" + LGPL + " */\nint x;": ["lgpl-2.1-or-later"],
+        ZLIB: ["zlib"],
+        "some header line\nAll rights reserved\nmore lines without ends": ["proprietary"],
+    }
+    texts = []
+    for t, names in want.items():
+        texts += [(t, names), (t.replace("\n", "\r\n"), names), (comment(t, "#"), names), (comment(t, "//"), names), (comment(t, " *"), names)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.licenses(df).collect():
+        assert list(r.licenses) == texts[r.doc_id][1], (texts[r.doc_id][0], r)
+
+
+def test_licenses_of_very_long_runs(spark):
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "\r\n" * 500_000, ". " * 500_000, " \t\n" * 300_000, "x" * 2_000_000]
+    df = spark.createDataFrame([(i, r + "\nReleased under the MIT license.") for i, r in enumerate(runs)], "doc_id long, text string")
+    assert {tuple(r.licenses) for r in licenses.licenses(df).collect()} == {("mit",)}
+
+
 def test_license_rules_need_their_order(spark):
     df = spark.createDataFrame([(0, "b. a."), (1, "a. x. b.")], "doc_id long, text string")
     rows = licenses.licenses(df, sentences={"A": "a", "B": "b"}, rules={"ab": [["A", "B"]]}).collect()
@@ -79,6 +167,74 @@ def test_guess_cost_orders_values():
     assert cost("ab" * 100000) > 0  # linear in the length
 
 
+def _segmented(value):
+    """The cheapest cut by trying every one, with the same prices."""
+    import functools
+    import math
+
+    price = {}
+    for a in range(len(value)):
+        for b in range(a + 1, len(value) + 1):
+            part, low = value[a:b], value[a:b].lower()
+            ways = []
+            for form, extra in {(low, 0.0), (low.translate(secrets._LEET), 0.0 if low == low.translate(secrets._LEET) else 0.5)}:
+                if form in secrets._RANK and len(form) >= 3:
+                    case = 0.0 if part in (low, part.upper()) else 0.3 if part[1:] == low[1:] else math.log10(2) * len(part)
+                    ways.append(secrets._RANK[form] + case + extra)
+            if b - a >= 3 and len(set(part)) == 1:
+                ways.append(secrets._alphabet(part[0]) + math.log10(b - a))
+            if b - a >= 3 and any(low in r or low in r[::-1] for r in secrets._ROWS):
+                ways.append(math.log10(94) + math.log10(b - a))
+            if (m := secrets._DATE.match(value, a)) and m.end() == b:
+                ways.append(secrets._DATES.get(b - a, math.log10(366 * 200) + 0.5))
+            if ways:
+                price[a, b] = secrets._SEGMENT + min(ways)
+
+    @functools.cache
+    def best(a, begun):
+        if a == len(value):
+            return 0.0
+        one = secrets._alphabet(value[a]) + (0 if begun or a else secrets._SEGMENT) + best(a + 1, True)
+        return min([one, *(price[a, b] + best(b, True) for b in range(a + 1, len(value) + 1) if (a, b) in price)])
+
+    return best(0, False)
+
+
+def test_guess_cost_is_the_least_of_all_cuts():
+    rng = random.Random(2)
+    parts = ["password", "P@ss", "love", "Dragon", "2019", "1999-12-31", "qwer", "zxcvb", "4321", "aaa", "!!!!", "x", "9", "#", "é", "SECRET", "abcd", "key"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+        assert abs(secrets.guess_cost(value) - _segmented(value)) < 1e-9, value
+
+
+def test_words_of_the_corpus_and_planted_values(spark):
+    """Ranks come from the whole corpus but for credential values; precision and recall of guesses on planted ones."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(300)]
+    docs, want = [], {}
+    signs = letters + letters.upper() + "0123456789!@$%^&*?"
+    for i in range(300):
+        prose = " ".join(rng.choice(common) for _ in range(60))
+        if i % 3 == 0:
+            value = "".join(rng.choice(signs) for _ in range(rng.randrange(8, 15)))
+        elif i % 3 == 1:
+            value = rng.choice([rng.choice(common), rng.choice(common).title() + "12", "Password1999", "changeme", rng.choice(common) + "!"])
+        else:
+            value = "zqxjkvbwmfpygh"
+        docs.append((i, f"{prose}\npwd: {value}\n{prose}"))
+        want[i] = i % 3 != 1
+    df = spark.createDataFrame([*docs, (400, None), (401, "")], "doc_id long, text string")
+    ranks = secrets.word_ranks(df)
+    assert set(common) <= set(ranks) and "zqxjkvbwmfpygh" not in ranks and list(ranks)[: len(secrets._RANK)] == list(secrets._RANK)
+    assert len(secrets.word_ranks(df, most=10)) == len(secrets._RANK) + 10
+    got = {r.doc_id: any(s.kind == "guess" for s in r.spans) for r in secrets.find_secrets(df, ranks=ranks).collect()}
+    hit = sum(got[i] and want[i] for i in want)
+    assert hit / sum(want.values()) >= 0.99 and hit / sum(got.values()) >= 0.95
+    assert secrets.word_ranks(df.limit(0)) == secrets._RANK
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.redact(df).collect()}

@@ -22,7 +22,7 @@ returns one link at most for two components. So no pair that shares a bucket and
 components stays unverified, whatever its bucket's size. Aggregates are written before they are joined, so
 that Spark can split a key that very many rows share.
 
-Nulls: a null text has an empty set; an empty set has no links. A row with a null key has no links, a
+The key must be of an integer type. Nulls: a null text has an empty set; an empty set has no links. A row with a null key has no links, a
 null component, and is kept. Rows that share a key are one vertex; repeated rows get one result each.
 An empty table gives an empty result.
 """
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm._spark import prepare, written
 from tidemark.llm._text import NOT_SPACE, Words, mix, pieces, windows, words
@@ -221,7 +222,9 @@ def _slices(texts: pa.Array):
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, class_id (smallest key with an equal set), component_id
     (smallest key that links reach), kept (the key is its component's)."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is not of an integer type")
     rows = written(_sketched(docs, key, text, size), "sketches")
     classes = rows.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
