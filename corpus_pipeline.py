@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret values are replaced in the texts; n_chars follows."""
-    out = secrets.redact(docs, count="_n_secrets")
+    out = secrets.redact(docs, count="_n_secrets", ranks=secrets.word_ranks(docs))
     return out.withColumn("n_chars", F.when(F.col("_n_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
