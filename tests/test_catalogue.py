@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+import tidemark.plans.reports  # noqa: F401 - adds its queries
 from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = Path("/root/testdata/sf0.001")

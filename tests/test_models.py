@@ -203,7 +203,9 @@ def test_tables(spark):
     broken = spark.createDataFrame([(x, y + 0.5 * (i == 7), z) for i, (x, y, z) in enumerate(rows)], d.schema)
     assert tables.affine_duplicates(broken, ["a", "b", "c"]).count() == 0
     assert tables.transfer_plan({"a": 1.0, "z": 3.0}, ["a"]) == {"absent": ["z"], "importance_lost": 0.75, "refused": True}
-    assert tables.align(d, ["a", "zz"], ["c"]).columns == ["c", "a", "zz"]
+    assert tables.align(d, ["a", "zz"], ["c"], absent="null").columns == ["c", "a", "zz"]
+    with pytest.raises(ValueError, match="zz"):
+        tables.align(d, ["a", "zz"], ["c"])
     assert models.active_columns(spark.createDataFrame([(1.0, 1.0, None), (1.0, 2.0, None)], "a double, b double, c double"), ["a", "b", "c"]) == ["b"]
 
 
@@ -222,9 +224,10 @@ def test_detection(spark):
     rng = np.random.default_rng(3)
     z = np.concatenate([rng.uniform(-9, -5, 500), rng.uniform(5, 9, 500)])
     pts = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(rng.uniform(-9, 9, 1000), rng.uniform(-9, 9, 1000), z)], "x double, y double, z double")
-    assert detect.find_axis(pts) == "z"
+    pts = pts.withColumn("frame", F.floor(F.rand(1) * 2)).unionByName(spark.createDataFrame([(0.0, 0.0, 500.0, 0)], "x double, y double, z double, frame long"))
+    assert detect.find_axis(pts, ["frame"]) == "z"  # whatever one stray point does
     with pytest.raises(detect.Refused):
-        detect.find_axis(pts.select("x", "y", F.col("x").alias("z")))
+        detect.find_axis(pts.select("frame", "x", "y", F.col("x").alias("z")), ["frame"])
     v = spark.createDataFrame([(float(x),) for x in np.concatenate([rng.normal(-3, 0.3, 800), rng.normal(3, 0.3, 600)])], "v double")
     peaks = detect.density_peaks(v, "v", -6.0, 6.0, 40)
     assert len(peaks) == 2 and abs(peaks[0] + 3) < 0.5 and abs(peaks[1] - 3) < 0.5

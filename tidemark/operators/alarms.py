@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import buckets, ranges_with_points
+from tidemark.operators.ranks import quantiles, running
 from tidemark.operators.windows import ordered
 
 
@@ -24,23 +24,24 @@ def episodes(df: DataFrame, unit: list[str], t: str = "t", armed: str = "armed")
 
 def warned_events(df: DataFrame, events: DataFrame, tau: int, unit: list[str], key: str, t: str = "t", at: str = "at", armed: str = "armed") -> DataFrame:
     """Each event with whether a row in [at - tau, at) was armed, and the lead from the start of the
-    episode to which the first such row belongs. Rows meet events in buckets of length tau."""
+    episode to which the first such row belongs. One pass over the union: an event looks up the first armed
+    row from at - tau on."""
     rows = with_episodes(df, unit, t, armed).where(armed)
-    rows = rows.withColumn("_t0", F.min(t).over(Window.partitionBy(*unit, "episode")))
-    rows = rows.select(*[F.col(c).alias(f"_u_{c}") for c in unit], F.col(t).alias("_t"), "_t0", F.floor(F.col(t) / tau).alias("_b"))
-    e = events.select(*unit, key, at, F.explode(F.array(F.floor(F.col(at) / tau) - 1, F.floor(F.col(at) / tau))).alias("_bucket"))
-    on = (F.col("_bucket") == F.col("_b")) & (F.col("_t") < F.col(at)) & (F.col("_t") >= F.col(at) - tau)
-    for c in unit:
-        on = on & (F.col(c) == F.col(f"_u_{c}"))
-    first = e.join(rows, on).groupBy(*unit, key).agg(F.min_by("_t0", "_t").alias("_t0"))
-    out = events.join(first, [*unit, key], "left")
-    return out.withColumn("warned", F.col("_t0").isNotNull()).withColumn("lead", F.col(at) - F.col("_t0")).drop("_t0")
+    rows = rows.select(*unit, F.col(t).cast("long").alias("_t"), F.struct(F.col(t).cast("long").alias("t"), F.min(t).over(Window.partitionBy(*unit, "episode")).alias("t0")).alias("_row"))
+    probes = events.withColumn("_t", F.col(at).cast("long") - tau).withColumn("_is", F.lit(True))
+    both = probes.unionByName(rows, allowMissingColumns=True)
+    later = Window.partitionBy(*unit).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_first", F.min("_row").over(later)).where("_is")
+    hit = F.coalesce(F.col("_first.t") < F.col(at), F.lit(False))
+    return out.withColumn("warned", hit).withColumn("lead", F.when(hit, F.col(at) - F.col("_first.t0"))).select(*events.columns, "warned", "lead")
 
 
 def empty_episodes(eps: DataFrame, events: DataFrame, tau: int, unit: list[str], at: str = "at") -> DataFrame:
-    """Episodes with no event from their start to tau after their end."""
-    e = eps.withColumn("_until", F.col("t1") + tau)
-    return ranges_with_points(e, events, unit, "t0", "_until", at, tau, [*unit, "episode"], "left_anti").drop("_until")
+    """Episodes with no event from their start to tau after their end: the next event is later, or there is none."""
+    from tidemark.operators.intervals import with_next
+
+    nxt = with_next(eps.withColumn("_from", F.col("t0") - 1), events, unit, "_from", at, "_next")
+    return nxt.where(F.col("_next").isNull() | (F.col("_next") > F.col("t1") + tau)).select(*eps.columns)
 
 
 def alarm_metrics(df: DataFrame, events: DataFrame, tau: int, unit: list[str], key: str, t: str = "t", at: str = "at", armed: str = "armed") -> DataFrame:
@@ -65,9 +66,9 @@ def leave_one_out_quantile(df: DataFrame, unit: str, value: str, q: float) -> Da
     looks at a slice of the pool's distinct values instead of all of them.
     """
     d = df.where(F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v"))
-    own = d.groupBy("u", "v").agg(F.count("*").alias("c"))
-    n = d.count()
-    pool = _ranked(own.groupBy("v").agg(F.sum("c").alias("c")))
+    own = d.groupBy("u", "v").agg(F.count("*").alias("c")).persist()
+    n = own.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    pool = running(own.groupBy("v").agg(F.sum("c").alias("c")), [], "v", ["c"]).withColumnRenamed("upto_c", "upto")
     sizes = own.groupBy("u").agg(F.sum("c").alias("m")).withColumn("rest", F.lit(n) - F.col("m"))
     k = F.lit(q) * (F.col("rest") - 1)
     want = sizes.where("rest > 0").withColumns({"lo": F.floor(k), "frac": k - F.floor(k)})
@@ -87,23 +88,35 @@ def leave_one_out_quantile(df: DataFrame, unit: str, value: str, q: float) -> Da
     return pick.select(F.col("u").alias(unit), (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("threshold"))
 
 
-def _ranked(values: DataFrame, parts: int = 64) -> DataFrame:
-    """values (v, c) with the cumulative count `upto`, without one window over all rows: values are cut at
-    approximate quantiles, cumulated within the parts, and shifted by the parts' totals."""
-    edges = [x for x in values.approxQuantile("v", [k / parts for k in range(1, parts)], 0.01)] if parts > 1 else []
-    edges = sorted(set(edges))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
-    placed = values.withColumn("_part", part)
-    totals = {r["_part"]: r.s for r in placed.groupBy("_part").agg(F.sum("c").alias("s")).collect()}
-    shift, acc = [], 0
-    for k in range(len(edges) + 1):
-        shift.append(F.lit(acc))
-        acc += totals.get(k, 0)
-    w = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("upto", F.sum("c").over(w) + F.array(*shift)[F.col("_part")]).drop("_part")
-
-
 def duty_matched(df: DataFrame, unit: list[str], score: str, duty: float) -> DataFrame:
     """Rows armed where the score exceeds the unit's own (1 - duty) quantile."""
-    q = df.groupBy(*unit).agg(F.percentile(score, 1 - duty).alias("threshold"))
+    q = quantiles(df, unit, score, [1 - duty]).select(*unit, F.col("q")[0].alias("threshold"))
     return df.join(q, unit).withColumn("armed", F.coalesce(F.col(score) > F.col("threshold"), F.lit(False)))
+
+
+def others_alarm(df: DataFrame, unit: str, score: str, on: float, off: float, smooth: int, t: str = "t") -> DataFrame:
+    """The alarm on the score's trailing mean, armed and released at quantiles of the other units' scores. A unit
+    alone in the table has no thresholds and no rows here."""
+    from tidemark.operators.windows import latch, trailing
+
+    a, b = (leave_one_out_quantile(df, unit, score, q).withColumnRenamed("threshold", n) for q, n in ((on, "on_threshold"), (off, "off_threshold")))
+    d = df.join(a.join(b, unit), unit).withColumn("smoothed", F.avg(score).over(trailing([unit], smooth, t)))
+    return latch(d, "smoothed", F.col("on_threshold"), F.col("off_threshold"), [unit], t)
+
+
+def random_null(df: DataFrame, events: DataFrame, tau: int, unit: list[str], key: str, shifts: int = 50, shift=None, t: str = "t", at: str = "at", armed: str = "armed") -> DataFrame:
+    """Mean share of warned events per unit when the alarm is turned round in time, which keeps its episodes and breaks
+    their tie to the events: what an alarm of this shape reaches without knowing anything. `shift(i, n)` is the number
+    of rows, 1 to n - 1, of turn i in a unit of n rows; by default drawn by a hash of unit and turn."""
+    from tidemark.operators.windows import cyclic_shift
+
+    draw = shift or (lambda i, n: F.pmod(F.xxhash64(F.lit("null"), *unit, i), n - 1) + 1)
+    n = df.groupBy(*unit).agg(F.count("*").alias("_n")).where("_n > 1")
+    turns = n.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
+    turns = turns.select(*unit, "turn", draw(F.col("turn"), F.col("_n")).alias("_k"))
+    each = df.select(*unit, t, armed).join(turns, unit)
+    turned = cyclic_shift(each, armed, F.col("_k"), [*unit, "turn"], t).select(*unit, "turn", t, F.col("shifted").alias(armed))
+    probes = events.join(turns.select(*unit, "turn"), unit)
+    w = warned_events(turned, probes, tau, [*unit, "turn"], key, t, at, armed)
+    share = w.groupBy(*unit, "turn").agg(F.avg(F.col("warned").cast("int")).alias("_w"))
+    return share.groupBy(*unit).agg(F.avg("_w").alias("null_warned"), F.count("*").alias("turns"))

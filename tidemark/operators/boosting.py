@@ -25,6 +25,8 @@ class Node:
     missing_left: bool = True
     value: float = 0.0
     cover: float = 0.0
+    low: float = -math.inf  # bounds of the values below it, from monotone splits above
+    high: float = math.inf
     children: list[Node] = field(default_factory=list)
 
 
@@ -134,10 +136,14 @@ class BoostedTrees:
                     continue
                 g_all, h_all = h[0, :, 0].sum(), h[0, :, 1].sum()
                 node.cover = float(h_all)
-                node.value = float(-self.rate * g_all / (h_all + self.penalty))
-                if depth < self.depth and (split := self._best(h, g_all, h_all)):
-                    node.feature, node.cut, node.missing_left = split
-                    node.children = [Node(), Node()]
+                node.value = float(self.rate * self._weight(g_all, h_all, node.low, node.high))
+                if depth < self.depth and (split := self._best(h, g_all, h_all, node.low, node.high)):
+                    node.feature, node.cut, node.missing_left, middle = split
+                    way = self.monotone[node.feature]
+                    node.children = [
+                        Node(low=node.low if way >= 0 else middle, high=node.high if way <= 0 else middle),
+                        Node(low=node.low if way <= 0 else middle, high=node.high if way >= 0 else middle),
+                    ]
                     nxt += node.children
             if not nxt:
                 break
@@ -174,8 +180,18 @@ class BoostedTrees:
             out.setdefault(r.leaf, np.zeros((p, width, 2)))[r.f, r.b] = r.g, r.h
         return out
 
-    def _best(self, h: np.ndarray, g_all: float, h_all: float) -> tuple[int, int, bool] | None:
-        score = lambda g, w: g * g / (w + self.penalty)
+    def _weight(self, g: float, h: float, low: float, high: float) -> float:
+        """A leaf's value before shrinkage, within its bounds."""
+        return min(high, max(low, -g / (h + self.penalty)))
+
+    def _best(self, h: np.ndarray, g_all: float, h_all: float, low: float, high: float) -> tuple[int, int, bool, float] | None:
+        """Feature, cut, side of missing values, and the middle of both sides' values, which a monotone column makes a
+        bound of all values on either side."""
+
+        def score(g: float, h: float) -> float:
+            w = self._weight(g, h, low, high)
+            return -(2 * g * w + (h + self.penalty) * w * w)
+
         best, found = 1e-12, None
         for f in range(len(self.columns)):
             missing = h[f, 0]
@@ -188,11 +204,12 @@ class BoostedTrees:
                     if hl < self.least or hr < self.least:
                         continue
                     way = self.monotone[f]
-                    if way and way * (gl / (hl + self.penalty) - gr / (hr + self.penalty)) < 0:
+                    a, b = self._weight(gl, hl, low, high), self._weight(gr, hr, low, high)
+                    if way * (b - a) < 0:
                         continue
                     gain = score(gl, hl) + score(gr, hr) - score(g_all, h_all)
                     if gain > best and (missing_left or missing.any()):
-                        best, found = gain, (f, cut, missing_left)
+                        best, found = gain, (f, cut, missing_left, (a + b) / 2)
         return found
 
     def predict(self, df: DataFrame, name: str = "prob") -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import column_quantiles
+
 
 class Refused(ValueError):
-    """The data do not decide; a person has to."""
+    """The data do not decide; a person has to. `partial` is what was found until then."""
+
+    def __init__(self, reason: str, partial: dict | None = None):
+        super().__init__(reason)
+        self.partial = partial or {}
 
 
 def classify_residues(atoms: DataFrame) -> DataFrame:
@@ -20,21 +28,38 @@ def classify_residues(atoms: DataFrame) -> DataFrame:
     return by.select("resname", "copies", "n", "charge", kind.alias("kind"))
 
 
-def find_axis(points: DataFrame, least: float = 10.0, lead: float = 2.0) -> str:
-    """Axis (x, y or z) along which points avoid the middle third of their extent most."""
-    extent = points.agg(*[x for c in "xyz" for x in (F.min(c).alias(f"{c}a"), F.max(c).alias(f"{c}z"))]).first()
-    inside = lambda c: F.col(c).between(extent[f"{c}a"] + (extent[f"{c}z"] - extent[f"{c}a"]) / 3, extent[f"{c}z"] - (extent[f"{c}z"] - extent[f"{c}a"]) / 3)
-    share = points.agg(*[F.avg(inside(c).cast("int")).alias(c) for c in "xyz"]).first()
-    scores = sorted(((1 / (share[c] + 0.01), c) for c in "xyz"), reverse=True)
-    if scores[0][0] < least or scores[0][0] < lead * scores[1][0]:
+def halves_means(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Median of each group's values and the means of those below it and of the others; null where a half is empty."""
+    d = df.join(df.groupBy(*by).agg(F.median(value).alias("median")), by)
+    low = F.col(value) < F.col("median")
+    return d.groupBy(*by, "median").agg(F.avg(F.when(low, F.col(value))).alias("mean_low"), F.avg(F.when(~low, F.col(value))).alias("mean_high"))
+
+
+def axis_scores(points: DataFrame, frame: list[str]) -> DataFrame:
+    """For each axis the mean over frames of 1 / (share of points in the band's inner third + 0.01), the band going from the
+    mean of the lower half of the frame's points to that of the upper half."""
+    each = points.select(*frame, F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in "xyz"])).alias("e")).select(*frame, "e.axis", "e.v")
+    m = halves_means(each, [*frame, "axis"], "v").where("mean_low is not null and mean_high is not null")
+    third = (F.col("mean_high") - F.col("mean_low")) / 3
+    inside = (F.col("v") > F.col("mean_low") + third) & (F.col("v") < F.col("mean_high") - third)
+    per = each.join(m, [*frame, "axis"]).groupBy(*frame, "axis").agg((1 / (F.avg(inside.cast("int")) + 0.01)).alias("s"))
+    return per.groupBy("axis").agg(F.avg("s").alias("score"))
+
+
+def find_axis(points: DataFrame, frame: list[str], least: float = 10.0, lead: float = 2.0) -> str:
+    """Axis (x, y or z) along which points avoid the middle third between their two halves most."""
+    scores = sorted(((r.score, r.axis) for r in axis_scores(points, frame).collect()), reverse=True)
+    if not scores or scores[0][0] < least or (len(scores) > 1 and scores[0][0] < lead * scores[1][0]):
         raise Refused(f"no axis stands out: {scores}")
     return scores[0][1]
 
 
 def extent(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> tuple[float, float]:
     """Whole numbers around two quantiles."""
-    a, z = df.agg(F.floor(F.percentile(value, low)), F.ceil(F.percentile(value, high))).first()
-    return float(a), float(z)
+    got = column_quantiles(df, [value], [low, high])
+    if not got:
+        raise Refused(f"no {value}")
+    return float(math.floor(got[value][0])), float(math.ceil(got[value][1]))
 
 
 def density_peaks(df: DataFrame, value: str, low: float, high: float, bins: int, prominence: float = 0.2) -> list[float]:
@@ -91,3 +116,110 @@ def check_steps(frames: DataFrame, unit: list[str], t: str = "t", box: str | Non
         d = d.withColumn("_b", F.abs(F.col(box) / F.lag(box).over(w) - 1))
         aggs.append(F.count_if(F.col("_b") > most_change).alias("n_box_jumps"))
     return d.groupBy(*unit).agg(*aggs)
+
+
+def motif_layers(atoms: DataFrame, places: DataFrame, fragment: list[str], length: int, carbonyl: str, first: str) -> DataFrame:
+    """Rings of oxygens of a motif: the `carbonyl` atom of each of its positions and the `first` atom (a side chain's) of
+    position 0, each ring over all fragments, numbered by mean z. atoms: fragment, position, name, z; places: fragment
+    and the position at which the motif begins."""
+    d = atoms.join(places.select(*fragment, "place"), fragment).withColumn("offset", F.col("position") - F.col("place"))
+    ring = (F.col("offset") >= 0) & (F.col("offset") < length) & ((F.col("name") == carbonyl) | ((F.col("name") == first) & (F.col("offset") == 0)))
+    layers = d.where(ring).groupBy("name", "offset").agg(F.avg("z").alias("mean_z"), F.count("*").alias("n_atoms"))
+    return layers.withColumn("layer", F.row_number().over(Window.orderBy("mean_z", "name", "offset")) - 1)  # a few rows for each motif position
+
+
+def lining_subunits(atoms: DataFrame, frame: list[str], fragment: str, cylinder: float, centre: tuple[str, str] = ("x", "y"), least: int = 30) -> DataFrame:
+    """Per frame the number of fragments of `least` atoms or more of which an atom comes within 1.5 cylinder radii of the
+    atoms' mean axis."""
+    x, y = centre
+    c = atoms.groupBy(*frame).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"))
+    r = F.hypot(F.col(x) - F.col("_cx"), F.col(y) - F.col("_cy"))
+    each = atoms.join(c, frame).groupBy(*frame, fragment).agg(F.count("*").alias("n"), F.min(r).alias("r"))
+    return each.groupBy(*frame).agg(F.count_if((F.col("n") >= least) & (F.col("r") < 1.5 * cylinder)).alias("n_subunits"))
+
+
+def crossing_rates(passes: DataFrame, particles: DataFrame, species: str) -> DataFrame:
+    """Per species: particles, completed passes (direction 1 or -1), net passes, passes per particle, the most first."""
+    n = particles.groupBy(species).agg(F.count("*").alias("n_particles"))
+    p = passes.groupBy(species).agg(F.count("*").alias("n_passes"), F.sum("direction").alias("net"))
+    d = n.join(p, species, "left").fillna(0, ["n_passes", "net"])
+    return d.withColumn("rate", F.col("n_passes") / F.col("n_particles"))
+
+
+def permeant(rates: DataFrame, species: str, least: int = 1, lead: float = 2.0) -> tuple[str, int]:
+    """The species of the highest rate per particle and its direction; too few passes, a runner-up within a factor of
+    `lead`, or as many passes either way are refused, with the rates that were found."""
+    rows = sorted(rates.collect(), key=lambda r: (-r.rate, r[species]))  # one row per species
+    found = [r.asDict() for r in rows]
+    if not rows or rows[0].n_passes < least:
+        raise Refused("too few passes", {"rates": found})
+    if len(rows) > 1 and rows[0].rate < lead * rows[1].rate:
+        raise Refused("no species stands out", {"rates": found})
+    if not rows[0].net:
+        raise Refused("as many passes in either direction", {"rates": found})
+    return rows[0][species], 1 if rows[0].net > 0 else -1
+
+
+def coordination_cutoff(distances: DataFrame, value: str = "distance", low: float = 2.0, high: float = 6.0, step: float = 0.05, window: tuple[float, float] = (2.2, 4.8), least: int = 100) -> float:
+    """First minimum of the radial distribution after its highest peak in the window; fewer than `least` pairs in the
+    window are refused."""
+    bins = round((high - low) / step)
+    b = F.floor((F.col(value) - low) / step)
+    h = distances.where((F.col(value) >= low) & (F.col(value) < high)).groupBy(F.least(b, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    counts = {r.bin: r.n for r in h.collect()}  # one row per bin
+    centre = [low + (k + 0.5) * step for k in range(bins)]
+    inside = [k for k in range(bins) if window[0] < centre[k] < window[1]]
+    total = sum(counts.get(k, 0) for k in inside)
+    if total < least:
+        raise Refused(f"{total} pairs in the window", {"pairs": total})
+    shell = [counts.get(k, 0) / (4 * math.pi * centre[k] ** 2) for k in range(bins)]
+    peak = max(inside, key=lambda k: (shell[k], -k))
+    after = [k for k in range(peak + 1, bins) if centre[k] <= window[1]]
+    if not after:
+        raise Refused("the highest peak is at the window's end", {"peak": centre[peak]})
+    return centre[min(after, key=lambda k: (shell[k], k))]
+
+
+def agreed_peaks(df: DataFrame, value: str, t: str, step: float = 0.5, prominence: float = 0.2, least: int = 200) -> list[float]:
+    """`density_peaks` between the 1st and 99th percentile, refused where both halves of the time do not show as many."""
+    n = df.where(F.col(value).isNotNull()).count()
+    if n < least:
+        raise Refused(f"{n} observations", {"observations": n})
+    low, high = column_quantiles(df, [value], [0.01, 0.99])[value]
+    middle = column_quantiles(df.where(F.col(value).isNotNull()), [t], [0.5])[t][0]
+    bins = max(1, math.ceil((high - low) / step))
+    top = low + bins * step
+    a, b = (density_peaks(d, value, low, top, bins, prominence) for d in (df.where(F.col(t) < middle), df.where(F.col(t) >= middle)))
+    if not a or len(a) != len(b):
+        raise Refused(f"{len(a)} peaks in one half, {len(b)} in the other", {"first": a, "second": b})
+    both = density_peaks(df, value, low, top, bins, prominence)
+    return both if len(both) == len(a) else a
+
+
+def channel_extent(df: DataFrame, z: str, r: str, frame: list[str]) -> tuple[float, float, float]:
+    """Whole numbers around the 5th and 95th percentile of z, and the median of the frames' greatest r plus 1.5."""
+    low, high = extent(df, z)
+    widest = df.groupBy(*frame).agg(F.max(r).alias("_r"))
+    return low, high, column_quantiles(widest, ["_r"], [0.5])["_r"][0] + 1.5
+
+
+def closed_ring(atoms: DataFrame, frame: list[str], x: str, y: str, most: float = 120.0) -> DataFrame:
+    """Whether a frame's atoms surround their own mean: the widest angle between neighbours around it is `most` degrees or
+    less; a frame of less than three atoms is open."""
+    c = atoms.groupBy(*frame).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"))
+    d = atoms.join(c, frame).withColumn("_a", F.degrees(F.atan2(F.col(y) - F.col("_cy"), F.col(x) - F.col("_cx"))))
+    gap = F.col("_a") - F.lag("_a").over(Window.partitionBy(*frame).orderBy("_a"))
+    g = d.withColumn("_g", gap).groupBy(*frame).agg(F.count("*").alias("n"), F.max("_g").alias("_g"), F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    widest = F.greatest("_g", 360 - (F.col("_hi") - F.col("_lo")))
+    return g.select(*frame, "n", (F.coalesce(widest <= most, F.lit(False)) & (F.col("n") >= 3)).alias("closed"))
+
+
+def gathered(steps: dict) -> tuple[dict, dict]:
+    """What each step found, and what those that refused had by then: one refusal does not lose the others' results."""
+    found, refused = {}, {}
+    for name, step in steps.items():
+        try:
+            found[name] = step()
+        except Refused as e:
+            refused[name] = {"reason": str(e), "partial": e.partial}
+    return found, refused

@@ -79,3 +79,15 @@ def label_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Jaccard similarity of two label vectors on a common grid; null where neither has a positive."""
     both = a.select(*keys, "tau", F.col("y").alias("ya")).join(b.select(*keys, "tau", F.col("y").alias("yb")), [*keys, "tau"])
     return both.groupBy("tau").agg((F.sum(F.col("ya") * F.col("yb")) / F.nullif(F.sum(F.greatest("ya", "yb")), F.lit(0))).alias("jaccard"))
+
+
+def checked_flux(events: DataFrame, unit: list[str], declared: int | None = None) -> tuple[DataFrame, int]:
+    """`flux_sign` with whether a unit disagrees with the majority, and the majority's direction. A declared direction
+    that the majority contradicts is an error."""
+    signs = flux_sign(events, unit)
+    net = signs.agg(F.coalesce(F.sum("flux_sign"), F.lit(0))).first()[0]
+    majority = (net > 0) - (net < 0)
+    if declared and majority and declared != majority:
+        raise ValueError(f"direction {declared} is declared, most units go the other way")
+    way = declared or majority
+    return signs.withColumn("disagrees", (F.col("flux_sign") != 0) & (F.col("flux_sign") != way) & F.lit(way != 0)), way

@@ -68,9 +68,11 @@ def point_query(df: DataFrame, requests: DataFrame, unit: list[str], t: str = "t
     return out.withColumn("offset", F.col("_t") - F.col("_at")).withColumnsRenamed({"_t": t, "_at": at})
 
 
-def range_query(df: DataFrame, lo: int, hi: int, window: int = 0, t: str = "t") -> DataFrame:
-    """Rows in [lo, hi], with those that a trailing window needs before them."""
-    return df.where(F.col(t).between(lo - window, hi))
+def range_query(df: DataFrame, lo: int, hi: int, window: int = 0, t: str = "t", measure=None) -> DataFrame:
+    """measure(rows) for the rows in [lo, hi]: it is given those that a trailing window needs before them as well, and
+    what it makes of these is left out again."""
+    rows = df.where(F.col(t).between(lo - window, hi))
+    return (measure(rows) if measure else rows).where(F.col(t) >= lo)
 
 
 def stretch_summary(df: DataFrame, by: list[str], prob: str, threshold: Column) -> DataFrame:

@@ -92,8 +92,10 @@ def interpolate_at(slices: DataFrame, points: DataFrame, frame: list[str], z: st
 
 
 def kernel_smooth(df: DataFrame, frame: list[str], x: str, value: str, sigma: float, reach: float = 6.0) -> DataFrame:
-    """Gaussian-weighted mean of the values around each row of its frame, over rows within `reach` sigmas.
-    Rows meet in buckets of that length."""
+    """Gaussian-weighted mean of the values around each row of its frame, over rows within `reach` sigmas. Rows
+    meet in buckets of that length. Rows beyond weigh exp(-reach ** 2 / 2) at most (1.6e-8 at the default), so the mean
+    is off by no more than that share of the values' range for each of them; a reach as long as the frame over
+    sigma leaves none out."""
     width = reach * sigma
     a = df.withColumn("_b", F.floor(F.col(x) / width))
     b = df.select(*[F.col(c).alias(f"_f_{c}") for c in frame], F.col(x).alias("_x"), F.col(value).alias("_v"), F.explode(F.array(*[F.floor(F.col(x) / width) + k for k in (-1, 0, 1)])).alias("_c"))
@@ -172,3 +174,90 @@ def pair_solvent(atoms: DataFrame, frame: list[str]) -> DataFrame:
     length = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
     broken = F.raise_error(F.concat(F.lit("not one O and two H in residue "), F.col("resid").cast("string"))).cast("double")
     return g.select(*frame, "resid", *[F.col(f"o{c}").alias(c) for c in "xyz"], F.when((F.col("_o") == 1) & (F.col("_h") == 2), d[2] / F.nullif(length, F.lit(0.0))).otherwise(broken).alias("cosine"))
+
+
+def search_fractions(slices: DataFrame, frame: list[str], inner: Column, edge: str = "on_edge", r: str = "r") -> DataFrame:
+    """Share of all slices that were measured, and of the measured inner ones whose centre is on the outermost ring."""
+    found = F.col(r).isNotNull()
+    return slices.groupBy(*frame).agg(F.avg(found.cast("int")).alias("search_frac"), F.avg(F.when(found & inner, F.col(edge).cast("int"))).alias("boundary_frac"))
+
+
+def radius_bins(slices: DataFrame, frame: list[str], low: float, high: float, bins: int, z: str = "z", r: str = "r") -> DataFrame:
+    """Per axial bin, half-open: least radius, number of measured slices, and the radius relative to the frame's least.
+    Bins of a seen frame without measured slices count 0."""
+    step = (high - low) / bins
+    b = F.floor((F.col(z) - low) / step)
+    d = slices.where((F.col(z) >= low) & (F.col(z) < high)).groupBy(*frame, b.alias("bin")).agg(F.min(r).alias("r_min"), F.count(r).alias("n_search"))
+    every = slices.select(*frame).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    least = slices.groupBy(*frame).agg(F.min(r).alias("_least"))
+    out = every.join(d, [*frame, "bin"], "left").join(least, frame).fillna(0, ["n_search"])
+    return out.select(*frame, "bin", "r_min", "n_search", (F.col("r_min") / F.nullif(F.col("_least"), F.lit(0.0))).alias("r_relative"))
+
+
+def band_cosine(residues: DataFrame, frame: list[str], low: float, high: float, cosine: str, z: str = "z") -> DataFrame:
+    """Mean cosine and number of the residues in the band."""
+    return residues.where(F.col(z).between(low, high)).groupBy(*frame).agg(F.avg(cosine).alias("mean_cosine"), F.count(cosine).alias("n"))
+
+
+def histogram_minimum(counts: DataFrame, frame: list[str]) -> DataFrame:
+    """Total and least bin of a frame's histogram."""
+    return counts.groupBy(*frame).agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+
+
+def shell_density(counts: DataFrame, by: list[str], low: float, step: float, frames: Column) -> DataFrame:
+    """Histogram counts over the volume of their spherical shell and the number of frames."""
+    a = F.lit(low) + F.col("bin") * step
+    volume = F.lit(4.0) / 3 * F.pi() * (F.pow(a + step, 3) - F.pow(a, 3))
+    return counts.select(*by, "bin", (F.col("n") / volume / frames).alias("density"))
+
+
+def wire(df: DataFrame, frame: list[str], z: str, low: float, high: float, most: float) -> DataFrame:
+    """`max_gap` with whether the chain is continuous (no gap over `most`) and the gap relative to the length."""
+    g = max_gap(df, frame, z, low, high)
+    return g.withColumns({"continuous": F.col("max_gap") <= most, "relative_gap": F.col("max_gap") / (high - low)})
+
+
+def filter_count(df: DataFrame, sites: DataFrame, frame: list[str], z: str, sigma: float) -> DataFrame:
+    """Entities between the lowest site less sigma and the highest plus sigma; sites are one aggregate of two numbers."""
+    low, high = sites.agg(F.min(sites.columns[1]), F.max(sites.columns[1])).first()
+    inside = F.col(z).between(low - sigma, high + sigma)
+    return df.groupBy(*frame).agg(F.count_if(inside).alias("n_filter"))
+
+
+def wide_zone(df: DataFrame, frame: list[str], z: str, low: float, high: float, depth: float) -> DataFrame:
+    """Entities in the channel or up to `depth` beyond it, and the least distance of those beyond to the nearer end."""
+    beyond = F.greatest(F.lit(low) - F.col(z), F.col(z) - high)
+    wide = F.col(z).between(low - depth, high + depth)
+    return df.groupBy(*frame).agg(F.count_if(wide).alias("n_wide"), F.min(F.when(wide & (beyond > 0), beyond)).alias("nearest_outside"))
+
+
+def lining_by_subunit(residues: DataFrame, scale: DataFrame, frame: list[str], subunit: str, low: float, high: float, z: str = "z") -> DataFrame:
+    """`lining` for each subunit."""
+    return lining(residues, scale, [*frame, subunit], low, high, z)
+
+
+def unwrapped(df: DataFrame, unit: list[str], entity: str, columns: list[str], box: dict[str, Column], t: str = "t") -> DataFrame:
+    """Places of entities without jumps across the box: each step between frames is taken as its nearest image."""
+    w = Window.partitionBy(*unit, entity).orderBy(t)
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = df
+    for c in columns:
+        step = F.col(c) - F.lag(c).over(w)
+        jump = F.when(box[c] > 0, -box[c] * F.rint(step / box[c])).otherwise(0.0)
+        out = out.withColumn(f"_j_{c}", F.coalesce(jump, F.lit(0.0)))
+    return out.withColumns({c: F.col(c) + F.sum(f"_j_{c}").over(sofar) for c in columns}).drop(*[f"_j_{c}" for c in columns])
+
+
+def centred(df: DataFrame, frame: list[str], columns: list[str], of: Column, middle: dict[str, float] | None = None) -> DataFrame:
+    """Frames moved as a whole so that the chosen rows' mean is at `middle` (0)."""
+    c = df.groupBy(*frame).agg(*[F.avg(F.when(of, F.col(x))).alias(f"_c_{x}") for x in columns])
+    at = middle or {}
+    return df.join(c, frame).withColumns({x: F.col(x) - F.col(f"_c_{x}") + at.get(x, 0.0) for x in columns}).drop(*[f"_c_{x}" for x in columns])
+
+
+def wrapped(df: DataFrame, frame: list[str], residue: list[str], columns: list[str], box: dict[str, Column]) -> DataFrame:
+    """Residues moved by whole box lengths, as pieces, so that their centre lies in [0, box)."""
+    c = df.groupBy(*frame, *residue).agg(*[F.avg(x).alias(f"_c_{x}") for x in columns])
+    d = df.join(c, [*frame, *residue])
+    moved = {x: F.col(x) - F.when(box[x] > 0, box[x] * F.floor(F.col(f"_c_{x}") / box[x])).otherwise(0.0) for x in columns}
+    return d.withColumns(moved).drop(*[f"_c_{x}" for x in columns])

@@ -43,6 +43,16 @@ def with_count(frames: DataFrame, events: DataFrame, unit: list[str], t: str = "
     return _union(frames, events, unit, t, at).withColumn(name, F.count("_event").over(sofar)).where("_frame").drop("_event", "_frame")
 
 
+def with_containment(points: DataFrame, ranges: DataFrame, unit: list[str], t: str, lo: str, hi: str, name: str = "inside") -> DataFrame:
+    """Points with whether t lies in a range lo <= t <= hi of their unit: the greatest end among the ranges that have
+    begun. One pass over the union, whatever the ranges' length."""
+    ends = ranges.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(*unit, F.col(lo).cast("long").alias(t), F.col(hi).cast("long").alias("_end"))
+    both = points.withColumn("_is", F.lit(True)).unionByName(ends, allowMissingColumns=True)
+    begun = Window.partitionBy(*unit).orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn(name, F.coalesce(F.max("_end").over(begun) >= F.col(t), F.lit(False))).where("_is")
+    return both.drop("_end", "_is")
+
+
 def buckets(lo: Column, hi: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
 
@@ -57,14 +67,3 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, unit: list[str], t: s
     for c in on[1:]:
         condition = condition & c
     return p.join(r, condition, how).drop("_bucket", "_r_bucket", *[f"_r_{c}" for c in unit])
-
-
-def ranges_with_points(ranges: DataFrame, points: DataFrame, unit: list[str], lo: str, hi: str, t: str, width: int, key: list[str], how: str = "left_semi") -> DataFrame:
-    """Ranges (known by key) that hold (left_semi) or do not hold (left_anti) a point of their unit."""
-    p = points.select(*[F.col(c).alias(f"_p_{c}") for c in unit], F.col(t).alias("_p_t"), F.floor(F.col(t) / width).alias("_p_bucket"))
-    r = ranges.select(*key, *unit, lo, hi, buckets(F.col(lo), F.col(hi), width).alias("_bucket"))
-    condition = (F.col("_bucket") == F.col("_p_bucket")) & (F.col("_p_t") >= F.col(lo)) & (F.col("_p_t") <= F.col(hi))
-    for c in unit:
-        condition = condition & (F.col(c) == F.col(f"_p_{c}"))
-    hit = r.join(p, condition, "left_semi").select(*key).distinct()
-    return ranges.join(hit, key, how)

@@ -58,7 +58,7 @@ def slice_radius(disk: Disk, xyz: np.ndarray, radii: np.ndarray, axis: np.ndarra
     best, place, edge = (float(inside.flat[k]), disk.xy.reshape(-1, 2)[k], k // angles == rings - 1) if inside.flat[k] > centre else (float(centre), np.zeros(2), False)
     cut = np.abs(xyz[:, 2] - z) < radii
     d = xyz[cut, :2] - (axis + place)
-    d = d[np.hypot(d[:, 0], d[:, 1]) < best + 2.0 * radii[cut].max(initial=0.0)]
+    d = d[np.hypot(d[:, 0], d[:, 1]) < best + 2.0 * radii.max(initial=0.0)]
     if not len(d):
         return None, edge
     turn = np.sort(np.arctan2(d[:, 1], d[:, 0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import points_in_ranges, with_next
+from tidemark.operators.intervals import with_containment, with_next
 
 
 def forward_labels(frames: DataFrame, events: DataFrame, taus: list[int], unit: list[str], t: str = "t", at: str = "at") -> DataFrame:
@@ -23,11 +23,9 @@ def wide_labels(labels: DataFrame, taus: list[int], keys: list[str]) -> DataFram
     return labels.groupBy(*keys).agg(*[a for x in taus for a in (at("y", x).alias(f"y_tau{x}"), at("valid", x).alias(f"valid_tau{x}"))])
 
 
-def in_interval(frames: DataFrame, ranges: DataFrame, unit: list[str], width: int, t: str = "t", lo: str = "t_entry", hi: str = "t_exit", key: list[str] | None = None) -> DataFrame:
+def in_interval(frames: DataFrame, ranges: DataFrame, unit: list[str], t: str = "t", lo: str = "t_entry", hi: str = "t_exit") -> DataFrame:
     """Frames with whether t is in a range of the unit, ends included."""
-    key = key or [*unit, t]
-    hit = points_in_ranges(frames.select(*key).distinct(), ranges, unit, t, lo, hi, width).select(*key).withColumn("_hit", F.lit(True))
-    return frames.join(hit, key, "left").withColumn("in_interval", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return with_containment(frames, ranges, unit, t, lo, hi, "in_interval")
 
 
 def label_summary(labels: DataFrame, by: list[str]) -> DataFrame:

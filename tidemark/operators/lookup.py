@@ -18,7 +18,7 @@ def load_grid(nodes: DataFrame, h: str, r: str, value: str) -> tuple[list[float]
         raise ValueError(f"the grid is incomplete: {n} of {nh * nr} nodes")
     if n > MOST_NODES:
         raise ValueError(f"the grid has {n} nodes, more than {MOST_NODES}")
-    rows = nodes.select(h, r, value).orderBy(h, r).collect()
+    rows = nodes.select(h, r, value).orderBy(h, r).collect()  # MOST_NODES at most
     return sorted({x[0] for x in rows}), sorted({x[1] for x in rows}), [float(x[2]) for x in rows]
 
 
@@ -27,18 +27,26 @@ def _array(values: list[float]) -> Column:
 
 
 def bilinear(h: Column, r: Column, grid: tuple[list[float], list[float], list[float]]) -> Column:
-    """Interpolated value at (h, r), both first clipped to the grid; null for a null. Axes are uniform."""
+    """Interpolated value at (h, r), both first clipped to the grid; null for a null. Axes rise, in
+    even steps or not."""
     hs, rs, values = grid
     v = _array(values)
 
     def cell(x: Column, axis: list[float]) -> tuple[Column, Column]:
+        x = F.greatest(F.least(x, F.lit(axis[-1])), F.lit(axis[0]))
+        if len(axis) == 1:
+            return F.lit(0), F.lit(0.0)
         step = (axis[-1] - axis[0]) / (len(axis) - 1)
-        p = (F.greatest(F.least(x, F.lit(axis[-1])), F.lit(axis[0])) - axis[0]) / step
-        i = F.least(F.floor(p), F.lit(len(axis) - 2)).cast("int")
-        return i, p - i
+        if all(abs(v - axis[0] - k * step) <= 1e-9 * abs(axis[-1] - axis[0]) for k, v in enumerate(axis)):
+            p = (x - axis[0]) / step
+            i = F.least(F.floor(p), F.lit(len(axis) - 2)).cast("int")
+            return i, p - i
+        nodes = _array(axis)
+        i = F.least(F.greatest(F.size(F.filter(nodes, lambda a: a <= x)) - 1, F.lit(0)), F.lit(len(axis) - 2))
+        return i, (x - nodes[i]) / (nodes[i + 1] - nodes[i])
 
     (i, a), (j, b) = cell(h, hs), cell(r, rs)
-    at = lambda di, dj: v[(i + di) * len(rs) + j + dj]
+    at = lambda di, dj: v[(i + (di if len(hs) > 1 else 0)) * len(rs) + j + (dj if len(rs) > 1 else 0)]
     out = at(0, 0) * (1 - a) * (1 - b) + at(1, 0) * a * (1 - b) + at(0, 1) * (1 - a) * b + at(1, 1) * a * b
     return F.when(h.isNotNull() & r.isNotNull(), out)
 

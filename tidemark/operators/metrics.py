@@ -1,7 +1,8 @@
 """Ranking and calibration metrics as one plan over any grouping.
 
-Scores are first counted per distinct value, so windows run over distinct scores of a group, never over
-raw rows. Undefined metrics (one class only) are null. Null scores are left out.
+Scores are first counted per distinct value; totals along them run in parallel within a group (see `ranks`), so a
+pooled metric of continuous scores is spread over many tasks. Undefined metrics (one class only) are null. Null
+scores are left out.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles, running
+
 
 def by_score(df: DataFrame, by: list[str], y: str = "y", score: str = "score", weight: Column | None = None) -> DataFrame:
     """Weighted positives and rows of each distinct score."""
@@ -16,15 +19,10 @@ def by_score(df: DataFrame, by: list[str], y: str = "y", score: str = "score", w
     return df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(y) * w).alias("tp"), F.sum(w).alias("n"))
 
 
-def _down(by: list[str], score: str):
-    return Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def average_precision(df: DataFrame, by: list[str], y: str = "y", score: str = "score", counted: bool = False) -> DataFrame:
     """Step-wise average precision with ties grouped, base rate, and their ratio."""
     c = df if counted else by_score(df, by, y, score)
-    w = _down(by, score)
-    c = c.withColumn("_part", F.col("tp") * F.sum("tp").over(w) / F.sum("n").over(w))
+    c = running(c, by, score, ["tp", "n"], down=True).withColumn("_part", F.col("tp") * F.col("upto_tp") / F.col("upto_n"))
     out = c.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.sum("tp").alias("n_positive"), F.sum("_part").alias("_sum"))
     defined = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_rows"))
     ap = F.when(defined, F.col("_sum") / F.col("n_positive"))
@@ -34,8 +32,8 @@ def average_precision(df: DataFrame, by: list[str], y: str = "y", score: str = "
 
 def roc_auc(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve; tied pairs count a half."""
-    c = by_score(df, by, y, score)
-    below = F.sum(F.col("n") - F.col("tp")).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - F.col("tp"))
+    c = running(by_score(df, by, y, score), by, score, ["tp", "n"])
+    below = F.col("upto_n") - F.col("upto_tp") - (F.col("n") - F.col("tp"))
     c = c.withColumn("_won", F.col("tp") * (below + (F.col("n") - F.col("tp")) / 2))
     out = c.groupBy(*by).agg(F.sum("_won").alias("won"), F.sum("tp").alias("p"), F.sum("n").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("won") / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
@@ -45,19 +43,18 @@ def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "prob") -> DataFr
     return df.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"))
 
 
-def curve(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
+def curve(df: DataFrame, by: list[str], y: str = "y", score: str = "score", counted: bool = False) -> DataFrame:
     """For each distinct score as a threshold: true and false positives, precision, recall, false-positive rate."""
-    c = by_score(df, by, y, score)
-    w, all_ = _down(by, score), Window.partitionBy(*by)
-    c = c.withColumns({"tps": F.sum("tp").over(w), "_cum": F.sum("n").over(w), "_p": F.sum("tp").over(all_), "_n": F.sum("n").over(all_)})
+    c = running(df if counted else by_score(df, by, y, score), by, score, ["tp", "n"], down=True)
+    c = c.withColumnsRenamed({"upto_tp": "tps", "upto_n": "_cum", "all_tp": "_p", "all_n": "_n"})
     fps = F.col("_cum") - F.col("tps")
     rate = lambda a, b: a / F.nullif(b, F.lit(0))
     return c.select(*by, F.col(score).alias("threshold"), "tps", fps.alias("fps"), (F.col("tps") / F.col("_cum")).alias("precision"), rate(F.col("tps"), F.col("_p")).alias("recall"), rate(fps, F.col("_n") - F.col("_p")).alias("fpr"))
 
 
-def f1_threshold(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
+def f1_threshold(df: DataFrame, by: list[str], y: str = "y", score: str = "score", counted: bool = False) -> DataFrame:
     """Threshold of the best F1, the lowest of equal ones; 0.5 without positives."""
-    c = curve(df, by, y, score).withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
+    c = curve(df, by, y, score, counted).withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
     best = c.groupBy(*by).agg(F.max(F.struct("f1", (-F.col("threshold")).alias("low"))).alias("b"), F.max("tps").alias("p"))
     return best.select(*by, F.when(F.col("p") > 0, -F.col("b.low")).otherwise(F.lit(0.5)).alias("threshold"), F.when(F.col("p") > 0, F.col("b.f1")).alias("f1"))
 
@@ -79,19 +76,15 @@ def confusion(df: DataFrame, by: list[str], y: str = "y", verdict: str = "verdic
 
 def percentile_rank(df: DataFrame, by: list[str], value: str, name: str = "pct_rank") -> DataFrame:
     """Average rank of the value among the group's non-null values, divided by their number; null for null."""
-    w = Window.partitionBy(*by)
-    present = df.where(F.col(value).isNotNull())
-    ties = present.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    below = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ties = ties.withColumns({"_below": below, "_n": F.sum("_c").over(w)})
-    ranks = ties.select(*by, value, ((F.col("_below") - (F.col("_c") - 1) / 2) / F.col("_n")).alias(name))
+    ties = running(df.groupBy(*by, value).agg(F.count("*").alias("_c")), by, value, ["_c"])
+    ranks = ties.select(*by, value, ((F.col("upto__c") - (F.col("_c") - 1) / 2) / F.col("all__c")).alias(name))
     return df.join(ranks, [*by, value], "left")
 
 
 def reliability_bins(df: DataFrame, by: list[str], bins: int = 10, y: str = "y", p: str = "prob") -> DataFrame:
     """Mean p and mean y between quantile edges, bins (a, b] and the first one closed; equal edges collapse."""
     points = [k / bins for k in range(bins + 1)]
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(x) for x in points]))).alias("edges"))
+    edges = quantiles(df, by, p, points, "edges").select(*by, F.array_distinct("edges").alias("edges"))
     placed = df.join(edges, by).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col(p)))))
     return placed.where(F.col(p).isNotNull()).groupBy(*by, "bin").agg(F.count("*").alias("n_rows"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 
@@ -111,8 +104,11 @@ def bootstrap_weights(units: DataFrame, draws: int, seed: str = "bootstrap") ->
     name = units.columns[0]
     once = units.where(F.col(name).isNotNull()).distinct()
     n = once.count()
-    # Place i of a draw takes the unit whose hashed number is next to it; both sides number 0..n-1.
-    numbered = once.withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(name), name)) - 1)
+    # Place i of a draw takes the unit of that number; numbers follow the units' hashes.
+    hashed = once.withColumn("_h", F.xxhash64(name))
+    counted = running(hashed.groupBy("_h").agg(F.count("*").alias("_c")), [], "_h", ["_c"])
+    tied = F.row_number().over(Window.partitionBy("_h").orderBy(name))
+    numbered = hashed.withColumn("_tie", tied).join(counted, "_h").select(name, (F.col("upto__c") - F.col("_c") + F.col("_tie") - 1).cast("int").alias("_i"))
     picks = units.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("boot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("_i"))
     return picks.groupBy("boot", "_i").agg(F.count("*").alias("w")).join(numbered, "_i").drop("_i")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import column_quantiles
+
 
 class MissingEncoder:
     """Median-imputed columns and an indicator for each; medians come from the rows that were fitted. A column
@@ -15,10 +17,11 @@ class MissingEncoder:
 
     def fit(self, df: DataFrame) -> MissingEncoder:
         bad = [F.count_if(F.abs(c) == float("inf")).alias(f"{c}__i") for c in self.columns]
-        r = df.agg(*[F.median(c).alias(c) for c in self.columns], *bad).first()
+        r = df.agg(*bad).first()
         if any(r[f"{c}__i"] for c in self.columns):
             raise ValueError("infinite values: " + ", ".join(c for c in self.columns if r[f"{c}__i"]))
-        self.medians = {c: float(r[c]) if r[c] is not None else 0.0 for c in self.columns}
+        found = column_quantiles(df, self.columns, [0.5])
+        self.medians = {c: float(found[c][0]) if c in found else 0.0 for c in self.columns}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

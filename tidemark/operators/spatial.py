@@ -45,6 +45,32 @@ def periodic_pairs_within(a: DataFrame, b: DataFrame, frame: list[str], columns:
     return left.join(right, [*frame, "_cell"]).withColumn("distance", F.sqrt(d2)).where((F.col("distance") <= cutoff) & (F.col("a") != F.col("b"))).select(*frame, "a", "b", "distance")
 
 
+def triclinic_pairs_within(a: DataFrame, b: DataFrame, frame: list[str], columns: list[str], vectors: list[list[float]], cutoff: float, key: str) -> DataFrame:
+    """The same in a periodic box of any three vectors (rows). Places are taken in parts of the vectors; cells are at least
+    a cutoff high along each; of the 27 images next to the nearest parts the least distance counts, which is exact up to
+    half the least height of the box (a longer cutoff is an error)."""
+    import numpy as np
+
+    m = np.array(vectors, float)
+    heights = abs(np.linalg.det(m)) / np.array([np.linalg.norm(np.cross(m[(i + 1) % 3], m[(i + 2) % 3])) for i in range(3)])
+    if cutoff > heights.min() / 2:
+        raise ValueError(f"the cutoff is over half the box's least height, {heights.min() / 2}")
+    inverse = np.linalg.inv(m)
+    n = [int(x) if x >= 3 else 1 for x in heights // cutoff]
+    part = lambda i: sum((F.col(c) * float(inverse[j, i]) for j, c in enumerate(columns)), F.lit(0.0))
+    cell = lambda i: F.least(F.floor((part(i) - F.floor(part(i))) * n[i]), F.lit(n[i] - 1))
+    left = a.select(*frame, F.col(key).alias("a"), *[part(i).alias(f"_a{i}") for i in range(3)], F.struct(*[cell(i).alias(f"c{i}") for i in range(3)]).alias("_cell"))
+    steps = itertools.product(*[(-1, 0, 1) if k > 1 else (0,) for k in n])
+    near = F.explode(F.array(*[F.struct(*[F.pmod(cell(i) + d, F.lit(n[i])).alias(f"c{i}") for i, d in enumerate(s)]) for s in steps]))
+    right = b.select(*frame, F.col(key).alias("b"), *[part(i).alias(f"_b{i}") for i in range(3)], near.alias("_cell"))
+    d = left.join(right, [*frame, "_cell"]).where(F.col("a") != F.col("b"))
+    d = d.withColumns({f"_d{i}": F.col(f"_a{i}") - F.col(f"_b{i}") - F.rint(F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(3)})
+    flat = d.withColumns({f"_x{j}": sum((F.col(f"_d{i}") * float(m[i, j]) for i in range(3)), F.lit(0.0)) for j in range(3)})
+    shifts = [np.array(s, float) @ m for s in itertools.product((-1, 0, 1), repeat=3)]
+    squares = [sum((F.pow(F.col(f"_x{j}") + float(s[j]), 2) for j in range(3)), F.lit(0.0)) for s in shifts]
+    return flat.withColumn("distance", F.sqrt(F.least(*squares))).where(F.col("distance") <= cutoff).select(*frame, "a", "b", "distance")
+
+
 def coordination(a: DataFrame, b: DataFrame, frame: list[str], columns: list[str], cutoff: float, key: str) -> DataFrame:
     """How many rows of b are within the cutoff of each row of a; 0 included."""
     n = pairs_within(a, b, frame, columns, cutoff, key).groupBy(*frame, F.col("a").alias(key)).agg(F.count("*").alias("n_near"))

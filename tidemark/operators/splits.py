@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def leave_one_out_folds(df: DataFrame, group: str) -> DataFrame:
-    """For each group: rows tested and rows trained on when it is held out, and groups on both sides (0)."""
-    g = df.groupBy(group).agg(F.count("*").alias("n_test"))
+def leave_one_out_folds(df: DataFrame, group: str, unit: list[str] | None = None) -> DataFrame:
+    """For each group: rows tested and rows trained on when it is held out, and units on both sides (of the group
+    itself, if no other is given): anything but 0 is leakage."""
+    unit = unit or [group]
+    g = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n_test"))
     total = df.count()
-    return g.select(group, "n_test", (F.lit(total) - F.col("n_test")).alias("n_train"), F.lit(0).cast("long").alias("n_overlap"))
+    pairs = df.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.struct(*unit).alias("_u")).distinct()
+    shared = pairs.groupBy("_u").agg(F.count("*").alias("_groups")).where("_groups > 1")
+    n = pairs.join(shared, "_u").groupBy("_g").agg(F.count("*").alias("_n"))
+    out = g.join(n, F.col(group) == F.col("_g"), "left")
+    return out.select(group, "n_test", (F.lit(total) - F.col("n_test")).alias("n_train"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_overlap"))
 
 
 def fold(df: DataFrame, group: str, held_out) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +63,7 @@ def inner_folds(df: DataFrame, group: str) -> DataFrame:
     """Ordered pairs of distinct groups (outer held out, inner held out) with the rows left to train on."""
     g = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
     total = df.count()
-    names = g.agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col("n").alias("m")))).first()[0]
+    names = g.select(F.col(group).alias("g"), F.col("n").alias("m")).limit(10_001).collect()
     if len(names) > 10_000:
         raise ValueError("nested folds of more than 10,000 groups")
     other = F.explode(F.from_json(F.lit("[" + ",".join(f'{{"g":{_json(r.g)},"m":{r.m}}}' for r in names) + "]"), f"array<struct<g:{df.schema[group].dataType.simpleString()},m:bigint>>"))

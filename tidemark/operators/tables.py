@@ -79,8 +79,12 @@ def pool(tables: dict[str, DataFrame], key: str = "system") -> DataFrame:
     return out
 
 
-def align(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """keys and exactly the columns a model wants, those that df lacks as null."""
+def align(df: DataFrame, columns: list[str], keys: list[str], absent: str = "error") -> DataFrame:
+    """keys and exactly the columns a model wants. Those that df lacks are an error, or null with absent="null" (a
+    transfer that has been judged, see `transfer_plan`)."""
+    lost = [c for c in columns if c not in df.columns]
+    if lost and absent != "null":
+        raise ValueError("columns the model wants are absent: " + ", ".join(lost))
     return df.select(*keys, *[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns])
 
 
@@ -121,3 +125,56 @@ def complete_arrays(df: DataFrame, array: str) -> tuple[list[int], int]:
     rows = [r for r in e.collect() if r.i is not None]
     good = sorted(r.i for r in rows if r.ok == total)
     return good, len(rows) - len(good)
+
+
+def applicability(df: DataFrame, columns: dict[str, str], present: list[str]) -> DataFrame:
+    """`column_profile` with the verdict "inapplicable" for columns whose subject (columns[c]) is not in this system:
+    there is nothing to measure, whatever the column holds."""
+    profile = column_profile(df, list(columns))
+    names = [c for c, subject in columns.items() if subject not in present]
+    return profile.withColumn("verdict", F.when(F.col("column").isin(names), "inapplicable").otherwise(F.col("verdict"))) if names else profile
+
+
+def model_matrix(df: DataFrame, columns: dict[str, str], present: list[str], outside: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Columns to train on, and for every other one the reason why it is not: a score of a rival method (`outside`),
+    nothing to measure, never measured, constant, or an affine function of an earlier column. Together they are all."""
+    verdict = {r["column"]: r["verdict"] for r in applicability(df, columns, present).collect()}  # one row per column
+    said = {"inapplicable": "nothing to measure", "missing": "never measured", "constant": "constant"}
+    reasons = {c: "outside the model" for c in columns if c in outside}
+    reasons |= {c: said[verdict[c]] for c in columns if c not in reasons and verdict[c] in said}
+    left = [c for c in columns if c not in reasons]
+    for r in affine_duplicates(df, left).collect() if len(left) > 1 else []:
+        if r.column_a not in reasons:
+            reasons.setdefault(r.column_b, f"affine function of {r.column_a}")
+    kept = [c for c in columns if c not in reasons]
+    if len(kept) + len(reasons) != len(columns):
+        raise AssertionError("columns kept and left out do not add up")
+    return kept, reasons
+
+
+def gates(df: DataFrame, checks: dict[str, object], by: list[str]) -> DataFrame:
+    """For each group and named check (a condition on rows): rows that pass, rows, and whether all and any do."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(c, F.lit(False)).alias("ok")) for n, c in checks.items()]))
+    d = df.select(*by, each.alias("c")).groupBy(*by, "c.gate").agg(F.count_if("c.ok").alias("n_ok"), F.count("*").alias("n"))
+    return d.withColumns({"all_ok": F.col("n_ok") == F.col("n"), "any_ok": F.col("n_ok") > 0})
+
+
+def accepted(gates_: DataFrame, need: dict[str, str], by: list[str]) -> DataFrame:
+    """Per group the number of gates that hold ("all" or "any" rows, as `need` says) and whether all do."""
+    ok = F.lit(False)
+    for gate, how in need.items():
+        ok = F.when(F.col("gate") == gate, F.col(f"{how}_ok")).otherwise(ok)
+    d = gates_.where(F.col("gate").isin(list(need))).withColumn("_ok", ok)
+    return d.groupBy(*by).agg(F.count_if("_ok").alias("n_gates_ok"), (F.count_if("_ok") == len(need)).alias("accepted"))
+
+
+def largest_group(df: DataFrame, by: str, within: list[str] | None = None) -> DataFrame:
+    """The group with most rows, the first by name of equal ones."""
+    n = df.groupBy(*(within or []), by).agg(F.count("*").alias("_n"))
+    best = n.groupBy(*(within or [])).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(by).alias("g"))).alias("b"))
+    return best.select(*(within or []), F.col("b.g").alias(by), (-F.col("b.n")).alias("n_rows"))
+
+
+def block_importance(importance: DataFrame) -> DataFrame:
+    """Importances of columns (see `explain.global_importance`) summed by block."""
+    return importance.groupBy("block").agg(F.sum("importance").alias("importance"), F.count("*").alias("n_columns"))

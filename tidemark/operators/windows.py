@@ -99,3 +99,26 @@ def cyclic_shift(df: DataFrame, value: str, k: Column, unit: list[str], t: str =
     d = df.withColumn("_i", F.row_number().over(ordered(unit, t)) - 1).withColumn("_n", F.count("*").over(w))
     moved = d.select(*unit, F.pmod(F.col("_i") + k, F.col("_n")).cast("int").alias("_i"), F.col(value).alias(name))
     return d.join(moved, [*unit, "_i"]).drop("_i", "_n")
+
+
+def falling_edges(df: DataFrame, y: str, unit: list[str], t: str = "t") -> DataFrame:
+    """The last row of every run of y = 1."""
+    return df.withColumn("_next", F.lead(y).over(ordered(unit, t))).where((F.col(y) == 1) & (F.coalesce("_next", F.lit(0)) != 1)).drop("_next")
+
+
+def displacement(df: DataFrame, chosen: DataFrame, unit: list[str], entity: str, z: str, inside: Column, window: int, t: str = "t") -> DataFrame:
+    """For each row of `chosen` (unit, t, entity) how far that entity has moved along z since the first frame of the window
+    [t - window, t], if it was inside then and that frame is not this one; else null. `persist` says whether it did.
+    A frame is a distinct t of the unit."""
+    frames = df.select(*unit, t).distinct().withColumn("_t0", F.min(t).over(trailing(unit, window, t)))
+    now = chosen.select(*unit, t, entity).join(frames, [*unit, t]).join(df.select(*unit, t, entity, F.col(z).alias("_z1")), [*unit, t, entity], "left")
+    then = df.select(*unit, F.col(t).alias("_t0"), entity, F.col(z).alias("_z0"), inside.alias("_in"))
+    d = now.join(then, [*unit, "_t0", entity], "left")
+    persist = F.coalesce((F.col("_t0") < F.col(t)) & F.col("_in"), F.lit(False))
+    return d.select(*unit, t, entity, persist.alias("persist"), F.when(persist, F.col("_z1") - F.col("_z0")).alias("displacement"))
+
+
+def at_or_below(value: str, over) -> Column:
+    """Share of the window's known values that are at or below this row's."""
+    values = F.collect_list(value).over(over)
+    return F.size(F.filter(values, lambda v: v <= F.col(value))) / F.nullif(F.size(values), F.lit(0))

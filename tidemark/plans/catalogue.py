@@ -101,7 +101,7 @@ SELECT event_id, EXISTS (SELECT 1 FROM s WHERE s.unit = e.unit AND s.t_entry <=
 def in_interval(spark, sf_dir):
     ev = observations(spark, sf_dir)
     ranges = intervals.with_next(ev.where("kind = 'signup'").select("unit", "t"), of_kind(ev, "purchase"), U, name="t_exit").where("t_exit is not null").withColumnRenamed("t", "t_entry").select("unit", "t_entry", "t_exit")
-    return labels.in_interval(ev, ranges, U, 2 * DAY).select("event_id", "in_interval")
+    return labels.in_interval(ev, ranges, U).select("event_id", "in_interval")
 
 
 # joins along time

@@ -130,3 +130,18 @@ def choose_source(config: Config, own: int, provided: int) -> str:
     if own and provided:
         raise ConfigError("both event sources have events; set labels.source")
     return "own" if own else "provided"
+
+
+def read(spark, path: str) -> Config:
+    """A configuration and its ledger from a JSON file, as `write` leaves it or with keys in sections."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    doc = json.loads(text)
+    return load(doc.get("values", doc), doc.get("ledger"))
+
+
+def write(spark, folder: str, config: Config) -> None:
+    """The values that differ from defaults and the ledger, as config.json in a folder that appears whole or not at all."""
+    from tidemark.sources.sinks import step_output, write_text
+
+    with step_output(spark, folder) as temp:
+        write_text(spark, f"{temp}/config.json", json.dumps(config.saved(), indent=1, sort_keys=True))

@@ -22,12 +22,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"{a} cannot be renamed to {b}")
+
+
 @contextmanager
 def step_output(spark: SparkSession, target: str) -> Iterator[str]:
     """A folder to write to that replaces `target` when the block ends well. After a failure the old output is
-    untouched and nothing else is left; leftovers of runs that died are swept first."""
+    untouched and nothing else is left. What runs that died have left is put right first: an old output that was
+    moved away without a new one in its place comes back, and unfinished folders go."""
     fs, path = _fs(spark, target)
     parent, name = target.rstrip("/").rsplit("/", 1)
+    old = f"{parent}/.{name}.old"
+    if fs.exists(path(old)):  # a run died between the two renames, or before it removed the old output
+        if fs.exists(path(target)):
+            fs.delete(path(old), True)
+        else:
+            _rename(fs, path(old), path(target))
     for stale in fs.globStatus(path(f"{parent}/.{name}.tmp-*")) or []:
         fs.delete(stale.getPath(), True)
     temp = f"{parent}/.{name}.tmp-{uuid.uuid4().hex}"
@@ -37,10 +49,9 @@ def step_output(spark: SparkSession, target: str) -> Iterator[str]:
     except BaseException:
         fs.delete(path(temp), True)
         raise
-    old = f"{temp}-old"
     if fs.exists(path(target)):
-        fs.rename(path(target), path(old))
-    fs.rename(path(temp), path(target))
+        _rename(fs, path(target), path(old))
+    _rename(fs, path(temp), path(target))
     fs.delete(path(old), True)
 
 

@@ -21,6 +21,20 @@ class _File(InputPartition):
         super().__init__(path)
 
 
+def frames(lines: Iterator[str], unit: str) -> Iterator[tuple]:
+    """Rows of one file; t is that of the comment line, or the frame's number."""
+    frame = 0
+    for line in lines:
+        if not line.strip():
+            continue
+        m = re.search(r"\bt\s*=\s*([-+0-9.eE]+)", next(lines, ""))
+        t = float(m[1]) if m else float(frame)
+        for k in range(int(line)):
+            name, x, y, z = next(lines).split()[:4]
+            yield unit, t, k, name, float(x), float(y), float(z)
+        frame += 1
+
+
 class XyzSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -46,14 +60,20 @@ class XyzReader(DataSourceReader):
         path = Path(partition.value)
         unit = self.unit or path.stem
         with path.open(encoding="utf-8") as f:
-            frame = 0
-            while line := f.readline():
-                if not line.strip():
-                    continue
-                n = int(line)
-                m = re.search(r"\bt\s*=\s*([-+0-9.eE]+)", f.readline())
-                t = float(m[1]) if m else float(frame)
-                for k in range(n):
-                    name, x, y, z = f.readline().split()[:4]
-                    yield unit, t, k, name, float(x), float(y), float(z)
-                frame += 1
+            yield from frames(f, unit)
+
+
+def read_xyz(spark, path: str, unit: str | None = None):
+    """The same rows from files that only Spark's readers reach (an object store, HDFS): a task takes a file as one text,
+    so files are of bounded size; split long trajectories into several."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def parse(batches):
+        for batch in batches:
+            for name, text in zip(batch["path"], batch["value"], strict=True):
+                own = unit or Path(name).stem
+                rows = list(frames(iter(text.splitlines()), own))
+                yield pd.DataFrame(rows, columns=["unit", "t", "entity", "name", "x", "y", "z"])
+
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(parse, SCHEMA)

@@ -8,6 +8,8 @@ so it never ends on its own.
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,22 +29,23 @@ def monitor(rows: DataFrame, window: int, on: float, off: float, idle_ms: int |
         if state.hasTimedOut:
             state.remove()
             return
-        times, scores, armed = state.get if state.exists else ([], [], False)
-        times, scores = list(times), list(scores)
-        new = pd.concat(list(batches)).sort_values("t")
+        old_t, old_s, armed = state.get if state.exists else ([], [], False)
+        kept = deque(zip(old_t, old_s, strict=True))
+        new = pd.concat(list(batches)).sort_values("t", kind="stable")
         out = []
+        n, total = sum(s is not None for _, s in kept), math.fsum(s for _, s in kept if s is not None)
         for t, s in zip(new["t"].tolist(), new["score"].tolist(), strict=True):
-            times.append(t)
-            scores.append(None if pd.isna(s) else s)
-            while times[0] < t - window:
-                times.pop(0)
-                scores.pop(0)
-            known = [x for x in scores if x is not None]
-            mean = sum(known) / len(known) if known else None
+            s = None if pd.isna(s) else s
+            kept.append((t, s))
+            n, total = n + (s is not None), total + (s or 0.0)
+            while kept[0][0] < t - window:
+                _, gone = kept.popleft()
+                n, total = n - (gone is not None), total - (gone or 0.0)
+            mean = total / n if n else None
             if mean is not None:
                 armed = True if mean >= on else False if mean < off else armed
             out.append((key[0], t, mean, armed))
-        state.update((times, scores, armed))
+        state.update(([t for t, _ in kept], [s for _, s in kept], armed))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["unit", "t", "mean", "armed"])
