@@ -459,11 +459,11 @@ def flux_agreement(spark, sf_dir):
     return checked_flux(ev, U)[0]
 
 
-@query(f"""WITH {EV}, n AS (SELECT *, CASE WHEN k % 7 <> 0 THEN score END AS v FROM ev) SELECT event_id, var_pop(v) OVER w AS variance, first_value(score) OVER w - score AS diff, count(*) OVER w >= 2 AS has_pair FROM n WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""", variance=4)
+@query(f"""WITH {EV}, n AS (SELECT *, CASE WHEN k % 7 <> 0 THEN score END AS v FROM ev) SELECT event_id, round(sqrt(var_pop(v) OVER w), 6) AS deviation, first_value(score) OVER w - score AS diff, count(*) OVER w >= 2 AS has_pair FROM n WINDOW w AS (PARTITION BY unit ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""")
 def trailing_known_variance(spark, sf_dir):
     w = windows.trailing(U, DAY)
     ev = observations(spark, sf_dir).withColumn("v", F.when(F.col("k") % 7 != 0, F.col("score")))
-    return ev.select("event_id", F.var_pop("v").over(w).alias("variance"), (F.first("score").over(w) - F.col("score")).alias("diff"), (F.count("*").over(w) >= 2).alias("has_pair"))
+    return ev.select("event_id", F.round(F.sqrt(F.var_pop("v").over(w)), 6).alias("deviation"), (F.first("score").over(w) - F.col("score")).alias("diff"), (F.count("*").over(w) >= 2).alias("has_pair"))
 
 
 # further measures and lookups
