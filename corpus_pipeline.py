@@ -23,12 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts with five-word shingle sets of similarity 0.8 or more, directly or by others, that of the
-    smallest doc_id stays. Of rows that repeat a doc_id one stays; rows without a doc_id stay."""
+    smallest doc_id stays. Of rows that repeat a doc_id that of the least text stays (of equal texts, that of the least
+    other columns); rows without a doc_id stay."""
     found = written(near_dedup.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80), "near-duplicates")
     kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
     out = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_repeated_id"))
+    repeated = written(repeated, "repeated-keys")
+    if not repeated.isEmpty():
+        again = F.col("doc_id") == F.col("_repeated_id")
+        rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+        one = out.join(repeated, again, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*")
+        out = out.join(repeated, again, "left_anti").unionByName(one)
     return out.unionByName(docs.where("doc_id is null"))
 
 
