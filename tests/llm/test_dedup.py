@@ -84,3 +84,31 @@ def test_repeats_of_odd_rows(spark):
     rows = sorted((r.doc_id or -1, r.n_words, len(r.kept.split())) for r in repeats.repeated_words(df).collect())
     assert rows == [(-1, 30, 30), (2, 31, 31), (3, 30, 0), (3, 30, 0), (3, 31, 1)]
     assert repeats.repeated_words(df.limit(0)).count() == 0
+
+
+def test_keys_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    for f in (near_dedup.near_duplicates, repeats.repeated_words):
+        with pytest.raises(TypeError, match="doc_id"):
+            f(df)
+
+
+def test_components_of_chains_and_stars(spark):
+    from tidemark.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(1000, 1300)] + [(5, k) for k in range(2000, 2600)] + [(2599, 3000), (7, 7), (8, 9), (9, 8), (8, 9)]
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 1000 for i in range(1001, 1301)} | {k: 5 for k in range(2000, 2600)} | {3000: 5, 9: 8}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_halves_follow_the_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 3, (64, 64)).astype(float)
+    counts[:32, 32:] += 50  # most neighbours go from the first classes to the last
+    right = repeats.divide(counts)
+    assert not right[:32].any() and right[32:].all()
+    assert [repeats.rounds(n) for n in (2, 20, 50, 200)] == [1, 2, 3, 5]

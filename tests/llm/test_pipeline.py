@@ -67,3 +67,11 @@ def test_empty_corpus(spark, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_keys_keep_one_row_whatever_the_order(spark):
+    rows = [(1, "b " * 20, "en", "s", 1), (1, "a " * 20, "en", "s", 2), (1, "a " * 20, "de", "s", 3), (2, "c d e f g h", "en", "s", 4), (None, "x", "en", "s", 5), (None, "x", "en", "s", 5)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+        assert sorted(kept, key=str) == sorted([rows[2], rows[3], rows[4], rows[5]], key=str)

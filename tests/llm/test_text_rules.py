@@ -347,6 +347,13 @@ def test_similarities_are_cosines_of_full_vectors(spark):
         j = next(j for j, (i, _) in enumerate(docs) if i == r.doc_id)
         sims = sorted((-float(v[e] @ v[j]), docs[e][0]) for e in examples if v[e] @ v[j] > 0)[: toxicity.SHOWN]
         assert np.allclose([e.similarity for e in r.evidence], [-s for s, _ in sims], atol=1e-6)
+        # the whole score: votes of the k nearest by squared similarity, weighted back to the labels' shares, calibrated
+        near = sorted((-float(v[e] @ v[j]), docs[e][0]) for e in examples if v[e] @ v[j] > 0)[:5]
+        share, y = model.share, {i: int(i == 100 or i % 3 == 0) for _, i in near}
+        n1 = sum(i == 100 or i % 3 == 0 for i in (docs[e][0] for e in examples)) / len(examples)
+        w = {i: (share / n1 if y[i] else (1 - share) / (1 - n1)) * s * s for s, i in near}
+        vote = (sum(w[i] * y[i] for i in w) + 0.05 * share) / (sum(w.values()) + 0.05)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.index.a * np.log(vote / (1 - vote)) + model.index.b)))) < 1e-6
     copy = next(r for r in rows if r.doc_id == 101).evidence[0]
     assert copy.id == 100 and abs(copy.similarity - 1) < 1e-9
 
