@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._spark import prepare
+from tidemark.llm._spark import prepare, written
 from tidemark.llm._text import LOWER, pieces, words
 
 #: Bytes of words: lower-case letters and everything outside ASCII.
@@ -172,8 +172,8 @@ def _found(text: str, ranks: dict[str, float] | None = None) -> tuple[list[tuple
 
 
 def word_ranks(docs: DataFrame, text: str = "text", most: int = MOST) -> dict[str, float]:
-    """WORDS and the corpus's `most` most frequent words of 3 to `LONGEST` bytes (letters alone; ties by the word), in the
-    order in which guesses try them. Values in credential contexts are not counted, so that a secret which
+    """WORDS and the corpus's most frequent words of 3 to `LONGEST` bytes (letters alone; ties by the word), `most` at most,
+    in the order in which guesses try them. Values in credential contexts are not counted, so that a secret which
     many documents repeat does not become a word."""
     prepare(docs.sparkSession)
     blank = lambda m: m[0][: m.start(m.lastindex) - m.start()] + " "
@@ -197,7 +197,16 @@ def word_ranks(docs: DataFrame, text: str = "text", most: int = MOST) -> dict[st
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
     counted = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return _ranks([*WORDS, *(r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())])
+    # Counts within a hundredth of each other are one level; as many whole levels as fit, from the top, are taken.
+    counted = written(counted.withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 64)), "word-counts")
+    cut, total = math.inf, 0
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):  # 64 * 63 rows at most
+        total += r.words
+        if total > most:
+            break
+        cut = r.level
+    top = counted.where(F.col("level") >= cut).select("word", "n").collect() if cut < math.inf else []  # `most` at most
+    return _ranks([*WORDS, *(r.word for r in sorted(top, key=lambda r: (-r.n, r.word)))])
 
 
 def scan(text: str, ranks: dict[str, float] | None = None) -> list[tuple[int, int, int, int, float | None]]:
