@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._spark import prepare, written
+from tidemark.llm._spark import drop, prepare, written
 from tidemark.llm._text import NOT_SPACE, Words, mix, pieces, windows, words
 
 #: Classes of names by which neighbours are counted.
@@ -239,6 +239,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     shared = written(found.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "shared")
     groups = found.join(shared, "symbol").groupBy("id", "h").agg(F.collect_set(F.struct("symbol", "at", "n")).alias("groups"))
     groups = written(groups, "groups")
+    drop(found, shared)
 
     def verify(batches):
         for batch in batches:
@@ -263,12 +264,13 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     seen = keyed.join(groups, ["id", "h"]).select("id", "h", "text", "groups")
     seen = written(seen.mapInArrow(verify, "symbol long, kind long, id long, h long, at int, n int, windows array<long>"), "kinds")
+    drop(groups)
     place = F.struct("id", "at")
     kinds = written(seen.groupBy("kind").agg(F.min(place).alias("first"), F.first("symbol").alias("symbol")), "firsts")
     later = seen.select("kind", "id", "h", "at", "n").join(kinds.select("kind", "first"), "kind").where(place > F.col("first")).select("id", "h", "at", "n")
     several = written(kinds.groupBy("symbol").agg(F.count("*").alias("c")).where("c > 1").select("symbol"), "several")
-    heads = written(kinds.join(several, "symbol").select("kind", "first"), "several-kinds")
-    heads = seen.select("kind", "id", "h", "at", "windows").join(heads, "kind").where(place == F.col("first"))
+    chosen = written(kinds.join(several, "symbol").select("kind", "first"), "several-kinds")
+    heads = seen.select("kind", "id", "h", "at", "windows").join(chosen, "kind").where(place == F.col("first"))
     heads = heads.select("id", "h", "at", F.posexplode("windows").alias("more", "window")).select("window", "id", "h", (F.col("at") + F.col("more")).alias("at"))
     heads = written(heads, "heads")
     first = heads.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first")
@@ -276,6 +278,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     again = heads.join(first, "window").where(place > F.col("first")).select("id", "h", "at", F.lit(1).alias("n"))
     later = later.unionByName(again).groupBy("id", "h").agg(F.collect_set(F.struct("at", "n")).alias("later"))
     later = written(later, "later")
+    drop(seen, kinds, several, chosen, heads, first)
 
     def cut(batches):
         for batch in batches:
