@@ -108,6 +108,7 @@ def _alike(products: np.ndarray, which: np.ndarray, size: int) -> list[int]:
         v /= max(np.linalg.norm(v), 1e-300)
     which = which[np.argsort(v, kind="stable")]
     cut = size * max(1, -(-len(which) // size) // 2)
+    del s
     return _alike(products, which[:cut], size) + _alike(products, which[cut:], size)
 
 
@@ -167,6 +168,7 @@ class Index(Votes):
             some = order[slice(*np.searchsorted(doc[order], [low, low + self.BATCH]))]
             products[low : low + self.BATCH] = self.products(doc[some] - low, term[some].astype(np.int64), weight[some], len(products[low : low + self.BATCH]))
         order = np.array(_alike(products, np.arange(len(keys)), self.BLOCK))
+        del products
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self._post(keys[order], labels[order], place[doc], term, weight)
@@ -184,6 +186,7 @@ class Index(Votes):
         self._prepare()
 
     def _prepare(self) -> None:
+        self.rows = None  # the old rows go before the new ones come
         self.rows = np.zeros((len(self.dense), self.blocks * self.BLOCK))
         self.row = np.full(self.n_terms, -1, np.int32)
         self.row[self.dense] = np.arange(len(self.dense))
