@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op3_byte_bpe
 from tidemark.llm.decontaminate import op8_decontamination
+from tidemark.llm.interactions import OP12_SQL, op12_filter_interactions
 from tidemark.llm.licenses import OP2_SQL, op2_licenses
 from tidemark.llm.near_dedup import op4_near_dedup
 from tidemark.llm.quality import OP6_SQL, op6_quality
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
+    "op12_filter_interactions": op12_filter_interactions,
 }
-ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL, "op12_filter_interactions": OP12_SQL}
