@@ -9,6 +9,7 @@ from tidemark.llm.licenses import OP2_SQL, op2_licenses
 from tidemark.llm.near_dedup import op4_near_dedup
 from tidemark.llm.quality import OP6_SQL, op6_quality
 from tidemark.llm.repeats import op10_repeats
+from tidemark.llm.resampling import OP11_SQL, op11_importance_resampling
 from tidemark.llm.secrets import op5_secrets
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.toxicity import op9_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_filter_interactions": op12_filter_interactions,
 }
-ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL, "op12_filter_interactions": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL, "op11_importance_resampling": OP11_SQL, "op12_filter_interactions": OP12_SQL}
