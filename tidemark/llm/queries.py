@@ -7,6 +7,7 @@ from tidemark.llm.decontaminate import op8_decontamination
 from tidemark.llm.interactions import OP12_SQL, op12_filter_interactions
 from tidemark.llm.licenses import OP2_SQL, op2_licenses
 from tidemark.llm.near_dedup import op4_near_dedup
+from tidemark.llm.parity_join import op13_ngram_join
 from tidemark.llm.quality import OP6_SQL, op6_quality
 from tidemark.llm.repeats import op10_repeats
 from tidemark.llm.resampling import OP11_SQL, op11_importance_resampling
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_repeats": op10_repeats,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_filter_interactions": op12_filter_interactions,
+    "op13_ngram_join": op13_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {"op2_licenses": OP2_SQL, "op6_quality": OP6_SQL, "op11_importance_resampling": OP11_SQL, "op12_filter_interactions": OP12_SQL}
