@@ -69,7 +69,9 @@ def replay(judged: DataFrame, letters: str = "ABCDE") -> DataFrame:
     redundant, unique_fails, good_lost, toxic_lost and shapley."""
     if len(letters) > 6:
         raise ValueError("more than six filters have more orders than a broadcast should hold")
-    crossed = judged.crossJoin(F.broadcast(orders(judged.sparkSession, letters)))
+    # Rows are few bytes but 600 times their work: as many tasks as a shuffle has, not as few as the bytes would need.
+    spread = judged.repartition(int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    crossed = spread.crossJoin(F.broadcast(orders(judged.sparkSession, letters)))
     first = F.lit(len(letters) + 1)
     for k in reversed(range(len(letters))):
         first = F.when(F.col("mask").bitwiseAND(F.col("steps")[k]["bit"]) != 0, F.lit(k + 1)).otherwise(first)
