@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-import tidemark.plans.reports  # noqa: F401 - adds its queries
+import tidemark.plans.composed  # noqa: F401 - adds its queries, and those of reports
 from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
@@ -13,7 +13,7 @@ SF = Path("/root/testdata/sf0.001")
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else float(f"{v:.9g}") + 0.0  # no negative zeros
     return v
 
 

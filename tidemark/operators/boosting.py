@@ -1,59 +1,20 @@
 """Boosted trees on histograms: missing values have a learned side, leaves a least weight in events.
 
-Feature values are binned once. Each level of each tree is one Spark aggregate: gradients and second
-derivatives summed per (node, feature, bin) within tasks, then added; the driver sees a table of
-nodes x features x bins and picks splits. Rows keep their margin from tree to tree, and lineage is cut
-by a checkpoint every few rounds.
+Feature values are binned once. Each level of each tree is one Spark aggregate (see `together`, which grows any number of
+models in the same passes); this is one model with its predictions and exact Shapley values.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-@dataclass
-class Node:
-    feature: int = -1
-    cut: int = 0  # bins below go left
-    missing_left: bool = True
-    value: float = 0.0
-    cover: float = 0.0
-    low: float = -math.inf  # bounds of the values below it, from monotone splits above
-    high: float = math.inf
-    children: list[Node] = field(default_factory=list)
-
-
-def _route(node: Node, bins: np.ndarray, path: list[int], out: np.ndarray, rows: np.ndarray) -> None:
-    if not node.children:
-        out[rows] = path[0]
-        path[0] += 1
-        return
-    b = bins[rows, node.feature]
-    left = np.where(b < 0, node.missing_left, b < node.cut)
-    _route(node.children[0], bins, path, out, rows[left])
-    _route(node.children[1], bins, path, out, rows[~left])
-
-
-def leaves(node: Node) -> list[Node]:
-    return [node] if not node.children else [x for c in node.children for x in leaves(c)]
-
-
-def assign(tree: Node, bins: np.ndarray) -> np.ndarray:
-    """Leaf of each row, numbered from the left."""
-    out = np.zeros(len(bins), np.int64)
-    _route(tree, bins, [0], out, np.arange(len(bins)))
-    return out
-
-
-def _edges_below(edges: list[float], value):
-    return F.size(F.filter(F.from_json(F.lit(str(edges)), "array<double>"), lambda x: x <= value)) if edges else F.lit(0)
+from tidemark.operators.together import Boosters, Slot, Spec, binned, logit, slot_counts
+from tidemark.operators.trees import Node, assign, leaves
 
 
 class BoostedTrees:
@@ -66,152 +27,36 @@ class BoostedTrees:
         self.edges: list[list[float]] = []
         self.losses: list[float] = []
 
+    @classmethod
+    def of(cls, columns: list[str], edges: list[list[float]], spec: Spec) -> BoostedTrees:
+        """One of many models that were grown together."""
+        out = cls(columns, len(spec.trees), spec.depth, spec.rate, spec.penalty, spec.least)
+        out.trees, out.base, out.edges, out.losses = spec.trees, spec.base, edges, spec.losses
+        return out
+
     def _binned(self, df: DataFrame):
         """Number of edges at or below each value; -1 for missing."""
-        each = []
-        for c, e in zip(self.columns, self.edges, strict=True):
-            value = F.col(c)
-            each.append(F.when(value.isNull(), -1).otherwise(_edges_below(e, value)).cast("int"))
-        return F.array(*each)
+        return F.array(*binned(self.columns, self.edges))
 
     def fit(self, df: DataFrame, y: str = "y", watch: DataFrame | None = None) -> BoostedTrees:
         """Fit on df; with `watch` and patience, stop when its log-loss has not improved for so many rounds
         and keep the best number of trees."""
-        qs = [k / self.bins for k in range(1, self.bins)]
-        got = df.agg(*[F.percentile_approx(c, qs, 10_000).alias(c) for c in self.columns]).first()
-        self.edges = [sorted({float(x) for x in (got[c] or [])}) for c in self.columns]
-        share = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
-        if share is None or share <= 0 or share >= 1:
+        part = lambda d, train: d.select(F.col(y).cast("int").alias("_label"), *self.columns, F.lit(train).alias("_train"))
+        d = part(df, True) if watch is None else part(df, True).unionByName(part(watch, False))
+        slot = Slot(0, "whole", "_label", F.col("_train"), None if watch is None else ~F.col("_train"))
+        c = slot_counts(d, [slot])[0]
+        if not 0 < c["p"] < c["n"]:
             raise ValueError("training rows of one class")
-        self.base = math.log(share / (1 - share))
-        state = df.select(F.col(y).cast("double").alias("y"), self._binned(df).alias("bins"), F.lit(self.base).alias("margin")).persist()
-        seen = watch.select(F.col(y).cast("double").alias("y"), self._binned(watch).alias("bins"), F.lit(self.base).alias("margin")).persist() if watch is not None else None
-        best = (math.inf, 0)
-        for turn in range(self.rounds):
-            tree = self._grow(state)
-            self.trees.append(tree)
-            state = self._step(state, tree, turn)
-            if seen is not None:
-                seen = self._step(seen, tree, turn)
-                p = F.least(F.greatest(1 / (1 + F.exp(-F.col("margin"))), F.lit(1e-15)), F.lit(1 - 1e-15))
-                loss = seen.agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)))).first()[0]
-                self.losses.append(loss)
-                if loss < best[0]:
-                    best = (loss, turn + 1)
-                elif self.patience and turn + 1 - best[1] >= self.patience:
-                    break
-        if seen is not None and self.patience:
-            self.trees = self.trees[: best[1]]
-            seen.unpersist()
-        state.unpersist()
+        self.base = logit(c["p"] / c["n"])
+        grown = Boosters(d, self.columns, [slot], [0], [F.col("_train")], bins=self.bins, monotone=dict(zip(self.columns, self.monotone, strict=True)))
+        spec = Spec(0, self.depth, self.least, self.rounds, self.patience, self.rate, self.penalty, base=self.base)
+        grown.grow([spec])
+        grown.free()
+        self.edges, self.trees, self.losses = grown.edges[0], spec.trees, spec.losses
+        if watch is not None and self.patience:
+            self.trees = self.trees[: spec.best_round]
         return self
 
-    def _step(self, state: DataFrame, tree: Node, turn: int) -> DataFrame:
-        values = np.array([x.value for x in leaves(tree)])
-
-        def run(batches):
-            for batch in batches:
-                bins = np.array(batch.column("bins").to_pylist(), np.int64).reshape(batch.num_rows, -1)
-                margin = batch.column("margin").to_numpy() + (values[assign(tree, bins)] if batch.num_rows else 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("bins"), pa.array(margin, pa.float64())], names=["y", "bins", "margin"])
-
-        out = state.mapInArrow(run, state.schema)
-        if turn % 10 == 9 and state.sparkSession.conf.get("spark.checkpoint.dir", None):
-            out = out.checkpoint()
-        out = out.persist()
-        out.count()
-        state.unpersist()
-        return out
-
-    def _grow(self, state: DataFrame) -> Node:
-        root = Node()
-        level = [root]
-        for depth in range(self.depth + 1):
-            sums = self._histogram(state, root)
-            number = {id(x): i for i, x in enumerate(leaves(root))}
-            nxt = []
-            for node in level:
-                h = sums.get(number[id(node)])
-                if h is None:
-                    continue
-                g_all, h_all = h[0, :, 0].sum(), h[0, :, 1].sum()
-                node.cover = float(h_all)
-                node.value = float(self.rate * self._weight(g_all, h_all, node.low, node.high))
-                if depth < self.depth and (split := self._best(h, g_all, h_all, node.low, node.high)):
-                    node.feature, node.cut, node.missing_left, middle = split
-                    way = self.monotone[node.feature]
-                    node.children = [
-                        Node(low=node.low if way >= 0 else middle, high=node.high if way <= 0 else middle),
-                        Node(low=node.low if way <= 0 else middle, high=node.high if way >= 0 else middle),
-                    ]
-                    nxt += node.children
-            if not nxt:
-                break
-            level = nxt
-        return root
-
-    def _histogram(self, state: DataFrame, root: Node) -> dict[int, np.ndarray]:
-        """Sums of gradient and second derivative (leaf, feature, bin); bin 0 is for missing values."""
-        p, width = len(self.columns), self.bins + 2
-
-        def run(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins = np.array(batch.column("bins").to_pylist(), np.int64)
-                prob = 1 / (1 + np.exp(-batch.column("margin").to_numpy()))
-                g, h = prob - batch.column("y").to_numpy(), prob * (1 - prob)
-                leaf = assign(root, bins)
-                for k in np.unique(leaf).tolist():
-                    rows = leaf == k
-                    at = (bins[rows] + 1 + np.arange(p) * width).ravel()
-                    part = np.stack([np.bincount(at, np.repeat(v[rows], p), p * width).reshape(p, width) for v in (g, h)], axis=-1)
-                    total[k] = total.get(k, 0) + part
-            for k, part in total.items():
-                for f in range(p):
-                    some = np.flatnonzero(part[f].any(axis=1))
-                    m = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * m, pa.int32()), pa.array([f] * m, pa.int32()), pa.array(some.astype(np.int32)), pa.array(part[f, some, 0]), pa.array(part[f, some, 1])], names=["leaf", "f", "b", "g", "h"])
-
-        rows = state.mapInArrow(run, "leaf int, f int, b int, g double, h double").groupBy("leaf", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        out: dict[int, np.ndarray] = {}
-        for r in rows:
-            out.setdefault(r.leaf, np.zeros((p, width, 2)))[r.f, r.b] = r.g, r.h
-        return out
-
-    def _weight(self, g: float, h: float, low: float, high: float) -> float:
-        """A leaf's value before shrinkage, within its bounds."""
-        return min(high, max(low, -g / (h + self.penalty)))
-
-    def _best(self, h: np.ndarray, g_all: float, h_all: float, low: float, high: float) -> tuple[int, int, bool, float] | None:
-        """Feature, cut, side of missing values, and the middle of both sides' values, which a monotone column makes a
-        bound of all values on either side."""
-
-        def score(g: float, h: float) -> float:
-            w = self._weight(g, h, low, high)
-            return -(2 * g * w + (h + self.penalty) * w * w)
-
-        best, found = 1e-12, None
-        for f in range(len(self.columns)):
-            missing = h[f, 0]
-            left = np.zeros(2)
-            for cut in range(1, len(self.edges[f]) + 1):
-                left = left + h[f, cut]
-                for missing_left in (True, False):
-                    gl, hl = left + missing * missing_left
-                    gr, hr = g_all - gl, h_all - hl
-                    if hl < self.least or hr < self.least:
-                        continue
-                    way = self.monotone[f]
-                    a, b = self._weight(gl, hl, low, high), self._weight(gr, hr, low, high)
-                    if way * (b - a) < 0:
-                        continue
-                    gain = score(gl, hl) + score(gr, hr) - score(g_all, h_all)
-                    if gain > best and (missing_left or missing.any()):
-                        best, found = gain, (f, cut, missing_left, (a + b) / 2)
-        return found
-
     def predict(self, df: DataFrame, name: str = "prob") -> DataFrame:
         """df with the probability."""
         trees, base = self.trees, self.base
@@ -251,6 +96,43 @@ class BoostedTrees:
         return self.base + sum(v * math.prod(z for _, z in s.values()) for t in self.trees for v, s in _paths(t))
 
 
+def fold_contributions(df: DataFrame, columns: list[str], models: dict, fold: str, keys: list[str]) -> DataFrame:
+    """Shapley values of every row's margin by its own fold's trees, exact, in one pass: keys, fold, margin, expected (the margin that
+    knows no column) and contributions (a map by column); they sum to margin less expected. models: (edges, Spec) by fold; rows of other folds are left out."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    names = list(models)
+    number = F.coalesce(*[F.when(F.col(fold) == F.lit(f), F.lit(i)) for i, f in enumerate(names)])
+    bins = F.coalesce(*[F.when(F.col(fold) == F.lit(f), F.array(*binned(columns, models[f][0]))) for f in names])
+    rows = df.select(*keys, fold, number.alias("_model"), bins.alias("_bins")).where("_model is not null")
+    base = [models[f][1].base for f in names]
+    paths = [[q for t in models[f][1].trees for q in _paths(t)] for f in names]
+    expected = [b + sum(v * math.prod(z for _, z in s.values()) for v, s in p) for b, p in zip(base, paths, strict=True)]
+    kept = [rows.schema[c] for c in [*keys, fold]]
+    schema = T.StructType([*kept, T.StructField("margin", T.DoubleType()), T.StructField("expected", T.DoubleType()), T.StructField("_parts", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            model = batch.column("_model").to_numpy()
+            x = batch.column("_bins").flatten().to_numpy().astype(np.int64).reshape(n, -1)
+            parts, low = np.zeros((n, x.shape[1])), np.zeros(n)
+            for m in np.unique(model):
+                own = np.flatnonzero(model == m)
+                out = np.zeros((len(own), x.shape[1]))
+                for value, steps in paths[m]:
+                    _add(out, x[own], value, steps)
+                parts[own], low[own] = out, expected[m]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(parts.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c.name) for c in kept), pa.array(low + parts.sum(axis=1)), pa.array(low), lists], names=schema.names)
+
+    out = rows.mapInArrow(run, schema)
+    return out.select(*keys, fold, "margin", "expected", F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), "_parts").alias("contributions"))
+
+
 def _paths(tree: Node) -> list[tuple[float, dict[int, tuple[list, float]]]]:
     """Each leaf's value and, by feature on its path, the conditions and the share of cover that meets them."""
     out = []

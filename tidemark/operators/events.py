@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.parts import previous, scan
 from tidemark.operators.windows import ordered
 
 BELOW, LOWER, INSIDE, UPPER, ABOVE, OUTSIDE = 0, 1, 2, 3, 4, -9
@@ -22,22 +23,29 @@ def zone_planes(low: Column, high: Column) -> tuple[Column, Column]:
     return (low + middle) / 2, (high + middle) / 2
 
 
-def ladder_events(rows: DataFrame, track: list[str], t: str = "t", zone: str = "zone", wrap: str | None = None) -> DataFrame:
+def ladder_events(rows: DataFrame, track: list[str], t: str = "t", zone: str = "zone", wrap: str | None = None, parts: int | None = None) -> DataFrame:
     """Full one-way passes 0 -> 2 -> 4 or 4 -> 2 -> 0 of each track (unit and entity).
 
     A track's rows fall into segments that begin where a state machine would forget its origin: on the first
     row, on a periodic wrap, and on each change into an end or out of bounds. An event is a change into
     an end from a segment that began in the other end and went through the middle; its entry is the
-    last change into the middle. Sequence work is one exchange on the track.
+    last change into the middle. Sequence work is one exchange on the track; with `parts`, tracks are cut by time
+    into so many tasks: what a part must know of those before is its last zone and how many segments have begun, and
+    segments meet the ones before them by a join.
     """
     w = ordered(track, t)
-    pz = F.lag(zone).over(w)
     wrapped = F.col(wrap) if wrap else F.lit(False)
-    d = rows.withColumns({"_pz": pz, "_first": F.row_number().over(w) == 1})
+    if parts:
+        d = previous(rows, track, t, {"_pz": zone}, parts)
+    else:
+        d = rows.withColumns({"_pz": F.lag(zone).over(w), "_first": F.row_number().over(w) == 1})
     d = d.withColumn("_wrap", F.coalesce(wrapped, F.lit(False)) & ~F.col("_first"))
     d = d.withColumn("_chg", ~F.col("_first") & (F.col(zone) != F.col("_pz")) & ~F.col("_wrap"))
     d = d.withColumn("_reset", F.col("_first") | F.col("_wrap") | (F.col("_chg") & F.col(zone).isin(BELOW, ABOVE, OUTSIDE)))
-    d = d.withColumn("_seg", F.sum(F.col("_reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if parts:
+        d = scan(d, track, t, {"_seg": ("sum", F.col("_reset").cast("int"))}, parts=parts)
+    else:
+        d = d.withColumn("_seg", F.sum(F.col("_reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     enter = F.when(F.col("_chg") & (F.col(zone) == INSIDE), F.struct(F.col(t).alias("t"), F.col("_pz").isin(LOWER, UPPER).alias("seen")))
     seg = d.groupBy(*track, "_seg").agg(
         F.min(t).alias("t_exit"),
@@ -45,8 +53,12 @@ def ladder_events(rows: DataFrame, track: list[str], t: str = "t", zone: str = "
         F.min_by(F.col("_chg"), F.col(t)).alias("by_change"),
         F.max(enter).alias("enter"),
     )
-    s = Window.partitionBy(*track).orderBy("_seg")
-    seg = seg.withColumns({"from_": F.lag("origin").over(s), "in_": F.lag("enter").over(s)})
+    if parts:
+        prior = seg.select(*track, (F.col("_seg") + 1).alias("_seg"), F.col("origin").alias("from_"), F.col("enter").alias("in_"))
+        seg = seg.join(prior, [*track, "_seg"], "left")
+    else:
+        s = Window.partitionBy(*track).orderBy("_seg")
+        seg = seg.withColumns({"from_": F.lag("origin").over(s), "in_": F.lag("enter").over(s)})
     hit = seg.where(F.col("by_change") & F.col("origin").isin(BELOW, ABOVE) & (F.col("from_") == 4 - F.col("origin")) & F.col("in_").isNotNull())
     return hit.select(*track, F.col("in_.t").alias("t_entry"), "t_exit", F.col("in_.seen").alias("entrance_observed"), F.when(F.col("origin") == ABOVE, 1).otherwise(-1).alias("direction"))
 

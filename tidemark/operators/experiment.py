@@ -4,15 +4,18 @@ cannot be fitted. Folds, arms and their parameters live on the driver; rows stay
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import metrics
 from tidemark.operators.boosting import BoostedTrees
 from tidemark.operators.models import Calibrator, MissingEncoder, PartialLeastSquares, RidgeLogistic, Standardiser, active_columns, grid_search
 from tidemark.operators.splits import refuse_overlap, time_blocks
+from tidemark.operators.together import Slot, ablate_trees, slot_counts, tune_components, tune_ridges, tune_trees
 
 MOST_FOLDS = 1000
 #: Columns that `Fitted` adds.
@@ -195,6 +198,193 @@ def train_folds(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], y: s
     return rows, record
 
 
+MOST_SLOTS = 2000
+
+
+def mark_starts(df: DataFrame, labels: dict[str, str], unit: list[str], t: str = "t") -> tuple[DataFrame, dict[str, str]]:
+    """df with a column per label that marks the first valid positive row of each run in a unit, and their names."""
+    w, names = Window.partitionBy(*unit).orderBy(t), {}
+    for y, valid in labels.items():
+        names[y] = f"_start_{y}"
+        on = F.when(F.col(valid), F.col(y) == 1)
+        df = df.withColumn(names[y], (on & ~F.coalesce(F.last(on, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).cast("int"))
+    return df, names
+
+
+def fold_plan(df: DataFrame, fold: str, labels: dict[str, str], inner: str | None = None, unit: list[str] | None = None, t: str = "t", embargo: int | None = None, blocks: int = 2) -> dict:
+    """Training sets of every (fold, label): the valid rows of other folds, and its rotations, which hold out one group of `inner`
+    (by default the other folds) after the other. Where no rotation has both classes on both sides and units are given, each unit of both
+    classes is cut into blocks of equal duration instead, and each block is held out once, with rows nearer than the embargo
+    left out; the entry is then marked as blocked. Rows without a group only train."""
+    inner = inner or fold
+    folds = groups_of(df, fold)
+    pairs = df.where(F.col(inner).isNotNull()).select(F.col(fold).alias("f"), F.col(inner).alias("g")).distinct().orderBy("g", "f").limit(MOST_FOLDS * 10 + 1).collect()
+    groups = list(dict.fromkeys(r.g for r in pairs))
+    if len(folds) * len(groups) * len(labels) > MOST_SLOTS or len(pairs) > MOST_FOLDS * 10:
+        raise ValueError(f"more than {MOST_SLOTS} training sets; give fewer folds, or `inner` groups")
+    plan = {}
+    for f in folds:
+        here = [g for g in groups if any(r.g == g and r.f != f for r in pairs)]
+        for y, valid in labels.items():
+            whole = ~F.col(fold).eqNullSafe(F.lit(f)) & F.col(valid)
+            rotations = [Slot(f, str(g), y, whole & ~F.col(inner).eqNullSafe(F.lit(g)), whole & (F.col(inner) == F.lit(g))) for g in here]
+            plan[f, y] = {"whole": Slot(f, "whole", y, whole), "rotations": rotations, "blocked": False}
+    if unit is None or embargo is None:
+        return plan
+    slots = [(at, s) for at, e in plan.items() for s in e["rotations"]]
+    counts = slot_counts(df, [s for _, s in slots])
+    fine = {at for (at, _), c in zip(slots, counts, strict=True) if 0 < c["p"] < c["n"] and 0 < c["q"] < c["m"]}
+    for at in plan:
+        if at not in fine:
+            plan[at]["rotations"], plan[at]["blocked"] = _block_slots(df, at, plan[at]["whole"].train, unit, t, embargo, blocks), True
+    return plan
+
+
+def _block_slots(df: DataFrame, at: tuple, train, unit: list[str], t: str, embargo: int, blocks: int) -> list[Slot]:
+    f, y = at
+    span = df.where(train).groupBy(*unit).agg(F.min(t).alias("_a"), F.max(t).alias("_z"), F.min(y).alias("_lo"), F.max(y).alias("_hi")).where("_lo <> _hi")
+    rows = span.orderBy(*unit).limit(MOST_FOLDS + 1).collect()
+    if len(rows) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} units to cut into blocks; give inner groups")
+    out = []
+    for r in rows:
+        same, width = F.lit(True), (r["_z"] - r["_a"]) / blocks
+        for u in unit:
+            same = same & F.col(u).eqNullSafe(F.lit(r[u]))
+        for b in range(blocks):
+            lo, hi = r["_a"] + width * b, r["_a"] + width * (b + 1)
+            inside = (F.col(t) >= lo) & ((F.col(t) < hi) if b < blocks - 1 else (F.col(t) <= hi))
+            far = (F.col(t) < lo - embargo) | (F.col(t) >= hi + embargo)
+            out.append(Slot(f, "/".join(str(r[u]) for u in unit) + f"#block{b}", y, train & (~same | (far & ~inside)), train & same & inside))
+    return out
+
+
+def calibrate_together(oof: DataFrame, by: list[str], score: str = "score", y: str = "y", most: int = 50) -> DataFrame:
+    """by, a, b: slope and intercept of a logistic fit of y on the logit of the score, for all groups in the same Newton steps, one
+    aggregate each. Groups of one class are left out. Groups are few: models, not units."""
+    p = F.least(F.greatest(F.col(score), F.lit(1e-7)), F.lit(1 - 1e-7))
+    d = oof.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*by, F.log(p / (1 - p)).alias("_l"), F.col(y).cast("double").alias("_y")).persist()
+    both = d.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).where("lo < hi").limit(MOST_SLOTS * 10 + 1).collect()
+    if len(both) > MOST_SLOTS * 10:
+        raise ValueError("too many groups to calibrate")
+    at = {tuple(r[c] for c in by): (1.0, 0.0) for r in both}
+    spark, schema = oof.sparkSession, T.StructType([*(oof.schema[c] for c in by), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    table = lambda rows: spark.createDataFrame([(*k, *v) for k, v in rows.items()], schema)
+    going = dict(at)
+    for _ in range(most):
+        if not going:
+            break
+        q = 1 / (1 + F.exp(-(F.col("a") * F.col("_l") + F.col("b"))))
+        sums = d.join(F.broadcast(table(going)), by).withColumns({"_q": q, "_w": q * (1 - q)}).groupBy(*by).agg(
+            *[F.sum(x).alias(n) for n, x in (("ga", (F.col("_q") - F.col("_y")) * F.col("_l")), ("gb", F.col("_q") - F.col("_y")), ("haa", F.col("_w") * F.col("_l") * F.col("_l")), ("hab", F.col("_w") * F.col("_l")), ("hbb", F.col("_w")))]
+        )
+        for r in sums.collect():
+            k = tuple(r[c] for c in by)
+            det = (r.haa + 1e-12) * (r.hbb + 1e-12) - r.hab**2
+            da, db = ((r.hbb + 1e-12) * r.ga - r.hab * r.gb) / det, ((r.haa + 1e-12) * r.gb - r.hab * r.ga) / det
+            cut = min(1.0, 4 / max(abs(da), abs(db), 1e-300))  # steps of at most 4: the start may be far off
+            at[k] = (going[k][0] - cut * da, going[k][1] - cut * db)
+            if max(abs(da), abs(db)) < 1e-9 or abs(at[k][0]) > 1e4:
+                going.pop(k)
+            else:
+                going[k] = at[k]
+    d.unpersist()
+    return table(at)
+
+
+def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labels: dict[str, str], inner: str | None = None, unit: list[str] | None = None, t: str = "t", embargo: int | None = None, blocks: int = 2, leak: list[str] | None = None, seed: int = 0) -> tuple[DataFrame, list[dict], dict]:
+    """Every arm tuned, fitted, calibrated and cut in every fold for every label (a horizon: its name and that of its validity).
+
+    Arms: "trees" with options grid (a list of points), rounds, patience, rate; "ridge" with cs, weighting; "pls" with components; "rule".
+    All folds, labels, rotations and grid points of an arm share their passes over the rows (see `together`). Scores of rotations
+    calibrate (a logistic fit on the logit) and give the threshold of the best F1, both from rows their models did not see.
+    Returns rows (keys, fold, label, y, valid, arm, score, prob, threshold) of each fold's own rows, a record for each (arm, fold, label) with what
+    was chosen or why it is absent, and the models by (arm, fold, label)."""
+    if leak:
+        for c in leak:  # no value in two folds
+            n = df.where(F.col(fold).isNotNull()).groupBy(c).agg(F.min(fold).alias("a"), F.max(fold).alias("z")).where("a <> z").limit(1).count()
+            if n:
+                raise ValueError(f"leakage: values of {c} in several folds")
+    clash = {"label", "model_fold", "rotation", "margin", "arm", "score", "prob", "threshold", "a", "b"} & {*keys, fold}
+    if clash:
+        raise ValueError(f"columns that the result has itself: {sorted(clash)}")
+    starts = None
+    if unit is not None:
+        df, starts = mark_starts(df, labels, unit, t)
+    plan = fold_plan(df, fold, labels, inner, unit, t, embargo, blocks)
+    scores, oofs, record, models = [], [], [], {}
+    for arm in arms:
+        columns, o = [c for c in arm.columns if c in df.columns], arm.options
+        if not columns:
+            record += [{"arm": arm.name, "fold": f, "label": y, "skipped": "none of its columns is there"} for f, y in plan]
+            continue
+        if arm.kind == "rule":
+            each = F.explode(F.array(*[F.lit(y) for y in labels])).alias("label")
+            scores.append(df.where(F.col(fold).isNotNull()).select(*keys, fold, each, F.lit(arm.name).alias("arm"), (-F.col(columns[0]).cast("double")).alias("score")))
+            record += [{"arm": arm.name, "fold": f, "label": y} for f, y in plan]
+            continue
+        passed = [*keys, fold]
+        if arm.kind == "trees":
+            got = tune_trees(df, columns, plan, o.get("grid", [{}]), passed, starts, seed=seed, **{k: v for k, v in o.items() if k != "grid"})
+        elif arm.kind == "ridge":
+            got = tune_ridges(df, columns, plan, o.get("cs", [1.0]), passed, o.get("weighting", "measure"))
+        elif arm.kind == "pls":
+            got = tune_components(df, columns, plan, o.get("components", 2), passed)
+        else:
+            raise ValueError(f"an arm of unknown kind {arm.kind}")
+        margins, oof, said, fitted = got
+        record += [{"arm": arm.name} | r for r in said]
+        models |= {(arm.name, *at): m for at, m in fitted.items()}
+        if margins is None:
+            continue
+        score = F.col("margin") if arm.kind == "pls" else 1 / (1 + F.exp(-F.col("margin")))
+        scores.append(margins.where(F.col("model_fold") == F.col(fold)).select(*passed, "label", F.lit(arm.name).alias("arm"), score.alias("score")))
+        oofs.append(oof.select(*passed, "model_fold", "label", F.lit(arm.name).alias("arm"), score.alias("score")))
+    if not scores:
+        raise ValueError("no arm could be fitted on any fold")
+    union = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
+    truth = df.select(*keys, fold, F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(y).alias("y"), F.col(v).alias("valid")) for y, v in labels.items()])).alias("_t")).select(*keys, fold, "_t.*")
+    rows = truth.join(union(scores), [*keys, fold, "label"])
+    if not oofs:
+        return rows.withColumns({"prob": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double")}), record, models
+    seen = truth.join(union(oofs), [*keys, fold, "label"]).where("valid")
+    by = ["arm", "model_fold", "label"]
+    line = calibrate_together(seen, by)
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    prob = 1 / (1 + F.exp(-(F.log(p / (1 - p)) * F.col("a") + F.col("b"))))
+    cut = metrics.f1_threshold(seen.join(F.broadcast(line), by).withColumn("prob", prob), by, "y", "prob").select(*by, "threshold")
+    settled = [tuple(r) for r in line.join(cut, by, "left").collect()]
+    schema = T.StructType([*line.schema.fields, T.StructField("threshold", T.DoubleType())])
+    known = {r[:3]: r[3:] for r in settled}
+    for entry in record:
+        if (v := known.get((entry["arm"], entry["fold"], entry["label"]))) is not None:
+            entry["calibration"], entry["threshold"] = v[:2], v[2]
+    settled = df.sparkSession.createDataFrame(settled, schema).withColumnRenamed("model_fold", fold)
+    rows = rows.join(F.broadcast(settled), ["arm", fold, "label"], "left")
+    return rows.select(*keys, fold, "label", "y", "valid", "arm", "score", prob.alias("prob"), "threshold"), record, models
+
+
+
+def ablation_losses(df: DataFrame, arm: Arm, record: list[dict], blocks: dict[str, list[str]], fold: str, keys: list[str], labels: dict[str, str], unit: list[str] | None = None, t: str = "t", **options) -> DataFrame:
+    """What a tuned arm of trees loses without each block of columns, refitted at each fold's own choice: fold, label, block, rows, log-loss and
+    average precision on the fold's own valid rows. `record` is the arm's, of train_tuned."""
+    starts = None
+    if unit is not None:
+        df, starts = mark_starts(df, labels, unit, t)
+    plan = {at: {"whole": e["whole"], "rotations": []} for at, e in fold_plan(df, fold, labels).items()}
+    columns = [c for c in arm.columns if c in df.columns]
+    took = {k: v for k, v in arm.options.items() if k in ("rate", "penalty", "bins", "monotone")} | options
+    margins = ablate_trees(df, columns, plan, [r for r in record if r["arm"] == arm.name], blocks, [*keys, fold], starts, **took)
+    if margins is None:
+        raise ValueError("no block of columns can be left out")
+    truth = df.select(*keys, fold, F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(y).alias("y"), F.col(v).alias("valid")) for y, v in labels.items()])).alias("_t")).select(*keys, fold, "_t.*")
+    d = truth.where("valid").join(margins.where(F.col("model_fold") == F.col(fold)), [*keys, fold, "label"]).withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    by = [fold, "label", "block"]
+    loss = d.groupBy(*by).agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("loss"))
+    return metrics.average_precision(d, by).select(*by, "n_rows", "ap").join(loss, by)
+
+
 def ablation(arm: Arm, blocks: dict[str, list[str]]) -> list[Arm]:
     """The arm without each of the blocks of columns, named after the block."""
     out = []

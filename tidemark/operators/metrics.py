@@ -98,6 +98,23 @@ def weighted_ap(df: DataFrame, weights: DataFrame, unit: list[str], draw: str =
     return average_precision(drawn, [*by, draw], y, score, counted=True)
 
 
+def paired_bootstrap(df: DataFrame, weights: DataFrame, unit: list[str], a: str = "a", b: str = "b", y: str = "y", draw: str = "boot") -> DataFrame:
+    """Difference of the average precision of two scores, a row per draw: boot, ap_a, ap_b, difference (null where the draw
+    has one class). The same drawn units weigh both scores, so what comes from the draw cancels. Rows that one of the
+    scores lacks count for neither. Rows are counted per (unit, score) before the weights are joined, once for both."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).cast("double").alias("score")) for n, c in (("a", a), ("b", b))]))
+    aps = weighted_ap(both.select(*unit, y, each.alias("_s")).select(*unit, y, "_s.*"), weights, unit, draw, y, "score", ["arm"])
+    at = lambda n: F.max(F.when(F.col("arm") == n, F.col("ap")))
+    return aps.groupBy(draw).agg(at("a").alias("ap_a"), at("b").alias("ap_b")).withColumn("difference", F.col("ap_a") - F.col("ap_b"))
+
+
+def paired_interval(draws: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Mean difference and its percentile interval; draws of one class are counted and skipped."""
+    q = F.percentile("difference", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return draws.agg(F.avg("difference").alias("mean_difference"), q[0].alias("low"), q[1].alias("high"), F.count("difference").alias("used"), F.count_if(F.col("difference").isNull()).alias("skipped"))
+
+
 def bootstrap_weights(units: DataFrame, draws: int, seed: str = "bootstrap") -> DataFrame:
     """How often each of `draws` resamples takes each unit (with replacement), reproducible from the seed.
     `units` has one column and is small next to the rows that it names."""
@@ -105,11 +122,12 @@ def bootstrap_weights(units: DataFrame, draws: int, seed: str = "bootstrap") ->
     once = units.where(F.col(name).isNotNull()).distinct()
     n = once.count()
     # Place i of a draw takes the unit of that number; numbers follow the units' hashes.
-    hashed = once.withColumn("_h", F.xxhash64(name))
+    number = lambda text: F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    hashed = once.withColumn("_h", number(F.col(name).cast("string")))
     counted = running(hashed.groupBy("_h").agg(F.count("*").alias("_c")), [], "_h", ["_c"])
     tied = F.row_number().over(Window.partitionBy("_h").orderBy(name))
     numbered = hashed.withColumn("_tie", tied).join(counted, "_h").select(name, (F.col("upto__c") - F.col("_c") + F.col("_tie") - 1).cast("int").alias("_i"))
-    picks = units.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("boot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("_i"))
+    picks = units.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("boot"), F.pmod(number(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), F.lit(n)).cast("int").alias("_i"))
     return picks.groupBy("boot", "_i").agg(F.count("*").alias("w")).join(numbered, "_i").drop("_i")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.parts import previous, scan
+
 
 def ordered(unit: list[str], t: str = "t"):
     return Window.partitionBy(*unit).orderBy(t)
@@ -50,8 +52,12 @@ def with_islands(df: DataFrame, value: str, unit: list[str], t: str = "t", name:
     return df.withColumn("_change", changes(value, unit, t)).withColumn(name, F.sum(F.col("_change").cast("int")).over(running)).drop("_change")
 
 
-def state_age(df: DataFrame, value: str, unit: list[str], t: str = "t") -> DataFrame:
-    """Time since the value last changed; 0 on the unit's first row."""
+def state_age(df: DataFrame, value: str, unit: list[str], t: str = "t", parts: int | None = None) -> DataFrame:
+    """Time since the value last changed; 0 on the unit's first row. With `parts`, units are cut by time into so many tasks."""
+    if parts:
+        d = previous(df, unit, t, {"_before": value}, parts)
+        begins = F.when(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before")), F.col(t))
+        return scan(d, unit, t, {"_at": ("last", begins)}, parts=parts).withColumn("age", F.col(t) - F.col("_at")).drop("_at", "_before", "_first")
     marked = df.withColumn("_at", F.when(changes(value, unit, t) | (F.row_number().over(ordered(unit, t)) == 1), F.col(t)))
     last = F.last("_at", ignorenulls=True).over(ordered(unit, t).rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("age", F.col(t) - last).drop("_at")
@@ -66,10 +72,13 @@ def run_counts(df: DataFrame, y: str, unit: list[str], t: str = "t") -> DataFram
     return edges.groupBy(*unit).agg(F.sum("up").alias("runs"), F.max("fell").alias("last_fall"))
 
 
-def latch(df: DataFrame, p: str, on: Column | float, off: Column | float, unit: list[str], t: str = "t", name: str = "armed") -> DataFrame:
-    """Hysteresis: armed from p >= on until p < off; a null p keeps the state; unarmed at first. on >= off."""
+def latch(df: DataFrame, p: str, on: Column | float, off: Column | float, unit: list[str], t: str = "t", name: str = "armed", parts: int | None = None) -> DataFrame:
+    """Hysteresis: armed from p >= on until p < off; a null p keeps the state; unarmed at first. on >= off. With `parts`, units
+    are cut by time into so many tasks."""
     on, off = (x if isinstance(x, Column) else F.lit(x) for x in (on, off))
     said = F.when(F.col(p) >= on, True).when(F.col(p) < off, False)
+    if parts:
+        return scan(df, unit, t, {name: ("last", said)}, parts=parts).withColumn(name, F.coalesce(name, F.lit(False)))
     state = F.last(said, ignorenulls=True).over(ordered(unit, t).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(name, F.coalesce(state, F.lit(False)))
 

@@ -236,14 +236,16 @@ h AS (SELECT *, lag(origin) OVER w AS o2, lag(t_entry) OVER w AS t2, lag(seen) O
 found AS (SELECT unit, t2 AS t_entry, t_exit, s2 AS entrance_observed, CASE origin WHEN 4 THEN 1 ELSE -1 END AS direction FROM h WHERE by_change AND origin IN (0, 4) AND o2 = 4 - origin AND t2 IS NOT NULL)"""
 
 
-def ladder(spark, sf_dir) -> DataFrame:
-    ev = observations(spark, sf_dir)
+def zoned(ev: DataFrame, wrap) -> DataFrame:
     s = F.col("score")
     zone = F.when(s < 10, 0).when(s < 25, 1).when(s < 50, F.when(F.col("k") <= 79, 2).otherwise(-9)).when(s < 90, 3).otherwise(4)
-    wrap = F.abs(s - F.lag("score").over(windows.ordered(U))) > 150
     return ev.withColumns({"zone": zone, "wrap": wrap})
 
 
+def ladder(spark, sf_dir) -> DataFrame:
+    return zoned(observations(spark, sf_dir), F.abs(F.col("score") - F.lag("score").over(windows.ordered(U))) > 150)
+
+
 @query(f"WITH {LADDER} SELECT * FROM found")
 def ladder_events(spark, sf_dir):
     return events.ladder_events(ladder(spark, sf_dir), U, wrap="wrap")
@@ -728,16 +730,19 @@ def least_squares_scores(spark, sf_dir):
 def boosted_scores(spark, sf_dir):
     from tidemark.operators.boosting import BoostedTrees
 
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("tax"))
-    m = BoostedTrees(["l_quantity", "tax"], rounds=3, depth=2, rate=0.3).fit(t)
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days"]
+    days = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", "l_extendedprice", "l_discount", F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("l_tax"), days.cast("double").alias("days"))
+    m = BoostedTrees(columns).fit(t)
     return m.predict(t).select("l_orderkey", "l_linenumber", F.round("prob", 6).alias("prob"))
 
 
 @query()
 def superposed_points(spark, sf_dir):
-    """The first twelve numbers of each vector as four points, turned onto those of the smallest vec_id."""
+    """Each vector as points of three numbers (zeros after the last number, where it does not fill a point), turned onto those of the smallest vec_id."""
     from tidemark.operators import kernels
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("xyz"))
+    filled = F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), F.pmod(-F.size("embedding"), F.lit(3))))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", filled.alias("xyz"))
     first = e.agg(F.min_by("xyz", "vec_id")).first()[0]
     return kernels.superpose(e, first, ["vec_id"]) if first else e

@@ -384,19 +384,6 @@ def prepared_frames(spark, sf_dir):
     return features.wrapped(c, U, ["residue"], ["x"], {"x": F.lit(100.0)}).select("event_id", "x")
 
 
-# fits: no SQL
-
-
-@query()
-def trained_folds(spark, sf_dir):
-    """The whole loop: a least-squares arm and a rule on three folds of users, calibrated and cut on inner folds."""
-    d = labelled(spark, sf_dir).drop("tau")
-    d = d.select("event_id", "unit", "y", "valid", "score", F.col("k").cast("double").alias("k"), _mean().alias("mean"), (F.col("unit") % 3).alias("fold")).persist()
-    arms = [experiment.Arm("head", "pls", ["score", "k", "mean"], {"k": 2}), experiment.Arm("rule", "rule", ["score"])]
-    rows, _ = experiment.train_folds(d, arms, "fold", ["event_id"], leak=["unit"])
-    return rows
-
-
 # frames of blocks, and detection
 
 
@@ -404,7 +391,7 @@ BLOCKS = f"""{SLICES}, fr AS (SELECT DISTINCT unit FROM ev), geo AS (SELECT unit
 
 
 @query(f"""WITH {BLOCKS}, m AS (SELECT fr.unit, r_min, n_inside, mean_cosine, CAST(NULL AS DOUBLE) AS filter_only FROM fr LEFT JOIN geo ON geo.unit = fr.unit LEFT JOIN occ ON occ.unit = fr.unit)
-SELECT unit, r_min, n_inside, CASE WHEN unit % 2 = 0 THEN -mean_cosine ELSE mean_cosine END AS mean_cosine, filter_only, r_min / (SELECT max(r_min) FROM m) AS r_relative FROM m""", mean_cosine=9)
+SELECT unit, r_min, n_inside, CASE WHEN unit % 2 = 0 THEN 0 - mean_cosine ELSE mean_cosine END AS mean_cosine, filter_only, r_min / (SELECT max(r_min) FROM m) AS r_relative FROM m""", mean_cosine=9)
 def assembled_frames(spark, sf_dir):
     from tidemark.plans.frames import Block, assemble
 
@@ -543,7 +530,7 @@ def aligned_fragments(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT p_partkey, p_brand AS resname, p_type AS name, CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'N' END AS element FROM part)
-SELECT p_partkey, CASE WHEN resname = 'Brand#1' AND name = 'ECONOMY' THEN 1 WHEN name = 'ECONOMY' THEN 2 ELSE 3 END AS rung, CASE WHEN resname = 'Brand#1' AND name = 'ECONOMY' THEN 1.25 WHEN name = 'ECONOMY' THEN 1.5 WHEN element = 'C' THEN 1.7 ELSE 1.55 END AS radius FROM a""")
+SELECT p_partkey, CASE WHEN resname = 'Brand#1' AND name = 'ECONOMY' THEN 1 WHEN name = 'ECONOMY' THEN 2 ELSE 3 END AS rung, CASE WHEN resname = 'Brand#1' AND name = 'ECONOMY' THEN 1.25::DOUBLE WHEN name = 'ECONOMY' THEN 1.5::DOUBLE WHEN element = 'C' THEN 1.7::DOUBLE ELSE 1.55::DOUBLE END AS radius FROM a""")
 def radius_ladder(spark, sf_dir):
     atoms = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("resname"), F.col("p_type").alias("name"), F.when(F.col("p_size") % 2 == 0, "C").otherwise("N").alias("element"))
     pair = spark.createDataFrame([("Brand#1", "ECONOMY", 1.25)], "resname string, name string, radius double")

@@ -6,9 +6,10 @@ import json
 
 from pyspark.sql import SparkSession
 
-from tidemark.operators.boosting import BoostedTrees, Node
+from tidemark.operators.boosting import BoostedTrees
 from tidemark.operators.experiment import Arm, Fitted
 from tidemark.operators.models import Calibrator, MissingEncoder, RidgeLogistic, Standardiser
+from tidemark.operators.trees import Node
 from tidemark.sources.sinks import _fs, step_output, write_text
 
 PLAIN = {"ridge": RidgeLogistic, "encoder": MissingEncoder, "scaler": Standardiser, "calibrator": Calibrator}
