@@ -134,7 +134,7 @@ def _sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose bit sketches are near enough."""
     side = lambda i: sketches.select(F.col("class").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}"))
-    held = pairs.join(side("b"), "b").join(side("a"), "a")
+    held = pairs.join(side("b"), "b").join(side("a"), "a").where(_close(F.col("n_a"), F.col("n_b"), percent))
 
     def run(batches):
         for batch in batches:
@@ -143,7 +143,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 ok.append(bool(distances([x], [y])[0, 0] <= most_different(n, m, percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return held.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+    return held.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def _dealt(members, key: str, weight: str):
@@ -197,7 +197,7 @@ def _counted(labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     """class and links, the rows of other classes that it is linked with, for the classes of components of two or more."""
     all_ = labels.select(F.col("vertex").alias("class"), "component").unionByName(labels.select(F.col("component").alias("class"), "component").distinct())
     members = written(all_.join(classes.groupBy("class").agg(F.sum("copies").alias("copies"), F.max("n").alias("n")), "class"), "linked")
-    held = _dealt(members, "component", "n").join(texts.select(F.col("id").alias("class"), "text").distinct(), "class")
+    held = _dealt(members, "component", "n").join(texts.select(F.col("id").alias("class"), "text"), "class")
     blocks = written(held.groupBy("component", "block", "blocks").agg(F.collect_list(F.struct("class", "copies", "text")).alias("items")), "blocks")
 
     def run(batches):
@@ -207,9 +207,12 @@ def _counted(labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                 sides = [x.flatten().flatten() for x in sides if not x.null_count]
                 sets = [s for _, _, t in sides for part in _slices(t) for s in shingle_sets(words(part, NOT_SPACE, lower=True), size)]
                 ids, copies = (np.concatenate([x[k].to_numpy() for x in sides]) for k in (0, 1))
+                once = list({(i, hash(s.tobytes())): k for k, (i, s) in reversed(list(enumerate(zip(ids.tolist(), sets, strict=True))))}.values())
+                once.sort()  # without repeated rows
+                split = sum(k < len(sides[0][0]) for k in once)
+                ids, copies, sets = ids[once], copies[once], [sets[k] for k in once]
                 ok = _similar(sets, percent) & (ids[:, None] != ids[None, :])
                 if len(sides) == 2:  # what each block has within itself is counted where it stands alone
-                    split = len(sides[0][0])
                     ok[:split, :split] = False
                     ok[split:, split:] = False
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ok @ copies)], names=["class", "links"])
@@ -251,25 +254,29 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     classes = written(classes, "classes")
     one = classes.select("digest", F.col("class").alias("id"))
     sketches = rows.join(one, ["digest", "id"]).dropDuplicates(["digest", "id"]).select(F.col("id").alias("class"), "n", "keys", "bits")
-    sketches = written(sketches, "representatives")
-    keys = sketches.select("class", "n", F.explode("keys").alias("key"))
-    centre = keys.groupBy("key").agg(F.min(F.struct("class", "n")).alias("c"), F.max("class").alias("hi")).where("c.class <> hi").select("key", "c")
+    keyed = written(sketches, "representatives")
+    found = written(rows.select("id", "n", "digest"), "sizes")
+    drop(rows)  # with the keys and bits of copies
+    keys = keyed.select("class", F.explode("keys").alias("key"))
+    centre = keys.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("hi")).where("c <> hi").select("key", "c")
     members = written(keys.join(written(centre, "centres"), "key"), "members")
-    involved = members.select(F.col("class").alias("id")).distinct()
-    texts = written(docs.join(involved, "id"), "texts")
-    sketches = written(sketches.select("class", "n", "bits").join(involved.withColumnRenamed("id", "class"), "class"), "bits")
-    pairs = members.where((F.col("class") != F.col("c.class")) & _close(F.col("n"), F.col("c.n"), percent))
-    pairs = written(pairs.select(F.col("c.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    involved = members.select("class").distinct()
+    sketches = written(keyed.select("class", "n", "bits").join(involved, "class"), "bits")
+    drop(keyed)
+    members = members.join(sketches.select("class", "n"), "class")
+    texts = written(docs.join(involved.withColumnRenamed("class", "id"), "id"), "texts")
+    pairs = written(members.where("class <> c").select(F.col("c").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     links = written(_verified(written(_possible(pairs, sketches, percent), "possible"), texts, size, percent), "links")
     labels = components(links)
     more = written(_in_buckets(members.drop("c"), labels, sketches, pairs, percent), "possible")
     more = written(_verified(more, texts, size, percent), "links")
-    labels = components(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
-    drop(members, pairs)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
+    drop(pairs)
     counted = written(_counted(labels, classes, texts, size, percent), "counts")
 
     by_class = classes.select("digest", "class", "copies").join(labels.withColumnRenamed("vertex", "class"), "class", "left").join(counted, "class", "left")
-    found = rows.select("id", "n", "digest").join(by_class, "digest", "left")
+    found = found.join(by_class, "digest", "left")
     known = F.col("id").isNotNull()
     return found.select(
         F.col("id").alias(key),
