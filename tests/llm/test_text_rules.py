@@ -3,6 +3,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from tidemark.llm import licenses, quality, secrets, toxicity
@@ -365,3 +366,16 @@ def test_toxicity_without_both_labels(toxic_table):
         model = toxicity.fit(docs, some)
         assert {r.score for r in toxicity.score(docs, model).collect()} == {want}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
+
+
+def test_toxicity_of_bounded_terms_and_clashing_names(toxic_table):
+    docs, labels = toxic_table
+    few = toxicity.fit(docs, labels, most_terms=200)
+    n = len(few.index.keys)
+    assert 2 <= n < len(toxicity.fit(docs, labels).index.keys) and set(few.index.labels) == {0, 1}
+    assert len(toxicity.fit(docs, labels, most_terms=1).index.keys) == 2
+    odd = docs.withColumns({"_near_x": F.lit("a"), "_NEAR_other": F.lit(2), "__near_x": F.lit(3)})
+    a, b = ({r.doc_id: r.score for r in toxicity.score(d, few).collect()} for d in (docs, odd))
+    assert a == b
+    with pytest.raises(TypeError, match="doc_id"):
+        toxicity.fit(docs.withColumn("doc_id", F.col("doc_id").cast("string")), labels)

@@ -85,6 +85,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them where a column (in any case) has them already."""
+    low = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by written() that no plan will read again."""
     for df in tables:

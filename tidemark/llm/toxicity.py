@@ -2,20 +2,22 @@
 
 Terms are the lower-cased words of a text and the first 4, 5 and 6 characters (bytes) of longer words, so
 that inflected and compound forms meet. A bounded sample of labelled rows (`per_class` of each label, the
-first by a hash of the key) serves as examples, with all their terms. Document frequencies cover all
+first by a hash of the key, and of these as many as hold `most_terms` terms between them, half for each label, one at
+least) serves as examples, with all their terms. Document frequencies cover all
 documents and all terms, and vectors are full: a text's terms that no example holds count in its norm. A
 term's TF-IDF weight is multiplied by `FLOOR` + x / (x + `chi_limit`), x being the chi-square of term and
 label among the examples, shrunk where less than a few (`least_df`) hold the term; no term is left out.
 
 Examples stand in an inverted index in blocks of similar ones, with the greatest weight of each block and
 term. A text's products are summed block by block where the bound of a block reaches the k-th product, so the
-k nearest by cosine are exact. Their order does not depend on the text's norm; the part of the norm that
+k nearest by cosine are exact. Whole texts are long queries, for which few blocks fall below the bound: most postings of
+a text's terms are read, and the search is close to exhaustive over an index of bounded size. Their order does not depend on the text's norm; the part of the norm that
 comes from terms of no example is summed by a join of those terms with their frequencies, by a hash of the
 text. They vote with their squared similarity, labels weighted back to their share among all labelled rows,
 with a little weight on that share; the logit of the vote is calibrated by two parameters fitted on the
 examples' own leave-one-out votes. The nearest examples are returned as evidence.
 
-A null or empty text has no terms and gets the vote of no neighbours. Labels that are null or of null
+The key must be of an integer type. A null or empty text has no terms and gets the vote of no neighbours. Labels that are null or of null
 keys are not used; of contradicting labels of one key the greater counts. Without examples of both
 labels every score is the share of label 1, or 0 without labels. Repeated rows and null keys are scored
 each; ties between examples go to the smaller key. An empty table gives an empty result.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._spark import prepare, written
+from tidemark.llm._spark import fresh, prepare, written
 from tidemark.llm._text import ALNUM, LOWER, Members, mix, pieces, words
 
 _P = np.uint64(0x100000001B3)
@@ -280,8 +282,10 @@ class Model:
         self.others: DataFrame | None = None
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, k: int = 25, chi_limit: float = 20.0, least_df: int = 3) -> Model:
-    spark = prepare(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, k: int = 25, chi_limit: float = 20.0, least_df: int = 3, most_terms: int = 2_000_000) -> Model:
+    prepare(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is not of an integer type")
     labelled = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
     labelled = written(labelled, "labels")
     count = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -299,7 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("_id").take(rows), part.column("y").take(rows), pa.array(t.view(np.int64)), pa.array(c)], names=["id", "y", "term", "c"])
 
     found = sample.select(F.col("_id").cast("long").alias("_id"), "y", "text").mapInArrow(split, "id long, y int, term long, c long")
-    found = written(found.groupBy("id", "term").agg(F.max("y").alias("y"), F.max("c").alias("c")), "sample-terms").toArrow()  # what the examples hold
+    found = written(found.groupBy("id", "term").agg(F.max("y").alias("y"), F.max("c").alias("c")), "sample-terms")
+    found = _within(found, most_terms).toArrow()  # what the examples hold
     ids, first, doc = np.unique(found["id"].to_numpy(), return_index=True, return_inverse=True)
     y = found["y"].to_numpy()[first]
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
@@ -334,6 +339,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def _within(found: DataFrame, most: int) -> DataFrame:
+    """The rows of as many examples of each label, by a hash of their keys, as hold half of `most` rows; of one at least."""
+    sizes = found.groupBy("id").agg(F.max("y").alias("y"), F.count("*").alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # a row per example
+    kept, total, held = [], {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sizes:
+        total[r.y] += r.n
+        if not held[r.y] or total[r.y] <= most / 2:
+            held[r.y] += 1
+            kept.append(r.id)
+    return found if len(kept) == len(sizes) else found.where(F.col("id").isin(kept))
+
+
 def _split_terms(docs: DataFrame, text: str, keep: Members) -> DataFrame:
     """One row for each document that has terms outside `keep`: a hash of its text (x), these terms and their counts
     (counts). And per task a row without x: the number of documents (n), the places of kept terms (terms) and in how
@@ -395,7 +412,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     if not model.index:
         return docs.select(*columns, F.lit(float(model.share)).alias(prefix + "score"), F.array().cast(evidence).alias(prefix + "evidence"))
     index, votes, vocabulary, weight = model.index, model.index.votes(), model.vocabulary, model.weight
-    made = {"_near_x": T.LongType(), "_near_norm": T.DoubleType(), "_near_products": T.ArrayType(T.DoubleType()), "_near_places": T.ArrayType(T.IntegerType())}
+    near_x, near_norm, near_products, near_places = fresh(docs.columns, "_near_x", "_near_norm", "_near_products", "_near_places")
+    made = {near_x: T.LongType(), near_norm: T.DoubleType(), near_products: T.ArrayType(T.DoubleType()), near_places: T.ArrayType(T.IntegerType())}
     near = T.StructType([*own, *(T.StructField(n, t) for n, t in made.items())])
     schema = T.StructType([*own, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "evidence", evidence)])
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
@@ -418,12 +436,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     places.append(at.astype(np.int32))
                 ends = pa.array(np.concatenate(ends), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (products, places)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column("_near_x"), pa.array(norms), *lists], names=near.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), part.column(near_x), pa.array(norms), *lists], names=near.names)
 
     def judge(batches):
         for batch in batches:
             scores, shown = [], []
-            for norm, products, places in zip(*(batch.column(n).to_pylist() for n in ("_near_norm", "_near_products", "_near_places")), strict=True):
+            for norm, products, places in zip(*(batch.column(n).to_pylist() for n in (near_norm, near_products, near_places)), strict=True):
                 at = np.array(places, np.int64)
                 sims = np.array(products, np.float64) / math.sqrt(norm or 1.0)
                 scores.append(votes.calibrated(votes.vote(sims, at)))
@@ -431,10 +449,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=schema.names)
 
     others = model.others if docs is model.docs else _other_norms(_split_terms(docs, text, Members(vocabulary)).where("x is not null"), model)
-    others = others.withColumnRenamed("x", "_near_x")
-    found = docs.withColumn("_near_x", F.xxhash64(text)).select(*dict.fromkeys([*columns, text, "_near_x"])).mapInArrow(find, near)
-    joined = found.join(others, "_near_x", "left").withColumn("_near_norm", F.col("_near_norm") + F.coalesce("other", F.lit(0.0)))
-    return joined.select(*columns, "_near_norm", "_near_products", "_near_places").mapInArrow(judge, schema)
+    near_other, = fresh(docs.columns, "_near_other")
+    others = others.withColumnsRenamed({"x": near_x, "other": near_other})
+    found = docs.withColumn(near_x, F.xxhash64(text)).select(*dict.fromkeys([*columns, text, near_x])).mapInArrow(find, near)
+    joined = found.join(others, near_x, "left").withColumn(near_norm, F.col(near_norm) + F.coalesce(near_other, F.lit(0.0)))
+    return joined.select(*columns, near_norm, near_products, near_places).mapInArrow(judge, schema)
 
 
 def held_out(key: str = "doc_id"):
