@@ -223,3 +223,49 @@ def gathered(steps: dict) -> tuple[dict, dict]:
         except Refused as e:
             refused[name] = {"reason": str(e), "partial": e.partial}
     return found, refused
+
+
+def crossing_scan(particles: DataFrame, unit: list[str], entity: str, species: str, cylinder: float, every: int, span: int, t: str = "t", axis: str = "z", plane: tuple[str, str] = ("x", "y"), box: str = "box", channel: str = "channel", membrane: str = "membrane", most_move: float = 0.25, parts: int | None = None) -> DataFrame:
+    """Full passes of every species through the channel on frames sampled by time, by one ladder for all.
+
+    particles: a row per unit, frame (t) and entity with its species, place and the box's length along the axis. Sampled are the
+    first frames of the intervals of length `every` that begin within `span` of a unit's first frame. Places along the axis are taken
+    from the mean of the `channel` rows by nearest image; the `membrane` rows' means below and above their median are the
+    ends, and slab planes lie halfway between each and the middle. Every other species is followed.
+
+    Returns per unit and species: n_frames, n_particles, n_passes, per_particle, net (upward passes less downward ones), flux_sign,
+    and seam_move, the root mean square of the axial step between samples over the box's length. Where it is above `most_move`, a
+    particle can cross the periodic seam between two samples unseen (steps without memory have 0.29): such a scan is refused,
+    its n_passes and what follows from it are null. A species that is never sampled is absent.
+
+    Frames are sampled by aggregates of (unit, t); what a frame measures is one exchange on it, and the ladder one on the
+    particle, whose tracks are cut by time with `parts`.
+    """
+    from tidemark.operators import events
+    from tidemark.functions.keys import minimum_image
+
+    times = particles.select(*unit, t).distinct()
+    begin = times.withColumn("_t0", F.min(t).over(Window.partitionBy(*unit)))
+    begin = begin.where(F.col(t) - F.col("_t0") <= span).withColumn("_k", F.floor((F.col(t) - F.col("_t0")) / every))
+    sampled = begin.groupBy(*unit, "_k").agg(F.min(t).alias(t)).drop("_k")
+    frame = Window.partitionBy(*unit, t)
+    is_ = lambda s: F.col(species) == s
+    mean = lambda c: F.avg(F.when(is_(channel), F.col(c))).over(frame)
+    d = particles.join(sampled, [*unit, t]).withColumns({"_cz": mean(axis), "_cx": mean(plane[0]), "_cy": mean(plane[1])})
+    d = d.withColumns({"_z": minimum_image(F.col(axis) - F.col("_cz"), F.col(box)), "_r": F.hypot(F.col(plane[0]) - F.col("_cx"), F.col(plane[1]) - F.col("_cy"))})
+    d = d.withColumn("_mid", F.median(F.when(is_(membrane), F.col("_z"))).over(frame))
+    half = lambda low: F.avg(F.when(is_(membrane) & ((F.col("_z") < F.col("_mid")) if low else (F.col("_z") >= F.col("_mid"))), F.col("_z"))).over(frame)
+    d = d.withColumns({"_low": half(True), "_high": half(False)}).where(~F.col(species).isin(channel, membrane))
+    planes = events.zone_planes(F.col("_low"), F.col("_high"))
+    d = d.withColumn("zone", events.zone(F.col("_z"), F.col("_r"), F.col("_low"), F.col("_high"), *planes, cylinder))
+    track = [*unit, species, entity]
+    d = d.withColumn("_before", F.lag("_z").over(Window.partitionBy(*track).orderBy(t)))
+    step = minimum_image(F.col("_z") - F.col("_before"), F.col(box)) / F.col(box)
+    d = d.withColumn("_wrap", F.coalesce(F.abs(F.col("_z") - F.col("_before")) > F.col(box) / 2, F.lit(False)))
+    seen = d.groupBy(*unit, species).agg(F.count_distinct(t).alias("n_frames"), F.count_distinct(entity).alias("n_particles"), F.sqrt(F.avg(step * step)).alias("seam_move"))
+    passes = events.ladder_events(d.select(*track, t, "zone", "_wrap"), track, t, "zone", "_wrap", parts)
+    found = passes.groupBy(*unit, species).agg(F.count("*").alias("n_passes"), F.sum("direction").alias("net"))
+    out = seen.join(found, [*unit, species], "left").fillna(0, ["n_passes", "net"])
+    safe = F.coalesce(F.col("seam_move") <= most_move, F.lit(True))
+    kept = {"n_passes": F.col("n_passes"), "per_particle": F.col("n_passes") / F.col("n_particles"), "net": F.col("net"), "flux_sign": F.signum(F.col("net")).cast("int")}
+    return out.select(*unit, species, "n_frames", "n_particles", "seam_move", *[F.when(safe, v).alias(k) for k, v in kept.items()])

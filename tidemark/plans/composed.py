@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import boosting, events, experiment, intervals, metrics, parts, together, windows
+from tidemark.operators import blocks, boosting, detect, events, experiment, intervals, metrics, parts, together, windows
 from tidemark.operators.parts import PARTS
 from tidemark.plans.catalogue import ARMED, DAY, EV, HOUR, LADDER, U, labelled, observations, of_kind, query, zoned
 from tidemark.plans.reports import OOF, _mean, scored
@@ -146,3 +146,96 @@ def one_unit_trailing(spark, sf_dir):
 def one_unit_ladder(spark, sf_dir):
     ev = parts.previous(one_unit(spark, sf_dir), U, "t", {"_s": "score"})
     return events.ladder_events(zoned(ev, F.abs(F.col("score") - F.col("_s")) > 150).drop("_s", "_first"), U, wrap="wrap", parts=PARTS)
+
+
+# species that cross, from particles
+
+_EVERY, _SPAN, _BOX = 2, 24, 160.0
+PARTICLES = f"""pe AS (SELECT user_id AS entity, user_id % 2 AS unit, CAST(epoch_us(ts) // {DAY} AS BIGINT) AS t, max(value) AS v, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY ALL),
+part AS (SELECT unit, t, entity, k, CASE WHEN entity % 9 = 0 THEN 'channel' WHEN entity % 9 < 3 THEN 'membrane' WHEN entity % 9 < 6 THEN 'ion' ELSE 'water' END AS species,
+CASE WHEN entity % 9 = 0 THEN 0.0::DOUBLE WHEN entity % 9 < 3 THEN CAST(CASE WHEN entity // 2 % 2 = 0 THEN 30 ELSE -30 END + t % 3 AS DOUBLE) ELSE least(v, 120) * 0.75::DOUBLE - 35 END AS z,
+CASE WHEN entity % 9 = 0 THEN 0.0::DOUBLE ELSE k * 0.125::DOUBLE END AS x, 0.0::DOUBLE AS y, {_BOX}::DOUBLE AS box FROM pe)"""
+
+
+def particles(spark, sf_dir: str) -> DataFrame:
+    """A user's greatest value of a day as the place of a particle in that day's frame."""
+    e = observations(spark, sf_dir).select(F.col("unit").alias("entity"), F.expr(f"t div {DAY}").alias("t"), "score", "k")
+    e = e.groupBy("entity", (F.col("entity") % 2).alias("unit"), "t").agg(F.max("score").alias("v"), F.max("k").alias("k"))
+    kind = F.col("entity") % 9
+    species = F.when(kind == 0, "channel").when(kind < 3, "membrane").when(kind < 6, "ion").otherwise("water")
+    side = F.when(F.floor(F.col("entity") / 2) % 2 == 0, 30).otherwise(-30) + F.col("t") % 3
+    z = F.when(kind == 0, 0.0).when(kind < 3, side.cast("double")).otherwise(F.least("v", F.lit(120.0)) * 0.75 - 35)
+    return e.select("unit", "t", "entity", "k", species.alias("species"), z.alias("z"), F.when(kind == 0, 0.0).otherwise(F.col("k") * 0.125).alias("x"), F.lit(0.0).alias("y"), F.lit(_BOX).alias("box"))
+
+
+@query(
+    f"""WITH {PARTICLES}, tm AS (SELECT DISTINCT unit, t FROM part), b AS (SELECT *, min(t) OVER (PARTITION BY unit) AS t0 FROM tm), sm AS (SELECT unit, min(t) AS t FROM b WHERE t - t0 <= {_SPAN} GROUP BY unit, (t - t0) // {_EVERY}),
+d0 AS (SELECT part.*, avg(CASE WHEN species = 'channel' THEN z END) OVER f AS cz, avg(CASE WHEN species = 'channel' THEN x END) OVER f AS cx, avg(CASE WHEN species = 'channel' THEN y END) OVER f AS cy FROM part JOIN sm ON sm.unit = part.unit AND sm.t = part.t WINDOW f AS (PARTITION BY part.unit, part.t)),
+d1 AS (SELECT unit, t, entity, species, box, z - cz - box * round((z - cz) / box) AS z, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS r FROM d0), d2 AS (SELECT *, median(CASE WHEN species = 'membrane' THEN z END) OVER (PARTITION BY unit, t) AS mid FROM d1),
+d3 AS (SELECT *, avg(CASE WHEN species = 'membrane' AND z < mid THEN z END) OVER (PARTITION BY unit, t) AS low, avg(CASE WHEN species = 'membrane' AND z >= mid THEN z END) OVER (PARTITION BY unit, t) AS high FROM d2),
+d4 AS (SELECT *, (low + (low + high) / 2) / 2 AS sl, ((low + high) / 2 + high) / 2 AS sh FROM d3 WHERE species NOT IN ('channel', 'membrane')),
+zz AS (SELECT *, unit AS u0, CASE WHEN z >= sl AND z <= sh AND r <= 8 THEN 2 WHEN z >= sl AND z <= sh THEN -9 WHEN z <= low THEN 0 WHEN z >= high THEN 4 WHEN z < sl THEN 1 ELSE 3 END AS zone, CAST(entity AS VARCHAR) || '/' || unit AS track FROM d4),
+l AS (SELECT u0, species, entity, box, z, track AS unit, t, zone, lag(z) OVER w AS pre, lag(zone) OVER w AS pz, coalesce(abs(z - lag(z) OVER w) > box / 2, false) AS wrap, row_number() OVER w = 1 AS first FROM zz WINDOW w AS (PARTITION BY track ORDER BY t)),
+{LADDER[LADDER.index("c AS (SELECT *, NOT first") :]}, who AS (SELECT DISTINCT unit, u0, species FROM l), fs AS (SELECT u0, species, count(*) AS n_passes, CAST(sum(direction) AS BIGINT) AS net FROM found JOIN who ON who.unit = found.unit GROUP BY u0, species),
+n AS (SELECT u0, species, count(DISTINCT t) AS n_frames, count(DISTINCT entity) AS n_particles, sqrt(avg(((z - pre - box * round((z - pre) / box)) / box) ** 2)) AS seam_move FROM l GROUP BY u0, species),
+o AS (SELECT n.u0 AS unit, n.species, n_frames, n_particles, seam_move, coalesce(seam_move <= 0.25, true) AS safe, coalesce(n_passes, 0) AS p, coalesce(net, 0) AS q FROM n LEFT JOIN fs ON fs.u0 = n.u0 AND fs.species = n.species)
+SELECT unit, species, n_frames, n_particles, seam_move, CASE WHEN safe THEN p END AS n_passes, CASE WHEN safe THEN p / n_particles END AS per_particle, CASE WHEN safe THEN q END AS net, CASE WHEN safe THEN CAST(sign(q) AS INT) END AS flux_sign FROM o""",
+    seam_move=9,
+    per_particle=9,
+)
+def crossing_scan(spark, sf_dir):
+    return detect.crossing_scan(particles(spark, sf_dir), U, "entity", "species", 8.0, _EVERY, _SPAN)
+
+
+# a frame's row from its particles: ten blocks, one exchange
+
+_RING = "species = 'membrane'"
+
+
+@query(
+    f"""WITH {PARTICLES}, p AS (SELECT *, x AS r, CASE species WHEN 'ion' THEN 1 WHEN 'membrane' THEN -1 ELSE 0 END AS q FROM part),
+ring0 AS (SELECT unit, t, entity, x - 6 AS rx, z / 4 AS ry, atan2(z / 4, x - 6) AS a FROM p WHERE {_RING}),
+ring1 AS (SELECT *, coalesce(lead(rx) OVER w, first_value(rx) OVER w) AS nx, coalesce(lead(ry) OVER w, first_value(ry) OVER w) AS ny FROM ring0 WINDOW w AS (PARTITION BY unit, t ORDER BY a, entity)),
+ring AS (SELECT unit, t, count(*) AS n, CASE WHEN count(*) >= 3 THEN stddev_pop(sqrt((nx - rx) ** 2 + (ny - ry) ** 2)) / nullif(avg(sqrt((nx - rx) ** 2 + (ny - ry) ** 2)), 0) END AS cv FROM ring1 GROUP BY unit, t),
+wire0 AS (SELECT unit, t, z, z - lag(z, 1, -30.0) OVER (PARTITION BY unit, t ORDER BY z) AS g FROM p WHERE species = 'water' AND z BETWEEN -30 AND 30),
+wire AS (SELECT unit, t, CASE WHEN count(*) >= 2 THEN greatest(max(g), 30 - max(z)) END AS gap FROM wire0 GROUP BY unit, t),
+m AS (SELECT unit, t, min(CASE WHEN {_RING} AND z BETWEEN -40 AND 40 THEN r END) AS r_min, count(*) FILTER (species = 'water' AND z BETWEEN -30 AND 30 AND r <= 9) AS n_water,
+  coalesce(sum(exp(-(((z + 10) / 8) ** 2) / 2)) FILTER (species = 'ion'), 0) AS occ_inner, coalesce(sum(exp(-(((z - 20) / 8) ** 2) / 2)) FILTER (species = 'ion'), 0) AS occ_outer,
+  count(*) FILTER (species = 'ion' AND z BETWEEN -15 AND 5) AS n_cavity, CAST(coalesce(sum(CASE WHEN z > 0 THEN q END), 0) - coalesce(sum(CASE WHEN z < 0 THEN q END), 0) AS BIGINT) AS asym,
+  sum(q / greatest(sqrt(z ** 2 + r ** 2), 1e-6)) AS potential, avg(r) FILTER ({_RING}) AS r_mean, stddev_pop(r) FILTER ({_RING}) AS r_dev, count(r) FILTER ({_RING}) AS r_n,
+  count(*) FILTER (species = 'water' AND z < -30 AND z >= -50) AS n_below, count(*) FILTER (species = 'water' AND z > 30 AND z <= 50) AS n_above,
+  count(*) FILTER ({_RING} AND z BETWEEN -40 AND 40) AS n_lining, min(CASE WHEN {_RING} AND z BETWEEN -40 AND 0 THEN CASE WHEN z < 0 THEN r END END) AS r_bin0, min(CASE WHEN {_RING} AND z BETWEEN 0 AND 40 THEN r END) AS r_bin1 FROM p GROUP BY unit, t),
+n AS (SELECT m.unit, m.t, min(z) AS z_min FROM m LEFT JOIN p ON p.unit = m.unit AND p.t = m.t AND p.species = 'membrane' AND p.z BETWEEN -40 AND 40 AND p.r = m.r_min GROUP BY m.unit, m.t)
+SELECT m.unit, m.t, r_min, z_min, CASE WHEN n_lining > 0 THEN 1.0::DOUBLE END AS measured_frac, r_bin0, r_bin1, n_water, n_water / (pi() * 81 * 60) AS water_density, gap AS wire_gap, CAST(gap <= 12 AS INT) AS wire_closed, occ_inner, occ_outer,
+n_cavity, CAST(n_cavity > 0 AS INT) AS held_cavity, asym * CASE WHEN m.unit = 1 THEN -1 ELSE 1 END AS axial_asymmetry, potential, cv AS ring_cv, CAST(coalesce(ring.n, 0) AS INT) AS ring_n, r_mean, CASE WHEN r_n >= 2 THEN r_dev END AS r_deviation,
+n_below, n_above, (n_above - n_below) * CASE WHEN m.unit = 1 THEN -1 ELSE 1 END AS n_ahead, avg(n_water) OVER (PARTITION BY m.unit ORDER BY m.t RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS n_water_trailing, n_water - lag(n_water) OVER (PARTITION BY m.unit ORDER BY m.t) AS n_water_change
+FROM m JOIN n ON n.unit = m.unit AND n.t = m.t LEFT JOIN wire ON wire.unit = m.unit AND wire.t = m.t LEFT JOIN ring ON ring.unit = m.unit AND ring.t = m.t""",
+    water_density=9,
+    occ_inner=9,
+    occ_outer=9,
+    potential=9,
+    ring_cv=9,
+    r_mean=9,
+    r_deviation=9,
+    n_water_trailing=9,
+)
+def frames_from_particles(spark, sf_dir):
+    p = particles(spark, sf_dir)
+    p = p.withColumns({"r": F.col("x"), "q": F.when(F.col("species") == "ion", 1).when(F.col("species") == "membrane", -1).otherwise(0)})
+    return blocks.assemble(ten_blocks(), p, ["unit", "t"], F.when(F.col("unit") == 1, -1).otherwise(1))
+
+
+def ten_blocks() -> list[blocks.Block]:
+    is_ = lambda s: F.col("species") == s
+    return [
+        blocks.geometry(is_("membrane"), "z", "r", -40, 40, 2),
+        blocks.hydration(is_("water"), "z", "r", -30, 30, 9.0),
+        blocks.water_wire(is_("water"), "z", -30, 30, 12.0),
+        blocks.occupancy(is_("ion"), "z", {"inner": -10.0, "outer": 20.0}, 8.0),
+        blocks.named_sites(is_("ion"), "z", {"cavity": (-15.0, 5.0)}),
+        blocks.electrostatics("q", "z", "r", 0.0),
+        blocks.symmetry(is_("membrane"), F.col("x") - 6, F.col("z") / 4, "entity"),
+        blocks.fluctuations(is_("membrane"), "r"),
+        blocks.dynamics("n_water", U, 3),
+        blocks.delivery(is_("water"), "z", -30, 30, 20),
+    ]
