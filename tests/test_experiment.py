@@ -55,6 +55,29 @@ def test_arms_of_columns_and_blocks():
     assert [(a.name, a.columns) for a in experiment.ablation(experiment.Arm("h", "ridge", ["a", "b", "c"]), {"one": ["a"], "two": ["b", "c"]})] == [("h-without-one", ["b", "c"]), ("h-without-two", ["a"])]
 
 
+def test_ablation_trains_and_the_block_that_knows_costs_most(table):
+    d = table.withColumn("fold", F.col("unit") % 3)
+    arm = experiment.Arm("t", "trees", ["a", "b", "score"], {"grid": [{"depth": 1}, {"depth": 2}], "rounds": 6, "patience": 3, "rate": 0.3, "bins": 8})
+    rows, record, models = experiment.train_tuned(d, [arm], "fold", ["i"], {"y": "valid"}, inner="unit")
+    got = {(r.fold, r.block): r for r in experiment.ablation_losses(d, arm, record, {"knows": ["a"], "noise": ["score"], "other": ["gone"]}, "fold", ["i"], {"y": "valid"}).collect()}
+    assert set(got) == {(f, b) for f in range(3) for b in ("knows", "noise")}
+    assert all(got[f, "knows"].loss > got[f, "noise"].loss for f in range(3))
+    # what the whole arm loses is near what it loses without noise
+    p = {r.i: (r.fold, r.y, r.score) for r in rows.where("valid").collect()}
+    full = {f: -np.mean([np.log(s if y else 1 - s) for g, y, s in p.values() if g == f]) for f in range(3)}
+    assert all(abs(full[f] - got[f, "noise"].loss) < got[f, "knows"].loss - full[f] for f in range(3))
+    # contributions of every fold's own trees add up to its margins
+    from tidemark.operators import boosting
+
+    own = {f: m for (_, f, _), m in models.items()}
+    parts = boosting.fold_contributions(d, arm.columns, own, "fold", ["i"]).collect()
+    scores = {r.i: r.score for r in rows.collect()}
+    assert len(parts) == 360
+    for r in parts:
+        assert abs(sum(r.contributions.values()) - (r.margin - r.expected)) < 1e-9
+        assert abs(1 / (1 + np.exp(-r.margin)) - scores[r.i]) < 1e-9
+
+
 def test_transfers_and_families(table):
     arm = experiment.Arm("head", "pls", ["a", "score"], {"k": 1})
     rows, record = experiment.transfers(table, arm, "condition", "unit", ["i"])
@@ -67,12 +90,18 @@ def test_choices(table):
     d = table.withColumn("fold", F.col("unit") % 2)
     assert experiment.choose_components(d, ["a", "score"], "fold", [1, 2, 9]) in (1, 2)
     c, balanced = experiment.choose_penalty(d, ["a"], "fold", [1e-6, 1.0])
-    assert c == 1.0 and balanced in (True, False)
+    assert c == 1.0
+    # what balanced weights lose against plain ones, by single fits at the middle of the grid
+    loss = {}
+    for w in (False, True):
+        oof, _ = experiment.out_of_fold(d, experiment.Arm("w", "ridge", ["a"], {"c": 1.0, "balanced": w}), "fold", [])
+        loss[w] = -sum(np.log(r.score if r.y else 1 - r.score) for r in oof.collect())
+    assert balanced == (loss[True] < loss[False])
     assert 1 <= experiment.choose_rounds(d, experiment.Arm("t", "trees", ["a"], {"rounds": 6, "patience": 2, "rate": 0.3}), "fold") <= 6
 
 
 def test_stored_models_give_the_same(spark, table, tmp_path):
-    for arm in (experiment.Arm("head", "ridge", ["a", "b"]), experiment.Arm("t", "trees", ["a", "b"], {"rounds": 3, "rate": 0.3})):
+    for arm in (experiment.Arm("head", "ridge", ["a", "b"]), experiment.Arm("p", "pls", ["a", "b"], {"k": 2}), experiment.Arm("t", "trees", ["a", "b"], {"rounds": 3, "rate": 0.3})):
         path = stored.path_of(str(tmp_path), 5, arm.name, "1")
         assert stored.load(spark, path) is None
         first = stored.load_or_fit(spark, path, lambda arm=arm: experiment.Fitted(arm).fit(table).calibrate(table.select("score", "y").withColumn("score", F.rand(1))))

@@ -18,14 +18,13 @@ PARTS = 32
 def running(counted: DataFrame, by: list[str], value: str, columns: list[str], down: bool = False, parts: int = PARTS) -> DataFrame:
     """`counted` (one row per group and numeric value) with upto_<c> for each column, its sum over the group's rows up to
     this value (from the greatest one down, if so), and all_<c>, its sum over the group. Null values are left out."""
-    d = counted.where(F.col(value).isNotNull()).persist()
-    edges = sorted(e for e in set(d.approxQuantile(value, [k / parts for k in range(1, parts)], 0.005)) if math.isfinite(e))
-    if edges:
-        cuts = F.from_json(F.lit("[" + ",".join(map(repr, edges)) + "]"), "array<double>")
-        part = F.size(F.filter(cuts, lambda e: e < F.col(value).cast("double")))
-    else:
-        part = F.lit(0)
-    d = d.withColumn("_part", -part if down else part)
+    d = counted.where(F.col(value).isNotNull())
+    v = F.col(value).cast("double")
+    finite = F.when(F.abs(v) < math.inf, v)
+    edges = d.agg(F.array_distinct(F.percentile_approx(finite, [k / parts for k in range(1, parts)], 1000)).alias("_edges"))
+    # One row beside all others: the cuts are part of the plan, and the counts before them one exchange that Spark reuses.
+    part = F.greatest(F.coalesce(F.size(F.filter("_edges", lambda e: e < v)), F.lit(0)), F.lit(0))
+    d = d.crossJoin(F.broadcast(edges)).withColumn("_part", -part if down else part).drop("_edges")
     totals = d.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     whole = Window.partitionBy(*by)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

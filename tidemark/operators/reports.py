@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
 from tidemark.operators.explain import verdict
-from tidemark.operators.ranks import quantiles
+from tidemark.operators.ranks import quantiles, running
 from tidemark.operators.tables import largest_group
 
 POOLED = "pooled"
@@ -81,11 +81,13 @@ def mcc_headroom(df: DataFrame, by: list[str], verdict_: str, y: str = "y", scor
     """MCC of the given verdicts, and the best over `cuts` quantiles of the score as cut-offs."""
     own = metrics.confusion(df, by, y, verdict_).select(*by, "mcc")
     qs = quantiles(df, by, score, [(k + 0.5) / cuts for k in range(cuts)])
-    each = qs.select(*by, F.explode(F.array_distinct("q")).alias("cut"))
-    counted = metrics.by_score(df, by, y, score)
-    d = counted.join(each, by).withColumn("over", F.col(score) >= F.col("cut")).groupBy(*by, "cut").agg(
-        *[F.sum(F.when(c, v).otherwise(0)).cast("double").alias(n) for n, c, v in (("tp", F.col("over"), F.col("tp")), ("fp", F.col("over"), F.col("n") - F.col("tp")), ("fn", ~F.col("over"), F.col("tp")), ("tn", ~F.col("over"), F.col("n") - F.col("tp")))]
-    )
+    # The cuts stand among the scores with nothing of their own, and read what is at or above them off running totals.
+    each = qs.select(*by, F.explode(F.array_distinct("q")).alias(score), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("_cut"))
+    counted = metrics.by_score(df, by, y, score).select(*by, F.col(score).cast("double").alias(score), F.col("tp").cast("long").alias("tp"), F.col("n").cast("long").alias("n"), F.lit(False).alias("_cut"))
+    both = counted.unionByName(each).groupBy(*by, score).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"), F.max("_cut").alias("_cut"))
+    d = running(both, by, score, ["tp", "n"], down=True).where("_cut")
+    over, hits = F.col("upto_n").cast("double"), F.col("upto_tp").cast("double")
+    d = d.select(*by, hits.alias("tp"), (over - hits).alias("fp"), (F.col("all_tp") - hits).alias("fn"), (F.col("all_n") - F.col("all_tp") - (over - hits)).alias("tn"))
     tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
     mcc = (tp * tn - fp * fn) / F.nullif(F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.lit(0.0))
     best = d.withColumn("_m", mcc).groupBy(*by).agg(F.max("_m").alias("best_mcc"))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 from tidemark.operators.boosting import BoostedTrees
 from tidemark.operators.experiment import Arm, Fitted
-from tidemark.operators.models import Calibrator, MissingEncoder, RidgeLogistic, Standardiser
+from tidemark.operators.models import Calibrator, MissingEncoder, PartialLeastSquares, RidgeLogistic, Standardiser
+from tidemark.operators.together import Linear
 from tidemark.operators.trees import Node
 from tidemark.sources.sinks import _fs, step_output, write_text
 
-PLAIN = {"ridge": RidgeLogistic, "encoder": MissingEncoder, "scaler": Standardiser, "calibrator": Calibrator}
+PLAIN = {"ridge": RidgeLogistic, "pls": PartialLeastSquares, "linear": Linear, "encoder": MissingEncoder, "scaler": Standardiser, "calibrator": Calibrator}
 
 
 def _node(x: Node) -> dict:
@@ -31,7 +33,7 @@ def _out(x) -> dict | None:
     kind = next((k for k, c in PLAIN.items() if isinstance(x, c)), None)
     if kind is None:
         raise TypeError(f"a {type(x).__name__} cannot be stored")
-    return {"kind": kind, "state": x.__dict__}
+    return {"kind": kind, "state": {k: v.tolist() if isinstance(v, np.ndarray | np.generic) else v for k, v in x.__dict__.items()}}
 
 
 def _back(d: dict | None):
@@ -42,6 +44,8 @@ def _back(d: dict | None):
     x.__dict__.update(d["state"])
     if isinstance(x, BoostedTrees):
         x.trees = [_tree(t) for t in d["trees"]]
+    if isinstance(x, PartialLeastSquares):
+        x.__dict__.update({k: np.array(v) for k, v in x.__dict__.items() if isinstance(v, list)})
     if isinstance(x, Standardiser):
         x.at = {c: tuple(v) for c, v in x.at.items()}
     if isinstance(x, Calibrator) and x.steps is not None:
