@@ -307,3 +307,24 @@ def test_streaming_monitor_equals_batch(spark, tmp_path):
     got = {(r.unit, r.t): (None if r["mean"] is None else round(r["mean"], 9), r.armed) for r in spark.table("alarm").collect()}
     batch = windows.latch(d.withColumn("mean", F.avg("score").over(Window.partitionBy("unit").orderBy("t").rangeBetween(-30, 0))), "mean", 0.6, 0.4, ["unit"])
     assert got == {(r.unit, r.t): (None if r["mean"] is None else round(r["mean"], 9), r.armed) for r in batch.collect()}
+
+
+def test_affine_duplicates_of_very_many_columns(spark):
+    import time
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 1990))
+    base[rng.random(base.shape) < 0.02] = np.nan
+    copies = np.stack([2.5 * base[:, 3] + 7, -1e6 * base[:, 10] + 3, base[:, 10], 1e-7 * base[:, 500] - 1e-3, base[:, 7] + 1e-4 * rng.normal(size=300), np.full(300, 4.0), np.full(300, np.nan)], axis=1)
+    gap = base[:, 20].copy()
+    gap[np.flatnonzero(~np.isnan(gap))[0]] = np.nan
+    x = np.concatenate([base, copies, gap[:, None]], axis=1)
+    names = [f"c{i}" for i in range(x.shape[1])]
+    pdf = [tuple(None if np.isnan(v) else float(v) for v in row) for row in x]
+    d = spark.createDataFrame([(list(r),) for r in pdf], "x array<double>").select(*[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    start = time.time()
+    got = {(r.column_a, r.column_b): (r.slope, r.intercept) for r in tables.affine_duplicates(d, names).collect()}
+    assert set(got) == {("c3", "c1990"), ("c10", "c1991"), ("c10", "c1992"), ("c1991", "c1992"), ("c500", "c1993")}
+    assert got["c3", "c1990"] == pytest.approx((2.5, 7)) and got["c10", "c1991"] == pytest.approx((-1e6, 3)) and got["c500", "c1993"] == pytest.approx((1e-7, -1e-3))
+    assert time.time() - start < 120
+    assert tables.affine_duplicates(d.limit(0), names[:3]).count() == 0

@@ -35,17 +35,101 @@ def change_fractions(df: DataFrame, columns: list[str], unit: list[str], t: str
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("frac_changed")) for c in columns])).alias("c")).select("c.*")
 
 
+def _over_rows(df: DataFrame, columns: list[str], each, shape: tuple[int, int], fold: str = "sum"):
+    """What each(x, hashes) gives for a batch (x: rows x columns, NaN for missing; hashes of the rows), of that shape, added over all rows, or
+    the greatest. Rows are read as arrays, so the plan has one expression per column."""
+    import numpy as np
+    import pyarrow as pa
+
+    merge = np.add if fold == "sum" else np.maximum
+    rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns]).alias("x"), F.xxhash64(*columns).alias("h"))
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                part = each(x, batch.column("h").to_numpy())
+                total = part if total is None else merge(total, part)
+        if total is not None:
+            n, w = total.shape
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * w)), pa.array(total.ravel())], names=["i", "v"])
+
+    got = rows.mapInArrow(run, "i long, v double").groupBy("i").agg((F.sum if fold == "sum" else F.max)("v").alias("v")).toArrow()  # columns x width numbers
+    out = np.full(shape[0] * shape[1], 0.0 if fold == "sum" else -np.inf)
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    return out.reshape(shape)
+
+
 def affine_duplicates(df: DataFrame, columns: list[str], tolerance: float = 1e-9) -> DataFrame:
-    """Pairs of columns (a, b) with b = slope * a + intercept wherever both are known, missing together,
-    on three rows or more. Two aggregates over the table, whatever the number of pairs."""
-    pairs = list(itertools.combinations(columns, 2))
-    fit = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (
-        F.regr_slope(b, a).alias(f"s{i}"), F.regr_intercept(b, a).alias(f"i{i}"), F.regr_count(b, a).alias(f"n{i}"),
-        F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"m{i}"), F.max(F.abs(b)).alias(f"b{i}"),
-    )]).first()
-    good = [i for i in range(len(pairs)) if fit[f"n{i}"] >= 3 and not fit[f"m{i}"] and fit[f"s{i}"] is not None]
-    worst = df.agg(F.count("*").alias("n"), *[F.max(F.abs(F.col(pairs[i][1]) - F.lit(fit[f"s{i}"]) * F.col(pairs[i][0]) - F.lit(fit[f"i{i}"]))).alias(f"r{i}") for i in good]).first()
-    found = [(*pairs[i], float(fit[f"s{i}"]), float(fit[f"i{i}"])) for i in good if worst[f"r{i}"] <= tolerance * max(1.0, fit[f"b{i}"])]
+    """Pairs of columns (a, b) with b = slope * a + intercept wherever both are known, missing together, on three rows or more.
+
+    A few passes over the rows and no expression per pair, so thousands of columns are one plan: the range of every column; sums of
+    the column, brought to [0, 1] by its range, under random signs of the rows, which affine copies share up to their sign, and a
+    sum that tells where it is missing; then, for the few pairs whose sums agree, the slope and the exact residual.
+    Constant columns are no copies of others."""
+    import numpy as np
+
+    def ends(x, _):
+        with np.errstate(all="ignore"):
+            known = ~np.isnan(x)
+            return np.stack([np.where(known, x, -np.inf).max(axis=0), np.where(known, -x, -np.inf).max(axis=0)], axis=1)
+
+    hi, lo = _over_rows(df, columns, ends, (len(columns), 2), "max").T
+    lo = -lo
+    wide = np.isfinite(hi) & np.isfinite(lo) & (hi > lo)
+    base, scale = np.where(wide, lo, 0.0), np.where(wide, hi - lo, 1.0)
+    signs = 4
+
+    def projected(x, h):
+        known = ~np.isnan(x)
+        z = np.where(known, (np.nan_to_num(x) - base) / scale, 0.0)
+        bits = ((h.view(np.uint64)[:, None] >> np.arange(signs, dtype=np.uint64)) & np.uint64(1)).astype(float) * 2 - 1
+        place = (h.view(np.uint64) >> np.uint64(24)).astype(float) / 2.0**20  # where a column is missing, as a sum of whole 2**-20
+        return np.concatenate([known.sum(axis=0)[:, None].astype(float), (place @ (~known))[:, None], (z.T - 0.5 * known.T) @ bits], axis=1)
+
+    sums = _over_rows(df, columns, projected, (len(columns), 2 + signs))
+    n, missing, s = sums[:, 0], sums[:, 1], sums[:, 2:]
+    near = 1e-6 * np.sqrt(np.maximum(n, 1)) + 1e-12 * n
+    order = sorted((j for j in range(len(columns)) if wide[j] and n[j] >= 3), key=lambda j: (n[j], round(missing[j], 3), abs(s[j, 0])))
+    pairs = []  # (column, one that it may be a copy of)
+    for i, j in enumerate(order):
+        for k in reversed(order[:i]):
+            if n[k] != n[j] or abs(s[j, 0]) - abs(s[k, 0]) > near[j] or abs(missing[k] - missing[j]) > 1e-3:
+                break
+            if min(np.abs(s[j] - s[k]).max(), np.abs(s[j] + s[k]).max()) <= near[j]:
+                pairs.append((max(j, k), min(j, k)))
+                if len(pairs) > 50 * len(columns):
+                    raise ValueError("too many columns are alike; leave copies out first")
+    pairs.sort()
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, slope double, intercept double")
+    b, a = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+    def at_ends(x, _):
+        out = np.full((len(pairs), 4), -np.inf)
+        for col, where in ((0, lo), (2, hi)):
+            hit = x[:, a] == where[a]
+            out[:, col] = np.where(hit, x[:, b], -np.inf).max(axis=0, initial=-np.inf)
+            out[:, col + 1] = np.where(hit, -x[:, b], -np.inf).max(axis=0, initial=-np.inf)
+        return out  # the values of b where a is least and where it is greatest give the slope
+
+    e = _over_rows(df, columns, at_ends, (len(pairs), 4), "max")
+    with np.errstate(all="ignore"):
+        low, high = (e[:, 0] - e[:, 1]) / 2, (e[:, 2] - e[:, 3]) / 2
+        slope = (high - low) / (hi[a] - lo[a])
+        intercept = low - slope * lo[a]
+
+    def residual(x, _):
+        with np.errstate(all="ignore"):
+            r = np.abs(x[:, b] - slope * x[:, a] - intercept)
+        odd = np.isnan(x[:, a]) != np.isnan(x[:, b])
+        return np.where(odd, np.inf, np.nan_to_num(r, nan=0.0)).max(axis=0)[:, None]
+
+    worst = _over_rows(df, columns, residual, (len(pairs), 1), "max")[:, 0]
+    most = np.maximum(1.0, np.maximum(np.abs(hi[b]), np.abs(lo[b])))
+    ok = np.isfinite(slope) & (worst <= tolerance * most)
+    found = [(columns[k], columns[j], float(m), float(i)) for j, k, m, i, good in zip(b, a, slope, intercept, ok, strict=True) if good]
     return df.sparkSession.createDataFrame(found, "column_a string, column_b string, slope double, intercept double")
 
 
