@@ -126,3 +126,29 @@ def test_op9(spark, corpus):
 def test_op10(spark, corpus):
     rows = _run(spark, corpus, "op10_repeats", {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"})
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in rows.items()} == brute.remove_repeats(corpus[1].items())
+
+
+def test_op11(spark, corpus):
+    from test_resampling_and_filters import _resample
+
+    rows = _run(spark, corpus, "op11_importance_resampling", {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"})
+    want = _resample(corpus[1].items(), [ITEM, "no such words here at all"], 1, 1, 10000, 20, 10)
+    assert {i: (r.n_features, r.weight, r.score, r["rank"]) for i, r in rows.items()} == want
+    assert sum(r["rank"] is not None for r in rows.values()) > 2
+
+
+def test_op12(spark, corpus):
+    from test_resampling_and_filters import _interactions
+
+    df = queries.QUERIES["op12_filter_interactions"](spark, corpus[0])
+    names = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert df.dtypes == [("part", "string"), ("filter_order", "string"), ("step", "int"), *((n, "bigint") for n in names)]
+    want = _interactions([(i, t, f"s{i % 3}") for i, t in corpus[1].items()], [(i, 1, int(i % 4 == 0)) for i in range(80)])
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in df.collect()} == want and len(want) == 3 * 600
+
+
+def test_op13(spark, corpus):
+    from test_resampling_and_filters import _join
+
+    rows = _run(spark, corpus, "op13_ngram_join", {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "class_id": "bigint", "n_links": "bigint"})
+    assert {i: (r.n_shingles, r.class_id, r.component_id, r.n_links) for i, r in rows.items()} == _join(list(corpus[1].items()))

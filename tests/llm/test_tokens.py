@@ -48,6 +48,20 @@ def test_decode_joins_raw_bytes(spark):
     assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(df, RANKS, public_tokenizers.PATTERN).collect()} == {0: enc.decode_bytes(ids), 1: b""}
 
 
+def test_a_large_cache_is_not_rewritten(spark, docs, tmp_path, monkeypatch):
+    cache, seen = str(tmp_path / "cache"), []
+    keep = token_counts.written
+    monkeypatch.setattr(token_counts, "written", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    many = spark.range(3000).selectExpr("id AS doc_id", "'text number ' || id AS text")
+    assert token_counts.count_tokens(many, cache, JSON, RANKS).count() == 3000 and seen[-1].count() == 3000
+    few = spark.createDataFrame([(1, "text number 7"), (2, "text number 7"), (3, "not seen yet"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(few, cache, JSON, RANKS).collect()}
+    assert got == {1: library_count("text number 7"), 2: library_count("text number 7"), 3: library_count("not seen yet"), 4: 0}
+    assert seen[-1].count() == 3 and spark.read.parquet(cache).count() == 3002
+    parts = {p.name.split("=")[0] for p in (tmp_path / "cache").iterdir() if p.is_dir()}
+    assert parts == {"tokenizer"}
+
+
 def test_counts_and_cache(spark, docs, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):

@@ -83,7 +83,8 @@ def counter(path: str, ranks: str | None):
 
 def count_tokens(docs: DataFrame, cache: str, path: str, ranks: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_bytes, content (digest), n_tokens. `cache` is the cache table's
-    folder; it is created when absent and grows by the distinct misses."""
+    folder, partitioned by tokenizer; it is created when absent and grows by the distinct misses. What is read and
+    written besides is of the size of the documents, not of the cache's."""
     spark = prepare(docs.sparkSession)
     tokenizer = version(path, ranks)
     keyed = docs.select(key, F.coalesce(text, F.lit("")).alias("_text"))
@@ -93,7 +94,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str, ranks: str | None = Non
         known = spark.read.schema(CACHE).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], CACHE)
         return known.where(F.col("tokenizer") == tokenizer)
 
-    misses = keyed.select("content", "_text").join(stored().select("content"), "content", "left_anti") if exists(spark, cache) else keyed
+    fresh = not exists(spark, cache)
+    misses = keyed if fresh else keyed.select("content", "_text").join(stored().select("content"), "content", "left_anti")
     misses = misses.groupBy("content").agg(F.first("_text").alias("_text"))
 
     def run(batches):
@@ -104,10 +106,13 @@ def count_tokens(docs: DataFrame, cache: str, path: str, ranks: str | None = Non
                 yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(n, pa.int64())], names=["content", "n_tokens"])
 
     counted = misses.mapInArrow(run, "content binary, n_tokens long")
-    counted.select(F.lit(tokenizer).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
+    counted.select(F.lit(tokenizer).alias("tokenizer"), "content", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
     # Written, so that the join's sides come straight from their exchanges and Spark can split the rows of a
     # text that very many documents hold.
-    counts = written(stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    known = stored()
+    if not fresh:  # of a cache that others have filled, only what these documents hold
+        known = known.join(keyed.select("content").distinct(), "content", "left_semi")
+    counts = written(known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.drop("_text").join(counts, "content", "left").select(key, "n_bytes", "content", "n_tokens")
 
 
