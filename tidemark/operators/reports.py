@@ -110,10 +110,18 @@ def negligible(df: DataFrame, frac: float, y: str = "y") -> Column:
     return F.lit(frac) * F.greatest(F.abs(F.log(p / F.greatest(1 - p, F.lit(1e-6)))), F.lit(1e-6))
 
 
-def axis_availability(spark, axes: dict[str, list[str]], columns: list[str]) -> DataFrame:
-    """How many of an axis's columns a model has, and whether any."""
-    rows = [(a, sum(c in columns for c in cs)) for a, cs in axes.items()]
-    return spark.createDataFrame(rows, "axis string, n_columns long").withColumn("available", F.col("n_columns") > 0)
+def axis_availability(df: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
+    """How many of an axis's columns a table has and knows on some row, on how many rows it knows any of them, and whether the axis
+    is available at all. One aggregate over the table."""
+    have = {a: [c for c in cs if c in df.columns] for a, cs in axes.items()}
+    names = list(dict.fromkeys(c for cs in have.values() for c in cs))
+    known = [F.count(c).alias(f"n_{c}") for c in names]
+    rows = [F.count_if(F.coalesce(*[F.col(c).cast("string") for c in cs]).isNotNull()).alias(f"_rows_{i}") for i, cs in enumerate(have.values()) if cs]
+    one = df.agg(F.count("*").alias("_all"), *known, *rows)
+    n = lambda cs: sum(((F.col(f"n_{c}") > 0).cast("long") for c in cs), F.lit(0).cast("long"))
+    each = [F.struct(F.lit(a).alias("axis"), n(cs).alias("n_columns"), (F.col(f"_rows_{i}") if cs else F.lit(0).cast("long")).alias("n_rows")) for i, (a, cs) in enumerate(have.items())]
+    return one.select(F.explode(F.array(*each)).alias("a")).select("a.*").withColumn("available", F.col("n_columns") > 0)
+
 
 
 def digest(answers: DataFrame, by: list[str]) -> DataFrame:

@@ -113,9 +113,13 @@ def answers_digest(spark, sf_dir):
     return reports.digest(_answers(spark, sf_dir), U)
 
 
-@query("SELECT unnest(['size', 'tax', 'none']) AS axis, unnest([2, 1, 0]) :: BIGINT AS n_columns, unnest([true, true, false]) AS available")
+@query(f"""WITH {EV}, m AS (SELECT CASE WHEN kind = 'purchase' THEN score END AS paid, CASE WHEN k > 50 THEN k END AS high, CASE WHEN score < 0 THEN k END AS never FROM ev),
+n AS (SELECT count(paid) AS p, count(high) AS h, count(never) AS v, count(*) FILTER (paid IS NOT NULL OR high IS NOT NULL) AS ph FROM m)
+SELECT 'value' AS axis, CAST(p > 0 AS BIGINT) + CAST(h > 0 AS BIGINT) AS n_columns, ph AS n_rows, p > 0 OR h > 0 AS available FROM n UNION ALL SELECT 'tail', CAST(v > 0 AS BIGINT), v, v > 0 FROM n UNION ALL SELECT 'none', 0, 0, false FROM n""")
 def axis_availability(spark, sf_dir):
-    return reports.axis_availability(spark, {"size": ["l_quantity", "l_discount"], "tax": ["l_tax", "not_there"], "none": ["nor_there"]}, spark.read.parquet(f"{sf_dir}/lineitem.parquet").columns)
+    ev = observations(spark, sf_dir)
+    m = ev.select(F.when(F.col("kind") == "purchase", F.col("score")).alias("paid"), F.when(F.col("k") > 50, F.col("k")).alias("high"), F.when(F.col("score") < 0, F.col("k")).alias("never"))
+    return reports.axis_availability(m, {"value": ["paid", "high"], "tail": ["never", "not_there"], "none": ["nor_there"]})
 
 
 @query(f"""WITH {THRESHOLDS}, h AS (SELECT * FROM said WHERE arm = 'head'), d AS (SELECT unit, avg(CASE verdict WHEN 'READY' THEN 1 WHEN 'NOT_READY' THEN 0 END) AS ready_frac, avg(prob) AS mean_prob FROM h GROUP BY unit),
