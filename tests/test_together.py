@@ -51,6 +51,25 @@ def test_models_grown_together_are_those_grown_alone(table):
     engine.free()
 
 
+def test_copies_of_rows_cost_and_change_nothing(table):
+    copies = table.withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    slot = Slot(0, "r", "y", F.col("valid") & (F.col("fold") != 1), F.col("valid") & (F.col("fold") == 1))
+    grown, read = [], []
+    for d, times, keys in ((table, 1, ["i"]), (copies, 3, ["i", "copy"])):
+        spec = Spec(0, depth=3, least=0.5 * times, rounds=5, rate=0.3, penalty=float(times))
+        engine = Boosters(d, COLS, [slot], [0], [F.col("valid")], keys)
+        out = engine.grow([spec])
+        read.append(sum(r._n for r in engine._pack(False)[0].select("_n").collect()))
+        margins = {r.i: r._margin[0] for r in out.collect()}
+        grown.append((spec, margins, out.count()))
+        engine.free()
+    (one, a, n), (three, b, m) = grown
+    assert read[0] == read[1] < table.count() and m == 3 * n == 3 * table.count()
+    flat = lambda t: [(t.feature, t.cut, t.missing_left), *(x for c in t.children for x in flat(c))]
+    assert [flat(t) for t in one.trees] == [flat(t) for t in three.trees] and np.allclose(one.losses, three.losses, rtol=1e-12)
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-9, abs_tol=1e-9) for i in a)
+
+
 def test_margins_and_losses_are_those_of_the_trees(table):
     d = table.where("valid")
     train, watch = d.where("fold <> 1"), d.where("fold = 1")

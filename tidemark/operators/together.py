@@ -107,8 +107,26 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
+#: Rows of a packed chunk, and chunks whose sums go straight to the driver instead of through an exchange.
+CHUNK, FEW = 1 << 15, 64
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df computed once: written to the checkpoint folder where there is one, else kept by the executors."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def _chunks(batch: pa.RecordBatch, kinds: dict[str, type]):
+    """The packed rows of a batch, chunk by chunk, as matrices by name."""
+    for i in range(batch.num_rows):
+        n = batch.column("_n")[i].as_py()
+        yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind).reshape(n, -1) for c, kind in kinds.items()}
+
+
 class Boosters:
-    """All boosted models over one table. After grow(), `state` has the key columns and every row's margins."""
+    """All boosted models over one table. Rows of equal bins, labels and roles have equal gradients under every model: models are grown
+    on the distinct ones with their counts, packed into binary chunks, so a pass costs what the distinct rows do. grow() returns the
+    key columns, roles and margins of every row."""
 
     def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], folds: list, trains: list[Column], keys: list[str] | None = None, bins: int = 32, monotone: dict[str, int] | None = None):
         self.columns, self.slots, self.folds = columns, slots, folds
@@ -121,13 +139,47 @@ class Boosters:
         self.rows = df.select(
             *self.keys, F.array(*[F.coalesce(F.col(y).cast("tinyint"), F.lit(0).cast("tinyint")) for y in self.labels]).alias("_y"), F.array(*[_role(s) for s in slots]).alias("_role"), F.array(*each).alias("_bins"), hashed.alias("_hash")
         )
+        self.packed: dict[bool, tuple[DataFrame, int]] = {}
+
+    def _kinds(self, hashed: bool) -> dict[str, type]:
+        return {"_y": np.int8, "_role": np.int8, "_bins": np.int16, "_count": np.int64} | ({"_hash": np.int64} if hashed else {})
+
+    def _pack(self, hashed: bool) -> tuple[DataFrame, int]:
+        """Distinct rows (each row's hash among what they differ in, where models draw rows) with a role in some slot, in chunks, and
+        how many chunks there are."""
+        if hashed not in self.packed:
+            kinds = self._kinds(hashed)
+            rows = self.rows.where(F.exists("_role", lambda r: r != NONE)).groupBy(*[c for c in kinds if c != "_count"]).agg(F.count("*").alias("_count"))
+
+            def run(batches):
+                held, size = [], 0
+
+                def chunk():
+                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in whole]], names=["_n", *kinds])
+
+                for batch in batches:
+                    n = batch.num_rows
+                    if not n:
+                        continue
+                    held.append([_matrix(batch.column(c), n).astype(k) if c not in ("_count", "_hash") else batch.column(c).to_numpy().astype(k) for c, k in kinds.items()])
+                    size += n
+                    if size >= CHUNK:
+                        yield chunk()
+                        held, size = [], 0
+                if size:
+                    yield chunk()
+
+            packed = rows.mapInArrow(run, "_n long, " + ", ".join(f"{c} binary" for c in kinds)).persist()
+            self.packed[hashed] = packed, packed.count()
+        return self.packed[hashed]
 
     def grow(self, specs: list[Spec]) -> DataFrame:
         """Grow all models to their rounds, or until what they watch has not improved for `patience` rounds."""
         self.specs = specs
-        base = F.array(*[F.lit(float(s.base)) for s in specs])
-        state = self.rows.withColumn("_margin", base).persist()
-        before, turn = None, 0
+        self.hashed = any(s.subsample < 1 for s in specs)
+        packed, self.chunks = self._pack(self.hashed)
+        state, before, turn = self._start(packed).persist(), None, 0
         while True:
             going = [m for m, s in enumerate(specs) if not s.done and turn < s.rounds]
             watch = [m for m, s in enumerate(specs) if not s.done and self.slots[s.slot].held is not None and len(s.losses) < len(s.trees)]
@@ -151,8 +203,10 @@ class Boosters:
                 before.unpersist()
             before, state = state, self._step(state, roots, turn).persist()
             turn += 1
-        self.before, self.state = before, state
-        return state
+        for d in (before, state):
+            if d is not None:
+                d.unpersist()
+        return self._scored()
 
     def _split_all(self, state: DataFrame, roots: dict[int, Node], sums: dict, turn: int) -> None:
         """Split level after level; the sums of the roots are there already."""
@@ -204,27 +258,24 @@ class Boosters:
         at_slot = {m: (s.slot, self.labels.index(self.slots[s.slot].y), self.folds.index(self.slots[s.slot].fold)) for m, s in enumerate(self.specs)}
         draws = {m: (self.specs[m].subsample, np.uint64(np.random.default_rng([self.specs[m].seed, turn, 2]).integers(1 << 62))) for m in places}
         block = max((len(x) for _, x in places.values()), default=1) * p * width
+        kinds = self._kinds(self.hashed) | {"_margin": np.float64}
 
         def run(batches):
             total = {m: np.zeros((len(leaf) * p * width, 2), np.int64) for m, (_, leaf) in places.items()}
             lost = {m: np.zeros(2, np.int64) for m in watch}
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                role, ys, margin = (_matrix(batch.column(c), n) for c in ("_role", "_y", "_margin"))
-                bins = _matrix(batch.column("_bins"), n).astype(np.int64).reshape(n, n_folds, p)
-                hashed = batch.column("_hash").to_numpy()
+            for x in (x for batch in batches for x in _chunks(batch, kinds)):
+                role, ys, margin, count = x["_role"], x["_y"], x["_margin"], x["_count"][:, 0]
+                bins = x["_bins"].reshape(len(role), n_folds, p)
                 for m, (root, wanted) in places.items():
                     slot, label, fold = at_slot[m]
                     on = role[:, slot] == TRAIN
                     share, salt = draws[m]
                     if share < 1:
-                        on &= _uniform(hashed, salt) < share
+                        on &= _uniform(x["_hash"][:, 0], salt) < share
                     rows = np.flatnonzero(on)
                     if not len(rows):
                         continue
-                    b = bins[rows, fold]
+                    b = bins[rows, fold].astype(np.int64)
                     number = np.full(max(len(leaves(root)), 1), -1)
                     number[wanted] = np.arange(len(wanted))
                     node = number[assign(root, b)]
@@ -232,15 +283,20 @@ class Boosters:
                     prob = 1 / (1 + np.exp(-margin[rows, m]))
                     g, h = prob - ys[rows, label], prob * (1 - prob)
                     key = ((node[:, None] * p + np.arange(p)) * width + b + 1).ravel()
+                    times = count[rows]
+                    exact = times.sum() < 1 << 22  # then sums of the chunk are whole numbers that doubles hold
                     for k, v in enumerate((g, h)):
-                        fixed = np.rint(v * SCALE)
-                        total[m][:, k] += np.bincount(key, np.repeat(fixed, p), len(total[m])).astype(np.int64)
+                        fixed = np.repeat(np.rint(v * SCALE).astype(np.int64) * times, p)
+                        if exact:
+                            total[m][:, k] += np.bincount(key, fixed, len(total[m])).astype(np.int64)
+                        else:
+                            np.add.at(total[m][:, k], key, fixed)
                 for m in watch:
                     slot, label, _ = at_slot[m]
                     rows = role[:, slot] == HELD
                     prob = np.clip(1 / (1 + np.exp(-margin[rows, m])), 1e-15, 1 - 1e-15)
                     loss = -np.where(ys[rows, label] == 1, np.log(prob), np.log1p(-prob))
-                    lost[m] += np.array([np.rint(loss * SCALE).sum(), rows.sum()], np.int64)
+                    lost[m] += np.array([(np.rint(loss * SCALE).astype(np.int64) * count[rows]).sum(), count[rows].sum()], np.int64)
             key, g, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for m, part in total.items():
                 some = np.flatnonzero(part.any(axis=1))
@@ -253,47 +309,85 @@ class Boosters:
                 h.append(part[1:])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, g, h)], names=["key", "g", "h"])
 
-        got = state.select("_y", "_role", "_bins", "_hash", "_margin").mapInArrow(run, "key long, g long, h long").groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        got = state.mapInArrow(run, "key long, g long, h long")
+        if self.chunks > FEW:
+            got = got.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        got = got.toArrow()
         keys, g, h = (got.column(c).to_numpy() for c in ("key", "g", "h"))
-        out: dict = {int(k): (x / SCALE, float(y)) for k, x, y in zip(keys[keys < 0], g[keys < 0], h[keys < 0], strict=True)}
+        out: dict = {}
+        for m in watch:
+            mine = keys == -1 - m
+            out[-1 - m] = (g[mine].sum() / SCALE, float(h[mine].sum()))
         for m, (_, wanted) in places.items():
             mine = (keys >= m * block) & (keys < (m + 1) * block)
-            dense = np.zeros((len(wanted) * p * width, 2))
-            dense[keys[mine] - m * block, 0], dense[keys[mine] - m * block, 1] = g[mine] / SCALE, h[mine] / SCALE
-            out[m] = dense.reshape(len(wanted), p, width, 2)
+            dense = np.zeros((len(wanted) * p * width, 2), np.int64)
+            for k, v in enumerate((g, h)):
+                np.add.at(dense[:, k], keys[mine] - m * block, v[mine])
+            out[m] = (dense / SCALE).reshape(len(wanted), p, width, 2)
         return out
 
+    def _start(self, packed: DataFrame) -> DataFrame:
+        base = np.array([s.base for s in self.specs], np.float64)
+
+        def run(batches):
+            for batch in batches:
+                margin = [np.tile(base, n).tobytes() for n in batch.column("_n").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin, pa.binary())], names=[*batch.schema.names, "_margin"])
+
+        return packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("_margin", T.BinaryType())]))
+
     def _step(self, state: DataFrame, roots: dict[int, Node], turn: int) -> DataFrame:
         """Margins with the turn's trees added. The lineage is cut every ten turns where there is a folder for it."""
         p, n_folds = len(self.columns), len(self.edges)
         fold_of = {m: self.folds.index(self.slots[self.specs[m].slot].fold) for m in roots}
         values = {m: np.array([x.value for x in leaves(r)]) for m, r in roots.items()}
-        names = state.columns
+        names, kinds = state.columns, {"_bins": np.int16, "_margin": np.float64}
 
         def run(batches):
             for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                margin = _matrix(batch.column("_margin"), n).copy()
-                bins = _matrix(batch.column("_bins"), n).astype(np.int64).reshape(n, n_folds, p)
-                for m, root in roots.items():
-                    margin[:, m] += values[m][assign(root, bins[:, fold_of[m]])]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * margin.shape[1], pa.int32()), pa.array(margin.ravel()))
-                yield pa.RecordBatch.from_arrays([lists if c == "_margin" else batch.column(c) for c in names], names=names)
-
-        out = state.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in state.schema]))
+                out = []
+                for x in _chunks(batch, kinds):
+                    margin = x["_margin"].copy()
+                    bins = x["_bins"].reshape(len(margin), n_folds, p)
+                    for m, root in roots.items():
+                        margin[:, m] += values[m][assign(root, bins[:, fold_of[m]])]
+                    out.append(margin.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if c == "_margin" else batch.column(c) for c in names], names=names)
+
+        out = state.mapInArrow(run, state.schema)
         if turn % 10 == 9 and state.sparkSession.conf.get("spark.checkpoint.dir", None):
             out = out.checkpoint()
         return out
 
-    def margin(self, m: int) -> Column:
-        return F.col("_margin")[m]
+    def _scored(self) -> DataFrame:
+        """Keys, roles and margins of every row, its trees added in their order; nothing runs yet."""
+        p, n_folds = len(self.columns), len(self.edges)
+        models = [(s.base, self.folds.index(self.slots[s.slot].fold), [(t, np.array([x.value for x in leaves(t)])) for t in s.trees]) for s in self.specs]
+        rows = self.rows.select(*self.keys, "_role", "_bins")
+        kept = [f for f in rows.schema.fields if f.name != "_bins"]
+        names = [*(f.name for f in kept), "_margin"]
+
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                bins = _matrix(batch.column("_bins"), n).reshape(n, n_folds, p)
+                margin = np.empty((n, len(models)))
+                for m, (base, fold, trees) in enumerate(models):
+                    own = np.full(n, base)
+                    for tree, value in trees:
+                        own += value[assign(tree, bins[:, fold])]
+                    margin[:, m] = own
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(models), pa.int32()), pa.array(margin.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), lists], names=names)
+
+        return rows.mapInArrow(run, T.StructType([*kept, T.StructField("_margin", T.ArrayType(T.DoubleType()))]))
 
     def free(self) -> None:
-        for d in (self.state, self.before):
-            if d is not None:
-                d.unpersist()
+        for d, _ in self.packed.values():
+            d.unpersist()
+        self.packed.clear()
 
 
 def _uniform(hashed: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -383,7 +477,6 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
     record = {at: {"fold": at[0], "label": at[1], "blocked": bool(entry.get("blocked")), "grid": []} for at, entry in plan.items()}
     if tried:
         engine.grow([s for *_, s in tried])
-        engine.free()
     for at, entry in record.items():
         for k, point in enumerate(grid):
             mine = [s for a, j, _, s in tried if a == at and j == k]
@@ -406,13 +499,12 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
                 if 0 < counts[first[at] + 1 + r]["p"] < counts[first[at] + 1 + r]["n"]:
                     final.append((at, slot.name, spec(first[at] + 1 + r, entry["chosen"], rounds=entry["M"], seed=seed + 2 + r)))
     if not final:
+        engine.free()
         return None, None, list(record.values()), {}
     unwatched = Boosters.__new__(Boosters)  # the same rows; nothing is watched, as the number of trees is settled
     unwatched.__dict__.update(engine.__dict__, slots=[replace(s, held=None) for s in slots])
-    state = unwatched.grow([s for *_, s in final])
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        state = state.checkpoint()
-        unwatched.free()
+    state = settle(unwatched.grow([s for *_, s in final]))
+    engine.free()
     margins, oof = spread(state, keys, [(at, r) for at, r, _ in final], plan, first)
     models = {}
     for at, r, s in final:
@@ -444,10 +536,8 @@ def ablate_trees(df: DataFrame, columns: list[str], plan: dict, record: list[dic
     if not specs:
         return None
     engine = Boosters(df, columns, slots, folds, trains, keys, bins, monotone)
-    state = engine.grow(specs)
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        state = state.checkpoint()
-        engine.free()
+    state = settle(engine.grow(specs))
+    engine.free()
     each = F.array(*[F.struct(F.lit(f).alias("model_fold"), F.lit(y).alias("label"), F.lit(b).alias("block"), F.col("_margin")[m].alias("margin")) for m, (f, y, b) in enumerate(names)])
     return state.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
 
