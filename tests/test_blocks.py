@@ -75,3 +75,17 @@ def test_scan_counts_passes_and_refuses_wide_strides(spark):
     short = {r.species: r for r in detect.crossing_scan(d, ["unit"], "entity", "species", 8.0, 1, 10).collect()}
     assert short["ion"].n_frames == 11 and short["ion"].n_passes == 0
     assert detect.crossing_scan(d.limit(0), ["unit"], "entity", "species", 8.0, 1, 10).count() == 0
+
+
+def test_a_large_ring_is_passed_once(spark):
+    """The mean of a ring's distances must not be taken anew for each of its members."""
+    import numpy as np
+
+    rng = random.Random(5)
+    d = spark.createDataFrame([(0, 0, e, rng.gauss(0, 1), rng.gauss(0, 1)) for e in range(3000)], "unit int, t int, e int, x double, y double")
+    out = blocks.measure([blocks.symmetry(F.lit(True), F.col("x"), F.col("y"), "e")], d, ["unit", "t"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    p = sorted((np.arctan2(r.y, r.x), r.e, r.x, r.y) for r in d.collect())
+    xy = np.array([q[2:] for q in p])
+    step = np.hypot(*(np.roll(xy, -1, axis=0) - xy).T)
+    assert abs(out.first().ring_cv - step.std() / step.mean()) < 1e-9

@@ -137,9 +137,15 @@ def symmetry(gate: Column, x: Column, y: Column, entity: str) -> Block:
         ring = of("ring")
         after = F.concat(F.slice(ring, 2, 2_000_000_000), F.slice(ring, 1, 1))
         d = F.zip_with(ring, after, lambda p, q: F.sqrt(F.pow(q["x"] - p["x"], 2) + F.pow(q["y"] - p["y"], 2)))
-        n = F.size(ring)
-        mean = F.aggregate(d, F.lit(0.0), lambda s, v: s + v) / n
-        return F.when(n >= 3, F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, v: s + F.pow(v - mean, 2)) / n) / F.nullif(mean, F.lit(0.0)))
+        # One pass: an expression of the whole ring inside a function of its members would be evaluated for each of them.
+        begin = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+        def add(s, v):
+            n, off = s["n"] + 1, v - s["mean"]
+            mean = s["mean"] + off / n
+            return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + off * (v - mean)).alias("m2"))
+
+        return F.aggregate(d, begin, add, lambda s: F.when(s["n"] >= 3, F.sqrt(s["m2"] / s["n"]) / F.nullif(s["mean"], F.lit(0.0))))
 
     return Block("symmetry", {"ring": listed}, {"ring_cv": cv, "ring_n": lambda of: F.size(of("ring"))})
 
