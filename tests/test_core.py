@@ -191,6 +191,21 @@ def test_leave_one_out_quantile(spark):
             assert abs(got[u] - np.quantile([v for w, v in rows if w != u and v is not None], q)) < 1e-9
 
 
+def test_leave_one_out_quantile_pairs_no_units(spark):
+    """Units whose values lie alike must not each look at the same slice of the pool."""
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(u, round(rng.expovariate(1), 2)) for u in range(40) for _ in range(25)] + [(None, 50.0)] * 30
+    d = spark.createDataFrame(rows, "unit int, v double")
+    out = alarms.leave_one_out_quantile(d, "unit", "v", 0.95)
+    assert "explode(sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.unit: r.threshold for r in out.collect()}
+    assert got.keys() == set(range(40))
+    for u in range(40):
+        assert abs(got[u] - np.quantile([v for w, v in rows if w is not None and w != u], 0.95)) < 1e-9
+
+
 def ap_by_hand(y, s):
     total, tp, n, out = sum(y), 0, 0, 0.0
     for v in sorted(set(s), reverse=True):

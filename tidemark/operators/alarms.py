@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.parts import scan
 from tidemark.operators.ranks import quantiles, running
 from tidemark.operators.windows import ordered
 
@@ -61,31 +62,25 @@ def alarm_metrics(df: DataFrame, events: DataFrame, tau: int, unit: list[str], k
 def leave_one_out_quantile(df: DataFrame, unit: str, value: str, q: float) -> DataFrame:
     """For each unit the exact interpolated quantile of the values of all other units.
 
-    Values are counted once over the pool; a unit's own counts are taken off at the ranks that matter.
-    The k-th smallest of the others lies within own-count ranks of the k-th of the pool, so each unit
-    looks at a slice of the pool's distinct values instead of all of them.
+    Values are counted once over the pool. Of the others, those up to a unit's own value v are the pool's less its own up to v, so a
+    unit's own values of which the others have k or fewer lie below the others' k-th, which is then the pool's at k and their
+    number: two ranks per unit, looked up in the pool's running counts. All steps are linear in the rows; units without a
+    name are no unit's others.
     """
-    d = df.where(F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v"))
-    own = d.groupBy("u", "v").agg(F.count("*").alias("c")).persist()
-    n = own.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    pool = running(own.groupBy("v").agg(F.sum("c").alias("c")), [], "v", ["c"]).withColumnRenamed("upto_c", "upto")
-    sizes = own.groupBy("u").agg(F.sum("c").alias("m")).withColumn("rest", F.lit(n) - F.col("m"))
+    d = df.where(F.col(value).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v"))
+    own = running(d.groupBy("u", "v").agg(F.count("*").alias("c")), ["u"], "v", ["c"])
+    pool = running(d.groupBy("v").agg(F.count("*").alias("c")), [], "v", ["c"]).select("v", F.col("upto_c").alias("upto"), F.col("all_c").alias("n"))
+    rows = own.withColumnRenamed("all_c", "m").join(pool, "v").withColumn("rest", F.col("n") - F.col("m")).where("rest > 0")
     k = F.lit(q) * (F.col("rest") - 1)
-    want = sizes.where("rest > 0").withColumns({"lo": F.floor(k), "frac": k - F.floor(k)})
-    #: Pool ranks in [lo, hi + m] hold the answers; chop them into spans of equal size for an equi-join.
-    width = max(1, n // 512)
-    spans = want.select("u", "lo", "frac", "m", "rest", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + 2 + F.col("m")) / width))).alias("span"))
-    cut = pool.select("v", "c", "upto", F.explode(F.sequence(F.floor((F.col("upto") - F.col("c")) / width), F.floor((F.col("upto") - 1) / width))).alias("span"))
-    near = spans.join(cut, "span").select("u", "lo", "frac", "rest", "v", "upto").distinct()
-    mine = own.withColumn("own_upto", F.sum("c").over(Window.partitionBy("u").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).select("u", "v", "own_upto")
-    both = near.join(mine, ["u", "v"], "full_outer")
-    both = both.withColumn("own", F.coalesce(F.last("own_upto", ignorenulls=True).over(Window.partitionBy("u").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    left = both.where(F.col("lo").isNotNull()).withColumn("others_upto", F.col("upto") - F.col("own"))
-    pick = left.groupBy("u", "lo", "frac", "rest").agg(
-        F.min(F.when(F.col("others_upto") > F.col("lo"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("others_upto") > F.least(F.col("lo") + 1, F.col("rest") - 1), F.col("v"))).alias("b"),
-    )
-    return pick.select(F.col("u").alias(unit), (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("threshold"))
+    rows = rows.withColumns({"lo": F.floor(k), "frac": k - F.floor(k), "others": F.col("upto") - F.col("upto_c")})
+    hi = F.least(F.col("lo") + 1, F.col("rest") - 1)
+    below = lambda rank: F.coalesce(F.sum(F.when(F.col("others") <= rank, F.col("c"))), F.lit(0))
+    ranks = rows.groupBy("u", "lo", "rest", "frac").agg((F.col("lo") + below(F.col("lo"))).alias("a"), (hi + below(hi)).alias("b"))
+    wanted = ranks.select(F.explode(F.array("a", "b")).alias("rank")).distinct().withColumn("upto", F.col("rank") + 1)  # the first value with so many up to it
+    found = scan(wanted.unionByName(pool.select("upto", "v"), allowMissingColumns=True), [], "upto", {"at": ("min", F.col("v"))}, down=True, frame="range").where("rank is not null")
+    at = lambda name: found.select(F.col("rank").alias(name), F.col("at").alias(f"v_{name}"))
+    pick = ranks.join(at("a"), "a").join(at("b"), "b")
+    return pick.select(F.col("u").alias(unit), (F.col("v_a") + (F.col("v_b") - F.col("v_a")) * F.col("frac")).alias("threshold"))
 
 
 def duty_matched(df: DataFrame, unit: list[str], score: str, duty: float) -> DataFrame:
