@@ -74,3 +74,44 @@ def test_a_huge_unit_is_spread_over_tasks(spark):
             assert len(sizes(out)) == 8 and max(sizes(out)) < 40_000 / 3
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("window", [0, 1, 37, 100_000])
+def test_trailing_totals_are_those_of_windows(rows, window):
+    d = rows.unionByName(rows.limit(60)).unionByName(rows.limit(5).withColumn("t", F.lit(None).cast("long")))
+    w = windows.trailing(["unit"], window)
+    want = d.withColumns({"n": F.count("p").over(w), "low": F.min("p").over(w), "top": F.max("p").over(w), "s": F.sum("zone").over(w)})
+    kinds = {"n": ("count", F.col("p")), "low": ("min", F.col("p")), "top": ("max", F.col("p")), "s": ("sum", F.col("zone"))}
+    got = parts.trailing_totals(d, ["unit"], "t", window, kinds, 9)
+    _same(got, want)
+    assert "-" + str(window) + ", currentrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _tied(spark, tmp_path):
+    """Events of which every six are at the same time, under other keys."""
+    import __spark_entry__  # noqa: F401
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    more = e.withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(6)])))
+    more = more.withColumns({"event_id": F.col("event_id") + F.col("copy") * 1_000_000, "user_id": F.col("user_id") + F.col("copy") * 10_000}).drop("copy")
+    more.orderBy("event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["one_unit_events", "one_unit_ladder", "one_unit_trailing"])
+def test_rows_of_the_same_time_follow_their_ids(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__
+
+    sf = _tied(spark, tmp_path)
+    got = __spark_entry__.queries()[name](spark, sf)
+    assert "-21600000000, currentrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # then the SQL leaves equal times in the file's order
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    con.execute(f"CREATE TABLE want AS {__spark_entry__.oracle_sql()[name]}")
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM want").fetchall()
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(tuple, got.select(*columns).collect()), key=key) == sorted(want, key=key) and want

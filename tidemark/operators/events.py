@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.parts import previous, scan
-from tidemark.operators.windows import ordered
 
 BELOW, LOWER, INSIDE, UPPER, ABOVE, OUTSIDE = 0, 1, 2, 3, 4, -9
 
@@ -23,7 +22,7 @@ def zone_planes(low: Column, high: Column) -> tuple[Column, Column]:
     return (low + middle) / 2, (high + middle) / 2
 
 
-def ladder_events(rows: DataFrame, track: list[str], t: str = "t", zone: str = "zone", wrap: str | None = None, parts: int | None = None) -> DataFrame:
+def ladder_events(rows: DataFrame, track: list[str], t: str = "t", zone: str = "zone", wrap: str | None = None, parts: int | None = None, tie: list[str] | None = None) -> DataFrame:
     """Full one-way passes 0 -> 2 -> 4 or 4 -> 2 -> 0 of each track (unit and entity).
 
     A track's rows fall into segments that begin where a state machine would forget its origin: on the first
@@ -31,26 +30,28 @@ def ladder_events(rows: DataFrame, track: list[str], t: str = "t", zone: str = "
     an end from a segment that began in the other end and went through the middle; its entry is the
     last change into the middle. Sequence work is one exchange on the track; with `parts`, tracks are cut by time
     into so many tasks: what a part must know of those before is its last zone and how many segments have begun, and
-    segments meet the ones before them by a join.
+    segments meet the ones before them by a join. Times are distinct within tracks, or `tie` orders rows of the same time.
     """
-    w = ordered(track, t)
+    tie = tie or []
+    w = Window.partitionBy(*track).orderBy(t, *tie)
+    at = F.struct(t, *tie) if tie else F.col(t)
     wrapped = F.col(wrap) if wrap else F.lit(False)
     if parts:
-        d = previous(rows, track, t, {"_pz": zone}, parts)
+        d = previous(rows, track, t, {"_pz": zone}, parts, tie)
     else:
         d = rows.withColumns({"_pz": F.lag(zone).over(w), "_first": F.row_number().over(w) == 1})
     d = d.withColumn("_wrap", F.coalesce(wrapped, F.lit(False)) & ~F.col("_first"))
     d = d.withColumn("_chg", ~F.col("_first") & (F.col(zone) != F.col("_pz")) & ~F.col("_wrap"))
     d = d.withColumn("_reset", F.col("_first") | F.col("_wrap") | (F.col("_chg") & F.col(zone).isin(BELOW, ABOVE, OUTSIDE)))
     if parts:
-        d = scan(d, track, t, {"_seg": ("sum", F.col("_reset").cast("int"))}, parts=parts)
+        d = scan(d, track, t, {"_seg": ("sum", F.col("_reset").cast("int"))}, parts=parts, tie=tie)
     else:
         d = d.withColumn("_seg", F.sum(F.col("_reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    enter = F.when(F.col("_chg") & (F.col(zone) == INSIDE), F.struct(F.col(t).alias("t"), F.col("_pz").isin(LOWER, UPPER).alias("seen")))
+    enter = F.when(F.col("_chg") & (F.col(zone) == INSIDE), F.struct(F.col(t).alias("t"), *tie, F.col("_pz").isin(LOWER, UPPER).alias("seen")))
     seg = d.groupBy(*track, "_seg").agg(
         F.min(t).alias("t_exit"),
-        F.min_by(F.col(zone), F.col(t)).alias("origin"),
-        F.min_by(F.col("_chg"), F.col(t)).alias("by_change"),
+        F.min_by(F.col(zone), at).alias("origin"),
+        F.min_by(F.col("_chg"), at).alias("by_change"),
         F.max(enter).alias("enter"),
     )
     if parts:

@@ -33,18 +33,23 @@ def cut(df: DataFrame, t: str = "t", parts: int = PARTS, name: str = "_part") ->
     return _with_edges(df, t, parts).withColumn(name, _place(F.col(t))).drop("_edges")
 
 
-def _inner(unit: list[str], t: str, down: bool, frame: str):
-    w = Window.partitionBy(*unit, "_part").orderBy(F.desc(t) if down else F.asc(t))
+def _inner(unit: list[str], t: str, down: bool, frame: str, tie: list[str]):
+    w = Window.partitionBy(*unit, "_part").orderBy(*[F.desc(c) if down else F.asc(c) for c in (t, *tie)])
     begin = Window.unboundedPreceding
-    return {"rows": w.rowsBetween(begin, 0), "range": w.rangeBetween(begin, 0), "before": w.rangeBetween(begin, -1)}[frame]
+    if frame in ("rows", "earlier"):
+        return w.rowsBetween(begin, 0 if frame == "rows" else -1)
+    if tie:
+        raise ValueError("frames of equal times have no use for an order within them")
+    return w.rangeBetween(begin, 0 if frame == "range" else -1)
 
 
-def scan(df: DataFrame, unit: list[str], t: str, columns: dict[str, tuple[str, Column]], down: bool = False, frame: str = "rows", parts: int = PARTS) -> DataFrame:
+def scan(df: DataFrame, unit: list[str], t: str, columns: dict[str, tuple[str, Column]], down: bool = False, frame: str = "rows", parts: int = PARTS, tie: list[str] | None = None) -> DataFrame:
     """df with running values along t (from the greatest t down, if so), each a kind and an expression over rows: "sum", "count", "min",
-    "max", or "last", the latest one that is not null. frame: "rows" up to and with this row, "range" with all rows of the same
-    t too, "before" without any of the same t."""
+    "max", or "last", the latest one that is not null. frame: "rows" up to and with this row, "earlier" without it, "range" with all rows of the same
+    t too, "before" without any of the same t. `tie` orders rows of the same t (for "rows" and "earlier")."""
+    tie = tie or []
     d = (df if "_part" in df.columns else cut(df, t, parts)).withColumns({f"_v_{n}": e for n, (_, e) in columns.items()})
-    inner = _inner(unit, t, down, frame)
+    inner = _inner(unit, t, down, frame, tie)
     over = Window.partitionBy(*unit).orderBy(F.desc("_part") if down else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     simple = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     totals, carried, merged, within = [], [], {}, {}
@@ -52,7 +57,7 @@ def scan(df: DataFrame, unit: list[str], t: str, columns: dict[str, tuple[str, C
         v = F.col(f"_v_{n}")
         if kind == "last":
             latest = F.min if down else F.max
-            totals.append(latest(F.when(v.isNotNull(), F.struct(F.col(t).alias("t"), v.alias("v")))).alias(f"_c_{n}"))
+            totals.append(latest(F.when(v.isNotNull(), F.struct(F.col(t).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(tie)], v.alias("v")))).alias(f"_c_{n}"))
             carried.append(F.last(F.col(f"_c_{n}.v"), ignorenulls=True).over(over).alias(f"_c_{n}"))
             within[f"_v_{n}"] = F.last(v, ignorenulls=True).over(inner)
             merged[n] = F.coalesce(f"_v_{n}", f"_c_{n}")
@@ -75,12 +80,12 @@ def scan(df: DataFrame, unit: list[str], t: str, columns: dict[str, tuple[str, C
     return out.select(*[c for c in df.columns if c not in columns], *columns)
 
 
-def previous(df: DataFrame, unit: list[str], t: str, columns: dict[str, str], parts: int = PARTS) -> DataFrame:
-    """df with the values of the unit's row before, under new names, and `_first`, whether there is none. Times are distinct within units."""
+def previous(df: DataFrame, unit: list[str], t: str, columns: dict[str, str], parts: int = PARTS, tie: list[str] | None = None) -> DataFrame:
+    """df with the values of the unit's row before, under new names, and `_first`, whether there is none. Times, or times and `tie`, are distinct within units."""
     d = df if "_part" in df.columns else cut(df, t, parts)
     held = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    w = Window.partitionBy(*unit, "_part").orderBy(t)
-    d = scan(d.withColumn("_lag", F.lag(held).over(w)), unit, t, {"_carry": ("last", held)}, frame="before", parts=parts)
+    w = Window.partitionBy(*unit, "_part").orderBy(t, *(tie or []))
+    d = scan(d.withColumn("_lag", F.lag(held).over(w)), unit, t, {"_carry": ("last", held)}, frame="earlier", parts=parts, tie=tie)
     prev = F.coalesce("_lag", "_carry")
     out = d.withColumns({**{n: prev[n] for n in columns}, "_first": prev.isNull()})
     return out.drop("_lag", "_carry") if "_part" in df.columns else out.drop("_lag", "_carry", "_part")
@@ -95,3 +100,27 @@ def trailing(df: DataFrame, unit: list[str], t: str, window: int, columns: dict,
     w = Window.partitionBy(*unit, "_part").orderBy(t).rangeBetween(-window, 0)
     d = d.withColumns({n: make(w) for n, make in columns.items()}).where(F.col("_part") == F.col("_own"))
     return d.drop("_own", "_last", "_part")
+
+
+def trailing_totals(df: DataFrame, unit: list[str], t: str, window: int, columns: dict[str, tuple[str, Column]], parts: int = PARTS) -> DataFrame:
+    """df with "sum", "count", "min" or "max" (kind and expression, as in `scan`) over the unit's rows in [t - window, t], linear in the rows
+    however many a window holds. Time is cut into blocks of the window's length: a window is what its own block holds
+    up to t and what the block before holds from t - window on, a running value forwards and one backwards."""
+    length = max(1, window)
+    held = {n: e.alias(f"_x_{n}") for n, (_, e) in columns.items()}
+    d = df.select("*", *held.values(), F.expr(f"`{t}` div {length} - if(`{t}` % {length} < 0, 1, 0)").alias("_block"))
+    by = [*unit, "_block"]
+    own = scan(d, by, t, {f"_own_{n}": (kind, F.col(f"_x_{n}")) for n, (kind, _) in columns.items()}, frame="range", parts=parts)
+    # rows of the block before, moved on by the window: what a row at t looks back on is there at t or later
+    moved = d.where(F.col(t).isNotNull()).select(*unit, (F.col("_block") + 1).alias("_block"), (F.col(t) + window).alias(t), *[F.col(f"_x_{n}") for n in columns])
+    asked = own.drop(*[f"_x_{n}" for n in columns]).withColumn("_asks", F.lit(True))
+    both = asked.unionByName(moved, allowMissingColumns=True)
+    both = scan(both, by, t, {f"_old_{n}": (kind, F.col(f"_x_{n}")) for n, (kind, _) in columns.items()}, down=True, frame="range", parts=parts).where("_asks")
+
+    def merged(n: str, kind: str) -> Column:
+        a, b = F.col(f"_own_{n}"), F.col(f"_old_{n}")
+        if kind in ("min", "max"):
+            return (F.least if kind == "min" else F.greatest)(a, b)
+        return F.coalesce(a + b, a, b)
+
+    return both.select(*df.columns, *[merged(n, kind).alias(n) for n, (kind, _) in columns.items()])
