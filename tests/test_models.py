@@ -328,3 +328,24 @@ def test_affine_duplicates_of_very_many_columns(spark):
     assert got["c3", "c1990"] == pytest.approx((2.5, 7)) and got["c10", "c1991"] == pytest.approx((-1e6, 3)) and got["c500", "c1993"] == pytest.approx((1e-7, -1e-3))
     assert time.time() - start < 120
     assert tables.affine_duplicates(d.limit(0), names[:3]).count() == 0
+
+
+def test_shapley_values_from_tables_are_those_of_the_game():
+    """Rows look outcomes up; the game itself is played once per path, not once per row."""
+    import numpy as np
+
+    from tidemark.operators import boosting
+
+    rng = np.random.default_rng(2)
+    bins = rng.integers(-1, 9, (500, 5))
+    steps = {2: ([(4, True, True)], 0.3), 0: ([(3, False, False), (7, True, True)], 0.45), 4: ([(5, True, False)], 0.8)}
+    out = np.zeros((500, 5))
+    boosting._games.cache_clear()
+    boosting._add(out, bins, 1.7, steps)
+    boosting._add(np.zeros((500, 5)), bins, -2.0, steps)
+    assert boosting._games.cache_info().misses == 1 and boosting._games.cache_info().hits == 1
+    passed = np.array([[all((b[f] < cut if b[f] >= 0 else missing) == left for cut, missing, left in tests) for f, (tests, _) in steps.items()] for b in bins])
+    whole = 1.7 * passed.all(axis=1)
+    assert np.allclose(out.sum(axis=1), whole - 1.7 * 0.3 * 0.45 * 0.8)
+    want = 1.7 * boosting._game([p.astype(float) for p in passed.T], [0.3, 0.45, 0.8])
+    assert np.allclose(out[:, [2, 0, 4]], want, rtol=1e-12) and not out[:, [1, 3]].any()

@@ -6,6 +6,7 @@ models in the same passes); this is one model with its predictions and exact Sha
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -163,16 +164,37 @@ def _add(out: np.ndarray, bins: np.ndarray, value: float, steps: dict[int, tuple
         for cut, missing_left, left in steps[f][0]:
             b = bins[:, f]
             ok &= np.where(b < 0, missing_left, b < cut) == left
-        passes.append(ok.astype(float))
+        passes.append(ok)
         share.append(steps[f][1])
-    for i, f in enumerate(features):
+    if m > MOST_TABLED:
+        out[:, features] += value * _game([p.astype(float) for p in passes], share)
+        return
+    pattern = sum(p.astype(np.int64) << i for i, p in enumerate(passes))
+    out[:, features] += (value * _games(tuple(share)))[pattern]
+
+
+#: Features on a path up to which its 2 ** m outcomes are tabled.
+MOST_TABLED = 6
+
+
+@functools.lru_cache(100_000)
+def _games(share: tuple[float, ...]) -> np.ndarray:
+    """Shapley values of a leaf of value 1 for each set of features that pass, a row per set (feature i is bit i)."""
+    sets = np.arange(1 << len(share))
+    return _game([(sets >> i & 1).astype(float) for i in range(len(share))], list(share))
+
+
+def _game(passes: list[np.ndarray], share: list[float]) -> np.ndarray:
+    m, out = len(share), []
+    for i in range(m):
         rest = [j for j in range(m) if j != i]
-        total = np.zeros(len(bins))
+        total = np.zeros(len(passes[0]))
         for size in range(m):
             weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
             for chosen in itertools.combinations(rest, size):
-                term = np.full(len(bins), weight)
+                term = np.full(len(passes[0]), weight)
                 for j in rest:
                     term = term * (passes[j] if j in chosen else share[j])
                 total += term
-        out[:, f] += value * (passes[i] - share[i]) * total
+        out.append((passes[i] - share[i]) * total)
+    return np.stack(out, axis=1)
