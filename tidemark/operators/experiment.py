@@ -7,7 +7,8 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,7 @@ from tidemark.operators import metrics
 from tidemark.operators.boosting import BoostedTrees
 from tidemark.operators.models import Calibrator, MissingEncoder, PartialLeastSquares, RidgeLogistic, Standardiser, active_columns, grid_search
 from tidemark.operators.splits import refuse_overlap, time_blocks
-from tidemark.operators.together import Slot, ablate_trees, settle, slot_counts, tune_components, tune_ridges, tune_trees
+from tidemark.operators.together import Designs, Slot, ablate_trees, added, packed, plan_slots, search_trees, settle, slot_counts, tune_components, tune_ridges, tune_trees
 
 MOST_FOLDS = 1000
 #: Columns that `Fitted` adds.
@@ -259,37 +260,46 @@ def _block_slots(df: DataFrame, at: tuple, train, unit: list[str], t: str, embar
     return out
 
 
-def calibrate_together(oof: DataFrame, by: list[str], score: str = "score", y: str = "y", most: int = 50) -> DataFrame:
+def calibrate_together(oof: DataFrame, by: list[str], score: str = "score", y: str = "y", most: int = 50, times: str | None = None) -> DataFrame:
     """by, a, b: slope and intercept of a logistic fit of y on the logit of the score, for all groups in the same Newton steps, one
-    aggregate each. Groups of one class are left out. Groups are few: models, not units."""
+    job each over packed rows. Groups of one class are left out. Groups are few: models, not units. `times` names a column of how many rows a row
+    stands for; y is then the share of ones among them."""
     p = F.least(F.greatest(F.col(score), F.lit(1e-7)), F.lit(1 - 1e-7))
-    d = oof.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*by, F.log(p / (1 - p)).alias("_l"), F.col(y).cast("double").alias("_y")).persist()
-    both = d.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).where("lo < hi").limit(MOST_SLOTS * 10 + 1).collect()
+    d = oof.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*by, F.log(p / (1 - p)).alias("_l"), F.col(y).cast("double").alias("_y"), (F.col(times) if times else F.lit(1)).cast("double").alias("_w"))
+    spark, schema = oof.sparkSession, T.StructType([*(oof.schema[c] for c in by), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    both = d.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).where("lo < 1 and hi > 0").limit(MOST_SLOTS * 10 + 1).collect()
     if len(both) > MOST_SLOTS * 10:
         raise ValueError("too many groups to calibrate")
-    at = {tuple(r[c] for c in by): (1.0, 0.0) for r in both}
-    spark, schema = oof.sparkSession, T.StructType([*(oof.schema[c] for c in by), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    table = lambda rows: spark.createDataFrame([(*k, *v) for k, v in rows.items()], schema)
-    going = dict(at)
+    names = [tuple(r[c] for c in by) for r in both]
+    if not names:
+        return spark.createDataFrame([], schema)
+    numbers = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], T.StructType([*schema.fields[: len(by)], T.StructField("_g", T.IntegerType())]))
+    chunks = packed(d.join(F.broadcast(numbers), by), {"_g": np.int32, "_l": np.float64, "_y": np.float64, "_w": np.float64})
+    at, going = np.tile([1.0, 0.0], (len(names), 1)), np.ones(len(names), bool)
     for _ in range(most):
-        if not going:
+        if not going.any():
             break
-        q = 1 / (1 + F.exp(-(F.col("a") * F.col("_l") + F.col("b"))))
-        sums = d.join(F.broadcast(table(going)), by).withColumns({"_q": q, "_w": q * (1 - q)}).groupBy(*by).agg(
-            *[F.sum(x).alias(n) for n, x in (("ga", (F.col("_q") - F.col("_y")) * F.col("_l")), ("gb", F.col("_q") - F.col("_y")), ("haa", F.col("_w") * F.col("_l") * F.col("_l")), ("hab", F.col("_w") * F.col("_l")), ("hbb", F.col("_w")))]
-        )
-        for r in sums.collect():
-            k = tuple(r[c] for c in by)
-            det = (r.haa + 1e-12) * (r.hbb + 1e-12) - r.hab**2
-            da, db = ((r.hbb + 1e-12) * r.ga - r.hab * r.gb) / det, ((r.haa + 1e-12) * r.gb - r.hab * r.ga) / det
-            cut = min(1.0, 4 / max(abs(da), abs(db), 1e-300))  # steps of at most 4: the start may be far off
-            at[k] = (going[k][0] - cut * da, going[k][1] - cut * db)
-            if max(abs(da), abs(db)) < 1e-9 or abs(at[k][0]) > 1e4:
-                going.pop(k)
-            else:
-                going[k] = at[k]
-    d.unpersist()
-    return table(at)
+
+        def run(parts, at=at.copy(), going=going.copy()):
+            n, total = len(at), np.zeros((5, len(at)))
+            for g, x, y, count in parts:
+                on = going[g]
+                g, x, y, count = g[on], x[on], y[on], count[on]
+                q = 1 / (1 + np.exp(-(at[g, 0] * x + at[g, 1])))
+                r, w = count * (q - y), count * q * (1 - q)
+                total += np.stack([np.bincount(g, v, n) for v in (r * x, r, w * x * x, w * x, w)])
+            yield 0, total
+
+        ga, gb, haa, hab, hbb = added(chunks.mapPartitions(run))[0]
+        det = (haa + 1e-12) * (hbb + 1e-12) - hab**2
+        with np.errstate(all="ignore"):
+            step = np.stack([((hbb + 1e-12) * ga - hab * gb) / det, ((haa + 1e-12) * gb - hab * ga) / det], axis=1)
+        far = np.abs(step).max(axis=1)
+        cut = np.minimum(1.0, 4 / np.maximum(far, 1e-300))  # steps of at most 4: the start may be far off
+        at[going] -= (cut[:, None] * step)[going]
+        going &= ~((far < 1e-9) | (np.abs(at[:, 0]) > 1e4))
+    chunks.unpersist()
+    return spark.createDataFrame([(*k, *map(float, v)) for k, v in zip(names, at, strict=True)], schema)
 
 
 def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labels: dict[str, str], inner: str | None = None, unit: list[str] | None = None, t: str = "t", embargo: int | None = None, blocks: int = 2, leak: list[str] | None = None, seed: int = 0) -> tuple[DataFrame, list[dict], dict]:
@@ -306,13 +316,11 @@ def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labe
     starts = None
     if unit is not None:
         df, starts = mark_starts(df, labels, unit, t)
-    df = settle(df)  # every arm reads it, several times
-    if leak:
-        for c in leak:  # no value in two folds
-            n = df.where(F.col(fold).isNotNull()).groupBy(c).agg(F.min(fold).alias("a"), F.max(fold).alias("z")).where("a <> z").limit(1).count()
-            if n:
-                raise ValueError(f"leakage: values of {c} in several folds")
+    df = settle(df.withColumn("_truth", _truth(labels)))  # every arm reads it, several times
+    _refuse_leaks(df, fold, leak)
     plan = fold_plan(df, fold, labels, inner, unit, t, embargo, blocks)
+    slots, _ = plan_slots(plan)
+    counts, designs = slot_counts(df, slots, starts) if any(a.kind != "rule" for a in arms) else None, {}
     scores, oofs, record, models = [], [], [], {}
     for arm in arms:
         columns, o = [c for c in arm.columns if c in df.columns], arm.options
@@ -321,16 +329,15 @@ def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labe
             continue
         if arm.kind == "rule":
             each = F.explode(F.array(*[F.lit(y) for y in labels])).alias("label")
-            scores.append(df.where(F.col(fold).isNotNull()).select(*keys, fold, each, F.lit(arm.name).alias("arm"), (-F.col(columns[0]).cast("double")).alias("score")))
+            scores.append(df.where(F.col(fold).isNotNull()).select(*keys, fold, "_truth", each, F.lit(arm.name).alias("arm"), (-F.col(columns[0]).cast("double")).alias("score")))
             record += [{"arm": arm.name, "fold": f, "label": y} for f, y in plan]
             continue
         passed = [*keys, fold]
         if arm.kind == "trees":
-            got = tune_trees(df, columns, plan, o.get("grid", [{}]), passed, starts, seed=seed, **{k: v for k, v in o.items() if k != "grid"})
-        elif arm.kind == "ridge":
-            got = tune_ridges(df, columns, plan, o.get("cs", [1.0]), passed, o.get("weighting", "measure"))
-        elif arm.kind == "pls":
-            got = tune_components(df, columns, plan, o.get("components", 2), passed)
+            got = tune_trees(df, columns, plan, o.get("grid", [{}]), passed, starts, seed=seed, carried=["_truth"], counts=counts, **{k: v for k, v in o.items() if k != "grid"})
+        elif arm.kind in ("ridge", "pls"):
+            made = designs.get(tuple(columns)) or designs.setdefault(tuple(columns), Designs(df, columns, slots, passed, ["_truth"]))
+            got = tune_ridges(df, columns, plan, o.get("cs", [1.0]), passed, o.get("weighting", "measure"), made, counts) if arm.kind == "ridge" else tune_components(df, columns, plan, o.get("components", 2), passed, made)
         else:
             raise ValueError(f"an arm of unknown kind {arm.kind}")
         margins, oof, said, fitted = got
@@ -339,22 +346,26 @@ def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labe
         if margins is None:
             continue
         score = F.col("margin") if arm.kind == "pls" else 1 / (1 + F.exp(-F.col("margin")))
-        scores.append(margins.where(F.col("model_fold") == F.col(fold)).select(*passed, "label", F.lit(arm.name).alias("arm"), score.alias("score")))
-        oofs.append(oof.select(*passed, "model_fold", "label", F.lit(arm.name).alias("arm"), score.alias("score")))
+        scores.append(margins.where(F.col("model_fold") == F.col(fold)).select(*passed, "_truth", "label", F.lit(arm.name).alias("arm"), score.alias("score")))
+        oofs.append(oof.select("_truth", "model_fold", "label", F.lit(arm.name).alias("arm"), score.alias("score")))
+    for made in designs.values():
+        made.free()
     if not scores:
         raise ValueError("no arm could be fitted on any fold")
     union = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
-    truth = df.select(*keys, fold, F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(y).alias("y"), F.col(v).alias("valid")) for y, v in labels.items()])).alias("_t")).select(*keys, fold, "_t.*")
-    rows = truth.join(union(scores), [*keys, fold, "label"])
+    rows = _told(union(scores), labels)
     if not oofs:
-        return rows.withColumns({"prob": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double")}), record, models
-    seen = truth.join(union(oofs), [*keys, fold, "label"]).where("valid")
+        return rows.select(*keys, fold, "label", "y", "valid", "arm", "score", F.lit(None).cast("double").alias("prob"), F.lit(None).cast("double").alias("threshold")), record, models
     by = ["arm", "model_fold", "label"]
-    line = calibrate_together(seen, by)
+    seen = metrics.by_score(_told(union(oofs), labels).where("valid"), by).persist()  # rows of equal scores together
+    line = calibrate_together(seen.withColumn("y", F.col("tp") / F.col("n")), by, times="n")
     p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
     prob = 1 / (1 + F.exp(-(F.log(p / (1 - p)) * F.col("a") + F.col("b"))))
-    cut = metrics.f1_threshold(seen.join(F.broadcast(line), by).withColumn("prob", prob), by, "y", "prob").select(*by, "threshold")
+    probs = seen.join(F.broadcast(line), by).groupBy(*by, prob.alias("prob")).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n")).persist()
+    cut = metrics.f1_threshold(probs, by, "y", "prob", counted=True).select(*by, "threshold")
     settled = [tuple(r) for r in line.join(cut, by, "left").collect()]
+    for d in (probs, seen):
+        d.unpersist()
     schema = T.StructType([*line.schema.fields, T.StructField("threshold", T.DoubleType())])
     known = {r[:3]: r[3:] for r in settled}
     for entry in record:
@@ -365,6 +376,33 @@ def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labe
     return rows.select(*keys, fold, "label", "y", "valid", "arm", "score", prob.alias("prob"), "threshold"), record, models
 
 
+def _truth(labels: dict[str, str]) -> Column:
+    """Each label with its validity, in the order of the labels."""
+    return F.array(*[F.struct(F.col(y).alias("y"), F.col(v).alias("valid")) for y, v in labels.items()])
+
+
+def _told(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """df with y and valid of the label that a row names, out of the `_truth` that it carries."""
+    own = F.coalesce(*[F.when(F.col("label") == y, F.col("_truth")[i]) for i, y in enumerate(labels)])
+    return df.withColumn("_truth", own).withColumns({"y": F.col("_truth.y"), "valid": F.col("_truth.valid")}).drop("_truth")
+
+
+def _refuse_leaks(df: DataFrame, fold: str, leak: list[str] | None) -> None:
+    for c in leak or []:  # no value in two folds
+        n = df.where(F.col(fold).isNotNull()).groupBy(c).agg(F.min(fold).alias("a"), F.max(fold).alias("z")).where("a <> z").limit(1).count()
+        if n:
+            raise ValueError(f"leakage: values of {c} in several folds")
+
+
+def _losses(margins: DataFrame, fold: str, labels: dict[str, str]) -> DataFrame:
+    """fold, label, block, rows, average precision and log-loss from margins with their `_truth`."""
+    by = [fold, "label", "block"]
+    d = _told(margins.where(F.col("model_fold") == F.col(fold)), labels).where("valid").withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))
+    d = settle(d.select(*by, "y", "score"))
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = d.groupBy(*by).agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("loss"))
+    return metrics.average_precision(d, by).select(*by, "n_rows", "ap").join(loss, by)
+
 
 def ablation_losses(df: DataFrame, arm: Arm, record: list[dict], blocks: dict[str, list[str]], fold: str, keys: list[str], labels: dict[str, str], unit: list[str] | None = None, t: str = "t", **options) -> DataFrame:
     """What a tuned arm of trees loses without each block of columns, refitted at each fold's own choice: fold, label, block, rows, log-loss and
@@ -372,18 +410,33 @@ def ablation_losses(df: DataFrame, arm: Arm, record: list[dict], blocks: dict[st
     starts = None
     if unit is not None:
         df, starts = mark_starts(df, labels, unit, t)
+    df = settle(df.withColumn("_truth", _truth(labels)))
     plan = {at: {"whole": e["whole"], "rotations": []} for at, e in fold_plan(df, fold, labels).items()}
     columns = [c for c in arm.columns if c in df.columns]
     took = {k: v for k, v in arm.options.items() if k in ("rate", "penalty", "bins", "monotone")} | options
-    margins = ablate_trees(df, columns, plan, [r for r in record if r["arm"] == arm.name], blocks, [*keys, fold], starts, **took)
+    margins = ablate_trees(df, columns, plan, [r for r in record if r["arm"] == arm.name], blocks, [*keys, fold], starts, carried=["_truth"], **took)
     if margins is None:
         raise ValueError("no block of columns can be left out")
-    truth = df.select(*keys, fold, F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(y).alias("y"), F.col(v).alias("valid")) for y, v in labels.items()])).alias("_t")).select(*keys, fold, "_t.*")
-    d = truth.where("valid").join(margins.where(F.col("model_fold") == F.col(fold)), [*keys, fold, "label"]).withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))
-    p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
-    by = [fold, "label", "block"]
-    loss = d.groupBy(*by).agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("loss"))
-    return metrics.average_precision(d, by).select(*by, "n_rows", "ap").join(loss, by)
+    return _losses(margins, fold, labels)
+
+
+def tuned_ablation(df: DataFrame, arm: Arm, blocks: dict[str, list[str]], fold: str, keys: list[str], labels: dict[str, str], inner: str | None = None, unit: list[str] | None = None, t: str = "t", embargo: int | None = None, leak: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """ablation_losses of an arm at the choices that train_tuned makes for it: the search over the rotations and the refits without blocks share one
+    table and its packed rows; the arm's own scores, calibrations and thresholds, which no loss needs, are not made."""
+    starts = None
+    if unit is not None:
+        df, starts = mark_starts(df, labels, unit, t)
+    df = settle(df.withColumn("_truth", _truth(labels)))
+    _refuse_leaks(df, fold, leak)
+    plan = fold_plan(df, fold, labels, inner, unit, t, embargo)
+    columns, o = [c for c in arm.columns if c in df.columns], arm.options
+    found = search_trees(df, columns, plan, o.get("grid", [{}]), [*keys, fold], starts, seed=seed, carried=["_truth"], **{k: v for k, v in o.items() if k != "grid"})
+    took = {k: v for k, v in o.items() if k in ("rate", "penalty", "bins", "monotone")}
+    margins = ablate_trees(df, columns, plan, list(found.record.values()), blocks, [*keys, fold], starts, search=found, **took)
+    found.engine.free()
+    if margins is None:
+        raise ValueError("no block of columns can be left out")
+    return _losses(margins, fold, labels)
 
 
 def ablation(arm: Arm, blocks: dict[str, list[str]]) -> list[Arm]:

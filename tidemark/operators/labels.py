@@ -17,6 +17,17 @@ def forward_labels(frames: DataFrame, events: DataFrame, taus: list[int], unit:
     return known.withColumns({"y": y.cast("int"), "valid": y | (F.col(t) + F.col("tau") <= F.col("_t_last"))}).drop("_next", "_t_last")
 
 
+def label_columns(frames: DataFrame, events: DataFrame, taus: dict[tuple[str, str], int], unit: list[str], t: str = "t", at: str = "at") -> DataFrame:
+    """The labels of forward_labels as columns, named (y, valid) for each horizon: a row stays one row, in one pass over each unit."""
+    known = with_next(frames, events, unit, t, at, "_next").withColumn("_t_last", F.max(t).over(Window.partitionBy(*unit)))
+    out = {}
+    for (y, valid), tau in taus.items():
+        out[y] = F.coalesce(F.col("_next") - F.col(t) <= tau, F.lit(False))
+        out[valid] = out[y] | (F.col(t) + tau <= F.col("_t_last"))
+        out[y] = out[y].cast("int")
+    return known.withColumns(out).drop("_next", "_t_last")
+
+
 def wide_labels(labels: DataFrame, taus: list[int], keys: list[str]) -> DataFrame:
     """One row per frame, with y_tau<n> and valid_tau<n> for each horizon."""
     at = lambda c, x: F.max(F.when(F.col("tau") == x, F.col(c)))

@@ -13,10 +13,12 @@ model grown among others is the model grown alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,20 +70,38 @@ def _role(s: Slot) -> Column:
     return F.when(F.col(s.y).isNull(), NONE).when(F.coalesce(s.train, F.lit(False)), TRAIN).when(held, HELD).otherwise(NONE).cast("tinyint")
 
 
+def plan_slots(plan: dict) -> tuple[list[Slot], dict]:
+    """All training sets of a plan, and where those of each (fold, label) begin: the whole fold, then its rotations."""
+    slots, first = [], {}
+    for at, entry in plan.items():
+        first[at] = len(slots)
+        slots += [entry["whole"], *entry["rotations"]]
+    return slots, first
+
+
 def slot_counts(df: DataFrame, slots: list[Slot], starts: dict[str, str] | None = None) -> list[dict]:
     """For each slot its training rows (n), positives (p), events (runs, from columns that mark the first row of each), and
     rows and positives held out (m, q), in one pass."""
-    if len(slots) > 100:  # a plan of so many sums at a time
-        return [c for k in range(0, len(slots), 100) for c in slot_counts(df, slots[k : k + 100], starts)]
-    aggs = []
-    for i, s in enumerate(slots):
-        role = _role(s)
-        y = F.col(s.y).cast("long")
-        up = F.col(starts[s.y]).cast("long") if starts else y
-        for name, kind, value in (("n", TRAIN, F.lit(1)), ("p", TRAIN, y), ("runs", TRAIN, up), ("m", HELD, F.lit(1)), ("q", HELD, y)):
-            aggs.append(F.coalesce(F.sum(F.when(role == kind, value)), F.lit(0)).alias(f"{name}{i}"))
-    r = df.agg(*aggs).first()
-    return [{k: r[f"{k}{i}"] for k in ("n", "p", "runs", "m", "q")} for i in range(len(slots))]
+    if not slots:
+        return []
+    labels = list(dict.fromkeys(s.y for s in slots))
+    at = np.array([labels.index(s.y) for s in slots], int)
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    rows = df.select(F.array(*[_role(s) for s in slots]).alias("_role"), F.array(*[whole(y) for y in labels]).alias("_y"), F.array(*[whole(starts[y] if starts else y) for y in labels]).alias("_up"))
+
+    def run(batches):
+        total = np.zeros((5, len(at)), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                role, y, up = (_matrix(batch.column(c), batch.num_rows) for c in ("_role", "_y", "_up"))
+                train, held = role == TRAIN, role == HELD
+                total += np.stack([train.sum(axis=0), (train * y[:, at]).sum(axis=0), (train * up[:, at]).sum(axis=0), held.sum(axis=0), (held * y[:, at]).sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.int64()))], names=["sums"])
+
+    total = np.zeros((5, len(slots)), np.int64)
+    for r in rows.mapInArrow(run, "sums array<long>").collect():  # a row per task
+        total += np.array(r.sums, np.int64).reshape(5, -1)
+    return [dict(zip(("n", "p", "runs", "m", "q"), map(int, column), strict=True)) for column in total.T]
 
 
 def fold_edges(df: DataFrame, columns: list[str], trains: list[Column], bins: int) -> list[list[list[float]]]:
@@ -107,8 +127,9 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
-#: Rows of a packed chunk, and chunks whose sums go straight to the driver instead of through an exchange.
-CHUNK, FEW = 1 << 15, 64
+#: Rows of a packed chunk; tasks whose sums go straight to the driver instead of through an exchange; turns after which margins
+#: are made anew from all trees, so that no chain of states becomes long.
+CHUNK, FEW, AGAIN = 1 << 15, 64, 32
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -116,70 +137,124 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
-def _chunks(batch: pa.RecordBatch, kinds: dict[str, type]):
-    """The packed rows of a batch, chunk by chunk, as matrices by name."""
-    for i in range(batch.num_rows):
-        n = batch.column("_n")[i].as_py()
-        yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind).reshape(n, -1) for c, kind in kinds.items()}
+def added(sums: RDD) -> dict:
+    """Sums by key of (key, array), of few tasks on the driver, of many through an exchange first."""
+    if sums.getNumPartitions() > FEW:
+        sums = sums.reduceByKey(np.add, FEW)
+    out: dict = {}
+    for k, v in sums.collect():
+        out[k] = out[k] + v if k in out else v
+    return out
+
+
+def packed(df: DataFrame, kinds: dict[str, type]) -> RDD:
+    """Columns of numbers, or arrays of numbers, as tuples of matrices (vectors for plain numbers), one for each batch, kept while they are passed over."""
+
+    plain = {f.name for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType)}
+
+    def run(batches):
+        for batch in batches:
+            if n := batch.num_rows:
+                made = [batch.column(c).to_numpy(zero_copy_only=False) if c in plain else _matrix(batch.column(c), n) for c in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(made, kinds.values(), strict=True)]], names=["_n", *kinds])
+
+    rows = df.select(*kinds).mapInArrow(run, "_n long, " + ", ".join(f"{c} binary" for c in kinds))
+    return rows.rdd.map(lambda r: tuple(x if c in plain else x.reshape(r["_n"], -1) for c, x in ((c, np.frombuffer(r[c], k)) for c, k in kinds.items()))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _joined(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column, one value after the other."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix of bytes."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _in_bins(column: pa.Array, rows: int, folds: list[list[np.ndarray]]) -> np.ndarray:
+    """Number of edges at or below each value (row, fold, column), -1 for missing, as `binned` has it; the edges are by fold and column."""
+    flat = column.flatten()
+    x, missing = _matrix(column, rows), flat.is_null().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    out = np.empty((rows, len(folds), x.shape[1]), np.int16)
+    for f, edges in enumerate(folds):
+        for j, e in enumerate(edges):
+            out[:, f, j] = np.where(missing[:, j], -1, np.searchsorted(e, x[:, j], side="right"))
+    return out
 
 
 class Boosters:
     """All boosted models over one table. Rows of equal bins, labels and roles have equal gradients under every model: models are grown
-    on the distinct ones with their counts, packed into binary chunks, so a pass costs what the distinct rows do. grow() returns the
-    key columns, roles and margins of every row."""
+    on the distinct ones with their counts, packed into binary chunks, so a pass costs what the distinct rows do. A pass is one job
+    without an exchange over the chunks, which keep their margins. grow() returns the key columns, carried columns, roles and margins of every row."""
 
-    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], folds: list, trains: list[Column], keys: list[str] | None = None, bins: int = 32, monotone: dict[str, int] | None = None):
+    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], folds: list, trains: list[Column], keys: list[str] | None = None, bins: int = 32, monotone: dict[str, int] | None = None, carried: list[str] | None = None):
         self.columns, self.slots, self.folds = columns, slots, folds
-        self.keys, self.width = list(keys or []), bins + 2
+        self.keys, self.carried, self.width = list(keys or []), list(carried or []), bins + 2
         self.monotone = np.array([(monotone or {}).get(c, 0) for c in columns])
         self.edges = fold_edges(df, columns, trains, bins)
         self.labels = list(dict.fromkeys(s.y for s in slots))
-        each = [b for e in self.edges for b in binned(columns, e)]
         hashed = F.xxhash64(*self.keys) if self.keys else F.lit(0).cast("long")
         self.rows = df.select(
-            *self.keys, F.array(*[F.coalesce(F.col(y).cast("tinyint"), F.lit(0).cast("tinyint")) for y in self.labels]).alias("_y"), F.array(*[_role(s) for s in slots]).alias("_role"), F.array(*each).alias("_bins"), hashed.alias("_hash")
+            *self.keys, *self.carried, F.array(*[F.coalesce(F.col(y).cast("tinyint"), F.lit(0).cast("tinyint")) for y in self.labels]).alias("_y"), F.array(*[_role(s) for s in slots]).alias("_role"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"), hashed.alias("_hash")
         )
         self.packed: dict[bool, tuple[DataFrame, int]] = {}
 
-    def _kinds(self, hashed: bool) -> dict[str, type]:
-        return {"_y": np.int8, "_role": np.int8, "_bins": np.int16, "_count": np.int64} | ({"_hash": np.int64} if hashed else {})
+    def _cuts(self) -> list[list[np.ndarray]]:
+        return [[np.array(e, np.float64) for e in edges] for edges in self.edges]
 
     def _pack(self, hashed: bool) -> tuple[DataFrame, int]:
         """Distinct rows (each row's hash among what they differ in, where models draw rows) with a role in some slot, in chunks, and
-        how many chunks there are."""
+        how many chunks there are. A row is its labels, roles, bins and hash, byte after byte."""
         if hashed not in self.packed:
-            kinds = self._kinds(hashed)
-            rows = self.rows.where(F.exists("_role", lambda r: r != NONE)).groupBy(*[c for c in kinds if c != "_count"]).agg(F.count("*").alias("_count"))
+            cuts = self._cuts()
+
+            def distinct(batches):
+                for batch in batches:
+                    n = batch.num_rows
+                    if not n:
+                        continue
+                    role = _matrix(batch.column("_role"), n).astype(np.int8)
+                    parts = [_matrix(batch.column("_y"), n).astype(np.int8), role, _in_bins(batch.column("_x"), n, cuts).reshape(n, -1)]
+                    if hashed:
+                        parts.append(batch.column("_hash").to_numpy().reshape(n, 1))
+                    rows = np.concatenate([np.ascontiguousarray(x).view(np.uint8) for x in parts], axis=1)[(role != NONE).any(axis=1)]
+                    if len(rows):
+                        width = rows.shape[1]
+                        found, count = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, width)))[:, 0], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([_binary(found.view(np.uint8).reshape(-1, width)), pa.array(count.astype(np.int64))], names=["_row", "_count"])
 
             def run(batches):
                 held, size = [], 0
 
                 def chunk():
-                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in whole]], names=["_n", *kinds])
+                    return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *[pa.array([b"".join(x)], pa.binary()) for x in zip(*held, strict=True)]], names=["_n", "_row", "_count"])
 
                 for batch in batches:
-                    n = batch.num_rows
-                    if not n:
+                    if not batch.num_rows:
                         continue
-                    held.append([_matrix(batch.column(c), n).astype(k) if c not in ("_count", "_hash") else batch.column(c).to_numpy().astype(k) for c, k in kinds.items()])
-                    size += n
+                    held.append((_joined(batch.column("_row")).tobytes(), batch.column("_count").to_numpy().astype(np.int64).tobytes()))
+                    size += batch.num_rows
                     if size >= CHUNK:
                         yield chunk()
                         held, size = [], 0
                 if size:
                     yield chunk()
 
-            packed = rows.mapInArrow(run, "_n long, " + ", ".join(f"{c} binary" for c in kinds)).persist()
-            self.packed[hashed] = packed, packed.count()
+            rows = self.rows.select("_y", "_role", "_x", "_hash").mapInArrow(distinct, "_row binary, _count long").groupBy("_row").agg(F.sum("_count").alias("_count"))
+            chunks = rows.mapInArrow(run, "_n long, _row binary, _count binary").persist()
+            self.packed[hashed] = chunks, chunks.count()
         return self.packed[hashed]
 
     def grow(self, specs: list[Spec]) -> DataFrame:
         """Grow all models to their rounds, or until what they watch has not improved for `patience` rounds."""
         self.specs = specs
         self.hashed = any(s.subsample < 1 for s in specs)
-        packed, self.chunks = self._pack(self.hashed)
-        state, before, turn = self._start(packed).persist(), None, 0
+        chunks = self._pack(self.hashed)[0].rdd
+        state, before, turn = self._state(chunks, 0, 0), None, 0
         while True:
             going = [m for m, s in enumerate(specs) if not s.done and turn < s.rounds]
             watch = [m for m, s in enumerate(specs) if not s.done and self.slots[s.slot].held is not None and len(s.losses) < len(s.trees)]
@@ -201,14 +276,14 @@ class Boosters:
                 specs[m].trees.append(root)
             if before is not None:  # this turn's passes have read the state, which no longer needs the one before
                 before.unpersist()
-            before, state = state, self._step(state, roots, turn).persist()
             turn += 1
+            before, state = state, self._state(state, turn - 1, turn) if turn % AGAIN else self._state(chunks, 0, turn)
         for d in (before, state):
             if d is not None:
                 d.unpersist()
         return self._scored()
 
-    def _split_all(self, state: DataFrame, roots: dict[int, Node], sums: dict, turn: int) -> None:
+    def _split_all(self, state: RDD, roots: dict[int, Node], sums: dict, turn: int) -> None:
         """Split level after level; the sums of the roots are there already."""
         level = {m: [r] for m, r in roots.items()}
         depth = 0
@@ -252,119 +327,96 @@ class Boosters:
             out[np.random.default_rng([spec.seed, turn, 1]).choice(own, k, replace=False)] = True
         return out
 
-    def _sums(self, state: DataFrame, places: dict[int, tuple[Node, list[int]]], watch: list[int], turn: int) -> dict:
+    def _sums(self, state: RDD, places: dict[int, tuple[Node, list[int]]], watch: list[int], turn: int) -> dict:
         """Gradient sums (node, feature, bin, 2) of the given leaves of each model, and under -1 - m what m loses on held rows."""
-        p, width, n_folds = len(self.columns), self.width, len(self.edges)
+        p, width = len(self.columns), self.width
         at_slot = {m: (s.slot, self.labels.index(self.slots[s.slot].y), self.folds.index(self.slots[s.slot].fold)) for m, s in enumerate(self.specs)}
         draws = {m: (self.specs[m].subsample, np.uint64(np.random.default_rng([self.specs[m].seed, turn, 2]).integers(1 << 62))) for m in places}
-        block = max((len(x) for _, x in places.values()), default=1) * p * width
-        kinds = self._kinds(self.hashed) | {"_margin": np.float64}
 
-        def run(batches):
-            total = {m: np.zeros((len(leaf) * p * width, 2), np.int64) for m, (_, leaf) in places.items()}
+        def run(chunks):
+            total = {m: np.zeros((2, p, len(leaf) * width), np.int64) for m, (_, leaf) in places.items()}
             lost = {m: np.zeros(2, np.int64) for m in watch}
-            for x in (x for batch in batches for x in _chunks(batch, kinds)):
-                role, ys, margin, count = x["_role"], x["_y"], x["_margin"], x["_count"][:, 0]
-                bins = x["_bins"].reshape(len(role), n_folds, p)
+            for ys, role, bins, hashed, count, margin in chunks:
                 for m, (root, wanted) in places.items():
                     slot, label, fold = at_slot[m]
                     on = role[:, slot] == TRAIN
                     share, salt = draws[m]
                     if share < 1:
-                        on &= _uniform(x["_hash"][:, 0], salt) < share
+                        on &= _uniform(hashed, salt) < share
                     rows = np.flatnonzero(on)
                     if not len(rows):
                         continue
-                    b = bins[rows, fold].astype(np.int64)
-                    number = np.full(max(len(leaves(root)), 1), -1)
-                    number[wanted] = np.arange(len(wanted))
-                    node = number[assign(root, b)]
-                    rows, b, node = rows[node >= 0], b[node >= 0], node[node >= 0]
-                    prob = 1 / (1 + np.exp(-margin[rows, m]))
-                    g, h = prob - ys[rows, label], prob * (1 - prob)
-                    key = ((node[:, None] * p + np.arange(p)) * width + b + 1).ravel()
+                    b = bins[fold][:, rows]
+                    leaf = assign(root, b.T)
+                    if wanted != list(range(int(leaf.max()) + 1)):
+                        number = np.full(max(len(leaves(root)), 1), -1)
+                        number[wanted] = np.arange(len(wanted))
+                        leaf = number[leaf]
+                        rows, b, leaf = rows[leaf >= 0], b[:, leaf >= 0], leaf[leaf >= 0]
+                    prob = 1 / (1 + np.exp(-margin[m, rows]))
                     times = count[rows]
                     exact = times.sum() < 1 << 22  # then sums of the chunk are whole numbers that doubles hold
-                    for k, v in enumerate((g, h)):
-                        fixed = np.repeat(np.rint(v * SCALE).astype(np.int64) * times, p)
-                        if exact:
-                            total[m][:, k] += np.bincount(key, fixed, len(total[m])).astype(np.int64)
-                        else:
-                            np.add.at(total[m][:, k], key, fixed)
+                    fixed = [np.rint(v * SCALE).astype(np.int64) * times for v in (prob - ys[rows, label], prob * (1 - prob))]
+                    for j in range(p):
+                        key = leaf * width + b[j] + 1
+                        for k, v in enumerate(fixed):
+                            if exact:
+                                total[m][k, j] += np.bincount(key, v, total[m].shape[2]).astype(np.int64)
+                            else:
+                                np.add.at(total[m][k, j], key, v)
                 for m in watch:
                     slot, label, _ = at_slot[m]
-                    rows = role[:, slot] == HELD
-                    prob = np.clip(1 / (1 + np.exp(-margin[rows, m])), 1e-15, 1 - 1e-15)
+                    rows = np.flatnonzero(role[:, slot] == HELD)
+                    prob = np.clip(1 / (1 + np.exp(-margin[m, rows])), 1e-15, 1 - 1e-15)
                     loss = -np.where(ys[rows, label] == 1, np.log(prob), np.log1p(-prob))
                     lost[m] += np.array([(np.rint(loss * SCALE).astype(np.int64) * count[rows]).sum(), count[rows].sum()], np.int64)
-            key, g, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for m, part in total.items():
-                some = np.flatnonzero(part.any(axis=1))
-                key.append(some + m * block)
-                g.append(part[some, 0])
-                h.append(part[some, 1])
-            for m, part in lost.items():
-                key.append(np.array([-1 - m]))
-                g.append(part[:1])
-                h.append(part[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, g, h)], names=["key", "g", "h"])
-
-        got = state.mapInArrow(run, "key long, g long, h long")
-        if self.chunks > FEW:
-            got = got.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-        got = got.toArrow()
-        keys, g, h = (got.column(c).to_numpy() for c in ("key", "g", "h"))
+            yield from total.items()
+            yield from ((-1 - m, x) for m, x in lost.items())
+
+        got = added(state.mapPartitions(run))
         out: dict = {}
         for m in watch:
-            mine = keys == -1 - m
-            out[-1 - m] = (g[mine].sum() / SCALE, float(h[mine].sum()))
+            loss, n = got.get(-1 - m, (0, 0))
+            out[-1 - m] = (loss / SCALE, float(n))
         for m, (_, wanted) in places.items():
-            mine = (keys >= m * block) & (keys < (m + 1) * block)
-            dense = np.zeros((len(wanted) * p * width, 2), np.int64)
-            for k, v in enumerate((g, h)):
-                np.add.at(dense[:, k], keys[mine] - m * block, v[mine])
-            out[m] = (dense / SCALE).reshape(len(wanted), p, width, 2)
+            dense = got.get(m, np.zeros((2, p, len(wanted) * width), np.int64))
+            out[m] = np.ascontiguousarray((dense / SCALE).reshape(2, p, len(wanted), width).transpose(2, 1, 3, 0))
         return out
 
-    def _start(self, packed: DataFrame) -> DataFrame:
+    def _state(self, source: RDD, since: int, turn: int) -> RDD:
+        """Chunks with the margins (model, row) of all turns before this one: labels, roles, bins (fold, column, row), hashes, counts, margins.
+        The source is the packed chunks (since 0), or the chunks as they were at the turn `since`."""
+        p, n_folds, n_labels, n_slots, hashed = len(self.columns), len(self.edges), len(self.labels), len(self.slots), self.hashed
         base = np.array([s.base for s in self.specs], np.float64)
-
-        def run(batches):
-            for batch in batches:
-                margin = [np.tile(base, n).tobytes() for n in batch.column("_n").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margin, pa.binary())], names=[*batch.schema.names, "_margin"])
-
-        return packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("_margin", T.BinaryType())]))
-
-    def _step(self, state: DataFrame, roots: dict[int, Node], turn: int) -> DataFrame:
-        """Margins with the turn's trees added. The lineage is cut every ten turns where there is a folder for it."""
-        p, n_folds = len(self.columns), len(self.edges)
-        fold_of = {m: self.folds.index(self.slots[self.specs[m].slot].fold) for m in roots}
-        values = {m: np.array([x.value for x in leaves(r)]) for m, r in roots.items()}
-        names, kinds = state.columns, {"_bins": np.int16, "_margin": np.float64}
-
-        def run(batches):
-            for batch in batches:
-                out = []
-                for x in _chunks(batch, kinds):
-                    margin = x["_margin"].copy()
-                    bins = x["_bins"].reshape(len(margin), n_folds, p)
-                    for m, root in roots.items():
-                        margin[:, m] += values[m][assign(root, bins[:, fold_of[m]])]
-                    out.append(margin.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if c == "_margin" else batch.column(c) for c in names], names=names)
-
-        out = state.mapInArrow(run, state.schema)
-        if turn % 10 == 9 and state.sparkSession.conf.get("spark.checkpoint.dir", None):
-            out = out.checkpoint()
-        return out
+        fold_of = [self.folds.index(self.slots[s.slot].fold) for s in self.specs]
+        trees = [(m, t, np.array([x.value for x in leaves(t)])) for m, s in enumerate(self.specs) for t in s.trees[since:turn]]
+
+        def opened(r):
+            raw = np.frombuffer(r["_row"], np.uint8).reshape(r["_n"], -1)
+            a, b = n_labels, n_labels + n_slots
+            c = b + 2 * n_folds * p
+            bins = np.ascontiguousarray(raw[:, b:c]).view(np.int16).reshape(-1, n_folds, p)
+            return (
+                np.ascontiguousarray(raw[:, :a]).view(np.int8), np.ascontiguousarray(raw[:, a:b]).view(np.int8), np.ascontiguousarray(bins.transpose(1, 2, 0)),
+                np.ascontiguousarray(raw[:, c:]).view(np.int64)[:, 0] if hashed else None, np.frombuffer(r["_count"], np.int64), np.repeat(base[:, None], len(raw), axis=1),
+            )
+
+        def run(chunks):
+            for x in chunks:
+                *rest, bins, drawn, count, margin = x if isinstance(x[-1], np.ndarray) else opened(x)
+                margin = margin.copy()
+                for m, tree, value in trees:
+                    margin[m] += value[assign(tree, bins[fold_of[m]].T)]
+                yield (*rest, bins, drawn, count, margin)
+
+        return source.mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
 
     def _scored(self) -> DataFrame:
-        """Keys, roles and margins of every row, its trees added in their order; nothing runs yet."""
-        p, n_folds = len(self.columns), len(self.edges)
+        """Keys, carried columns, roles and margins of every row, its trees added in their order; nothing runs yet."""
+        cuts = self._cuts()
         models = [(s.base, self.folds.index(self.slots[s.slot].fold), [(t, np.array([x.value for x in leaves(t)])) for t in s.trees]) for s in self.specs]
-        rows = self.rows.select(*self.keys, "_role", "_bins")
-        kept = [f for f in rows.schema.fields if f.name != "_bins"]
+        rows = self.rows.select(*self.keys, *self.carried, "_role", "_x")
+        kept = [f for f in rows.schema.fields if f.name != "_x"]
         names = [*(f.name for f in kept), "_margin"]
 
         def run(batches):
@@ -372,18 +424,24 @@ class Boosters:
                 n = batch.num_rows
                 if not n:
                     continue
-                bins = _matrix(batch.column("_bins"), n).reshape(n, n_folds, p)
+                bins = np.ascontiguousarray(_in_bins(batch.column("_x"), n, cuts).transpose(1, 2, 0))
                 margin = np.empty((n, len(models)))
                 for m, (base, fold, trees) in enumerate(models):
                     own = np.full(n, base)
                     for tree, value in trees:
-                        own += value[assign(tree, bins[:, fold])]
+                        own += value[assign(tree, bins[fold].T)]
                     margin[:, m] = own
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(models), pa.int32()), pa.array(margin.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), lists], names=names)
 
         return rows.mapInArrow(run, T.StructType([*kept, T.StructField("_margin", T.ArrayType(T.DoubleType()))]))
 
+    def unwatched(self) -> Boosters:
+        """An engine of the same rows that watches nothing: the number of trees is settled."""
+        out = Boosters.__new__(Boosters)
+        out.__dict__.update(self.__dict__, slots=[replace(s, held=None) for s in self.slots])
+        return out
+
     def free(self) -> None:
         for d, _ in self.packed.values():
             d.unpersist()
@@ -434,29 +492,26 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, rounds: int = 100, patience: int = 10, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0):
-    """Boosted arms tuned inside each fold.
+@dataclass
+class Search:
+    """What a search over the rotations leaves: the engine with its packed rows, where each (fold, label)'s slots begin, rows of every slot,
+    models of a slot at a point, and the record."""
 
-    `plan` maps (fold, label) to {"whole": Slot, "rotations": [Slot, ...], "blocked": bool}. Each grid point (depth, k_events, colsample,
-    subsample; all optional) is grown on every rotation with both classes on both sides, until what it holds out stops
-    improving; all folds, labels, rotations and points together. A point's number of trees M is the whole part of the median of its
-    rotations' best rounds, and its loss the mean of theirs at M, or at their last round. The winner is then refitted
-    with M trees on the whole fold, and on every rotation for scores of rows that it did not see; again all together.
-    Least leaf weights are k_events times the positives per event times p (1 - p), from the slot's own rows.
+    engine: Boosters
+    first: dict
+    counts: list[dict]
+    spec: Callable[..., Spec]
+    record: dict
 
-    Returns (margins, oof, record, models): margins (keys, model_fold, label, margin) by each fold's own model for all rows; oof (keys, model_fold, label,
-    rotation, margin) for rows that a rotation held out; a record for each (fold, label), with "skipped" where no rotation
-    has both classes; the fitted models by (fold, label). Margins are of rows as they are: roles decide what is trained on only.
-    """
+
+def search_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, rounds: int = 100, patience: int = 10, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0, carried: list[str] | None = None, counts: list[dict] | None = None) -> Search:
+    """The choice of tune_trees without its refit; the caller frees the engine."""
     named = [k for k in DEFAULT if any(k in point for point in grid)]
     grid = [{k: point.get(k, DEFAULT[k]) for k in named} for point in grid]
     folds = list(dict.fromkeys(f for f, _ in plan))
     trains = [_any([e["whole"].train for (g, _), e in plan.items() if g == f]) for f in folds]
-    slots, first = [], {}
-    for at, entry in plan.items():
-        first[at] = len(slots)
-        slots += [entry["whole"], *entry["rotations"]]
-    counts = slot_counts(df, slots, starts)
+    slots, first = plan_slots(plan)
+    counts = counts or slot_counts(df, slots, starts)
     viable = lambda c, held: 0 < c["p"] < c["n"] and (not held or 0 < c["q"] < c["m"])
 
     def spec(i: int, point: dict, **more) -> Spec:
@@ -466,7 +521,7 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
         least = q["k_events"] * (c["p"] / max(1, c["runs"])) * p0 * (1 - p0)
         return Spec(i, depth=q["depth"], least=least, rate=rate, penalty=penalty, colsample=q["colsample"], subsample=q["subsample"], base=logit(p0), **more)
 
-    engine = Boosters(df, columns, slots, folds, trains, keys, bins, monotone)
+    engine = Boosters(df, columns, slots, folds, trains, keys, bins, monotone, carried)
     tried = []
     for at, entry in plan.items():
         for k, point in enumerate(grid):
@@ -491,6 +546,25 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
         entry["chosen"] = {k: v for k, v in best.items() if k not in ("M", "score", "rounds")}
         entry["M"], entry["ceiling"] = best["M"], best["M"] >= rounds
         entry["edges"] = {k: len(vs := {g[k] for g in grid}) > 1 and best[k] in (min(vs), max(vs)) for k in entry["chosen"]}
+    return Search(engine, first, counts, spec, record)
+
+
+def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, rounds: int = 100, patience: int = 10, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0, carried: list[str] | None = None, counts: list[dict] | None = None):
+    """Boosted arms tuned inside each fold.
+
+    `plan` maps (fold, label) to {"whole": Slot, "rotations": [Slot, ...], "blocked": bool}. Each grid point (depth, k_events, colsample,
+    subsample; all optional) is grown on every rotation with both classes on both sides, until what it holds out stops
+    improving; all folds, labels, rotations and points together. A point's number of trees M is the whole part of the median of its
+    rotations' best rounds, and its loss the mean of theirs at M, or at their last round. The winner is then refitted
+    with M trees on the whole fold, and on every rotation for scores of rows that it did not see; again all together.
+    Least leaf weights are k_events times the positives per event times p (1 - p), from the slot's own rows.
+
+    Returns (margins, oof, record, models): margins (keys, model_fold, label, margin) by each fold's own model for all rows; oof (keys, model_fold, label,
+    rotation, margin) for rows that a rotation held out; a record for each (fold, label), with "skipped" where no rotation
+    has both classes; the fitted models by (fold, label). Both tables have the `carried` columns too. Margins are of rows as they are: roles decide what is trained on only.
+    """
+    found = search_trees(df, columns, plan, grid, keys, starts, rate, rounds, patience, penalty, bins, monotone, seed, carried, counts)
+    engine, first, counts, spec, record = found.engine, found.first, found.counts, found.spec, found.record
     final = []
     for at, entry in record.items():
         if "chosen" in entry:
@@ -501,28 +575,28 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
     if not final:
         engine.free()
         return None, None, list(record.values()), {}
-    unwatched = Boosters.__new__(Boosters)  # the same rows; nothing is watched, as the number of trees is settled
-    unwatched.__dict__.update(engine.__dict__, slots=[replace(s, held=None) for s in slots])
-    state = settle(unwatched.grow([s for *_, s in final]))
+    state = settle(engine.unwatched().grow([s for *_, s in final]))
     engine.free()
-    margins, oof = spread(state, keys, [(at, r) for at, r, _ in final], plan, first)
+    margins, oof = spread(state, [*keys, *engine.carried], [(at, r) for at, r, _ in final], plan, first)
     models = {}
     for at, r, s in final:
         if r is None:
-            models[at] = (engine.edges[folds.index(at[0])], s)
+            models[at] = (engine.edges[engine.folds.index(at[0])], s)
     return margins, oof, list(record.values()), models
 
 
-def ablate_trees(df: DataFrame, columns: list[str], plan: dict, record: list[dict], blocks: dict[str, list[str]], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0) -> DataFrame | None:
+def ablate_trees(df: DataFrame, columns: list[str], plan: dict, record: list[dict], blocks: dict[str, list[str]], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0, carried: list[str] | None = None, search: Search | None = None) -> DataFrame | None:
     """Margins of tuned arms refitted without each block of columns, at the point and number of trees that the fold chose: a second search
     would mix the block's loss with another selection. All folds, labels and blocks are grown together. Blocks that
-    share no column with the arm, or leave none, are no ablation and absent. Rows (keys, model_fold, label, block, margin), of all rows of df."""
+    share no column with the arm, or leave none, are no ablation and absent. The engine of a search over the same rows and plan is used where it is
+    given. Rows (keys, model_fold, label, block, margin), of all rows of df."""
     folds = list(dict.fromkeys(f for f, _ in plan))
     slots = [replace(e["whole"], held=None) for e in plan.values()]
-    counts = slot_counts(df, slots, starts)
-    trains = [_any([s.train for s in slots if s.fold == f]) for f in folds]
+    first = search.first if search else {at: i for i, at in enumerate(plan)}
+    counts = search.counts if search else slot_counts(df, slots, starts)
     specs, names = [], []
-    for i, at in enumerate(plan):
+    for at in plan:
+        i = first[at]
         chosen = next((r for r in record if (r["fold"], r["label"]) == at and "chosen" in r), None)
         if chosen is None:
             continue
@@ -535,11 +609,12 @@ def ablate_trees(df: DataFrame, columns: list[str], plan: dict, record: list[dic
                 names.append((*at, name))
     if not specs:
         return None
-    engine = Boosters(df, columns, slots, folds, trains, keys, bins, monotone)
-    state = settle(engine.grow(specs))
+    engine = search.engine.unwatched() if search else Boosters(df, columns, slots, folds, [_any([s.train for s in slots if s.fold == f]) for f in folds], keys, bins, monotone, carried)
+    state = engine.grow(specs)
     engine.free()
     each = F.array(*[F.struct(F.lit(f).alias("model_fold"), F.lit(y).alias("label"), F.lit(b).alias("block"), F.col("_margin")[m].alias("margin")) for m, (f, y, b) in enumerate(names)])
-    return state.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    kept = [*keys, *engine.carried]
+    return state.select(*kept, F.explode(each).alias("x")).select(*kept, "x.*")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -556,8 +631,8 @@ class Designs:
     """Rows as arrays for linear models of many slots. Missing values take the median of the slot's training rows, and
     every column has an indicator of them; both are standardised by the slot's training rows, and a column that does not vary there is 0."""
 
-    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], keys: list[str] | None = None):
-        self.columns, self.slots, self.keys = columns, slots, list(keys or [])
+    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], keys: list[str] | None = None, carried: list[str] | None = None):
+        self.columns, self.slots, self.keys = columns, slots, [*(keys or []), *(carried or [])]
         self.labels = list(dict.fromkeys(s.y for s in slots))
         self.label_of = [self.labels.index(s.y) for s in slots]
         double = lambda c: F.col(c).cast("double")
@@ -566,33 +641,24 @@ class Designs:
         self.medians = np.array([[r[f"m{i}_{j}"] or 0.0 for j in range(len(columns))] for i in range(len(slots))], float)
         self.rows = df.select(
             *self.keys, F.array(*[F.coalesce(F.col(y).cast("double"), F.lit(0.0)) for y in self.labels]).alias("_y"), F.array(*role).alias("_role"), F.array(*[F.coalesce(double(c), F.lit(math.nan)) for c in columns]).alias("_x")
-        ).persist()
+        )
+        self.chunks = packed(self.rows, {"_role": np.int8, "_y": np.float64, "_x": np.float64})
 
     def free(self) -> None:
-        self.rows.unpersist()
+        self.chunks.unpersist()
 
     def _total(self, each, shape: dict[int, tuple[int, ...]]) -> dict[int, np.ndarray]:
-        """Sums over all rows of what each(role, y, x) yields as (index, array); arrays are added by Spark as vectors by number."""
-        size = max(int(np.prod(s)) for s in shape.values())
+        """Sums over all rows of what each(role, y, x) yields as (index, array)."""
 
-        def run(batches):
+        def run(chunks):
             total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                for m, part in each(*(_matrix(batch.column(c), n) for c in ("_role", "_y", "_x"))):
+            for x in chunks:
+                for m, part in each(*x):
                     total[m] = total[m] + part if m in total else part
-            for m, part in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.size) + m * size), pa.array(part.ravel())], names=["key", "v"])
+            yield from total.items()
 
-        got = self.rows.select("_role", "_y", "_x").mapInArrow(run, "key long, v double").groupBy("key").agg(F.sum("v").alias("v")).toArrow()
-        keys, v = got.column("key").to_numpy(), got.column("v").to_numpy()
-        out = {m: np.zeros(int(np.prod(s))) for m, s in shape.items()}
-        for m in out:
-            mine = (keys >= m * size) & (keys < (m + 1) * size)
-            out[m][keys[mine] - m * size] = v[mine]
-        return {m: x.reshape(shape[m]) for m, x in out.items()}
+        got = added(self.chunks.mapPartitions(run))
+        return {m: got[m].reshape(s) if m in got else np.zeros(s) for m, s in shape.items()}
 
     def moments(self, role: int) -> dict[int, np.ndarray]:
         """Second moments of (1, columns, indicators, y) over each slot's rows of a role."""
@@ -705,20 +771,30 @@ def fit_ridges(d: Designs, models: list[Ridge], tolerance: float = 1e-8, most: i
     last: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
     medians, label_of = d.medians, d.label_of
     for _ in range(most):
-        todo = {m: (models[m].slot, models[m].theta, models[m].weights) for m in sorted(active)}
+        todo = sorted(active)
+        by_slot: dict[int, list[int]] = {}
+        for m in todo:
+            by_slot.setdefault(models[m].slot, []).append(m)
+        at = {i: (ms, np.stack([models[m].theta for m in ms], axis=1), np.array([models[m].weights for m in ms])) for i, ms in by_slot.items()}
 
-        def each(roles, ys, x, todo=todo):
-            for m, (i, theta, w) in todo.items():
+        def each(roles, ys, x, at=at):
+            for i, (ms, theta, w) in at.items():
                 rows = roles[:, i] == TRAIN
                 if not rows.any():
                     continue
-                z, y = design(x[rows], medians[i], mean[i], scale[i]), ys[rows, label_of[i]]
-                eta = z @ theta
+                z, y = design(x[rows], medians[i], mean[i], scale[i]), ys[rows, label_of[i]][:, None]
+                use = np.append(0, 1 + np.flatnonzero(scale[i] > 0))  # other columns are 0
+                z = np.ascontiguousarray(z[:, use])
+                eta = z @ theta[use]
                 p = 1 / (1 + np.exp(-eta))
-                wt = np.where(y == 1, w[1], w[0])
-                loss = (wt * (np.logaddexp(0, eta) - y * eta)).sum()
-                hess = z.T @ (z * (wt * p * (1 - p))[:, None])
-                yield m, np.concatenate([hess, (z.T @ (wt * (p - y)))[None], np.full((1, q), loss)])
+                wt = np.where(y == 1, w[:, 1], w[:, 0])
+                loss = (wt * (np.logaddexp(0, eta) - y * eta)).sum(axis=0)
+                grad, curved = z.T @ (wt * (p - y)), wt * p * (1 - p)
+                for k, m in enumerate(ms):
+                    out = np.zeros((q + 2, q))
+                    out[np.ix_(use, use)] = z.T @ (z * curved[:, k : k + 1])
+                    out[q, use], out[q + 1] = grad[:, k], loss[k]
+                    yield m, out
 
         got = d._total(each, {m: (q + 2, q) for m in todo})
         for m in todo:
@@ -750,31 +826,32 @@ def held_losses(d: Designs, models: list[Ridge], mean: np.ndarray, scale: np.nda
     """Mean log-loss of each model on its slot's held rows, its balanced weights taken back; infinite where there are none."""
     medians, label_of = d.medians, d.label_of
     todo = [(m.slot, m.theta, m.shift) for m in models]
+    by_slot: dict[int, list[int]] = {}
+    for k, m in enumerate(models):
+        by_slot.setdefault(m.slot, []).append(k)
 
     def each(roles, ys, x):
-        for k, (i, theta, shift) in enumerate(todo):
+        for i, ks in by_slot.items():
             rows = roles[:, i] == HELD
             if rows.any():
-                eta, y = design(x[rows], medians[i], mean[i], scale[i]) @ theta - shift, ys[rows, label_of[i]]
-                p = np.clip(1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
-                yield k, np.array([-np.where(y == 1, np.log(p), np.log1p(-p)).sum(), rows.sum()])
+                z, y = design(x[rows], medians[i], mean[i], scale[i]), ys[rows, label_of[i]]
+                for k in ks:
+                    p = np.clip(1 / (1 + np.exp(-(z @ todo[k][1] - todo[k][2]))), 1e-12, 1 - 1e-12)
+                    yield k, np.array([-np.where(y == 1, np.log(p), np.log1p(-p)).sum(), rows.sum()])
 
     got = d._total(each, {k: (2,) for k in range(len(todo))})
     return [float(got[k][0] / got[k][1]) if got[k][1] else math.inf for k in range(len(todo))]
 
 
-def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float], keys: list[str], weighting: str = "measure"):
+def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float], keys: list[str], weighting: str = "measure", designs: Designs | None = None, counts: list[dict] | None = None):
     """Linear arms tuned inside each fold, all folds, labels, rotations, penalties and weightings together.
 
     Balanced class weights are taken where they lower the rotations' mean log-loss at the middle of the grid
     (`weighting` "measure"), always ("balanced") or never ("none"); then C of the least loss, the smaller of equal ones. The plan, and
-    what comes back, is as in tune_trees; a record has the curve, the effective freedom and whether C is at an end."""
-    slots, first = [], {}
-    for at, entry in plan.items():
-        first[at] = len(slots)
-        slots += [entry["whole"], *entry["rotations"]]
-    counts = slot_counts(df, slots)
-    d = Designs(df, columns, slots, keys)
+    what comes back, is as in tune_trees; a record has the curve, the effective freedom and whether C is at an end.
+    Designs and counts of the plan's slots may be given; designs have the keys and carried columns then."""
+    slots, first = plan_slots(plan)
+    counts, d = counts or slot_counts(df, slots), designs or Designs(df, columns, slots, keys)
     ways = {"measure": (False, True), "balanced": (True,), "none": (False,)}[weighting]
     models, index = [], {}
     for i, c in enumerate(counts):
@@ -785,7 +862,7 @@ def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float],
                     models.append(Ridge(i, value, w, (c["n"] / (2 * (c["n"] - c["p"])), c["n"] / (2 * c["p"])) if w else (1.0, 1.0)))
     record = {at: {"fold": at[0], "label": at[1], "blocked": bool(entry.get("blocked"))} for at, entry in plan.items()}
     if not models:
-        d.free()
+        designs or d.free()
         for entry in record.values():
             entry["skipped"] = "training rows of one class"
         return None, None, list(record.values()), {}
@@ -811,23 +888,23 @@ def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float],
             if (first[at] + 1 + r, balanced, c) in index:
                 final.append((at, s.name, models[index[first[at] + 1 + r, balanced, c]]))
     if not final:
-        d.free()
+        designs or d.free()
         return None, None, list(record.values()), {}
     margins, oof = d.scored(final_thetas := [(at, r, m.slot, m.theta, m.shift) for at, r, m in final], mean, scale, plan, first)
-    d.free()
+    designs or d.free()
     return margins, oof, list(record.values()), {at: Linear.of(d, columns, i, theta, shift, mean, scale) for at, r, i, theta, shift in final_thetas if r is None}
 
 
 def spread(state: DataFrame, keys: list[str], names: list[tuple], plan: dict, first: dict) -> tuple[DataFrame, DataFrame]:
     """Rows with `_role` and `_margin` of several models, as a row per model: those of whole folds for all rows, and those of
     rotations for the rows that they held out."""
-    each = []
+    each: dict[bool, list[Column]] = {True: [], False: []}
     for m, (at, r) in enumerate(names):
         slot = first[at] + 1 + [s.name for s in plan[at]["rotations"]].index(r) if r is not None else first[at]
-        each.append(F.struct(F.lit(at[0]).alias("model_fold"), F.lit(at[1]).alias("label"), F.lit(r).cast("string").alias("rotation"), F.col("_margin")[m].alias("margin"), F.col("_role")[slot].alias("role")))
-    long = state.select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.*")
-    whole = long.where("rotation is null").drop("rotation", "role")
-    return whole, long.where((F.col("rotation").isNotNull()) & (F.col("role") == HELD)).drop("role")
+        each[r is None].append(F.struct(F.lit(at[0]).alias("model_fold"), F.lit(at[1]).alias("label"), F.lit(r).cast("string").alias("rotation"), F.col("_margin")[m].alias("margin"), F.col("_role")[slot].alias("role")))
+    none = [x.withField("role", F.lit(NONE).cast("tinyint")) for x in each[True][:1]]  # where no rotation was fitted
+    whole, held = (state.select(*keys, F.explode(F.array(*x)).alias("x")).select(*keys, "x.*") for x in (each[True], each[False] or none))
+    return whole.drop("rotation", "role"), held.where(F.col("rotation").isNotNull() & (F.col("role") == HELD)).drop("role")
 
 
 def krylov(s: np.ndarray, c: np.ndarray, most: int) -> list[np.ndarray]:
@@ -893,14 +970,11 @@ def choose_k(curve: list[dict]) -> dict:
     return {at: max(sorted(ks), key=lambda k, ks=ks: (round(float(np.mean(ks[k])), 12), -k)) for at, ks in by.items()}
 
 
-def tune_components(df: DataFrame, columns: list[str], plan: dict, most: int, keys: list[str]):
+def tune_components(df: DataFrame, columns: list[str], plan: dict, most: int, keys: list[str], designs: Designs | None = None):
     """Partial least squares arms with k of the greatest mean correlation on held rows, all folds, labels, rotations and k from the
     same moments. The plan, and what comes back, is as in tune_trees; margins are scores on the scale of the outcome."""
-    slots, first = [], {}
-    for at, entry in plan.items():
-        first[at] = len(slots)
-        slots += [entry["whole"], *entry["rotations"]]
-    d = Designs(df, columns, slots, keys)
+    slots, first = plan_slots(plan)
+    d = designs or Designs(df, columns, slots, keys)
     train, held = d.moments(TRAIN), d.moments(HELD)
     mean, scale = d.standards()
     betas, curve = _components(slots, train, held, mean, scale, most)
@@ -918,8 +992,8 @@ def tune_components(df: DataFrame, columns: list[str], plan: dict, most: int, ke
             if len(betas[i]) >= k:
                 final.append((at, s.name if r else None, i, np.concatenate([[train[i][0, -1] / train[i][0, 0]], betas[i][k - 1]]), 0.0))
     if not final:
-        d.free()
+        designs or d.free()
         return None, None, record, {}
     margins, oof = d.scored(final, mean, scale, plan, first)
-    d.free()
+    designs or d.free()
     return margins, oof, record, {at: Linear.of(d, columns, i, theta, 0.0, mean, scale) for at, r, i, theta, _ in final if r is None}
