@@ -40,3 +40,27 @@ def test_ablation_shares_the_rows_of_its_search(spark, table):
     for r in both:
         rows, ap, loss = want[r.fold, r.label, r.block]
         assert r.n_rows == rows and math.isclose(r.ap, ap, rel_tol=1e-12) and math.isclose(r.loss, loss, rel_tol=1e-9)
+
+
+def test_calibration_of_counted_rows_is_that_of_the_rows(spark, table):
+    d = table.where("valid").select("fold", "y", F.round(1 / (1 + F.exp(-F.col("a"))), 1).alias("score"))
+    plain, _ = _jobs(spark, "plain", lambda: {r.fold: (r.a, r.b) for r in experiment.calibrate_together(d, ["fold"]).collect()})
+    counted = d.groupBy("fold", "score").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    got = {r.fold: (r.a, r.b) for r in experiment.calibrate_together(counted, ["fold"], times="n").collect()}
+    assert got.keys() == plain.keys() == {0, 1, 2} and all(np.allclose(got[f], plain[f], atol=1e-8) for f in got)
+
+
+def test_labels_in_columns_are_those_in_rows(spark, table):
+    d = table.select("i", "unit", "t")
+    events = table.where("y = 1").select("unit", F.col("t").alias("at"))
+    wide = labels.label_columns(d, events, {("y3", "v3"): 3, ("y9", "v9"): 9}, ["unit"])
+    rows = labels.forward_labels(d, events, [3, 9], ["unit"]).collect()
+    assert {(r.i, n, r[f"y{n}"], r[f"v{n}"]) for r in wide.collect() for n in (3, 9)} == {(r.i, r.tau, r.y, r.valid) for r in rows} and wide.count() == 240
+
+
+def test_every_row_of_a_repeated_key_is_scored_once(spark, table):
+    twice = table.unionByName(table).withColumn("i", F.when(F.col("i") > 0, F.col("i")))
+    arms = [experiment.Arm("ridge", "ridge", ["a", "b"], {"cs": [1.0]}), experiment.Arm("head", "pls", ["a", "b"], {"components": 2})]
+    (rows, record, _), n = _jobs(spark, "linear", lambda: experiment.train_tuned(twice, arms, "fold", ["i"], {"y": "valid"}))
+    assert rows.count() == 2 * twice.count() and rows.where("i is null").count() == 4
+    assert all(r["threshold"] is not None for r in record)
