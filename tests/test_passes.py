@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import experiment, labels
+from tidemark.operators import experiment, labels, metrics, together
+from tidemark.plans import composed
 
 ARM = experiment.Arm("t", "trees", ["a", "b"], {"grid": [{"depth": 1}, {"depth": 2}], "rounds": 4, "patience": 2, "rate": 0.3, "bins": 8})
 
@@ -64,3 +65,59 @@ def test_every_row_of_a_repeated_key_is_scored_once(spark, table):
     (rows, record, _), n = _jobs(spark, "linear", lambda: experiment.train_tuned(twice, arms, "fold", ["i"], {"y": "valid"}))
     assert rows.count() == 2 * twice.count() and rows.where("i is null").count() == 4
     assert all(r["threshold"] is not None for r in record)
+
+
+def test_cuts_are_exact_quantiles_whatever_the_order(spark):
+    rng = np.random.default_rng(7)
+    v = [float(x) for x in rng.normal(size=30_000)]
+    v[5:9] = [0.0, -0.0, math.inf, -math.inf]
+    d = spark.createDataFrame([(x, None if i % 3 else 2.0, i % 2) for i, x in enumerate(v)], "v double, w double, side int")
+    trains = [F.lit(True), F.col("side") == 1, F.col("side") > 1]
+    for parts in (1, 5):
+        got = together.fold_edges(d.repartition(parts), ["v", "w"], trains, 32)
+        for own, (of_v, of_w) in zip((sorted(v), sorted(v[1::2])), got[:2], strict=True):
+            assert of_v == sorted({own[math.ceil(k / 32 * len(own)) - 1] for k in range(1, 32)}) and of_w == [2.0]
+        assert got[2] == [[], []]
+
+
+def test_order_statistics_of_many_sets_are_those_of_each(spark):
+    rng = np.random.default_rng(8)
+    inside, x = rng.random((500, 7)) < 0.3, np.where(rng.random((500, 2)) < 0.2, math.nan, np.round(rng.normal(size=(500, 2)), 1))
+    inside[:, 6] = False
+    chunks = spark.sparkContext.parallelize([(inside[a : a + 50], x[a : a + 50]) for a in range(0, 500, 50)], 4)
+    got = together.order_statistics(chunks, 7, 2, [0.1, 0.5, 1.0])
+    assert np.isnan(got[6]).all()
+    for i in range(6):
+        for j in range(2):
+            own = np.sort(x[inside[:, i] & ~np.isnan(x[:, j]), j])
+            assert list(got[i, j]) == [own[math.ceil(q * len(own)) - 1] for q in (0.1, 0.5, 1.0)]
+
+
+def test_lines_and_cuts_of_ordered_parts_are_those_of_all_scores(spark, table):
+    arms = [ARM, experiment.Arm("ridge", "ridge", ["a", "b"], {"cs": [1.0]}), experiment.Arm("head", "pls", ["a", "b"], {"components": 2})]
+    rows, record, _ = experiment.train_tuned(table, arms, "fold", ["i"], {"y": "valid"})
+    plan = experiment.fold_plan(table, "fold", {"y": "valid"})
+    tuned = [together.tune_trees(table, ARM.columns, plan, ARM.options["grid"], ["i", "fold"], **{k: v for k, v in ARM.options.items() if k != "grid"}), together.tune_ridges(table, ["a", "b"], plan, [1.0], ["i", "fold"]), together.tune_components(table, ["a", "b"], plan, 2, ["i", "fold"])]
+    for arm, (margins, oof, _, _) in zip(arms, tuned, strict=True):
+        score = F.col("margin") if arm.kind == "pls" else 1 / (1 + F.exp(-F.col("margin")))
+        held = oof.join(table.select("i", "y"), "i").withColumn("score", score).persist()
+        line = {r.model_fold: (r.a, r.b) for r in experiment.calibrate_together(held, ["model_fold"]).collect()}
+        for e in (e for e in record if e["arm"] == arm.name):
+            a, b = line[e["fold"]]
+            p = F.least(F.greatest("score", F.lit(1e-7)), F.lit(1 - 1e-7))
+            probs = held.where(F.col("model_fold") == e["fold"]).withColumn("prob", 1 / (1 + F.exp(-(F.log(p / (1 - p)) * a + b))))
+            assert np.allclose(e["calibration"], (a, b), atol=1e-7)
+            assert math.isclose(e["threshold"], metrics.f1_threshold(probs, [], "y", "prob").first().threshold, rel_tol=1e-7)
+        want = {r.i: r.score for r in margins.where("model_fold = fold").withColumn("score", score).collect()}
+        got = {r.i: r.score for r in rows.where(F.col("arm") == arm.name).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_labels_of_own_rows_need_no_second_look(spark, table):
+    d = table.select("i", "unit", "t", "y")
+    taus = {("y3", "v3"): 3, ("y9", "v9"): 9}
+    own = labels.own_label_columns(d, F.col("y") == 1, taus, ["unit"])
+    two = labels.label_columns(d, d.where("y = 1").select("unit", F.col("t").alias("at")), taus, ["unit"])
+    assert {tuple(r) for r in own.collect()} == {tuple(r) for r in two.select(*own.columns).collect()}
+    read = composed.horizons(spark, "/root/testdata/sf0.001")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

@@ -8,15 +8,17 @@ import functools
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import metrics
 from tidemark.operators.boosting import BoostedTrees
+from tidemark.operators.held import calibrated_cuts, linear_scorers, lines, own_scores, tree_scorers
 from tidemark.operators.models import Calibrator, MissingEncoder, PartialLeastSquares, RidgeLogistic, Standardiser, active_columns, grid_search
 from tidemark.operators.splits import refuse_overlap, time_blocks
-from tidemark.operators.together import Designs, Slot, ablate_trees, added, packed, plan_slots, search_trees, settle, slot_counts, tune_components, tune_ridges, tune_trees
+from tidemark.operators.together import Designs, Slot, ablate_trees, linear_models, pack_rows, packed, packed_counts, plan_slots, rate_components, rate_ridges, refit_trees, search_trees, settle, slot_counts, tree_models
 
 MOST_FOLDS = 1000
 #: Columns that `Fitted` adds.
@@ -217,10 +219,31 @@ def fold_plan(df: DataFrame, fold: str, labels: dict[str, str], inner: str | Non
     (by default the other folds) after the other. Where no rotation has both classes on both sides and units are given, each unit of both
     classes is cut into blocks of equal duration instead, and each block is held out once, with rows nearer than the embargo
     left out; the entry is then marked as blocked. Rows without a group only train."""
-    inner = inner or fold
-    folds = groups_of(df, fold)
-    pairs = df.where(F.col(inner).isNotNull()).select(F.col(fold).alias("f"), F.col(inner).alias("g")).distinct().orderBy("g", "f").limit(MOST_FOLDS * 10 + 1).collect()
-    groups = list(dict.fromkeys(r.g for r in pairs))
+    plan = _whole_plan(df, fold, labels, inner or fold)
+    if unit is not None and embargo is not None:
+        _cut_blocks(df, plan, slot_counts(df, plan_slots(plan)[0]), unit, t, embargo, blocks)
+    return plan
+
+
+def _packed_plan(df: DataFrame, fold: str, labels: dict[str, str], inner: str | None, unit: list[str] | None, t: str, embargo: int | None, blocks: int, starts: dict[str, str] | None, columns: list[str]) -> tuple[dict, RDD, list[dict]]:
+    """fold_plan, and the packed rows of its slots with their counts."""
+    plan = _whole_plan(df, fold, labels, inner or fold)
+    chunks = pack_rows(df, columns, slots := plan_slots(plan)[0], starts)
+    counts = packed_counts(chunks, slots)
+    if unit is not None and embargo is not None and _cut_blocks(df, plan, counts, unit, t, embargo, blocks):
+        chunks.unpersist()
+        chunks = pack_rows(df, columns, slots := plan_slots(plan)[0], starts)
+        counts = packed_counts(chunks, slots)
+    return plan, chunks, counts
+
+
+def _whole_plan(df: DataFrame, fold: str, labels: dict[str, str], inner: str) -> dict:
+    found = df.select(F.col(fold).alias("f"), F.col(inner).alias("g")).distinct().limit((MOST_FOLDS + 1) * 12).collect()
+    folds = sorted({r.f for r in found if r.f is not None})
+    if len(folds) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds; assign groups to fewer")
+    pairs = [r for r in found if r.g is not None]
+    groups = sorted({r.g for r in pairs})
     if len(folds) * len(groups) * len(labels) > MOST_SLOTS or len(pairs) > MOST_FOLDS * 10:
         raise ValueError(f"more than {MOST_SLOTS} training sets; give fewer folds, or `inner` groups")
     plan = {}
@@ -230,17 +253,20 @@ def fold_plan(df: DataFrame, fold: str, labels: dict[str, str], inner: str | Non
             whole = ~F.col(fold).eqNullSafe(F.lit(f)) & F.col(valid)
             rotations = [Slot(f, str(g), y, whole & ~F.col(inner).eqNullSafe(F.lit(g)), whole & (F.col(inner) == F.lit(g))) for g in here]
             plan[f, y] = {"whole": Slot(f, "whole", y, whole), "rotations": rotations, "blocked": False}
-    if unit is None or embargo is None:
-        return plan
-    slots = [(at, s) for at, e in plan.items() for s in e["rotations"]]
-    counts = slot_counts(df, [s for _, s in slots])
-    fine = {at for (at, _), c in zip(slots, counts, strict=True) if 0 < c["p"] < c["n"] and 0 < c["q"] < c["m"]}
-    for at in plan:
-        if at not in fine:
-            plan[at]["rotations"], plan[at]["blocked"] = _block_slots(df, at, plan[at]["whole"].train, unit, t, embargo, blocks), True
     return plan
 
 
+def _cut_blocks(df: DataFrame, plan: dict, counts: list[dict], unit: list[str], t: str, embargo: int, blocks: int) -> bool:
+    """Cuts units into blocks where no rotation has both classes on both sides, and tells whether there were any."""
+    first, cut = plan_slots(plan)[1], []
+    for at, e in plan.items():
+        if not any(0 < c["p"] < c["n"] and 0 < c["q"] < c["m"] for c in counts[first[at] + 1 : first[at] + 1 + len(e["rotations"])]):
+            cut.append(at)
+    for at in cut:
+        plan[at]["rotations"], plan[at]["blocked"] = _block_slots(df, at, plan[at]["whole"].train, unit, t, embargo, blocks), True
+    return bool(cut)
+
+
 def _block_slots(df: DataFrame, at: tuple, train, unit: list[str], t: str, embargo: int, blocks: int) -> list[Slot]:
     f, y = at
     span = df.where(train).groupBy(*unit).agg(F.min(t).alias("_a"), F.max(t).alias("_z"), F.min(y).alias("_lo"), F.max(y).alias("_hi")).where("_lo <> _hi")
@@ -275,29 +301,7 @@ def calibrate_together(oof: DataFrame, by: list[str], score: str = "score", y: s
         return spark.createDataFrame([], schema)
     numbers = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], T.StructType([*schema.fields[: len(by)], T.StructField("_g", T.IntegerType())]))
     chunks = packed(d.join(F.broadcast(numbers), by), {"_g": np.int32, "_l": np.float64, "_y": np.float64, "_w": np.float64})
-    at, going = np.tile([1.0, 0.0], (len(names), 1)), np.ones(len(names), bool)
-    for _ in range(most):
-        if not going.any():
-            break
-
-        def run(parts, at=at.copy(), going=going.copy()):
-            n, total = len(at), np.zeros((5, len(at)))
-            for g, x, y, count in parts:
-                on = going[g]
-                g, x, y, count = g[on], x[on], y[on], count[on]
-                q = 1 / (1 + np.exp(-(at[g, 0] * x + at[g, 1])))
-                r, w = count * (q - y), count * q * (1 - q)
-                total += np.stack([np.bincount(g, v, n) for v in (r * x, r, w * x * x, w * x, w)])
-            yield 0, total
-
-        ga, gb, haa, hab, hbb = added(chunks.mapPartitions(run))[0]
-        det = (haa + 1e-12) * (hbb + 1e-12) - hab**2
-        with np.errstate(all="ignore"):
-            step = np.stack([((hbb + 1e-12) * ga - hab * gb) / det, ((haa + 1e-12) * gb - hab * ga) / det], axis=1)
-        far = np.abs(step).max(axis=1)
-        cut = np.minimum(1.0, 4 / np.maximum(far, 1e-300))  # steps of at most 4: the start may be far off
-        at[going] -= (cut[:, None] * step)[going]
-        going &= ~((far < 1e-9) | (np.abs(at[:, 0]) > 1e4))
+    at = lines(chunks, len(names), np.ones(len(names), bool), most)
     chunks.unpersist()
     return spark.createDataFrame([(*k, *map(float, v)) for k, v in zip(names, at, strict=True)], schema)
 
@@ -318,10 +322,10 @@ def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labe
         df, starts = mark_starts(df, labels, unit, t)
     df = settle(df.withColumn("_truth", _truth(labels)))  # every arm reads it, several times
     _refuse_leaks(df, fold, leak)
-    plan = fold_plan(df, fold, labels, inner, unit, t, embargo, blocks)
+    among = list(dict.fromkeys(c for a in arms if a.kind != "rule" for c in a.columns if c in df.columns))
+    plan, chunks, counts = _packed_plan(df, fold, labels, inner, unit, t, embargo, blocks, starts, among)
     slots, _ = plan_slots(plan)
-    counts, designs = slot_counts(df, slots, starts) if any(a.kind != "rule" for a in arms) else None, {}
-    scores, oofs, record, models = [], [], [], {}
+    scores, scorers, record, models, designs = [], [], [], {}, {}
     for arm in arms:
         columns, o = [c for c in arm.columns if c in df.columns], arm.options
         if not columns:
@@ -332,47 +336,47 @@ def train_tuned(df: DataFrame, arms: list[Arm], fold: str, keys: list[str], labe
             scores.append(df.where(F.col(fold).isNotNull()).select(*keys, fold, "_truth", each, F.lit(arm.name).alias("arm"), (-F.col(columns[0]).cast("double")).alias("score")))
             record += [{"arm": arm.name, "fold": f, "label": y} for f, y in plan]
             continue
-        passed = [*keys, fold]
+        pick = [among.index(c) for c in columns]
         if arm.kind == "trees":
-            got = tune_trees(df, columns, plan, o.get("grid", [{}]), passed, starts, seed=seed, carried=["_truth"], counts=counts, **{k: v for k, v in o.items() if k != "grid"})
+            found = search_trees(df, columns, plan, o.get("grid", [{}]), [*keys, fold], starts, seed=seed, counts=counts, chunks=chunks, among=among, **{k: v for k, v in o.items() if k != "grid"})
+            final = refit_trees(found, plan, seed)[1]
+            found.engine.free()
+            said, made, own = list(found.record.values()), tree_scorers(found, final, pick), tree_models(found, final)
         elif arm.kind in ("ridge", "pls"):
-            made = designs.get(tuple(columns)) or designs.setdefault(tuple(columns), Designs(df, columns, slots, passed, ["_truth"]))
-            got = tune_ridges(df, columns, plan, o.get("cs", [1.0]), passed, o.get("weighting", "measure"), made, counts) if arm.kind == "ridge" else tune_components(df, columns, plan, o.get("components", 2), passed, made)
+            d = designs.get(tuple(columns)) or designs.setdefault(tuple(columns), Designs(df, columns, slots, chunks=chunks, among=among))
+            final, said, mean, scale = rate_ridges(d, plan, o.get("cs", [1.0]), o.get("weighting", "measure"), counts) if arm.kind == "ridge" else rate_components(d, plan, o.get("components", 2))
+            made, own = linear_scorers(d.medians, final, mean, scale, pick, arm.kind == "pls"), linear_models(d, columns, final, mean, scale)
         else:
             raise ValueError(f"an arm of unknown kind {arm.kind}")
-        margins, oof, said, fitted = got
         record += [{"arm": arm.name} | r for r in said]
-        models |= {(arm.name, *at): m for at, m in fitted.items()}
-        if margins is None:
-            continue
-        score = F.col("margin") if arm.kind == "pls" else 1 / (1 + F.exp(-F.col("margin")))
-        scores.append(margins.where(F.col("model_fold") == F.col(fold)).select(*passed, "_truth", "label", F.lit(arm.name).alias("arm"), score.alias("score")))
-        oofs.append(oof.select("_truth", "model_fold", "label", F.lit(arm.name).alias("arm"), score.alias("score")))
-    for made in designs.values():
-        made.free()
+        models |= {(arm.name, *at): m for at, m in own.items()}
+        scorers += [(arm.name, m) for m in made]
+    whole = [(arm, m) for arm, m in scorers if m.rotation is None]
+    if whole:
+        names = [(arm, y) for arm in dict.fromkeys(arm for arm, _ in whole) for y in labels]
+        x = [F.col(c).cast("double") for c in among]
+        rows = df.select(*keys, fold, "_truth", F.array(*x).alias("_x"), F.array(*[v.isNull() for v in x]).alias("_null"))
+        scores.append(own_scores(rows, [*keys, fold, "_truth"], F.col(fold), list(dict.fromkeys(f for f, _ in plan)), whole, names).select(*keys, fold, "_truth", "label", "arm", "score"))
     if not scores:
         raise ValueError("no arm could be fitted on any fold")
-    union = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
-    rows = _told(union(scores), labels)
-    if not oofs:
-        return rows.select(*keys, fold, "label", "y", "valid", "arm", "score", F.lit(None).cast("double").alias("prob"), F.lit(None).cast("double").alias("threshold")), record, models
-    by = ["arm", "model_fold", "label"]
-    seen = metrics.by_score(_told(union(oofs), labels).where("valid"), by).persist()  # rows of equal scores together
-    line = calibrate_together(seen.withColumn("y", F.col("tp") / F.col("n")), by, times="n")
-    p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
-    prob = 1 / (1 + F.exp(-(F.log(p / (1 - p)) * F.col("a") + F.col("b"))))
-    probs = seen.join(F.broadcast(line), by).groupBy(*by, prob.alias("prob")).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n")).persist()
-    cut = metrics.f1_threshold(probs, by, "y", "prob", counted=True).select(*by, "threshold")
-    settled = [tuple(r) for r in line.join(cut, by, "left").collect()]
-    for d in (probs, seen):
-        d.unpersist()
-    schema = T.StructType([*line.schema.fields, T.StructField("threshold", T.DoubleType())])
+    rows = _told(functools.reduce(lambda a, b: a.unionByName(b), scores), labels)
+    settled = []
+    if whole:
+        groups = list(dict.fromkeys((arm, *m.at) for arm, m in scorers))
+        label_of = list(dict.fromkeys(s.y for s in slots))
+        cut = calibrated_cuts(chunks, [(groups.index((arm, *m.at)), label_of.index(m.at[1]), m) for arm, m in scorers if m.rotation is not None], len(groups), df.sparkSession.sparkContext.defaultParallelism)
+        settled = [(*groups[g], *v) for g, v in sorted(cut.items())]
+    chunks.unpersist()
     known = {r[:3]: r[3:] for r in settled}
     for entry in record:
         if (v := known.get((entry["arm"], entry["fold"], entry["label"]))) is not None:
             entry["calibration"], entry["threshold"] = v[:2], v[2]
-    settled = df.sparkSession.createDataFrame(settled, schema).withColumnRenamed("model_fold", fold)
-    rows = rows.join(F.broadcast(settled), ["arm", fold, "label"], "left")
+    if not whole:
+        return rows.select(*keys, fold, "label", "y", "valid", "arm", "score", F.lit(None).cast("double").alias("prob"), F.lit(None).cast("double").alias("threshold")), record, models
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    prob = 1 / (1 + F.exp(-(F.log(p / (1 - p)) * F.col("a") + F.col("b"))))
+    schema = T.StructType([T.StructField("arm", T.StringType()), df.schema[fold], T.StructField("label", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("a", "b", "threshold")]])
+    rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(settled, schema)), ["arm", fold, "label"], "left")
     return rows.select(*keys, fold, "label", "y", "valid", "arm", "score", prob.alias("prob"), "threshold"), record, models
 
 

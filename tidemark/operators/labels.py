@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import with_containment, with_next
@@ -19,7 +19,17 @@ def forward_labels(frames: DataFrame, events: DataFrame, taus: list[int], unit:
 
 def label_columns(frames: DataFrame, events: DataFrame, taus: dict[tuple[str, str], int], unit: list[str], t: str = "t", at: str = "at") -> DataFrame:
     """The labels of forward_labels as columns, named (y, valid) for each horizon: a row stays one row, in one pass over each unit."""
-    known = with_next(frames, events, unit, t, at, "_next").withColumn("_t_last", F.max(t).over(Window.partitionBy(*unit)))
+    return _columns(with_next(frames, events, unit, t, at, "_next").withColumn("_t_last", F.max(t).over(Window.partitionBy(*unit))), taus, t)
+
+
+def own_label_columns(frames: DataFrame, event: Column, taus: dict[tuple[str, str], int], unit: list[str], t: str = "t") -> DataFrame:
+    """label_columns where the events are those rows of the table that satisfy a condition: nothing is read or dealt out a second time."""
+    later = Window.partitionBy(*unit).orderBy(F.desc(t)).rangeBetween(Window.unboundedPreceding, -1)
+    known = {"_next": F.min(F.when(event, F.col(t).cast("long"))).over(later), "_t_last": F.first(t).over(later.rowsBetween(Window.unboundedPreceding, 0))}
+    return _columns(frames.withColumns(known), taus, t)
+
+
+def _columns(known: DataFrame, taus: dict[tuple[str, str], int], t: str) -> DataFrame:
     out = {}
     for (y, valid), tau in taus.items():
         out[y] = F.coalesce(F.col("_next") - F.col(t) <= tau, F.lit(False))

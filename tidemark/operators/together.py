@@ -94,22 +94,88 @@ def slot_counts(df: DataFrame, slots: list[Slot], starts: dict[str, str] | None
         for batch in batches:
             if batch.num_rows:
                 role, y, up = (_matrix(batch.column(c), batch.num_rows) for c in ("_role", "_y", "_up"))
-                train, held = role == TRAIN, role == HELD
-                total += np.stack([train.sum(axis=0), (train * y[:, at]).sum(axis=0), (train * up[:, at]).sum(axis=0), held.sum(axis=0), (held * y[:, at]).sum(axis=0)])
+                total += _tally(role, y, up, at)
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.int64()))], names=["sums"])
 
     total = np.zeros((5, len(slots)), np.int64)
     for r in rows.mapInArrow(run, "sums array<long>").collect():  # a row per task
         total += np.array(r.sums, np.int64).reshape(5, -1)
+    return _counts(total)
+
+
+def _tally(role: np.ndarray, y: np.ndarray, up: np.ndarray, at: np.ndarray) -> np.ndarray:
+    train, held = role == TRAIN, role == HELD
+    return np.stack([train.sum(axis=0), (train * y[:, at]).sum(axis=0), (train * up[:, at]).sum(axis=0), held.sum(axis=0), (held * y[:, at]).sum(axis=0)])
+
+
+def _counts(total: np.ndarray) -> list[dict]:
     return [dict(zip(("n", "p", "runs", "m", "q"), map(int, column), strict=True)) for column in total.T]
 
 
 def fold_edges(df: DataFrame, columns: list[str], trains: list[Column], bins: int) -> list[list[list[float]]]:
-    """Cuts of each column at its quantiles over each fold's training rows, in one pass."""
-    qs = [k / bins for k in range(1, bins)]
-    aggs = [F.percentile_approx(F.when(F.coalesce(t, F.lit(False)), F.col(c)), qs, 10_000).alias(f"e{i}_{j}") for i, t in enumerate(trains) for j, c in enumerate(columns)]
-    r = df.agg(*aggs).first()
-    return [[sorted({float(x) for x in (r[f"e{i}_{j}"] or []) if x is not None}) for j in range(len(columns))] for i in range(len(trains))]
+    """Cuts of each column at its quantiles over each fold's training rows, exactly: the order of rows or tasks decides nothing."""
+    own = F.array(*[F.coalesce(t, F.lit(False)) for t in trains])
+    chunks = packed(df.select(own.alias("_in"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in columns]).alias("_x")), {"_in": np.bool_, "_x": np.float64})
+    out = edges_of(chunks, len(trains), len(columns), bins)
+    chunks.unpersist()
+    return out
+
+
+def edges_of(chunks: RDD, n_folds: int, n_columns: int, bins: int) -> list[list[list[float]]]:
+    """fold_edges of chunks of (row is in a fold's training set, values)."""
+    found = order_statistics(chunks, n_folds, n_columns, [k / bins for k in range(1, bins)])
+    return [[sorted({float(v) for v in x if not math.isnan(v)}) for x in of] for of in found]
+
+
+#: Counts in a pass of a search for order statistics; its digits are as wide as that allows.
+COUNTED = 1 << 17
+
+
+def order_statistics(chunks: RDD, n_sets: int, n_columns: int, qs: list[float]) -> np.ndarray:
+    """For each set of rows and column the ceil(q n)-th smallest of its n values that are not NaN, exactly, for each q; NaN where there are none.
+    Chunks are (row is in set, values). Values are taken as whole numbers of the same order, of which one digit after the other is found by
+    counts, a pass each: what a task holds does not grow with its rows."""
+    groups = n_sets * n_columns
+    bits, done = max(1, min(11, int(math.log2(max(2, COUNTED // max(1, groups * len(qs))))))), 0
+    found, rank = np.zeros((groups, len(qs)), np.uint64), np.zeros((groups, len(qs)), np.int64)
+    while done < 64 and groups:
+        width = min(bits, 64 - done)
+        known = [np.unique(x) for x in found]  # digits found so far, of which several quantiles may have the same
+        first = np.cumsum([0, *(len(x) for x in known)])
+
+        def run(parts, done=done, width=width, known=known, first=first):
+            total = np.zeros((first[-1], 1 << width), np.int64)
+            for inside, x in parts:
+                for j in range(n_columns):
+                    values = np.ascontiguousarray(x[:, j]) + 0.0
+                    b = values.view(np.uint64)
+                    key, there = np.where(b >> np.uint64(63), ~b, b | np.uint64(1 << 63)), ~np.isnan(values)
+                    for i in range(n_sets):
+                        own, g = key[there & inside[:, i]], i * n_columns + j
+                        at = 0
+                        if done:
+                            before = own >> np.uint64(64 - done)
+                            at = np.minimum(np.searchsorted(known[g], before), len(known[g]) - 1)
+                            on = known[g][at] == before
+                            own, at = own[on], at[on]
+                        digit = ((own >> np.uint64(64 - done - width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                        total[first[g] : first[g + 1]] += np.bincount((at << width) + digit, minlength=len(known[g]) << width).reshape(-1, 1 << width)
+            yield 0, total
+
+        count = added(chunks.mapPartitions(run)).get(0, np.zeros((first[-1], 1 << width), np.int64))
+        upto = np.cumsum(count, axis=1)
+        if not done:
+            n = upto[:, -1]
+            rank = np.ceil(np.array(qs)[None, :] * n[:, None]).astype(np.int64)
+        row = np.stack([first[g] + np.searchsorted(known[g], found[g]) for g in range(groups)])
+        digit = np.minimum((upto[row] < rank[:, :, None]).sum(axis=2), (1 << width) - 1)
+        rank = rank - np.where(digit > 0, upto[row, np.maximum(digit - 1, 0)], 0)
+        found = (found << np.uint64(width)) | digit.astype(np.uint64)
+        done += width
+    if not groups:
+        return np.zeros((n_sets, n_columns, len(qs)))
+    b = np.where(found >> np.uint64(63), found ^ np.uint64(1 << 63), ~found)
+    return np.where(n[:, None] > 0, b.view(np.float64), math.nan).reshape(n_sets, n_columns, len(qs))
 
 
 def binned(columns: list[str], edges: list[list[float]]) -> list[Column]:
@@ -191,11 +257,11 @@ class Boosters:
     on the distinct ones with their counts, packed into binary chunks, so a pass costs what the distinct rows do. A pass is one job
     without an exchange over the chunks, which keep their margins. grow() returns the key columns, carried columns, roles and margins of every row."""
 
-    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], folds: list, trains: list[Column], keys: list[str] | None = None, bins: int = 32, monotone: dict[str, int] | None = None, carried: list[str] | None = None):
+    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], folds: list, trains: list[Column], keys: list[str] | None = None, bins: int = 32, monotone: dict[str, int] | None = None, carried: list[str] | None = None, edges: list[list[list[float]]] | None = None):
         self.columns, self.slots, self.folds = columns, slots, folds
         self.keys, self.carried, self.width = list(keys or []), list(carried or []), bins + 2
         self.monotone = np.array([(monotone or {}).get(c, 0) for c in columns])
-        self.edges = fold_edges(df, columns, trains, bins)
+        self.edges = edges or fold_edges(df, columns, trains, bins)
         self.labels = list(dict.fromkeys(s.y for s in slots))
         hashed = F.xxhash64(*self.keys) if self.keys else F.lit(0).cast("long")
         self.rows = df.select(
@@ -254,6 +320,7 @@ class Boosters:
         self.specs = specs
         self.hashed = any(s.subsample < 1 for s in specs)
         chunks = self._pack(self.hashed)[0].rdd
+        chunks = chunks.coalesce(max(1, chunks.context.defaultParallelism))  # as many tasks as run at once: a pass is short
         state, before, turn = self._state(chunks, 0, 0), None, 0
         while True:
             going = [m for m, s in enumerate(specs) if not s.done and turn < s.rounds]
@@ -504,8 +571,8 @@ class Search:
     record: dict
 
 
-def search_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, rounds: int = 100, patience: int = 10, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0, carried: list[str] | None = None, counts: list[dict] | None = None) -> Search:
-    """The choice of tune_trees without its refit; the caller frees the engine."""
+def search_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, rounds: int = 100, patience: int = 10, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0, carried: list[str] | None = None, counts: list[dict] | None = None, chunks: RDD | None = None, among: list[str] | None = None) -> Search:
+    """The choice of tune_trees without its refit; the caller frees the engine. Packed rows of the plan's slots and of the columns `among` may be given."""
     named = [k for k in DEFAULT if any(k in point for point in grid)]
     grid = [{k: point.get(k, DEFAULT[k]) for k in named} for point in grid]
     folds = list(dict.fromkeys(f for f, _ in plan))
@@ -521,7 +588,11 @@ def search_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict]
         least = q["k_events"] * (c["p"] / max(1, c["runs"])) * p0 * (1 - p0)
         return Spec(i, depth=q["depth"], least=least, rate=rate, penalty=penalty, colsample=q["colsample"], subsample=q["subsample"], base=logit(p0), **more)
 
-    engine = Boosters(df, columns, slots, folds, trains, keys, bins, monotone, carried)
+    edges = None
+    if chunks is not None:
+        pick, wholes = [(among or columns).index(c) for c in columns], [[first[at] for at in plan if at[0] == f] for f in folds]
+        edges = edges_of(chunks.map(lambda x: (np.stack([(x[0][:, w] == TRAIN).any(axis=1) for w in wholes], axis=1), x[2][:, pick])), len(folds), len(columns), bins)
+    engine = Boosters(df, columns, slots, folds, trains, keys, bins, monotone, carried, edges)
     tried = []
     for at, entry in plan.items():
         for k, point in enumerate(grid):
@@ -564,6 +635,20 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
     has both classes; the fitted models by (fold, label). Both tables have the `carried` columns too. Margins are of rows as they are: roles decide what is trained on only.
     """
     found = search_trees(df, columns, plan, grid, keys, starts, rate, rounds, patience, penalty, bins, monotone, seed, carried, counts)
+    state, final = refit_trees(found, plan, seed)
+    if state is not None:
+        state = settle(state)
+    engine = found.engine
+    engine.free()
+    if not final:
+        return None, None, list(found.record.values()), {}
+    margins, oof = spread(state, [*keys, *engine.carried], [(at, r) for at, r, _ in final], plan, found.first)
+    return margins, oof, list(found.record.values()), tree_models(found, final)
+
+
+def refit_trees(found: Search, plan: dict, seed: int = 0) -> tuple[DataFrame | None, list[tuple]]:
+    """What a search chose, grown on the whole folds and on the rotations: margins of all rows, of which nothing has run yet, and the models as
+    ((fold, label), rotation or None, spec)."""
     engine, first, counts, spec, record = found.engine, found.first, found.counts, found.spec, found.record
     final = []
     for at, entry in record.items():
@@ -572,17 +657,11 @@ def tune_trees(df: DataFrame, columns: list[str], plan: dict, grid: list[dict],
             for r, slot in enumerate(plan[at]["rotations"]):
                 if 0 < counts[first[at] + 1 + r]["p"] < counts[first[at] + 1 + r]["n"]:
                     final.append((at, slot.name, spec(first[at] + 1 + r, entry["chosen"], rounds=entry["M"], seed=seed + 2 + r)))
-    if not final:
-        engine.free()
-        return None, None, list(record.values()), {}
-    state = settle(engine.unwatched().grow([s for *_, s in final]))
-    engine.free()
-    margins, oof = spread(state, [*keys, *engine.carried], [(at, r) for at, r, _ in final], plan, first)
-    models = {}
-    for at, r, s in final:
-        if r is None:
-            models[at] = (engine.edges[engine.folds.index(at[0])], s)
-    return margins, oof, list(record.values()), models
+    return (engine.unwatched().grow([s for *_, s in final]) if final else None), final
+
+
+def tree_models(found: Search, final: list[tuple]) -> dict:
+    return {at: (found.engine.edges[found.engine.folds.index(at[0])], s) for at, r, s in final if r is None}
 
 
 def ablate_trees(df: DataFrame, columns: list[str], plan: dict, record: list[dict], blocks: dict[str, list[str]], keys: list[str], starts: dict[str, str] | None = None, rate: float = 0.05, penalty: float = 1.0, bins: int = 32, monotone: dict[str, int] | None = None, seed: int = 0, carried: list[str] | None = None, search: Search | None = None) -> DataFrame | None:
@@ -627,33 +706,67 @@ def _any(conditions: list[Column]) -> Column:
 # linear models: moments and Newton steps of all slots and parameters in shared passes
 
 
+def _arrays(df: DataFrame, columns: list[str], slots: list[Slot], kept: list[str] | None = None, starts: dict[str, str] | None = None) -> DataFrame:
+    """Rows as arrays: labels, roles in every slot, values (NaN where they are missing), which of them are missing, and where runs start."""
+    labels = dict.fromkeys(s.y for s in slots)
+    up = [starts[y] if starts else y for y in labels]
+    x = [F.col(c).cast("double") for c in columns]
+    return df.select(
+        *(kept or []), F.array(*[F.coalesce(F.col(y).cast("double"), F.lit(0.0)) for y in labels]).alias("_y"), F.array(*[_role(s) for s in slots]).alias("_role"),
+        F.array(*[F.coalesce(v, F.lit(math.nan)) for v in x]).alias("_x"), F.array(*[v.isNull() for v in x]).alias("_null"),
+        F.array(*[F.coalesce(F.col(c).cast("tinyint"), F.lit(0).cast("tinyint")) for c in up]).alias("_up"),
+    )
+
+
+def pack_rows(df: DataFrame, columns: list[str], slots: list[Slot], starts: dict[str, str] | None = None) -> RDD:
+    """Roles, labels, values, missing values and starts of runs of all rows in packed chunks, for all that passes over them."""
+    return packed(_arrays(df, columns, slots, None, starts), {"_role": np.int8, "_y": np.float64, "_x": np.float64, "_null": np.bool_, "_up": np.int8})
+
+
+def packed_counts(chunks: RDD, slots: list[Slot]) -> list[dict]:
+    """slot_counts of packed rows."""
+    labels = list(dict.fromkeys(s.y for s in slots))
+    at = np.array([labels.index(s.y) for s in slots], int)
+
+    def run(parts):
+        total = np.zeros((5, len(at)), np.int64)
+        for role, y, _, _, up in parts:
+            total += _tally(role, y.astype(np.int64), up, at)
+        yield 0, total
+
+    return _counts(added(chunks.mapPartitions(run)).get(0, np.zeros((5, len(slots)), np.int64)))
+
+
 class Designs:
     """Rows as arrays for linear models of many slots. Missing values take the median of the slot's training rows, and
-    every column has an indicator of them; both are standardised by the slot's training rows, and a column that does not vary there is 0."""
+    every column has an indicator of them; both are standardised by the slot's training rows, and a column that does not vary there is 0.
+    Packed rows of these slots and of more columns (`among`) may be given."""
 
-    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], keys: list[str] | None = None, carried: list[str] | None = None):
+    def __init__(self, df: DataFrame, columns: list[str], slots: list[Slot], keys: list[str] | None = None, carried: list[str] | None = None, chunks: RDD | None = None, among: list[str] | None = None):
         self.columns, self.slots, self.keys = columns, slots, [*(keys or []), *(carried or [])]
         self.labels = list(dict.fromkeys(s.y for s in slots))
         self.label_of = [self.labels.index(s.y) for s in slots]
-        double = lambda c: F.col(c).cast("double")
-        role = [_role(s) for s in slots]
-        r = df.agg(*[F.percentile_approx(F.when(role[i] == TRAIN, double(c)), 0.5, 1000).alias(f"m{i}_{j}") for i in range(len(slots)) for j, c in enumerate(columns)]).first()
-        self.medians = np.array([[r[f"m{i}_{j}"] or 0.0 for j in range(len(columns))] for i in range(len(slots))], float)
-        self.rows = df.select(
-            *self.keys, F.array(*[F.coalesce(F.col(y).cast("double"), F.lit(0.0)) for y in self.labels]).alias("_y"), F.array(*role).alias("_role"), F.array(*[F.coalesce(double(c), F.lit(math.nan)) for c in columns]).alias("_x")
-        )
-        self.chunks = packed(self.rows, {"_role": np.int8, "_y": np.float64, "_x": np.float64})
+        self.rows = _arrays(df, columns, slots, self.keys)
+        self.pick, self.own = [(among or columns).index(c) for c in columns], chunks is None
+        self.chunks = pack_rows(df, columns, slots) if chunks is None else chunks
+        pick = self.pick
+        medians = order_statistics(self.chunks.map(lambda x: (x[0] == TRAIN, x[2][:, pick])), len(slots), len(columns), [0.5])[:, :, 0]
+        self.medians = np.where(np.isnan(medians), 0.0, medians)
+        self.known: dict[int, dict[int, np.ndarray]] = {}
 
     def free(self) -> None:
-        self.chunks.unpersist()
+        if self.own:
+            self.chunks.unpersist()
 
     def _total(self, each, shape: dict[int, tuple[int, ...]]) -> dict[int, np.ndarray]:
         """Sums over all rows of what each(role, y, x) yields as (index, array)."""
 
+        pick = self.pick
+
         def run(chunks):
             total: dict[int, np.ndarray] = {}
-            for x in chunks:
-                for m, part in each(*x):
+            for role, y, x, *_ in chunks:
+                for m, part in each(role, y, x[:, pick]):
                     total[m] = total[m] + part if m in total else part
             yield from total.items()
 
@@ -661,7 +774,9 @@ class Designs:
         return {m: got[m].reshape(s) if m in got else np.zeros(s) for m, s in shape.items()}
 
     def moments(self, role: int) -> dict[int, np.ndarray]:
-        """Second moments of (1, columns, indicators, y) over each slot's rows of a role."""
+        """Second moments of (1, columns, indicators, y) over each slot's rows of a role, taken once."""
+        if role in self.known:
+            return self.known[role]
         medians, label_of = self.medians, self.label_of
         q = 2 * len(self.columns) + 2
 
@@ -672,7 +787,8 @@ class Designs:
                     z = np.concatenate([np.ones((rows.sum(), 1)), raw_design(x[rows], medians[i]), ys[rows, label][:, None]], axis=1)
                     yield i, z.T @ z
 
-        return self._total(each, {i: (q, q) for i in range(len(label_of))})
+        self.known[role] = self._total(each, {i: (q, q) for i in range(len(label_of))})
+        return self.known[role]
 
     def standards(self) -> tuple[np.ndarray, np.ndarray]:
         """Means and deviations of the design's columns in each slot; a deviation of 0 marks one that does not vary."""
@@ -852,6 +968,20 @@ def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float],
     Designs and counts of the plan's slots may be given; designs have the keys and carried columns then."""
     slots, first = plan_slots(plan)
     counts, d = counts or slot_counts(df, slots), designs or Designs(df, columns, slots, keys)
+    final, record, mean, scale = rate_ridges(d, plan, cs, weighting, counts)
+    margins, oof = d.scored(final, mean, scale, plan, first) if final else (None, None)
+    designs or d.free()
+    return margins, oof, record, linear_models(d, columns, final, mean, scale)
+
+
+def linear_models(d: Designs, columns: list[str], final: list[tuple], mean: np.ndarray, scale: np.ndarray) -> dict:
+    return {at: Linear.of(d, columns, i, theta, shift, mean, scale) for at, r, i, theta, shift in final if r is None}
+
+
+def rate_ridges(d: Designs, plan: dict, cs: list[float], weighting: str, counts: list[dict]) -> tuple[list[tuple], list[dict], np.ndarray | None, np.ndarray | None]:
+    """The choice of tune_ridges without scores: models ((fold, label), rotation or None, slot, coefficients, shift), the record, and the slots'
+    means and deviations."""
+    first = plan_slots(plan)[1]
     ways = {"measure": (False, True), "balanced": (True,), "none": (False,)}[weighting]
     models, index = [], {}
     for i, c in enumerate(counts):
@@ -862,10 +992,9 @@ def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float],
                     models.append(Ridge(i, value, w, (c["n"] / (2 * (c["n"] - c["p"])), c["n"] / (2 * c["p"])) if w else (1.0, 1.0)))
     record = {at: {"fold": at[0], "label": at[1], "blocked": bool(entry.get("blocked"))} for at, entry in plan.items()}
     if not models:
-        designs or d.free()
         for entry in record.values():
             entry["skipped"] = "training rows of one class"
-        return None, None, list(record.values()), {}
+        return [], list(record.values()), None, None
     mean, scale = fit_ridges(d, models)
     losses = held_losses(d, models, mean, scale)
     final, chosen = [], {}
@@ -887,12 +1016,7 @@ def tune_ridges(df: DataFrame, columns: list[str], plan: dict, cs: list[float],
         for r, s in enumerate(plan[at]["rotations"]):
             if (first[at] + 1 + r, balanced, c) in index:
                 final.append((at, s.name, models[index[first[at] + 1 + r, balanced, c]]))
-    if not final:
-        designs or d.free()
-        return None, None, list(record.values()), {}
-    margins, oof = d.scored(final_thetas := [(at, r, m.slot, m.theta, m.shift) for at, r, m in final], mean, scale, plan, first)
-    designs or d.free()
-    return margins, oof, list(record.values()), {at: Linear.of(d, columns, i, theta, shift, mean, scale) for at, r, i, theta, shift in final_thetas if r is None}
+    return [(at, r, m.slot, m.theta, m.shift) for at, r, m in final], list(record.values()), mean, scale
 
 
 def spread(state: DataFrame, keys: list[str], names: list[tuple], plan: dict, first: dict) -> tuple[DataFrame, DataFrame]:
@@ -975,6 +1099,15 @@ def tune_components(df: DataFrame, columns: list[str], plan: dict, most: int, ke
     same moments. The plan, and what comes back, is as in tune_trees; margins are scores on the scale of the outcome."""
     slots, first = plan_slots(plan)
     d = designs or Designs(df, columns, slots, keys)
+    final, record, mean, scale = rate_components(d, plan, most)
+    margins, oof = d.scored(final, mean, scale, plan, first) if final else (None, None)
+    designs or d.free()
+    return margins, oof, record, linear_models(d, columns, final, mean, scale)
+
+
+def rate_components(d: Designs, plan: dict, most: int) -> tuple[list[tuple], list[dict], np.ndarray, np.ndarray]:
+    """The choice of tune_components without scores, as rate_ridges has it."""
+    slots, first = plan_slots(plan)
     train, held = d.moments(TRAIN), d.moments(HELD)
     mean, scale = d.standards()
     betas, curve = _components(slots, train, held, mean, scale, most)
@@ -991,9 +1124,4 @@ def tune_components(df: DataFrame, columns: list[str], plan: dict, most: int, ke
             i = first[at] + r
             if len(betas[i]) >= k:
                 final.append((at, s.name if r else None, i, np.concatenate([[train[i][0, -1] / train[i][0, 0]], betas[i][k - 1]]), 0.0))
-    if not final:
-        designs or d.free()
-        return None, None, record, {}
-    margins, oof = d.scored(final, mean, scale, plan, first)
-    designs or d.free()
-    return margins, oof, record, {at: Linear.of(d, columns, i, theta, 0.0, mean, scale) for at, r, i, theta, _ in final if r is None}
+    return final, record, mean, scale
