@@ -121,3 +121,19 @@ def test_labels_of_own_rows_need_no_second_look(spark, table):
     assert {tuple(r) for r in own.collect()} == {tuple(r) for r in two.select(*own.columns).collect()}
     read = composed.horizons(spark, "/root/testdata/sf0.001")
     assert read._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_chunks_keep_every_task_busy(spark):
+    chunks = spark.sparkContext.parallelize(range(90), 9)
+    cores = spark.sparkContext.defaultParallelism
+    even = together.evenly(chunks)
+    n = [len(part) for part in even.glom().collect()]
+    assert len(n) % cores == 0 and len(n) >= 9 and sum(n) == 90 and max(n) - min(n) <= 4
+    assert sorted(even.collect()) == list(range(90)) and together.evenly(spark.sparkContext.parallelize(range(9), cores)).getNumPartitions() == cores
+
+
+def test_varying_columns_are_those_of_the_design():
+    x = np.array([[1.0, math.nan, 5.0], [2.0, 3.0, 5.0], [math.nan, 4.0, 5.0]])
+    medians, mean, scale = np.array([1.0, 3.0, 5.0]), np.arange(6) / 7, np.array([1.0, 2.0, 0.0, 3.0, 0.0, 0.0])
+    use = np.append(0, 1 + np.flatnonzero(scale > 0))
+    assert np.array_equal(together.varying(x.T, medians, mean, scale).T, together.design(x, medians, mean, scale)[:, use])

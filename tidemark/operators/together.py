@@ -225,7 +225,17 @@ def packed(df: DataFrame, kinds: dict[str, type]) -> RDD:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(made, kinds.values(), strict=True)]], names=["_n", *kinds])
 
     rows = df.select(*kinds).mapInArrow(run, "_n long, " + ", ".join(f"{c} binary" for c in kinds))
-    return rows.rdd.map(lambda r: tuple(x if c in plain else x.reshape(r["_n"], -1) for c, x in ((c, np.frombuffer(r[c], k)) for c, k in kinds.items()))).persist(StorageLevel.MEMORY_AND_DISK)
+    chunks = rows.rdd.map(lambda r: tuple(x if c in plain else x.reshape(r["_n"], -1) for c, x in ((c, np.frombuffer(r[c], k)) for c, k in kinds.items())))
+    return evenly(chunks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def evenly(chunks: RDD) -> RDD:
+    """Chunks dealt out one by one to as many tasks as keep all cores busy to the end, where there are not so many already."""
+    parts, cores = chunks.getNumPartitions(), max(1, chunks.context.defaultParallelism)
+    n = -(-parts // cores) * cores
+    if n == parts:
+        return chunks
+    return chunks.mapPartitionsWithIndex(lambda i, part: (((i * n // parts + k) % n, x) for k, x in enumerate(part))).partitionBy(n, lambda k: k).values()
 
 
 def _joined(column: pa.Array) -> np.ndarray:
@@ -859,6 +869,16 @@ def design(x: np.ndarray, medians: np.ndarray, mean: np.ndarray, scale: np.ndarr
     return np.concatenate([np.ones((len(x), 1)), z], axis=1)
 
 
+def varying(x: np.ndarray, medians: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The ones and those standardised columns and indicators of (column, row) that vary, as rows."""
+    p, use = len(x), np.flatnonzero(scale > 0)
+    z = np.ones((1 + len(use), x.shape[1]))
+    for k, j in enumerate(use):
+        missing = np.isnan(x[j % p])
+        z[1 + k] = ((np.where(missing, medians[j], x[j]) if j < p else missing) - mean[j]) / scale[j]
+    return z
+
+
 @dataclass
 class Ridge:
     """One penalised logistic model: penalty 1 / c on all but the intercept, classes weighted alike or balanced."""
@@ -895,21 +915,23 @@ def fit_ridges(d: Designs, models: list[Ridge], tolerance: float = 1e-8, most: i
 
         def each(roles, ys, x, at=at):
             for i, (ms, theta, w) in at.items():
-                rows = roles[:, i] == TRAIN
-                if not rows.any():
+                rows = np.flatnonzero(roles[:, i] == TRAIN)
+                if not len(rows):
                     continue
-                z, y = design(x[rows], medians[i], mean[i], scale[i]), ys[rows, label_of[i]][:, None]
                 use = np.append(0, 1 + np.flatnonzero(scale[i] > 0))  # other columns are 0
-                z = np.ascontiguousarray(z[:, use])
-                eta = z @ theta[use]
-                p = 1 / (1 + np.exp(-eta))
-                wt = np.where(y == 1, w[:, 1], w[:, 0])
-                loss = (wt * (np.logaddexp(0, eta) - y * eta)).sum(axis=0)
-                grad, curved = z.T @ (wt * (p - y)), wt * p * (1 - p)
+                z, y = varying(x[rows].T, medians[i], mean[i], scale[i]), ys[rows, label_of[i]]
+                eta = theta[use].T @ z
+                e = np.exp(-np.abs(eta))
+                p = np.where(eta >= 0, 1, e) / (1 + e)
+                wt = np.where(y == 1, w[:, 1:], w[:, :1])
+                loss = (wt * (np.log1p(e) + np.maximum(eta, 0) - y * eta)).sum(axis=1)
+                grad, curved = (wt * (p - y)) @ z.T, wt * p * (1 - p)
+                a, b = np.triu_indices(len(use))
+                upper = curved @ (z[a] * z[b]).T  # all models' second derivatives at once
                 for k, m in enumerate(ms):
                     out = np.zeros((q + 2, q))
-                    out[np.ix_(use, use)] = z.T @ (z * curved[:, k : k + 1])
-                    out[q, use], out[q + 1] = grad[:, k], loss[k]
+                    out[use[a], use[b]] = out[use[b], use[a]] = upper[k]
+                    out[q, use], out[q + 1] = grad[k], loss[k]
                     yield m, out
 
         got = d._total(each, {m: (q + 2, q) for m in todo})
