@@ -1,7 +1,8 @@
 """Scores of rows that models did not see: counted, put in order, calibrated and cut for many models in the same passes.
 
-Scores are counted per task, dealt out once by ranges of (model, score), and kept; each Newton step of all calibrations is then a
-job over them, and so are the thresholds. A model's scores are spread over as many tasks as they need.
+Scores are counted in blocks, dealt out once by ranges of (model, score), and kept; each Newton step of all calibrations is then a
+job over them, and so are the thresholds. A model's scores are spread over as many parts as they need: what a task holds at once does
+not grow with its rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.together import HELD, Search, added, design
+from tidemark.operators.together import FEW, HELD, Search, added, design
 from tidemark.operators.trees import assign, leaves
 
-#: Scores of a group that a task shows the driver, for the cuts.
-SHOWN = 64
+#: Scores of a group that a task shows the driver, for the cuts; different scores that a task counts together, and that a part has about.
+SHOWN, BLOCK = 64, 1 << 19
 
 
 @dataclass
@@ -110,32 +111,62 @@ def _counted(value: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, *(np.bincount(at, w, len(found)) for w in weights)
 
 
-def _by_group(parts) -> dict[int, tuple[np.ndarray, ...]]:
+def _by_group(parts) -> list[tuple]:
+    """(group, value, positives, rows) of all parts together, counts in as few bytes as they need."""
     of: dict[int, list] = {}
     for part in parts:
         for g, *x in part:
             of.setdefault(g, []).append(x)
-    return {g: _counted(*(np.concatenate(v) for v in zip(*xs, strict=True))) for g, xs in sorted(of.items())}
+    out = []
+    for g in sorted(of):
+        value, *counts = _counted(*(np.concatenate(v) for v in zip(*of.pop(g), strict=True)))
+        out.append((g, value, *(c.astype(np.min_scalar_type(int(c.max()))) for c in counts)))
+    return out
+
+
+def _blocks(parts, block: int):
+    """Scores of as many chunks together as a block holds."""
+    taken, size = [], 0
+    for part in parts:
+        taken.append(part)
+        size += sum(len(value) for _, value, *_ in part)
+        if size >= block:
+            yield _by_group(taken)
+            taken, size = [], 0
+    if taken:
+        yield _by_group(taken)
 
 
-def in_order(held: RDD, least: int) -> tuple[RDD, dict[int, np.ndarray]]:
+def _steps(values: np.ndarray, weight: np.ndarray, start: float) -> np.ndarray:
+    """SHOWN of the values at even steps of their weight, from a share of a step on: tasks of like values then show different ones."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weight[order])
+    return values[order][np.searchsorted(upto[:-1], (np.arange(SHOWN) + start) / SHOWN * upto[-1], side="right")]
+
+
+def in_order(held: RDD, least: int, block: int = BLOCK) -> tuple[RDD, dict[int, np.ndarray]]:
     """The counted values dealt out by ranges of (group, value), equal ones together, each part in order; and each group's positives and rows.
-    The ranges hold about equal numbers of rows, by what each task shows of its values."""
-    kept = held.mapPartitions(lambda parts: [list((g, *x) for g, x in _by_group(parts).items())]).persist(StorageLevel.MEMORY_AND_DISK)
+    The ranges hold about equal numbers of values, a block or less, by what each task shows of its values. The caller unpersists the parts."""
+    kept = held.mapPartitions(lambda parts: _blocks(parts, block)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def shown(parts):
-        for part in parts:
+    def shown(i, parts):
+        totals: dict[int, np.ndarray] = {}
+        points: dict[int, list] = {}
+        for k, part in enumerate(parts):
             for g, value, tp, n in part:
-                upto = np.cumsum(n)
-                yield g, np.array([tp.sum(), upto[-1]]), value[np.searchsorted(upto, (np.arange(SHOWN) + 0.5) / SHOWN * upto[-1])]
+                totals[g] = totals.get(g, 0) + np.array([tp.sum(), n.sum(), len(value)], np.int64)
+                points.setdefault(g, []).append((_steps(value, np.ones(len(value)), k * 0.618 % 1), np.full(SHOWN, len(value) / SHOWN)))
+        for g, found in points.items():
+            yield g, totals[g], _steps(*(np.concatenate(v) for v in zip(*found, strict=True)), i * 0.618 % 1)
 
     totals: dict[int, np.ndarray] = {}
     points: dict[int, list] = {}
-    for g, total, values in kept.mapPartitions(shown).collect():
-        totals[g] = totals[g] + total if g in totals else total
-        points.setdefault(g, []).append((values, np.full(len(values), total[1] / len(values))))
-    n_parts = max(held.getNumPartitions(), least)
-    share, filled, part = sum(t[1] for t in totals.values()) / n_parts, 0.0, 0
+    for g, total, values in kept.mapPartitionsWithIndex(shown).collect():
+        totals[g] = totals.get(g, 0) + total
+        points.setdefault(g, []).append((values, np.full(SHOWN, total[2] / SHOWN)))
+    size = sum(int(t[2]) for t in totals.values())
+    n_parts = max(least, -(-size // block))
+    share, filled, part = size / n_parts, 0.0, 0
     first, cuts = {}, {}
     for g in sorted(points):
         values, weight = (np.concatenate(v) for v in zip(*points[g], strict=True))
@@ -156,8 +187,11 @@ def in_order(held: RDD, least: int) -> tuple[RDD, dict[int, np.ndarray]]:
                     if z > a:
                         yield first[g] + k, (g, value[a:z], *(c[a:z] for c in counts))
 
-    ordered = kept.mapPartitions(dealt).partitionBy(part + 1, lambda k: k)
-    return ordered.mapPartitions(lambda rows: [list((g, *x) for g, x in _by_group([x] for _, x in rows).items())], preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK), totals
+    dealt_out = kept.mapPartitions(dealt).partitionBy(part + 1, lambda k: k)
+    ordered = dealt_out.mapPartitions(lambda rows: [_by_group([x] for _, x in rows)], preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered.count()
+    kept.unpersist()
+    return ordered, {g: t[:2] for g, t in totals.items()}
 
 
 def lines(chunks: RDD, n: int, groups: np.ndarray, most: int = 50) -> np.ndarray:
@@ -198,7 +232,7 @@ def calibrated_cuts(chunks: RDD, models: list[tuple[int, int, Scorer]], n: int,
             if part:
                 yield tuple(np.concatenate(v) for v in zip(*((np.full(len(value), g), value, tp / k, k) for g, value, tp, k in part), strict=True))
 
-    at = lines(ordered.mapPartitions(whole), n, both)
+    at = lines(ordered.coalesce(max(FEW, least)).mapPartitions(whole), n, both)
 
     def probs(g, value):
         return 1 / (1 + np.exp(-(value * at[g, 0] + at[g, 1])))
